@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, sentencepieces, simhash
+from . import exact_dedup, line_dedup, mixing, quality, sentencepieces, simhash
 from .common import documents, model_path
 
 
@@ -18,6 +18,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+BASE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir)).select(BASE_COLUMNS)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(documents(spark, sf_dir), model_path())
 
@@ -34,6 +41,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
@@ -84,4 +92,30 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op5_quality": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri
+              FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+        hit AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) WHERE n > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM hit) GROUP BY doc_id),
+        l AS (SELECT doc_id, source, line, lower(regexp_replace(regexp_replace(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '^ +', ''), ' +$', '')) AS k
+              FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+        ll AS (SELECT * FROM l WHERE k <> ''),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ll GROUP BY doc_id),
+        hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+        freq AS (SELECT ll.source, k FROM ll JOIN d USING (doc_id) JOIN hosts ON ll.source IS NOT DISTINCT FROM hosts.source
+                 GROUP BY ll.source, k, hosts.n HAVING count(DISTINCT d.text) > 20 AND count(DISTINCT d.text) > hosts.n * 0.1::DOUBLE),
+        lost AS (SELECT doc_id, sum(length(ll.k) - length(replace(ll.k, ' ', '')) + 1) AS n
+                 FROM ll JOIN freq ON ll.k = freq.k AND ll.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
+        b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+                     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost.n, 0) AS lost
+              FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND lost <= n_words * 0.8::DOUBLE AS kept
+        FROM f
+    """,
 }
