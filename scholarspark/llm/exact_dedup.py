@@ -26,7 +26,8 @@ def exact_dedup(docs: DataFrame, tracked: int = 8192, winners: int = 1024) -> Da
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
 
     sketches = rows.groupBy(F.floor(F.spark_partition_id() / 64).alias("g")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("s"))
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {winners})").alias("top"))
+    # Grouped by a constant, for combining fails in partitions without a sketch.
+    top = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {winners})").alias("top"))
     likely = top.select(F.inline("top")).where("count > 1").select(F.col("item").alias("digest"))
     heavy = cut(rows.join(F.broadcast(likely), "digest").groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"))
 
