@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, quality, sentencepieces, simhash
+from . import exact_dedup, language, line_dedup, mixing, quality, sentencepieces, simhash, suffix_dedup
 from .common import documents, model_path
 
 
@@ -18,6 +18,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    removed = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    kept = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size(spans).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 BASE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
@@ -41,6 +52,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_language": op3_language,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality": op5_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
