@@ -296,13 +296,14 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFram
     keyed = docs.select(F.xxhash64(F.lit(1), "doc_id", text).alias("k1"), F.xxhash64(F.lit(2), text, "doc_id").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     runs = written(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(_runs(length), "k1 bigint, k2 bigint, p bigint, n int, h bigint, again boolean"))
     often = runs.groupBy("h").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("times")).where("times > 1").select("h", (F.col("times") > hot).alias("hot"))
+    often = written(often)  # so that the join can split frequent hashes; straight after the sums it couldn't
     listed = runs.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("runs"))
     pieces = keyed.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "runs").mapInArrow(_pieces(length), "h bigint, k1 bigint, k2 bigint, p bigint, n int, piece binary, d1 bigint, d2 bigint")
     pieces = written(pieces)
     cold = pieces.where("piece is not null").select("h", "k1", "k2", "p", "n", "piece")
     spans = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(length), "k1 bigint, k2 bigint, start bigint, stop bigint")
     windows = pieces.where("piece is null").select("k1", "k2", "p", "d1", "d2")
-    twice = windows.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2")
+    twice = written(windows.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2"))
     spans = spans.unionAll(windows.join(twice, ["d1", "d2"]).select("k1", "k2", F.col("p").alias("start"), (F.col("p") + length).alias("stop")))
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return keyed.join(per_doc, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut_out, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary")
