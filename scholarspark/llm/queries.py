@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, line_dedup, mixing, quality, sentencepieces, simhash, suffix_dedup
+from . import exact_dedup, language, line_dedup, mixing, pii, quality, sentencepieces, simhash, suffix_dedup
 from .common import documents, model_path
 
 
@@ -49,6 +49,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda k: F.coalesce(F.col("n_replaced")[k], F.lit(0)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", "text", *[count(k) for k in pii.KINDS])
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -58,6 +64,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
 }
 
 ORACLES = {
