@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, line_dedup, mixing, pii, quality, sentencepieces, simhash, suffix_dedup
+from . import exact_dedup, language, line_dedup, mixing, pii, quality, secrets, sentencepieces, simhash, suffix_dedup
 from .common import documents, model_path
 
 
@@ -55,6 +55,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *[count(k) for k in pii.KINDS])
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", "ordinal", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "kept")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -65,6 +70,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
