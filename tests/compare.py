@@ -42,9 +42,8 @@ def differences(spark, query, sql, sf_dir):
     theirs, other = res.fetchall(), res.columns
     assert sorted(names) == sorted(other), (sorted(names), sorted(other))
     a, b = _bag(ours, names), _bag(theirs, other)
-    only_a, only_b = [x for x in a if x not in b][:3] if len(a) < 3000 else list(dict.fromkeys(x for x in a if x not in set(b)))[:3], []
-    sa = set(map(repr, a))
-    only_b = [x for x in b if repr(x) not in sa][:3]
+    sa, sb = set(map(repr, a)), set(map(repr, b))
+    only_a, only_b = [x for x in a if repr(x) not in sb][:3], [x for x in b if repr(x) not in sa][:3]
     return len(a), len(b), only_a, only_b, [repr(x) for x in a] == [repr(x) for x in b]
 
 
