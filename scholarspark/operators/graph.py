@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import alias_keys, choose, clean_label, name_in_text, relation_of, slug, NODE_TYPES
+from ..functions.text import alias_keys, choose, clean_label, let, name_in_text, relation_of, slug, NODE_TYPES
 from .assessment import settle
 
 # What a paper calls itself.
@@ -35,8 +35,8 @@ def connected(pairs: DataFrame) -> DataFrame:
 def resolve_entities(mentions: DataFrame) -> DataFrame:
     """mentions(paper_id, mention_no, name, alias, type, ...) with cluster: the smallest mention_no of all that share alias keys. The paper's own names meet with type this_work."""
     keys = F.concat(alias_keys(F.col("name")), F.when(F.coalesce("alias", F.lit("")) != "", alias_keys(F.col("alias"))).otherwise(F.array().cast("array<string>")))
-    own = F.exists(keys, lambda k: k.isin(CENTER_ALIASES)) | (F.col("type") == "this_work")
-    keyed = mentions.withColumn("__keys", F.when(own, F.concat(keys, F.array(F.lit("__center__")))).otherwise(keys))
+    own = lambda ks: F.exists(ks, lambda k: k.isin(CENTER_ALIASES)) | (F.col("type") == "this_work")
+    keyed = mentions.withColumn("__keys", let(keys, lambda ks: F.when(own(ks), F.concat(ks, F.array(F.lit("__center__")))).otherwise(ks)))
     pairs = keyed.select("paper_id", F.col("mention_no").alias("node"), F.explode("__keys").alias("key"))
     found = connected(pairs).select("paper_id", F.col("node").alias("mention_no"), F.col("label").alias("cluster"))
     return mentions.join(found, ["paper_id", "mention_no"], "left").withColumn("cluster", F.coalesce("cluster", "mention_no"))
