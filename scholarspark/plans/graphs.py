@@ -28,7 +28,9 @@ def _mentions(spark, d):
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     name = F.concat(F.initcap("p_name"), F.lit(" "), F.col("l_partkey") % 40)
     spelled = F.when(k % 4 == 0, F.concat(F.lit("The "), name)).when(k % 4 == 1, F.concat(name, F.lit(" [9]"))).when(k % 4 == 2, F.concat(name, F.lit(" dataset"))).otherwise(F.concat(name, F.lit("s")))
-    return li.select((F.col("l_orderkey") % 150).alias("paper_id"), k.alias("mention_no"), spelled.alias("name"), F.when(k % 9 == 0, "our method").otherwise("").alias("alias"), F.when(k % 3 == 0, "concept").otherwise("dataset").alias("type"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.lit("").alias("evidence"), F.concat(F.lit("s"), "l_linenumber").alias("section_id"))
+    center = table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("paper_id")).distinct().select("paper_id", F.lit(-1).cast("long").alias("mention_no"), F.lit("this work").alias("name"), F.lit("").alias("alias"), F.lit("this_work").alias("type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.lit("s0").alias("section_id"))
+    named = li.select((F.col("l_orderkey") % 150).alias("paper_id"), k.alias("mention_no"), spelled.alias("name"), F.when(k % 9 == 0, "our method").otherwise("").alias("alias"), F.when(k % 3 == 0, "concept").otherwise("dataset").alias("type"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.lit("").alias("evidence"), F.concat(F.lit("s"), "l_linenumber").alias("section_id"))
+    return named.unionAll(center)
 
 
 def _resolved(spark, d):

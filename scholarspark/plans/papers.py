@@ -224,7 +224,7 @@ QUERIES = {
 }
 
 _L = "l AS (SELECT source AS paper_id, doc_id AS page, doc_id * 1000000 + i - 1 AS line_no, ls[i] AS text FROM (SELECT source, doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
-_N = r"trim(regexp_replace(regexp_replace(translate(X, '‘’“”–—−' || chr(160) || chr(8201) || chr(8239) || chr(173), '''''""---   '), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))"
+_N = r"""trim(regexp_replace(regexp_replace(translate(X, '‘’“”–—−' || chr(160) || chr(8201) || chr(8239) || chr(173), '''''""---   '), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))"""
 _HEAD = r"m AS (SELECT *, CASE WHEN trim(text) <> '' AND len(regexp_extract_all(trim(text, chr(32)), '\s+')) < 3 THEN text END AS heading FROM l)"
 _SEC = "s AS (SELECT source AS paper_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id % 3 + 1 AS level, text FROM documents)"
 
