@@ -24,7 +24,7 @@ def let(value: Column, body) -> Column:
 def line_table(text: Column) -> Column:
     """array of (h, w) for the lines with a word: a hash of the line in lower case with single blanks, and its words."""
     blanks = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
-    lines = F.filter(F.transform(F.split(blanks, "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(blanks, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
 
 
