@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, library, papers, retrieval
+from . import floats, graphs, library, papers, retrieval
 
-_PLANS = (retrieval, library, papers, graphs)
+_PLANS = (retrieval, library, papers, graphs, floats)
 
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
