@@ -88,7 +88,7 @@ def resolve_edges(relations: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def rollup_edges(edges: DataFrame) -> DataFrame:
     """One row for each (paper_id, source, target, relation): first description, sections in order of their first edge, edges."""
-    per = edges.groupBy("paper_id", "source", "target", "relation", "section_id").agg(F.min("relation_no").alias("first"), F.min_by("description", "relation_no").alias("said"), F.count("*").alias("n"))
+    per = edges.groupBy("paper_id", "source", "target", "relation", "section_id").agg(F.min("relation_no").alias("first"), F.min_by("description", F.struct("relation_no", "description")).alias("said"), F.count("*").alias("n"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "section_id"))), lambda s: s["section_id"])
     return per.groupBy("paper_id", "source", "target", "relation").agg(F.min_by("said", "first").alias("description"), ordered.alias("sections"), F.sum("n").alias("n"))
 

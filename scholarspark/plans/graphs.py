@@ -170,7 +170,7 @@ _SENT = r"""s AS (SELECT doc_id, text, list_filter(list_transform(string_split(r
 ORACLES = {
     "e1_clean_label": "SELECT p_partkey, 'π0-' || p_name AS label FROM part",
     "e2_alias_keys": "SELECT p_partkey, array_to_string(list_sort(list_distinct([p_name || ' dataset', p_name])), '|') AS keys FROM part",
-    "a8_rollup_edges": f"""WITH {_E}, p AS (SELECT paper_id, source, target, relation, section_id, min(relation_no) AS f, arg_min(description, relation_no) AS d, count(*) AS n FROM e GROUP BY ALL)
+    "a8_rollup_edges": f"""WITH {_E}, p AS (SELECT paper_id, source, target, relation, section_id, min(relation_no) AS f, arg_min(description, struct_pack(a := relation_no, b := description)) AS d, count(*) AS n FROM e GROUP BY ALL)
         SELECT paper_id, source, target, relation, arg_min(d, f) AS description, string_agg(CAST(section_id AS VARCHAR), ',' ORDER BY f) AS sections, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
     "e7_add_implied_edges": f"""WITH {_E}, o AS (SELECT paper_id, source, target, relation FROM e WHERE relation = 'N'),
         p AS (SELECT paper_id, target AS source, 'p' || (CAST(substr(source, 2) AS BIGINT) % 100) AS target, relation_no FROM e WHERE relation = 'R'),
