@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import fresh, written
+from .common import cut, fresh, written
 
 WHITE = " \t\n\v\f\r"
 HASHES = 3
 SHARD = 1 << 20  # cells of a shard of the filters
+#: Repeated keys up to this number are broadcast; more are joined by shuffle, whose hot keys can be split.
+BROADCAST_KEYS = 200_000
 FLUSH = 2_000_000  # cells that a task holds before it hands them on
 
 
@@ -129,6 +131,8 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int
     held = found.where(F.size(suspects) > 0)
     each = held.select(uid, F.col("doc_id").alias("doc_id"), F.inline(suspects)).select(F.col(uid).alias("uid"), "doc_id", "line", "key")
     keepers = each.groupBy("key", "doc_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= copies).select("key", "keep")
+    keepers = cut(keepers)  # joined straight after the sums, a hot key's lines would stay in one task
+    keepers = F.broadcast(keepers) if keepers.count() <= BROADCAST_KEYS else keepers
     lost = each.join(keepers, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).groupBy("uid").agg(F.collect_list("line").alias(drops)).withColumnRenamed("uid", uid)
     joined = held.join(lost, uid, "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(drops, i)), "\n")
