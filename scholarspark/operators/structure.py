@@ -171,3 +171,16 @@ def find_page(phrases: DataFrame, pages: DataFrame, words: int = 5) -> DataFrame
     want = phrases.withColumn("key", F.array_join(F.slice(w(F.col("phrase")), 1, words), " ")).where(F.length("key") >= 6).join(n, "paper_id")
     hit = want.join(have, ["paper_id", "key"])
     return hit.groupBy("paper_id", "phrase_id").agg(F.min_by("page", F.pmod(F.col("page") - F.col("start"), F.col("n_pages"))).alias("page"))
+
+
+def title_lines(lines: DataFrame) -> DataFrame:
+    """(paper_id, title): on the upper half of the first page, the first run of lines of nearly the largest size, hyphens at line ends joined. lines(paper_id, line_no, page, text, size, y0, page_height)."""
+    first = lines.where((F.col("page") == 0) & (F.col("y0") < 0.5 * F.col("page_height")) & (F.length("text") > 3))
+    top = F.max("size").over(Window.partitionBy("paper_id"))
+    near = ((F.col("size") >= F.col("top") - 1.5) & (F.col("size") > 11)) | (F.abs(F.col("size") - F.col("top")) < 0.6)
+    order = Window.partitionBy("paper_id").orderBy("line_no")
+    # Lines of the run have as many breaks before them as its first line: a break is a line that isn't near.
+    marked = first.withColumn("top", top).withColumn("near", near).withColumn("breaks", F.sum((~F.col("near")).cast("int")).over(order))
+    begin = marked.where("near").groupBy("paper_id").agg(F.min("breaks").alias("breaks"))
+    run = marked.where("near").join(begin, ["paper_id", "breaks"]).groupBy("paper_id").agg(_joined("line_no", "text", "\n").alias("title"))
+    return run.select("paper_id", F.trim(F.regexp_replace(F.regexp_replace("title", "-\n", ""), r"\s+", " ")).alias("title"))

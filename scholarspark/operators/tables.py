@@ -49,3 +49,26 @@ def attach_tables(sections: DataFrame, tables: DataFrame) -> DataFrame:
     said = sections.select("paper_id", "section_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(r"\bTables?\s+(\d+)"), F.lit(1)), lambda n: n.cast("int"))).alias("number")).join(tables, ["paper_id", "number"]).select("paper_id", "section_id", "number")
     held = sections.select("paper_id", "section_id", F.explode("raw_ids").alias("raw_id")).join(tables, ["paper_id", "raw_id"]).select("paper_id", "section_id", "number")
     return said.unionAll(held).distinct()
+
+
+def keep_tables(cells: DataFrame, captions: DataFrame) -> DataFrame:
+    """cells(paper_id, found_no, page, row_no, col_no, text) of detected tables that are ones: two rows with text, two columns and two cells with digits; with the number of the first captions(paper_id, page, number) of their page; the first of each number."""
+    full = F.coalesce(F.trim("text"), F.lit("")) != ""
+    good = cells.groupBy("paper_id", "found_no", "page").agg(F.count_distinct(F.when(full, F.col("row_no"))).alias("rows"), F.max("col_no").alias("last"), F.count_if(F.col("text").rlike(r"\d")).alias("digits")).where("rows >= 2 and last >= 1 and digits >= 2")
+    named = good.join(captions.groupBy("paper_id", "page").agg(F.min("number").alias("number")), ["paper_id", "page"])
+    first = named.groupBy("paper_id", "number").agg(F.min("found_no").alias("found_no"))
+    return cells.join(first, ["paper_id", "found_no"])
+
+
+def cap_lists(understood: DataFrame) -> DataFrame:
+    """understood with its lists cut: 6 key points, 3 distinct quotes, 3 equations, 6 results, 8 prior works; lists that it lacks are passed over."""
+    most = {"key_points": 6, "equations": 3, "results": 6, "prior_work": 8}
+    out = understood.withColumns({c: F.slice(c, 1, n) for c, n in most.items() if c in understood.columns})
+    return out.withColumn("key_quotes", F.slice(F.array_distinct("key_quotes"), 1, 3)) if "key_quotes" in understood.columns else out
+
+
+def clean_focus(beats: DataFrame, elements: DataFrame, most: int = 3) -> DataFrame:
+    """beats(paper_id, section_id, beat_id, focus) with the focus ids that elements(paper_id, section_id, id) have, `most` at most; none where nothing is left."""
+    known = elements.groupBy("paper_id", "section_id").agg(F.collect_set("id").alias("__ids"))
+    left = F.slice(F.array_intersect("focus", F.coalesce("__ids", F.array().cast("array<string>"))), 1, most)
+    return beats.join(known, ["paper_id", "section_id"], "left").withColumn("focus", left).drop("__ids")
