@@ -96,20 +96,29 @@ def best_beat(questions: DataFrame, beats: DataFrame) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("question_id", "beat_id", "score")
 
 
+def _meeting(sets: DataFrame, column: str, share: float) -> DataFrame:
+    """(a_id, b_id) for all pairs of sets(id, `column`) that may overlap by `share`, and some more."""
+    words = sets.select("id", F.explode(column).alias("word"))
+    rare = words.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    by = Window.partitionBy("id")
+    sized = words.withColumn("n", F.count("*").over(by)).join(rare, "word", "left").fillna(1, ["df"])
+    ordered = sized.withColumn("at", F.row_number().over(by.orderBy("df", "word")))
+    prefix = ordered.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * share) + 1) & (F.col("df") > 1)).select("id", "word", "n")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    sizes = F.least("x.n", "y.n") >= share * F.greatest("x.n", "y.n")
+    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & sizes).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"))
+
+
 def drop_similar(questions: DataFrame, share: float = 0.6) -> DataFrame:
     """questions(id, question, correct) without those that repeat an earlier one that stays: word sets that overlap by `share`, or by half of it with answers that do.
 
-    Candidate pairs meet on words of a prefix: of sets ordered from the rarest word, two that overlap by half of
-    `share` have a word in common among the first ones. Then rounds: who has no earlier neighbour left
-    stays, who has an earlier neighbour that stays goes; every round settles at least the earliest open one.
+    Pairs meet on words of a prefix: of two sets in order from the rarest word that overlap by `share`, the first words
+    have one in common. Pairs that need their answers too meet on those. Then rounds: who has no earlier
+    neighbour left stays, who has an earlier neighbour that stays goes; every round settles at least the earliest open one.
     """
     least = share / 2
     q = questions.select("id", word_set(F.col("question")).alias("w"), word_set(F.coalesce(F.col("correct"), F.lit(""))).alias("a"))
-    words = q.select("id", F.explode("w").alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("df"))
-    ordered = words.join(rare, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    prefix = ordered.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "word")
-    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id")).distinct()
+    pairs = _meeting(q, "w", share).unionAll(_meeting(q, "a", share)).distinct()
     both = pairs.join(q.select(F.col("id").alias("a_id"), F.col("w").alias("aw"), F.col("a").alias("aa")), "a_id").join(q.select(F.col("id").alias("b_id"), F.col("w").alias("bw"), F.col("a").alias("ba")), "b_id")
     over = jaccard(F.col("aw"), F.col("bw"))
     same = both.where((over >= share) | ((over >= least) & (jaccard(F.col("aa"), F.col("ba")) >= share))).select("a_id", "b_id")
