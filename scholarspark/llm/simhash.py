@@ -21,6 +21,11 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 1 << 15  # hashes that are counted at once
 LAGS = 16  # groups up to this size are compared pair by pair
+#: A key with over HOT fingerprints, as counted on one in SHARE of them, is left to the next level of LEVELS: 0 stands for
+#: Golay keys, n for all choices of n - 4 out of n blocks of bits, of which some choice is equal if up to 4 bits differ.
+#: The last level fixes 48 bits, so that a key has at most 65,536 fingerprints. Only balance depends on these values.
+HOT, SHARE, LEVELS = 20_000, 64, (0, 6, 8, 16)
+HOT_BROADCAST = 100_000  # hot keys, of 8 bytes each
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -97,12 +102,28 @@ def fingerprint_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate(found)
 
 
-def _spread(batches):
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(fps), 10_000):
-            which, keys = fingerprint_keys(fps[at : at + 10_000].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 10_000][which])], names=["key", "fp"])
+def block_keys(fps: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, key) for every choice of n - 4 out of n blocks of bits; a key stands for the choice and the bits in it. Different ones may meet by chance, which costs a comparison."""
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
+    masks = np.array([sum(c) for c in itertools.combinations(blocks, n - 4)], np.uint64)
+    salts = np.array([xxhash.xxh64_intdigest(str((n, i))) for i in range(len(masks))], np.uint64)
+    keys = (fps[None, :] & masks[:, None]) * np.uint64(0x9E3779B97F4A7C15) ^ salts[:, None]
+    return np.tile(np.arange(len(fps)), len(masks)), keys.reshape(-1).view(np.int64)
+
+
+def _spread(level: int):
+    step = 10_000 if level < 16 else 500
+
+    def run(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(fps), step):
+                some = fps[at : at + step]
+                which, keys = block_keys(some.view(np.uint64), level) if level else fingerprint_keys(some.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[which])], names=["key", "fp"])
+
+    return run
 
 
 def _tree(fps: np.ndarray, bits: int):
@@ -166,12 +187,33 @@ def with_fingerprints(docs: DataFrame, name: str, words: int = 4, keep_text: boo
     return docs.mapInArrow(_fingerprints(words, to_arrow_schema(schema), docs.columns.index("text"), keep_text), schema)
 
 
+def fingerprint_links(fps: DataFrame, bits: int = 4) -> DataFrame:
+    """For fps(fp), all distinct: links (a, b) that connect what all pairs with up to `bits` differing bits connect.
+
+    Keys that a sample shows to be hot are taken out before the shuffle; their fingerprints go on to the next level.
+    """
+    parts = []
+    for level in LEVELS:
+        spread = lambda df: df.mapInArrow(_spread(level), "key bigint, fp bigint")  # noqa: B023, E731
+        keyed, hot, n_hot = spread(fps), None, 0
+        if level != LEVELS[-1]:
+            few = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SHARE)) == 0)
+            hot = cut(spread(few).groupBy("key").count().where(F.col("count") * SHARE > HOT).select("key"))
+            n_hot = hot.count()
+        if n_hot:
+            hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
+            fps = cut(keyed.join(hot, "key", "left_semi").select("fp").distinct())
+            keyed = keyed.join(hot, "key", "left_anti")
+        parts.append(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "a bigint, b bigint"))
+        if not n_hot:
+            break
+    return functools.reduce(DataFrame.unionAll, parts).distinct()
+
+
 def group_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
     """From fps(doc_id, fp): one row (fp, component_id) for each distinct fingerprint."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    keyed = distinct.select("fp").mapInArrow(_spread, "key bigint, fp bigint")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "a bigint, b bigint").distinct()
-    labels = components(links)
+    labels = components(fingerprint_links(distinct.select("fp"), bits))
     grouped = cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     return grouped.join(ids, "label").select("fp", "label", "component_id")
@@ -186,7 +228,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
 
     Equal fingerprints are made one before any search, so copies cost nothing. Each distinct fingerprint is
     decoded to its Golay keys (some 84); under a key all links are checked, and a large group hands on only
-    the links of a tree that connects the same fingerprints. The links then meet in component rounds.
+    the links of a tree that connects the same fingerprints. Keys too hot for one task are split by more bits
+    (LEVELS). The links then meet in component rounds.
     """
     fps = cut(with_fingerprints(docs.select("doc_id", "text"), "fp", words, keep_text=False))
     found = group_fingerprints(fps, bits).select("fp", "component_id")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -182,7 +183,12 @@ def test_simhash(docs, rows, none, spark):
     assert simhash.simhash_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
-def test_simhash_finds_every_close_pair(spark):
+@pytest.mark.parametrize("hot, share, broadcast", [(20_000, 64, 100_000), (40, 1, 100_000), (3, 1, 0)])
+def test_simhash_finds_every_close_pair(spark, monkeypatch, hot, share, broadcast):
+    """Also when keys are taken for hot and go down the levels, to the last one with 3."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "SHARE", share)
+    monkeypatch.setattr(simhash, "HOT_BROADCAST", broadcast)
     rnd = random.Random(3)
     centre = [rnd.getrandbits(64) for _ in range(40)]
     fps = set(centre)
@@ -201,6 +207,21 @@ def test_simhash_finds_every_close_pair(spark):
     assert {r.fp: r.component_id for r in got.collect()} == {signed(f): want[f] for f in fps}
 
 
+@pytest.mark.parametrize("n", [6, 8, 16])
+def test_block_keys(n):
+    import numpy as np
+
+    rnd = random.Random(n)
+    for _ in range(50):
+        x = rnd.getrandbits(64)
+        y = x
+        for b in rnd.sample(range(64), 4):
+            y ^= 1 << b
+        keys = {i: set(k.tolist()) for i in (0, 1) for w, k in [simhash.block_keys(np.array([x, y], np.uint64), n)] for k in [k[w == i]]}
+        assert keys[0] & keys[1]
+        assert len(keys[0]) == math.comb(n, 4)
+
+
 def test_golay_keys():
     import numpy as np
 
