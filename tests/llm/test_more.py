@@ -50,6 +50,15 @@ def test_quality(spark):
     assert quality.quality_rules(none).count() == 0 and quality.keep_good(none).count() == 0
 
 
+def test_quality_in_large_host(spark):
+    """A line in over 1,000 texts is boilerplate however large its host is; documents of little else pass the base rules and are rejected."""
+    boiler = " ".join(f"b{j}" for j in range(100))
+    rows = [(i, f"own {i}\n{boiler}" if i < 1_100 else f"other {i}\n" + " ".join(f"w{i}x{j}" for j in range(60)), "host") for i in range(12_000)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "base_failed", "kept", "lost_words").collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == set(range(1_100)) == {r.doc_id for r in got if r.lost_words}
+
+
 PEOPLE = [
     (1, "Write to Mary Smith or bob.42@Mail8.example.com, +1 (988) 555-2485 4041894974608795. Smith said BOB.42@mail8.example.com at 10.1.2.3 and 8.8.8.8."),
     (2, "4111 1111 1111 1111 and 4111111111111111, GB82 WEST 1234 5698 7654 32; Herr Müller; Анна Иванова; Ελένη ΠΑΠΑΣ 123-45-6789"),
