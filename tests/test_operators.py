@@ -164,3 +164,42 @@ def test_readers_and_writers(spark, tmp_path):
     io.write_artifacts(df, str(tmp_path / "a"))
     io.append_responses(spark.createDataFrame([("abcd", "r")], "request_key string, reply string"), str(tmp_path / "s"))
     assert io.write_stage(df, "n", str(tmp_path)).count() == spark.read.parquet(str(tmp_path / "i")).count() == spark.read.json(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "s")).count() == 1
+
+
+def test_quotes_with_noise(spark):
+    """Every near match of plain difflib is found, also one that shares no run of three words with its source."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice(["th", "er", "on", "an", "re", "ing", "ti"]) for _ in range(rnd.randint(1, 4))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(5, 300))) for _ in range(25)] + ["ab" * 300, "short", None]
+    quotes = []
+    for i in range(40):
+        text = texts[i % 25]
+        quote = list(text[(at := rnd.randrange(len(text) // 2)) : at + rnd.randint(20, 200)])
+        for j in rnd.sample(range(len(quote)), len(quote) * (i % 8) // 50):
+            quote[j] = rnd.choice(["", "x", quote[j] + "z"])
+        quotes.append("".join(quote))
+    noisy = "while measuring several distant objects their average brightness appeared noticeably smaller because clouds covered parts during every second night here".split()
+    texts.append(" ".join(noisy))
+    quotes += [" ".join(w[:-1] + "q" if i % 3 == 2 else w for i, w in enumerate(noisy)), "abababababababab", "ab" * 20 + "c" + "ab" * 20]
+
+    def plain(q, low):
+        if q in low:
+            return low[(at := low.find(q)) : at + len(q)]
+        m = SequenceMatcher(None, low, q, autojunk=False).find_longest_match()
+        start = max(0, m.a - m.b)
+        return low[start : start + len(q)].strip() if m.size >= 8 and SequenceMatcher(None, low[start : start + len(q) + 8], q, autojunk=False).ratio() >= 0.88 else None
+
+    bare = [q.strip(" ") for q in quotes]
+    want = {(i, j): f for i, q in enumerate(bare) if len(q) >= 12 for j, t in enumerate(texts) if t is not None and (f := plain(q, t)) is not None}
+    assert (40, len(texts) - 1) in want and len(want) > 30
+    tables = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), spark.createDataFrame(list(enumerate(texts)), "source_id long, text string")
+    assert {(r.quote_id, r.source_id): r.found for r in grounding.fuzzy_match_quotes(*tables).collect()} == want
+    hits, grounding.MOST_HITS = grounding.MOST_HITS, 5
+    try:
+        found = grounding._Quotes(bare)
+        assert {(i, j): f for j, t in enumerate(texts) if t is not None for i, f in grounding._near(found, t, 0.88) if len(bare[i]) >= 12} == want
+    finally:
+        grounding.MOST_HITS = hits
