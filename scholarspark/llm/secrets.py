@@ -17,8 +17,9 @@ SHOWING = r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|docs?|fixtures?|mocks?|
 
 _CLASS = "A-Za-z0-9+/_~-"
 ASSIGNED = rf"(?i:(?:{'|'.join(ANNOUNCE)})['\"]?\s?[:=]\s?['\"]?)"
-#: A value after an announcing word and = or :, or a lone run of 16 characters or more.
-CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_])(?:{ASSIGNED})[^\s'\"]{{8,}}|(?<![\p{{L}}\p{{N}}+/_~-])[{_CLASS}]{{16,}}+={{0,2}}(?![\p{{L}}\p{{N}}])"
+#: A value after a name that ends in an announcing word and = or :, or a lone run of 16 characters or more that isn't such a name.
+_NAME = rf"(?<=(?i:{'|'.join(ANNOUNCE)}))(?=['\"]?\s?[:=]\s?['\"]?[^\s'\"]{{8}})"
+CANDIDATE = rf"(?:{ASSIGNED})[^\s'\"]{{8,}}|(?<![\p{{L}}\p{{N}}+/_~-])[{_CLASS}]{{16,}}+(?!{_NAME})={{0,2}}(?![\p{{L}}\p{{N}}])"
 NEAR = 48  # characters kept of each side
 #: A word is in the dictionary if it is more than this share of all words; so it has at most 1 / share words.
 WORD_SHARE = 1e-5

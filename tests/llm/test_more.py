@@ -150,3 +150,19 @@ def test_secrets(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = secrets.scan_secrets(spark.createDataFrame([(1, "password=abc123def456", None, None, 1, "u", 2, "h", 3, 4, "f")], SCHEMA)).collect()
     assert [(r.value, r.score, r.kept) for r in alone] == [("abc123def456", 1.0, True)]
+
+
+def test_secret_names(spark):
+    """The announcing word may end a longer name; the value is the candidate and not the name."""
+    texts = {
+        "DB_PASSWORD=hunter2pass1": ["hunter2pass1"], 'dbPassword = "s3cr3tPass99"': ["s3cr3tPass99"], "client_secret=ab12cd34ef56": ["ab12cd34ef56"],
+        'MYSQL_ROOT_PASSWORD: "Tr0ub4dor&3x"': ["Tr0ub4dor&3x"], 'MYSQL_ROOT_PASSWORD="Tr0ub4dor&3x"': ["Tr0ub4dor&3x"], "spring.datasource-main.password=ab12cd34ef56": ["ab12cd34ef56"], "password=abc123def456": ["abc123def456"],
+        "MYSQL_ROOT_PASSWORD is set": ["MYSQL_ROOT_PASSWORD"], "0123456789abcdef==": ["0123456789abcdef=="], "DB_PASSWORD=short": [],
+    }
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, source string")
+    got = {i: [] for i in range(len(texts))}
+    for r in secrets.candidates(docs).orderBy("doc_id", "ordinal").collect():
+        got[r.doc_id].append(r.value)
+    assert list(got.values()) == list(texts.values())
+    kept = {r.value for r in secrets.scan_secrets(docs).collect() if r.kept}
+    assert {v for t, vs in texts.items() for v in vs if "is set" not in t and "==" not in t} <= kept
