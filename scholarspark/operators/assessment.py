@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, option_index, word_set
+from ..shared import settle
 
 MAX_PER_SECTION = 4
 
@@ -133,16 +134,6 @@ def drop_similar(questions: DataFrame, share: float = 0.6) -> DataFrame:
     return questions if gone is None else questions.join(gone, "id", "left_anti")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def distinct_in_order(items: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
     """The first place of each distinct key."""
     return items.groupBy(*keys).agg(F.min(ordinal).alias(ordinal))

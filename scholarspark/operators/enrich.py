@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import capitalised, let, sentences
-from .assessment import settle
+from ..shared import settle
 
 Provider = Callable[[list[str]], list[str]]
 

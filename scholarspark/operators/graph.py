@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import alias_keys, choose, clean_label, let, name_in_text, relation_of, slug, NODE_TYPES
-from .assessment import settle
+from ..shared import settle
 
 # What a paper calls itself.
 CENTER_ALIASES = ["this work", "this paper", "our method", "our approach", "our model", "proposed method", "ours", "we"]
