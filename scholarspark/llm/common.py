@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import settle as cut
+from ..shared import shared_dir, written
+
+__all__ = ["WS_CLASS", "WS_RUN", "components", "cut", "documents", "fresh", "model_path", "n_words", "positions", "shared_dir", "written"]
+
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_RUN = rf"[{WS_CLASS}]+"
@@ -25,27 +27,6 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; for narrow tables. A lost executor costs nothing but its running tasks."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again; for wide tables of which later steps read some columns."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
@@ -81,9 +62,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are kept before they are joined: straight after the sums, a hub's neighbours would stay in one task.
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

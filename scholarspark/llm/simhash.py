@@ -21,10 +21,10 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 1 << 15  # hashes that are counted at once
 LAGS = 16  # groups up to this size are compared pair by pair
-#: A key with over HOT fingerprints, as counted on one in SHARE of them, is left to the next level of LEVELS: 0 stands for
-#: Golay keys, n for all choices of n - 4 out of n blocks of bits, of which some choice is equal if up to 4 bits differ.
-#: The last level fixes 48 bits, so that a key has at most 65,536 fingerprints. Only balance depends on these values.
-HOT, SHARE, LEVELS = 20_000, 64, (0, 6, 8, 16)
+#: A key with over HOT fingerprints, as counted on one in SHARE of them, is left to the next level. Only balance depends on these values.
+HOT, SHARE, LEVELS = 20_000, 64, 3
+#: The second set of segments begins this many bits further, round the end.
+TURN = 11
 HOT_BROADCAST = 100_000  # hot keys, of 8 bytes each
 
 
@@ -102,25 +102,47 @@ def fingerprint_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate(found)
 
 
-def block_keys(fps: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the fingerprint, key) for every choice of n - 4 out of n blocks of bits; a key stands for the choice and the bits in it. Different ones may meet by chance, which costs a comparison."""
-    edges = [64 * i // n for i in range(n + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
-    masks = np.array([sum(c) for c in itertools.combinations(blocks, n - 4)], np.uint64)
-    salts = np.array([xxhash.xxh64_intdigest(str((n, i))) for i in range(len(masks))], np.uint64)
-    keys = (fps[None, :] & masks[:, None]) * np.uint64(0x9E3779B97F4A7C15) ^ salts[:, None]
-    return np.tile(np.arange(len(fps)), len(masks)), keys.reshape(-1).view(np.int64)
+def narrow_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, key) for keys of 33 bits and more, which split hot ones of fingerprint_keys. With up to 4
+    differing bits, either no segment has over 2 of them, and all three have a common codeword; or one has 3 or 4, and of
+    the two others one is equal and one has a common codeword. Different keys may meet by chance, which costs a comparison."""
+    words = [(fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.uint32) for at, width in SEGMENTS]
+    keys = [golay_keys(w) for w in words]
+    which, found = [], []
 
+    def add(has: np.ndarray, kind: int, *parts: np.ndarray) -> None:
+        out = np.full(len(has), kind, np.uint64)
+        for p in parts:
+            out = (out ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        which.append(has)
+        found.append(out.view(np.int64))
+
+    for abc in itertools.product(range(6), repeat=3):
+        has = np.flatnonzero(np.logical_and.reduce([k[1] > x for k, x in zip(keys, abc)]))
+        add(has, 0, *(k[0][has, x] for k, x in zip(keys, abc)))
+    for i, j in itertools.permutations(range(3), 2):
+        for b in range(6):
+            has = np.flatnonzero(keys[j][1] > b)
+            add(has, 3 * i + j + 1, words[i][has], keys[j][0][has, b])
+    return np.concatenate(which), np.concatenate(found)
 
-def _spread(level: int):
-    step = 10_000 if level < 16 else 500
 
+def level_keys(fps: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of two segments, then narrow ones, then narrow ones of segments that begin elsewhere. On each level any two fingerprints with up to 4 differing bits share one."""
+    if level == 0:
+        return fingerprint_keys(fps)
+    turned = fps if level == 1 else fps >> np.uint64(TURN) | fps << np.uint64(64 - TURN)
+    return narrow_keys(turned)
+
+
+def _spread(level: int):
     def run(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), step):
-                some = fps[at : at + step]
-                which, keys = block_keys(some.view(np.uint64), level) if level else fingerprint_keys(some.view(np.uint64))
+            for at in range(0, len(fps), 5_000):
+                some = fps[at : at + 5_000]
+                which, keys = level_keys(some.view(np.uint64), level)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[which])], names=["key", "fp"])
 
     return run
@@ -193,10 +215,10 @@ def fingerprint_links(fps: DataFrame, bits: int = 4) -> DataFrame:
     Keys that a sample shows to be hot are taken out before the shuffle; their fingerprints go on to the next level.
     """
     parts = []
-    for level in LEVELS:
+    for level in range(LEVELS):
         spread = lambda df: df.mapInArrow(_spread(level), "key bigint, fp bigint")  # noqa: B023, E731
         keyed, hot, n_hot = spread(fps), None, 0
-        if level != LEVELS[-1]:
+        if level < LEVELS - 1:
             few = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SHARE)) == 0)
             hot = cut(spread(few).groupBy("key").count().where(F.col("count") * SHARE > HOT).select("key"))
             n_hot = hot.count()
@@ -215,7 +237,7 @@ def group_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(fingerprint_links(distinct.select("fp"), bits))
     grouped = cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    ids = cut(grouped.groupBy("label").agg(F.min("least").alias("component_id")))  # kept first, so that the join can split a large component
     return grouped.join(ids, "label").select("fp", "label", "component_id")
 
 
@@ -228,8 +250,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
 
     Equal fingerprints are made one before any search, so copies cost nothing. Each distinct fingerprint is
     decoded to its Golay keys (some 84); under a key all links are checked, and a large group hands on only
-    the links of a tree that connects the same fingerprints. Keys too hot for one task are split by more bits
-    (LEVELS). The links then meet in component rounds.
+    the links of a tree that connects the same fingerprints. The fingerprints of keys too hot for one task get longer
+    keys instead, of three segments' codewords (level_keys). The links then meet in component rounds.
     """
     fps = cut(with_fingerprints(docs.select("doc_id", "text"), "fp", words, keep_text=False))
     found = group_fingerprints(fps, bits).select("fp", "component_id")
@@ -243,5 +265,5 @@ def keep_one(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     narrow = held.select(F.col("doc_id").alias("doc_id"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
     per_fp = narrow.groupBy("fp").agg(F.min(first).alias("first"))
-    stay = per_fp.join(group_fingerprints(narrow, bits), "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.uid").alias(uid))
+    stay = cut(per_fp).join(group_fingerprints(narrow, bits), "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.uid").alias(uid))
     return held.join(stay, uid, "left_semi").select(docs.columns)

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 
@@ -207,19 +206,20 @@ def test_simhash_finds_every_close_pair(spark, monkeypatch, hot, share, broadcas
     assert {r.fp: r.component_id for r in got.collect()} == {signed(f): want[f] for f in fps}
 
 
-@pytest.mark.parametrize("n", [6, 8, 16])
-def test_block_keys(n):
+@pytest.mark.parametrize("level", range(simhash.LEVELS))
+def test_level_keys(level):
+    """On every level each pair with up to 4 differing bits shares a key, wherever the bits are."""
     import numpy as np
 
-    rnd = random.Random(n)
-    for _ in range(50):
+    rnd = random.Random(level)
+    for k in range(300):
         x = rnd.getrandbits(64)
         y = x
-        for b in rnd.sample(range(64), 4):
+        at, width = simhash.SEGMENTS[k % 3]
+        for b in rnd.sample(range(64), rnd.randint(1, 4)) if k % 2 else rnd.sample(range(at, at + width), 3) + [rnd.randrange(64)]:
             y ^= 1 << b
-        keys = {i: set(k.tolist()) for i in (0, 1) for w, k in [simhash.block_keys(np.array([x, y], np.uint64), n)] for k in [k[w == i]]}
-        assert keys[0] & keys[1]
-        assert len(keys[0]) == math.comb(n, 4)
+        which, keys = simhash.level_keys(np.array([x, y], np.uint64), level)
+        assert set(keys[which == 0].tolist()) & set(keys[which == 1].tolist())
 
 
 def test_golay_keys():
