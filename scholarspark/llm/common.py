@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from ..shared import settle as cut
 from ..shared import shared_dir, written
 
-__all__ = ["WS_CLASS", "WS_RUN", "components", "cut", "documents", "fresh", "model_path", "n_words", "positions", "shared_dir", "written"]
+__all__ = ["WS_CLASS", "WS_RUN", "components", "cut", "dealt", "documents", "fresh", "model_path", "n_words", "positions", "shared_dir", "written"]
 
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -27,6 +29,13 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df, written as Parquet in the shared folder in buckets by keys: joins on them don't shuffle it again."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

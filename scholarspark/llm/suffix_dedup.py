@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,13 +11,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, dealt, written
 
-GRAM = 50  # bytes of the grams whose hashes deal the text out
+#: Bytes of the grams whose hashes deal windows out. A key that has over MOST bytes of different pieces is dealt out again by the next, longer grams; the last are whole windows.
+GRAMS = (50, 150, 190)
+MOST = 1 << 21
 CHUNK = 1 << 21  # window starts that a task works on at once
-BLOCK = 1 << 20  # bytes of the texts that get one suffix array, unless a single hash has more
-#: A hash with more runs than this is dealt out window by window instead.
-HOT = 20_000
+BLOCK = 1 << 20  # bytes of the texts that get one suffix array, unless a single key has more
+LONGEST = 512  # windows of a run; longer ones, which only periodic texts have, are several
+SEEN = 500_000  # digests that a task remembers
+HOT_BROADCAST = 100_000  # hot keys, of 8 bytes each
 _RANDOM = np.random.RandomState(11)
 _BYTE = _RANDOM.randint(1, 1 << 63, 256, np.int64).astype(np.uint64)
 _ODD = 0x9E3779B97F4A7C15
@@ -35,14 +40,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 class _Hasher:
     """Hashes of all grams of a byte array, and the least hash within each window."""
 
-    def __init__(self, size: int, length: int):
+    def __init__(self, size: int, length: int, gram: int):
         self.up, self.down = _powers(_ODD, size), _powers(pow(_ODD, -1, 2**64), size)
-        self.grams = length - GRAM + 1  # grams in a window
+        self.length, self.gram = length, gram
+        self.grams = length - gram + 1  # grams in a window
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * self.up[: len(data)], out=sums[1:])
-        h = (sums[GRAM:] - sums[:-GRAM]) * self.down[: len(data) - GRAM + 1]
+        h = (sums[self.gram :] - sums[: -self.gram]) * self.down[: len(data) - self.gram + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ h >> np.uint64(32)
@@ -66,74 +72,127 @@ def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _cut_runs(data: np.ndarray, at: np.ndarray, hasher: _Hasher):
+    """For texts that lie in data from at[i] to at[i + 1]: (text, p, n, h, again) of the runs of windows with the same least hash; again if a run has that hash at two places."""
+    length = hasher.length
+    inside = np.zeros(len(data) + 1, np.int8)  # +1 where windows within a text begin, -1 after the last
+    long = np.flatnonzero(np.diff(at) >= length)
+    np.add.at(inside, at[long], 1)
+    np.add.at(inside, at[long + 1] - length + 1, -1)
+    ok = np.cumsum(inside, dtype=np.int8)[:-1].astype(bool)
+    for c in range(0, len(data) - length + 1, CHUNK):
+        h = hasher.hashes(data[c : c + CHUNK + length - 1])
+        m = hasher.least(h)
+        good = ok[c : c + len(m)]
+        if not good.any():
+            continue
+        new = good.copy()
+        new[1:] &= (m[1:] != m[:-1]) | ~good[:-1]
+        begins = at[long] - c
+        new[begins[(begins >= 0) & (begins < len(m))]] = True
+        p = np.flatnonzero(new)
+        stop = np.flatnonzero(good & ~np.concatenate([good[1:], [False]]))  # last windows of texts
+        end = np.minimum(np.concatenate([p[1:], [len(m)]]) - 1, stop[np.searchsorted(stop, p)])
+        parts = (end - p) // LONGEST + 1
+        if (parts > 1).any():
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            p, end = np.repeat(p, parts) + nth * LONGEST, np.repeat(end, parts)
+            end = np.minimum(end, p + LONGEST - 1)
+        grams = sliding_window_view(h, hasher.grams)
+        again = np.empty(len(p), bool)
+        for i in range(0, len(p), 20_000):
+            first = p[i : i + 20_000] + grams[p[i : i + 20_000]].argmin(axis=1)
+            last = end[i : i + 20_000] + hasher.grams - 1 - grams[end[i : i + 20_000]][:, ::-1].argmin(axis=1)
+            again[i : i + 20_000] = first != last
+        text = np.searchsorted(at, p + c, "right") - 1
+        yield text, p + c - at[text], (end - p + 1).astype(np.int32), m[p].view(np.int64), again
+
+
 def _runs(length: int):
-    """For mapInArrow over (k1, k2, text): runs of windows with the same least hash: (k1, k2, p, n, h, again); again if the run has that hash at two places."""
+    """For mapInArrow over (k1, k2, text): (k1, k2, p, n, h, again) of the runs of each text; of equal texts of a task, of one only."""
 
     def run(batches):
-        hasher = _Hasher(CHUNK + length, length)
+        hasher, seen = _Hasher(CHUNK + length, length, GRAMS[0]), set()
         for batch in batches:
-            data, at = _strings(batch.column(2))
-            inside = np.zeros(len(data) + 1, np.int8)  # +1 where windows within a document begin, -1 after the last
-            long = np.flatnonzero(np.diff(at) >= length)
-            np.add.at(inside, at[long], 1)
-            np.add.at(inside, at[long + 1] - length + 1, -1)
-            ok = np.cumsum(inside, dtype=np.int8)[:-1].astype(bool)
-            for c in range(0, len(data) - length + 1, CHUNK):
-                h = hasher.hashes(data[c : c + CHUNK + length - 1])
-                m = hasher.least(h)
-                good = ok[c : c + len(m)]
-                if not good.any():
-                    continue
-                new = good.copy()
-                new[1:] &= (m[1:] != m[:-1]) | ~good[:-1]
-                begins = at[long] - c
-                new[begins[(begins >= 0) & (begins < len(m))]] = True
-                p = np.flatnonzero(new)
-                stop = np.flatnonzero(good & ~np.concatenate([good[1:], [False]]))  # last windows of documents
-                end = np.minimum(np.concatenate([p[1:], [len(m)]]) - 1, stop[np.searchsorted(stop, p)])
-                grams = sliding_window_view(h, hasher.grams)
-                again = np.empty(len(p), bool)
-                for i in range(0, len(p), 20_000):
-                    first = p[i : i + 20_000] + grams[p[i : i + 20_000]].argmin(axis=1)
-                    last = end[i : i + 20_000] + hasher.grams - 1 - grams[end[i : i + 20_000]][:, ::-1].argmin(axis=1)
-                    again[i : i + 20_000] = first != last
-                doc = np.searchsorted(at, p + c, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(p + c - at[doc]), pa.array((end - p + 1).astype(np.int32)), pa.array(m[p].view(np.int64)), pa.array(again)],
-                    names=["k1", "k2", "p", "n", "h", "again"],
-                )
+            new = []
+            for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            seen = set() if len(seen) > SEEN else seen
+            batch = batch.take(pa.array(new, pa.int64()))
+            for text, p, n, h, again in _cut_runs(*_strings(batch.column(2)), hasher):
+                text = pa.array(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(p), pa.array(n), pa.array(h), pa.array(again)], names=["k1", "k2", "p", "n", "h", "again"])
 
     return run
 
 
-def _pieces(length: int):
-    """For mapInArrow over (k1, k2, doc_id, text, runs): the bytes of each run; of a hot run nothing, but a digest of each window."""
+class _Pieces:
+    """Rows (key, d1, d2, k1, k2, p, n, piece): the bytes of runs, with their digest. With bytes: of equal pieces one only; without: all, and piece null."""
+
+    SCHEMA = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("piece", pa.binary())])
+    DDL = "key bigint, d1 bigint, d2 bigint, k1 bigint, k2 bigint, p bigint, n int, piece binary"
+
+    def __init__(self, with_bytes: bool):
+        self.with_bytes, self.seen = with_bytes, set()
+        self.rows, self.size = [], 0
+
+    def add(self, key: int, k1: int, k2: int, p: int, n: int, piece: bytes) -> None:
+        digest = xxhash.xxh3_128_digest(piece)
+        if self.with_bytes:
+            if digest in self.seen:
+                return
+            self.seen.add(digest)
+        self.rows.append((key, digest, k1, k2, p, n, piece if self.with_bytes else None))
+        self.size += 80 + len(piece) * self.with_bytes
+
+    def batch(self) -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(r[1] for r in self.rows), "<i8")
+        key, _, k1, k2, p, n, piece = zip(*self.rows) if self.rows else ((),) * 7
+        out = [key, digests[::2], digests[1::2], k1, k2, p, n, piece]
+        self.rows, self.size = [], 0
+        if len(self.seen) > SEEN:
+            self.seen = set()
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, self.SCHEMA)], schema=self.SCHEMA)
+
+
+def _pieces(length: int, with_bytes: bool):
+    """For mapInArrow over (k1, k2, text, runs): the pieces of the runs; of neighbouring equal texts, of one only."""
 
     def run(batches):
+        out, last = _Pieces(with_bytes), None
         for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("h", "k1", "k2", "p", "n", "piece", "d1", "d2")}
-            size = 0
-            for k1, k2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
-                data = text.as_buffer().to_pybytes()
+            for k1, k2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                if (k1, k2) == last or not runs:
+                    continue
+                last, data = (k1, k2), text.as_buffer().to_pybytes()
                 for r in runs:
-                    if not r["hot"]:
-                        rows = [(r["h"], r["p"], r["n"], data[r["p"] : r["p"] + r["n"] + length - 1], None, None)]
-                    else:
-                        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(r["p"], r["p"] + r["n"])), "<i8")
-                        rows = [(None, r["p"] + i, 1, None, int(digests[2 * i]), int(digests[2 * i + 1])) for i in range(r["n"])]
-                    for h, p, n, piece, d1, d2 in rows:
-                        for x, v in zip(out, (h, k1, k2, p, n, piece, d1, d2)):
-                            out[x].append(v)
-                        size += len(piece or b"") + 60
-                    if size > 1 << 24:
-                        yield pa.RecordBatch.from_pydict(out, PIECES)
-                        out, size = {x: [] for x in out}, 0
-            yield pa.RecordBatch.from_pydict(out, PIECES)
+                    out.add(r["h"], k1, k2, r["p"], r["n"], data[r["p"] : r["p"] + r["n"] + length - 1])
+                if out.size > 1 << 24:
+                    yield out.batch()
+        yield out.batch()
 
     return run
 
 
-PIECES = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("piece", pa.binary()), ("d1", pa.int64()), ("d2", pa.int64())])
+def _slices(length: int, gram: int, with_bytes: bool):
+    """For mapInArrow over pieces: pieces of them, keyed by longer grams."""
+
+    def run(batches):
+        hasher, out = _Hasher(CHUNK + length, length, gram), _Pieces(with_bytes)
+        for batch in batches:
+            data, at = _strings(batch.column(7))
+            k1, k2, start = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for text, p, n, h, _ in _cut_runs(data, at, hasher):
+                for t, a, m, key in zip(text.tolist(), p.tolist(), n.tolist(), h.tolist()):
+                    begin = int(at[t]) + a
+                    out.add(key, k1[t], k2[t], start[t] + a, m, data[begin : begin + m + length - 1].tobytes())
+                    if out.size > 1 << 24:
+                        yield out.batch()
+        yield out.batch()
+
+    return run
 
 
 def suffix_array(data: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
@@ -223,36 +282,30 @@ def repeated_windows(pieces: list[bytes], sizes: list[int], length: int) -> list
 
 
 def _spans(length: int):
-    """For mapInArrow over (h, k1, k2, p, n, piece) sorted by h: (k1, k2, start, stop) of what repeats."""
+    """For mapInArrow over pieces sorted by key: (k1, k2, start, stop) of what also starts in another piece, or elsewhere in this."""
 
-    def block(rows):
-        distinct: dict[bytes, list[int]] = {}
-        for i, r in enumerate(rows):
-            distinct.setdefault(r[4], []).append(i)
-        sizes = [rows[i[0]][3] for i in distinct.values()]
+    def block(held):
         out = [[], [], [], []]
-        for who, twice in zip(distinct.values(), repeated_windows(list(distinct), sizes, length)):
-            if len(who) > 1:
-                twice = np.ones(len(twice), bool)
+        for (k1, k2, p, _, _), twice in zip(held.values(), repeated_windows([r[4] for r in held.values()], [r[3] for r in held.values()], length)):
             edges = np.flatnonzero(np.diff(twice.astype(np.int8), prepend=0, append=0)).tolist()
-            for i in who:
-                for a, b in zip(edges[::2], edges[1::2]):
-                    for o, v in zip(out, (rows[i][0], rows[i][1], rows[i][2] + a, rows[i][2] + b - 1 + length)):
-                        o.append(v)
+            for a, b in zip(edges[::2], edges[1::2]):
+                for o, v in zip(out, (k1, k2, p + a, p + b - 1 + length)):
+                    o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["k1", "k2", "start", "stop"])
 
     def run(batches):
-        rows, size, last = [], 0, None
+        held, size, last = {}, 0, None
         for batch in batches:
-            for h, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if size > BLOCK and h != last:
-                    yield block(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-                last = h
-        if rows:
-            yield block(rows)
+            for key, d1, d2, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if size > BLOCK and key != last:
+                    yield block(held)
+                    held, size = {}, 0
+                last = key
+                if (d1, d2) not in held:  # several tasks may have the same piece
+                    held[d1, d2] = row
+                    size += len(row[4])
+        if held:
+            yield block(held)
 
     return run
 
@@ -277,33 +330,60 @@ def _cut_out(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(merged, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, most: int = MOST) -> DataFrame:
+    """(k1, k2, start, stop) of what repeats in dealt texts(k1, k2, text, runs)."""
+    spans, level, source, step = [], 0, texts.select("k1", "k2", "text", "runs"), lambda b: _pieces(length, b)
+    while True:
+        narrow = written(source.mapInArrow(step(False), _Pieces.DDL).drop("piece"))
+        each = cut(narrow.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), (F.max("n") + length - 1).alias("size")))
+        # A piece with several owners is repeated as a whole. Sums are kept before the join, so that it can split frequent pieces.
+        several = narrow.join(each.where("times > 1").select("d1", "d2"), ["d1", "d2"])
+        spans.append(several.select("k1", "k2", F.col("p").alias("start"), (F.col("p") + F.col("n") + length - 1).alias("stop")))
+        pieces = source.mapInArrow(step(True), _Pieces.DDL)
+        hot = cut(each.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("key"))
+        n_hot = hot.count() if level < len(GRAMS) else 0
+        if n_hot:
+            hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
+            pieces = written(pieces)
+            source, pieces = pieces.join(hot, "key", "left_semi"), pieces.join(hot, "key", "left_anti")
+        spans.append(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_spans(length), "k1 bigint, k2 bigint, start bigint, stop bigint"))
+        if not n_hot:
+            return functools.reduce(DataFrame.unionAll, spans)
+        level += 1
+        gram = (*GRAMS, length)[level]
+        step = lambda b, gram=gram: _slices(length, gram, b)
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, most: int = MOST) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_bytes, spans (array of start, stop in bytes), kept (binary).
 
     spans are the maximal runs of bytes that lie in a string of `length` bytes which starts at another place too, in
     the same or another document, as the documents come in; kept is the rest, which need not be whole characters. null counts
-    as empty. Rows with the same doc_id and text are documents of their own, and so lose all if they are long enough.
-    Other columns are ignored.
-
-    Strings of `length` bytes are dealt out by the least hash of their grams, which equal strings share. A run of
-    neighbouring windows with one least hash is one row. Hashes that occur once can't be repeats, so only
-    the bytes of the other runs are shuffled, and each task builds suffix arrays of blocks of them: small suffixes
-    sorted, large ones induced, adjacent common prefixes compared. Equal runs are one text with several owners. A
-    hash with over `hot` runs would gather in one task; its windows are counted by 128-bit digest instead, with
-    partial sums. Texts are dealt out by a key of id and text for the two joins with them.
+    as empty. Rows with the same text are documents of their own, and so lose all if they are long enough, whatever
+    their doc_id. Other columns are ignored.
+
+    Texts go by a key of their content; equal ones are settled by counting them. Strings of `length` bytes are dealt
+    out by the least hash of their grams, which equal strings share. A run of neighbouring windows with one least
+    hash is one row. Hashes that occur once can't be repeats, so only the bytes of the other runs are shuffled, of
+    equal runs once for each task, and each task builds suffix arrays of blocks of them: small suffixes sorted,
+    large ones induced, adjacent common prefixes compared. A run with several owners is repeated as a whole. A hash under
+    which over `most` bytes would gather is dealt out again by the least hash of longer grams, at last of whole
+    windows, of which only different ones remain. Texts are shuffled once, with their runs, and lie by their key then.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.xxhash64(F.lit(1), "doc_id", text).alias("k1"), F.xxhash64(F.lit(2), text, "doc_id").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    runs = written(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(_runs(length), "k1 bigint, k2 bigint, p bigint, n int, h bigint, again boolean"))
-    often = runs.groupBy("h").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("times")).where("times > 1").select("h", (F.col("times") > hot).alias("hot"))
+    keyed = docs.select(F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text, F.lit(3)).alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    long = keyed.where(F.octet_length("text") >= length)
+    runs = written(long.select("k1", "k2", "text").mapInArrow(_runs(length), "k1 bigint, k2 bigint, p bigint, n int, h bigint, again boolean"))
+    often = runs.groupBy("h").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("times")).where("times > 1").select("h")
     often = written(often)  # so that the join can split frequent hashes; straight after the sums it couldn't
-    listed = runs.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("runs"))
-    pieces = keyed.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "runs").mapInArrow(_pieces(length), "h bigint, k1 bigint, k2 bigint, p bigint, n int, piece binary, d1 bigint, d2 bigint")
-    pieces = written(pieces)
-    cold = pieces.where("piece is not null").select("h", "k1", "k2", "p", "n", "piece")
-    spans = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_spans(length), "k1 bigint, k2 bigint, start bigint, stop bigint")
-    windows = pieces.where("piece is null").select("k1", "k2", "p", "d1", "d2")
-    twice = written(windows.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2"))
-    spans = spans.unionAll(windows.join(twice, ["d1", "d2"]).select("k1", "k2", F.col("p").alias("start"), (F.col("p") + length).alias("stop")))
-    per_doc = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return keyed.join(per_doc, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut_out, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary")
+    copied = long.groupBy("k1", "k2").agg(F.count("*").alias("times")).where("times > 1").select("k1", "k2", F.lit(None).alias("run"), F.lit(True).alias("copied"))
+    found = runs.join(often, "h").select("k1", "k2", F.struct("p", "n", "h").alias("run"), F.lit(False).alias("copied")).unionAll(copied)
+    marks = written(found.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"), F.max("copied").alias("copied")))
+    texts = dealt(keyed.join(marks, ["k1", "k2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False))), "k1", "k2")
+    spans = repeated_spans(texts.where("runs is not null"), length, most)
+    per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    schema = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
+    single = texts.where("not copied").join(per_doc, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut_out, schema)
+    n = F.octet_length("text").cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("stop")))
+    return single.unionAll(texts.where("copied").select("doc_id", n.alias("n_bytes"), whole.alias("spans"), F.lit(b"").alias("kept")))

@@ -44,18 +44,20 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_suffix_dedup(spark, hot, monkeypatch):
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 2000, 0])
+def test_suffix_dedup(spark, most):
+    """Also when keys are taken for hot, and dealt out again by longer grams, to the last with 0."""
     rnd = random.Random(4)
     rows = corpus()
     passage = " ".join(str(rnd.random()) for _ in range(30))
-    extra = ["be " * 100, "be " * 200 + "x", "a" * 500, "a" * 199, "ab" * 100, passage + "é" * 30, "x" + passage, passage[:250] + "!" + passage[200:], "日本" * 120, "日本" * 121]
+    edged = [f"{chr(97 + i % 26) * (i // 26)}{i}" + passage[:240] + str(rnd.random()) for i in range(60)]  # one passage between different words
+    extra = edged + ["be " * 100, "be " * 200 + "x", "a" * 500, "a" * 199, "ab" * 100, passage + "é" * 30, "x" + passage, passage[:250] + "!" + passage[200:], "日本" * 120, "日本" * 121]
     texts = [(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(extra)] + [(None, passage), (1001, "be " * 200 + "x")]
     table = spark.createDataFrame([(*t, "en", "s", 1, "u", 2, "d", 3, 4, "f") for t in texts], SCHEMA).repartition(3)
-    got = suffix_dedup.suffix_dedup(table, hot=hot).collect()
+    got = suffix_dedup.suffix_dedup(table, most=most).collect()
     want = [(d, *x) for (d, _), x in zip(texts, brute([t for _, t in texts], 200))]
     assert sorted(((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got), key=repr) == sorted(want, key=repr)
-    assert suffix_dedup.suffix_dedup(spark.createDataFrame([], SCHEMA), hot=hot).count() == 0
+    assert suffix_dedup.suffix_dedup(spark.createDataFrame([], SCHEMA), most=most).count() == 0
 
 
 def test_suffix_dedup_in_chunks(spark):
@@ -82,3 +84,16 @@ def test_suffix_dedup_given_documents(spark):
     want = [(r.doc_id, *x) for r, x in zip(rows, brute([r.text for r in rows], 200))]
     got = suffix_dedup.suffix_dedup(docs).collect()
     assert sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got) == sorted(want)
+
+
+def test_suffix_dedup_many_copies(spark):
+    """Equal rows, and a megabyte of one character in many copies, take seconds and give each row its result."""
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(1000))
+    rows = [(7, text)] * 200 + [(i, "a" * 1_000_000) for i in range(100)] + [(1000, "a" * 3_000_000), (1001, "abc" * 70_000), (1002, text[:150] + "!" + text[150:])]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        whole = [(0, r.n_bytes)] if r.doc_id != 1002 else [(151, 1001)]
+        assert [tuple(s) for s in r.spans] == whole
+        assert len(r.kept) == r.n_bytes - (whole[0][1] - whole[0][0])
