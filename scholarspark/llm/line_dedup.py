@@ -21,6 +21,9 @@ SHARD = 1 << 20  # cells of a shard of the filters
 #: Repeated keys up to this number are broadcast; more are joined by shuffle, whose hot keys can be split.
 BROADCAST_KEYS = 200_000
 FLUSH = 2_000_000  # cells that a task holds before it hands them on
+#: Cells for each line, and cells at most: so many bits are broadcast, 256 MB here.
+CELLS, MAX_CELLS = 16, 1 << 31
+FAN = 64  # groups in which the parts of a shard are merged before they meet
 
 
 def _cells(keys: np.ndarray, size: int) -> np.ndarray:
@@ -64,14 +67,33 @@ def _seen(size: int, least: int):
     return run
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """One shard from all its parts: a cell is twice-seen if a part says so or two parts have it."""
+def _places(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.int64)
+
+
+def _bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), bitorder="little").astype(bool)
+
+
+def _merge_some(group: pd.DataFrame) -> pd.DataFrame:
+    """One shard from some of its parts: a cell is twice-seen if a part says so or two parts have it."""
     once, twice = np.zeros(SHARD, bool), np.zeros(SHARD, bool)
     for a, b in zip(group["once"], group["twice"]):
-        x, y = (np.cumsum(np.frombuffer(zlib.decompress(v), "<u4"), dtype=np.int64) for v in (a, b))
+        x = _places(a)
         twice[x[once[x]]] = True
-        twice[y] = True
+        twice[_places(b)] = True
         once[x] = True
+    pack = lambda x: zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1)
+    return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "once": [pack(once)], "twice": [pack(twice)]})
+
+
+def _merge_all(group: pd.DataFrame) -> pd.DataFrame:
+    """The bits of the twice-seen cells of one shard from what _merge_some has made of its parts."""
+    once, twice = np.zeros(SHARD, bool), np.zeros(SHARD, bool)
+    for a, b in zip(group["once"], group["twice"]):
+        x = _bits(a)
+        twice |= _bits(b) | (once & x)
+        once |= x
     return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
 
 
@@ -101,7 +123,7 @@ def _suspects(filters, size: int, least: int, schema: pa.Schema, text_at: int):
     return run
 
 
-def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int = 1 << 28) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int = MAX_CELLS) -> DataFrame:
     """docs(doc_id, text, ...) with the lines of text that repeat in other documents taken out, and n_lines and n_dropped as the last two columns.
 
     Lines are what \\n separates (null and empty texts: one empty line). A key of `least` code points or more that
@@ -110,18 +132,20 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int
     they are, whatever their names; n_lines and n_dropped get a trailing _ where docs has them.
 
     First pass: each task notes cells of two Bloom filters, hashes seen once and seen twice, and the parts are
-    merged shard by shard. The filters have 32 cells a line, but at most `max_cells`, so at most max_cells / 8
-    bytes are broadcast; fuller filters let more lines through and change no result. Second pass: only lines whose cells are
+    merged shard by shard, in two steps. The filters grow with the lines, CELLS for each, up to `max_cells`, whose bits are what
+    an executor can hold; beyond that they fill (with 2 cells a line a twelfth of the other lines passes too),
+    which costs shuffle and changes no result. Second pass: only lines whose cells are
     all seen twice are shuffled, by 128-bit hash, to count their documents and choose the one that keeps them.
     Only documents with such lines are joined with what was found.
     """
     spark = docs.sparkSession
     n_lines, n_dropped, suspects, uid, drops = (fresh(docs, x) for x in ("n_lines", "n_dropped", "__suspects", "__uid", "__drops"))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    size = max(SHARD, min(max_cells, 1 << (32 * int(lines)).bit_length()))
+    size = max(SHARD, min(max_cells, 1 << (CELLS * int(lines)).bit_length()))
     parts = docs.select("text").mapInArrow(_seen(size, least), "shard int, once binary, twice binary")
     bits = np.zeros(size // 8, np.uint8)
-    for row in parts.groupBy("shard").applyInPandas(_merge, "shard int, bits binary").toLocalIterator():
+    some = parts.groupBy("shard", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("k")).applyInPandas(_merge_some, "shard int, once binary, twice binary")
+    for row in some.groupBy("shard").applyInPandas(_merge_all, "shard int, bits binary").toLocalIterator():
         bits[row.shard * SHARD // 8 : (row.shard + 1) * SHARD // 8] = np.frombuffer(row.bits, np.uint8)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(suspects, T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("key", T.BinaryType())])))])
@@ -129,7 +153,7 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int
     found = written(found.withColumn(uid, F.monotonically_increasing_id()))
 
     held = found.where(F.size(suspects) > 0)
-    each = held.select(uid, F.col("doc_id").alias("doc_id"), F.inline(suspects)).select(F.col(uid).alias("uid"), "doc_id", "line", "key")
+    each = written(held.select(uid, F.col("doc_id").alias("doc_id"), F.inline(suspects)).select(F.col(uid).alias("uid"), "doc_id", "line", "key"))
     keepers = each.groupBy("key", "doc_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= copies).select("key", "keep")
     keepers = cut(keepers)  # joined straight after the sums, a hot key's lines would stay in one task
     keepers = F.broadcast(keepers) if keepers.count() <= BROADCAST_KEYS else keepers
