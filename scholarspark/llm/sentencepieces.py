@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MEMO = 400_000  # chunks whose ids a task remembers
+MEMO_BYTES = 96 << 20  # about what a task remembers of words and their ids
+LONG = 256  # characters; longer words aren't remembered
 
 
 class Vocabulary:
-    """The pieces of a model with merges and byte fallback, and an own encoder and decoder for it.
+    """The pieces of a model with merges and byte fallback, and an own encoder for it.
 
     Expects what such models have: no character map, a blank put before the text, blanks kept and written as U+2581.
     """
@@ -29,25 +30,18 @@ class Vocabulary:
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.bytes = [0] * 256
-        self.out: list[bytes] = []
         for i in range(lib.get_piece_size()):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.out.append(bytes([int(piece[3:5], 16)]))
-            elif lib.is_control(i):
-                self.out.append(b"")
-            elif lib.is_unknown(i):
-                self.out.append(" ⁇ ".encode())
-            else:
+            elif not lib.is_control(i) and not lib.is_unknown(i):
                 self.ids[piece], self.score[piece] = i, lib.get_score(i)
-                self.out.append(piece.replace(SPACE, " ").encode())
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         # Where no piece can reach across, the text is cut: before the blanks of a word, and around line feeds.
         long = [p for p in self.ids if len(p) > 1]
-        assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in long), "a piece holds a blank after other characters"
+        self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in long)
         stops = "".join(c for c in "\n\t" if not any(c in p for p in long))
-        self.chunks = re.compile(f"{SPACE}+[^{SPACE}{stops}]*|[^{SPACE}{stops}]+" + (f"|[{stops}]" if stops else ""))
+        self.chunks = re.compile(f"{SPACE}+[^{SPACE}{stops}]*|[^{SPACE}{stops}]+" + (f"|[{stops}]" if stops else "") if self.splits else "(?s).+")
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk. An agenda holds the adjacent pairs that are pieces, best score first, then leftmost."""
@@ -82,54 +76,71 @@ class Vocabulary:
                     found += [self.bytes[x] for x in p.encode()]
         return found
 
-    def cut(self, text: str) -> list[str]:
-        return self.chunks.findall((SPACE + text).replace(" ", SPACE)) if text else []
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian bytes, by the agenda."""
+        found = array("I")
+        for chunk in self.chunks.findall((SPACE + text).replace(" ", SPACE)) if text else ():
+            found.extend(self.merge(chunk))
+        return found.tobytes()
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes joined, and the blank that encoding put before it taken off."""
-        out = self.out
-        return b"".join([out[i] for i in ids.tolist()]).removeprefix(b" ").decode(errors="replace")
 
+class _Words(dict):
+    """word -> its ids as little-endian bytes. Words don't depend on each other where no piece reaches across a blank.
 
-class _Memo(dict):
-    """chunk -> ids as little-endian bytes; `new` are those not yet compared with the library."""
+    Each word met for the first time is encoded by the library too; where the two differ, the library's ids hold and
+    the word is noted.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.new = vocabulary, []
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = array("I", self.vocabulary.merge(chunk)).tobytes()
-        self.new.append((chunk, found))
+        self.vocabulary, self.size, self.other = vocabulary, 0, set()
+
+    def checked(self, text: str) -> tuple[bytes, bool]:
+        own, theirs = self.vocabulary.encode(text), array("I", self.vocabulary.library.encode(text)).tobytes()
+        return theirs, own != theirs
+
+    def __missing__(self, word: str) -> bytes:
+        found, differs = self.checked(word)
+        if differs:
+            self.other.add(word)
+        if len(word) <= LONG:
+            self[word] = found
+            self.size += 200 + 2 * len(word) + len(found)
         return found
 
-    def compare(self) -> None:
-        """Every chunk met for the first time is encoded by the library too; chunks don't depend on each other, so this covers the texts."""
-        blanks = [(c, f) for c, f in self.new if c[0] == SPACE]
-        for (chunk, found), ids in zip(blanks, self.vocabulary.library.encode([c[1:].replace(SPACE, " ") for c, _ in blanks], num_threads=1)):
-            if chunk != SPACE and array("I", ids).tobytes() != found:
-                raise ValueError(f"other ids than the library's for {chunk!r}")
-        self.new = []
-        if len(self) > MEMO:
+    def encode(self, text: str) -> tuple[bytes, int]:
+        """The ids of a text, and how many of its words have the library's ids against the agenda's."""
+        if not text:
+            return b"", 0
+        if not self.vocabulary.splits or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            found, differs = self.checked(text)  # blanks that belong together: the text counts as one word
+            return found, int(differs)
+        if self.size > MEMO_BYTES:
             self.clear()
+            self.other.clear()
+            self.size = 0
+        words = text.split(" ")
+        found = b"".join(map(self.__getitem__, words))
+        return found, sum(w in self.other for w in words) if self.other else 0
 
 
 def _code(path: str, keep_ids: bool):
     def run(batches):
         vocabulary = Vocabulary(path)
-        memo = _Memo(vocabulary)
+        words = _Words(vocabulary)
         begin, end = (array("I", [i]).tobytes() for i in (vocabulary.begin, vocabulary.end))
         for batch in batches:
-            n, ids_sha, text_sha, kept = [], [], [], []
+            n, ids_sha, text_sha, other, kept = [], [], [], [], []
             for text in batch.column(1):
-                coded = begin + b"".join([memo[c] for c in vocabulary.cut(text.as_py() or "")]) + end
+                found, differ = words.encode(text.as_py() or "")
+                coded = begin + found + end
                 ids = np.frombuffer(coded, "<u4")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(coded).hexdigest())
-                text_sha.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(vocabulary.library.decode(ids.tolist()).encode()).hexdigest())
+                other.append(differ)
                 if keep_ids:
                     kept.append(ids.astype(np.int32))
-            memo.compare()
-            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string()), "n_library": pa.array(other, pa.int64())}
             if keep_ids:
                 columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
@@ -138,11 +149,13 @@ def _code(path: str, keep_ids: bool):
 
 
 def encode_decode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
+    """One row for each row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, n_library and, if asked for, ids.
 
-    Whole texts are encoded with begin and end ids as the sentencepiece library does it with the file `model`, and
-    the ids decoded again. null counts as empty (begin and end only). Other columns are ignored; null or repeated
-    doc_id are carried through. Nothing is shuffled: memory is that of an Arrow batch and MEMO remembered chunks.
+    Whole texts are encoded with begin and end ids by the agenda, every word met is checked against the sentencepiece
+    library with the file `model`, and the ids are decoded by the library. n_library counts the words of a text that
+    the agenda encodes otherwise (a model of another kind), for which the library's ids stand. null counts as empty
+    (begin and end only). Other columns are ignored; null or repeated doc_id are carried through. Nothing is
+    shuffled: memory is that of an Arrow batch and MEMO_BYTES of remembered words.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_library long" + (", ids array<int>" if keep_ids else "")
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(_code(model, keep_ids), schema)

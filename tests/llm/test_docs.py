@@ -113,7 +113,7 @@ def test_line_dedup(docs, rows, none):
         lines = (r[1] or "").split("\n")
         kept = [x for x in lines if not gone(r[0], x)]
         want.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
-    for cells in (1 << 28, 1 << 20):
+    for cells in (1 << 31, 1 << 20):
         got = line_dedup.line_dedup(docs, max_cells=cells)
         assert got.columns == [*docs.columns, "n_lines_", "n_dropped"]
         assert sorted(((r.doc_id, r["n_lines_"], r.n_dropped, r.text or "") for r in got.collect()), key=repr) == sorted(want, key=repr)
@@ -134,10 +134,23 @@ def test_sentencepieces(docs, rows, none, spark):
         assert got[i].ids == ids and got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+    assert not any(r.n_library for r in got.values())
     assert sentencepieces.encode_decode(docs, model_path()).count() == len(rows)
     assert sentencepieces.encode_decode(none, model_path()).count() == 0
 
 
+def test_sentencepieces_take_the_library_where_they_differ(monkeypatch):
+    """An agenda that merges nothing is found out word by word."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentencepieces.Vocabulary, "merge", lambda self, chunk: [self.bytes[b] for b in chunk.encode()])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": ["the the cat", " two  blanks ", None]})
+    out = pa.Table.from_batches(sentencepieces._code(model_path(), True)([batch])).to_pydict()
+    lib = sentencepieces.Vocabulary(model_path()).library
+    assert out["ids"] == [lib.encode(t or "", add_bos=True, add_eos=True) for t in batch.column(1).to_pylist()]
+    assert out["n_library"] == [3, 1, 0]
+
+
 def brute_fingerprint(t, n=4):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     if not words:
