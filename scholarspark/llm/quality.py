@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import WS_CLASS, WS_RUN, cut, fresh, n_words
 
-#: A line is repeated by its host if over MIN_DOCS of the host's different texts have it, and over MAX_SHARE of them or over MAX_DOCS.
+#: A line is repeated by its host if over MIN_DOCS of the host's documents have it, and over MAX_SHARE of them or over MAX_DOCS, which doesn't grow with the host.
 MIN_DOCS = 20
 MAX_SHARE = 0.1
 MAX_DOCS = 1_000
 #: A document is depleted if repeated lines hold over this share of its words.
-MAX_LOST = 0.8
+MAX_LOST = 0.5
 #: Repeated lines up to this number are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 200_000
 
@@ -60,18 +60,19 @@ def n_repeat_words(text: Column) -> Column:
     return let(words, of_words).cast("long")
 
 
-def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST, max_docs: int = MAX_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST, max_docs: int = MAX_DOCS, copies: bool = True) -> DataFrame:
     """One row for each row of docs(doc_id, text, source): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, then lost_words, repeated (hashes of its lines that its host repeats) and text_hash.
 
     base_failed: under 50 words, or over half of them in 3-word windows that occur twice. A line is removed if over
-    `min_docs` different texts of the host (source; null is a host too) have it and they are over `max_share` of the
-    host's different texts, or more than `max_docs`, a limit that doesn't grow with the host; exact copies count
-    once, so copying a document doesn't condemn its lines. A document is kept if it hasn't failed and removed lines hold at most `max_lost` of its words. null counts as empty;
-    rows without or with one doc_id are judged each for itself. Other columns are ignored.
+    `min_docs` documents of the host (source; null is a host too) have it and they are over `max_share` of the
+    host's documents, or more than `max_docs`. Every row is a document; without `copies`, rows of a host with equal
+    texts count as one, so that copying a document doesn't condemn its lines. A document is kept if it hasn't failed
+    and removed lines hold at most `max_lost` of its words. null counts as empty; rows without or with one doc_id
+    are judged each for itself. Other columns are ignored.
 
     Texts are read once. What goes on is a narrow table in the shared folder: counts, and hash and words of each
-    line. Lines are counted by (host, line) with partial sums, first for each text, so no frequent line gathers.
+    line. Lines are counted by (host, line) with partial sums, so no frequent line gathers.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     base = cut(
@@ -81,11 +82,17 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
             F.xxhash64(t).alias("text_hash"), line_table(t).alias("lines"),
         ).withColumn("uid", F.monotonically_increasing_id())
     )
-    texts = base.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_texts"))
     each = base.select("host", "text_hash", F.explode(F.array_distinct("lines.h")).alias("h"))
-    counted = each.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    per_host = texts.withColumnRenamed("host", "host_")
-    often = cut(counted.join(per_host, F.col("host").eqNullSafe(F.col("host_"))).where((F.col("n") > F.col("n_texts") * max_share) | (F.col("n") > max_docs)).select(F.col("host").alias("often_host"), F.col("h").alias("often_h")))
+    if copies:
+        per_host = base.groupBy("host")
+    else:
+        per_host = base.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host")
+        each = each.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one"))
+    # Kept before the join, which can then split the lines of a large host.
+    per_host = cut(per_host.agg(F.count("*").alias("n_docs")).withColumnRenamed("host", "host_"))
+    counted = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    over = (F.col("n") > F.col("n_docs") * max_share) | (F.col("n") > max_docs)
+    often = cut(counted.join(per_host, F.col("host").eqNullSafe(F.col("host_"))).where(over).select(F.col("host").alias("often_host"), F.col("h").alias("often_h")))
     often = F.broadcast(often) if often.count() <= BROADCAST_LINES else often
     lost = (
         base.select("uid", "host", F.inline("lines"))

@@ -129,9 +129,9 @@ ORACLES = {
               FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
         ll AS (SELECT * FROM l WHERE k <> ''),
         dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ll GROUP BY doc_id),
-        hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-        freq AS (SELECT ll.source, k FROM ll JOIN d USING (doc_id) JOIN hosts ON ll.source IS NOT DISTINCT FROM hosts.source
-                 GROUP BY ll.source, k, hosts.n HAVING count(DISTINCT d.text) > 20 AND count(DISTINCT d.text) > hosts.n * 0.1::DOUBLE),
+        hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+        freq AS (SELECT ll.source, k FROM ll JOIN hosts ON ll.source IS NOT DISTINCT FROM hosts.source
+                 GROUP BY ll.source, k, hosts.n HAVING count(DISTINCT doc_id) > 20 AND (count(DISTINCT doc_id) > hosts.n * 0.1::DOUBLE OR count(DISTINCT doc_id) > 1000)),
         lost AS (SELECT doc_id, sum(length(ll.k) - length(replace(ll.k, ' ', '')) + 1) AS n
                  FROM ll JOIN freq ON ll.k = freq.k AND ll.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
         b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
@@ -141,7 +141,7 @@ ORACLES = {
               FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND lost <= n_words * 0.8::DOUBLE AS kept
+               NOT base_failed AND lost <= n_words * 0.5::DOUBLE AS kept
         FROM f
     """,
 }
