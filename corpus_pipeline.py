@@ -18,7 +18,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that their hosts repeat."""
-    return _sized(quality.keep_good(docs.select(COLUMNS)))
+    return _sized(quality.keep_good(docs.select(COLUMNS), copies=False))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
