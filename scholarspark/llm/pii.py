@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, written
 
-# Given names by script and gender; surrogates for a name come from its own list.
+# Given names by script and gender.
 GIVEN = {
     ("latin", "f"): "Alice Anna Barbara Catherine Charlotte Claire Elena Elizabeth Emily Emma Hannah Helen Ingrid Isabella Jennifer Julia Karen Laura Linda Maria Mary Nancy Olivia Patricia Rebecca Sarah Sofia Susan Teresa Ursula".split(),
     ("latin", "m"): "Andreas Anthony Antonio Carlos Charles Daniel David Edward Felipe Francisco George Hans Henri James John Joseph Klaus Louis Luis Matthew Michael Miguel Nicolas Paul Peter Pierre Robert Stefan Thomas William".split(),
@@ -18,19 +16,30 @@ GIVEN = {
     ("greek", "f"): "Αικατερίνη Αναστασία Βασιλική Ελένη Μαρία Σοφία".split(),
     ("greek", "m"): "Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης".split(),
 }
-# Syllables from which surnames are made.
+# Syllables from which names are made, and endings of given names by gender.
 SYLLABLES = {
     "latin": "ba be bo da del den do fa fen ga gor ha hol ka ker la len lo ma mer mon na nor pa per ra ren ro sa sen sto ta ter to va ver vi wan wel zo".split(),
     "cyrillic": "ба бел бо ва вер го да ден до ка кор ла лен ло ма мир но па пет ра ро са сен та тер то".split(),
     "greek": "βα γε δη θα κα κο λα λο μα μη να νι πα πε ρα ρο σα στα τα το".split(),
 }
+ENDINGS = {
+    ("latin", "f"): "elle ia ina ine issa ette".split(),
+    ("latin", "m"): "an as er ian old us".split(),
+    ("cyrillic", "f"): "ина ия ла на".split(),
+    ("cyrillic", "m"): "ан ий ор слав".split(),
+    ("greek", "f"): "ία ένη ούλα ώ".split(),
+    ("greek", "m"): "ής άς ιος ων".split(),
+}
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+# What says that the next one or two capitalised words are a name, in any case of letters.
+CUES = ["my name is", "name:", "contact:", "attn:", "attention:", "signed by", "written by", "author:", "patient:", "customer:", "employee:", "dear", "sincerely,", "regards,"]
 # First octets of public networks that stand for themselves.
 FIRST_OCTETS = [x for x in range(1, 224) if x not in (10, 100, 127, 169, 172, 192, 198, 203)]
 
 _NAMES = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
 _WORD = r"\p{Lu}[\p{L}’'-]*\p{L}"
 _LETTER_BEFORE = r"(?<![\p{L}\p{N}])"
+_CUE = rf"{_LETTER_BEFORE}(?i:{'|'.join(CUES)})[ \n]"
 # Each begins where nothing of its own kind goes before, and takes its first part without going back, so long words cost no more than their length.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
@@ -40,12 +49,14 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "given": rf"{_LETTER_BEFORE}(?:{_NAMES})(?= {_WORD})",
-    "surname": rf"(?<=[\p{{L}}.] )(?:(?<={_LETTER_BEFORE}(?:{_NAMES}) )|(?<={_LETTER_BEFORE}(?:{'|'.join(TITLES)})\.? )){_WORD}",
+    "surname": rf"(?<=[\p{{L}}.:,][ \n])(?:(?<={_LETTER_BEFORE}(?:{_NAMES}) )|(?<={_LETTER_BEFORE}(?:{'|'.join(TITLES)})\.? )|(?<={_CUE})|(?<={_CUE}\p{{Lu}}[\p{{L}}’'-]{{1,30}} )){_WORD}",
 }
 _GUARDS = {"email": "", "ip": r"(?=\d)", "card": r"(?=\d)", "phone": r"(?=[+(\d])", "ssn": r"(?=\d)", "iban": r"(?=[A-Z]{2}\d)", "given": r"(?=\p{Lu})", "surname": r"(?=\p{Lu})"}
 ANY = "|".join(f"{_GUARDS[k]}(?:{p})" for k, p in PATTERNS.items())
 #: What a text with any of these has: a cheap look before ANY.
-MAY = rf"[@\d]|(?=\p{{Lu}}){_LETTER_BEFORE}(?:{_NAMES}|{'|'.join(TITLES)})(?![\p{{L}}\p{{N}}])"
+MAY = rf"[@\d]|(?=\p{{Lu}}){_LETTER_BEFORE}(?:{_NAMES}|{'|'.join(TITLES)})(?![\p{{L}}\p{{N}}])|{_CUE}\p{{Lu}}"
+#: What is looked up when surrogates are put in: every value, and every capitalised word, which may be a name found elsewhere in the document.
+PLACES = rf"{ANY}|{_LETTER_BEFORE}\p{{Lu}}[\p{{L}}’'-]*+(?![\p{{L}}\p{{N}}])"
 KINDS = list(PATTERNS)
 PLAIN_ROUNDS = 12  # after so many attempts a surrogate stops looking like its kind and is unique by length
 
@@ -97,15 +108,6 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def _given_table(key: str) -> dict[str, str]:
-    """Each given name to the next of its list in an order hashed from the key: a mapping one to one, never to itself."""
-    out = {}
-    for names in GIVEN.values():
-        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|given|{n}".encode()).hexdigest())
-        out |= dict(zip(order, [*order[1:], order[0]]))
-    return out
-
-
 def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     """The surrogate, in normal form, that key and attempt give to an entity."""
     hashed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), norm), 512)
@@ -126,10 +128,12 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     ssn = F.concat(F.lit("9"), F.substring(_chars(norm, hashed), 2, 9))
     bban = F.substring(_chars(norm, hashed), F.lit(5), F.length(norm))
     iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - _mod97(F.concat(bban, F.substring(norm, 1, 2), F.lit("00")))).cast("string"), 2, "0"), bban)
-    table = F.create_map(*[F.lit(x) for pair in _given_table(key).items() for x in pair])
-    made = lambda script: F.concat(*[_picked(SYLLABLES[script], _byte(hashed, F.lit(i))) for i in range(3 + attempt)])
+    made = lambda script, n=3: F.concat(*[_picked(SYLLABLES[script], _byte(hashed, F.lit(i))) for i in range(n + attempt)])
+    given = F.lit(None).cast("string")
+    for (script, gender), names in GIVEN.items():
+        given = F.when(norm.isin(names), F.initcap(F.concat(made(script, 1), _picked(ENDINGS[script, gender], _byte(hashed, F.lit(60)))))).otherwise(given)
     surname = F.when(norm.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
-    plain = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "given", table[norm]).otherwise(surname)
+    plain = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "given", given).otherwise(surname)
     return plain if attempt < PLAIN_ROUNDS else F.concat(F.lit("x"), F.substring(hashed, 1, 32 + attempt))
 
 
@@ -140,8 +144,7 @@ def assign(entities: DataFrame, key: str, attempts=surrogate) -> DataFrame:
     value, or another asks for it in this round and comes first by norm. Only counts reach the driver.
     """
     entities = cut(entities.distinct())
-    given = entities.where("kind = 'given'").select("kind", "norm", attempts(F.col("kind"), F.col("norm"), key, 0).alias("sub"))
-    left, done, attempt = entities.where("kind <> 'given'"), given, 0  # given names go one to one already
+    left, done, attempt = entities, entities.select("kind", "norm", F.lit("").alias("sub")).limit(0), 0
     while True:
         asked = left.withColumn("sub", attempts(F.col("kind"), F.col("norm"), key, attempt))
         free = asked.join(entities.select("kind", F.col("norm").alias("sub")), ["kind", "sub"], "left_anti").join(done.select("kind", "sub"), ["kind", "sub"], "left_anti")
@@ -165,8 +168,9 @@ def rendered(kind: Column, value: Column, sub: Column) -> Column:
 def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """docs(text, ...) with surrogates for personal data in text, and as last column n_replaced, map of kind to how many.
 
-    Kinds: email, ip, card (13 to 19 digits), phone, ssn, iban, and names: given names of a list before a capitalised word, and the
-    word after them or after a title; further places of such a name in its document are found too. The same entity gets the same surrogate wherever it
+    Kinds: email, ip, card (13 to 19 digits), phone, ssn, iban, and names: given names of a list before a capitalised word, the
+    word after them or after a title, and one or two capitalised words after what announces a name (CUES); further
+    places of such a name in its document are found too. The same entity gets the same surrogate wherever it
     stands, and different ones get different ones, none of which occurs in the corpus as a value of that kind.
     A surrogate keeps the kind's form: separators, length, country and network class, valid check digits, case,
     script and gender. Surrogates depend on `key` and, where two collide, on the other values of the corpus.
@@ -175,14 +179,11 @@ def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     One pass finds the values and writes the rows; distinct values are gathered with partial sums and get their
     surrogates in rounds; only documents with values are joined with them.
     """
-    n_replaced, uid, values, subs, pattern = (fresh(docs, x) for x in ("n_replaced", "__uid", "__values", "__subs", "__pattern"))
+    n_replaced, uid, values, subs = (fresh(docs, x) for x in ("n_replaced", "__uid", "__values", "__subs"))
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
-    find = lambda p: F.regexp_extract_all(text, p, F.lit(0))
-    marked = docs.withColumn(values, F.when(text.rlike(MAY), F.array_distinct(find(F.lit(ANY)))).otherwise(none))
-    names = F.filter(F.col(values), lambda v: v.rlike(r"^\p{Lu}[\p{L}’'-]*$"))
-    also = F.when(F.size(names) > 0, F.concat(F.lit(ANY + rf"|{_LETTER_BEFORE}(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ANY))
-    found = written(marked.withColumn(pattern, also).withColumn(uid, F.monotonically_increasing_id()))
+    found = docs.withColumn(values, F.when(text.rlike(MAY), F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).otherwise(none))
+    found = written(found.withColumn(uid, F.monotonically_increasing_id()))
     hits = found.where(F.size(values) > 0)
 
     each = hits.select(F.col(uid).alias("uid"), F.explode(values).alias("value"))
@@ -191,9 +192,11 @@ def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     mapped = each.join(given, ["kind", "norm"]).withColumn("put", rendered(F.col("kind"), F.col("value"), F.col("sub")))
     per_doc = mapped.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("put", "kind")))).alias(subs)).withColumnRenamed("uid", uid)
 
-    held = hits.join(per_doc, uid)
-    parts = F.split(F.col("text"), F.col(pattern), F.lit(-1))
-    pieces = F.regexp_extract_all(F.col("text"), F.col(pattern), F.lit(0))
+    # As many partitions as asked for, not merged by their bytes: the work is in the patterns.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = hits.repartition(n, uid).join(per_doc, uid)
+    parts = F.split(F.col("text"), PLACES, -1)
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(PLACES), F.lit(0))
     new = F.array_join(F.flatten(F.zip_with(parts, pieces, lambda a, b: F.array(a, F.coalesce(F.element_at(F.col(subs), b)["put"], b, F.lit(""))))), "")
     kinds = F.transform(pieces, lambda b: F.element_at(F.col(subs), b)["kind"])
     times = lambda k: F.size(F.filter(kinds, lambda x: x == k))
