@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, written
 
-# Words that announce a secret, prefixes that issuers give to theirs, parts of paths of code that only shows or tests something.
+# Words that announce a secret, parts of paths of code that only shows or tests something.
 ANNOUNCE = "password passwd pwd secret token api_key apikey access_key auth_token credential".split()
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
 SHOWING = r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|docs?|fixtures?|mocks?|demo)(?:[/_.-]|$)"
 
 _CLASS = "A-Za-z0-9+/_~-"
@@ -25,6 +24,10 @@ NEAR = 48  # characters kept of each side
 WORD_SHARE = 1e-5
 #: The bound of the training sample: so many labelled findings of each class.
 TRAIN_FINDINGS = 10_000
+#: Candidates in whose surroundings findings are planted, and words from which planted false positives are made.
+CONTEXTS, COMMON = 400, 300
+# What stands before digests that are no secrets.
+DIGESTS = "commit revision checksum sha1 sha256 md5 etag build".split()
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -80,38 +83,99 @@ def features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, ["transitions", "dictionary", *made]
 
 
-def rule_label() -> Column:
-    """Labels that need no person: an issuer's form, or a value with a digit that an announcing word is set to, is a
-    secret; words without digits, lone numbers and one repeated character are none; null: can't tell."""
-    announced = F.col("before").rlike(ASSIGNED + "$")
-    yes = F.col("value").rlike(ISSUED) | (announced & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
-    no = F.col("value").rlike(r"^\p{L}+$|^[A-Za-z]+(?:[-_/][A-Za-z]+)*$|^[0-9]+(?:-[0-9]+)*$|^(.)\1*$")
-    return F.when(yes, 1).when(no, 0).cast("int")
+def planted_findings(found: DataFrame, words: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
+    """Labelled findings (id, path, value, before, after, what, label) in the surroundings of real candidates: each of a
+    bounded sample of them has its value replaced by made-up ones of every kind `what`. What is put in decides the label,
+    and not how it looks: keys, tokens and passwords are secrets; words, numbers, placeholders, digests of public things,
+    paths and long words are none, also where an announcing word is set to them. Values are hashed from the candidates, so reruns agree.
+    """
+    some = cut(found.orderBy(F.xxhash64("value", "before"), "id").limit(contexts))
+    times = contexts // max(some.count(), 1)  # so that few candidates give as many findings
+    some = some.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, times)))))
+    common = [r.word for r in words.where(F.length("word").between(3, 12)).orderBy(F.desc("n"), "word").limit(COMMON).collect()] or ["word"]
+    each = some.withColumn("what", F.explode(F.array(*[F.lit(k) for k in ("hex key", "mixed key", "issued key", "issued token", "password", "words", "name", "number", "filler", "placeholder", "digest", "path", "long word")])))
+    salted = lambda salt: F.sha2(F.concat_ws("|", "value", "before", "what", "copy", F.lit(salt)), 256)
+    draw = lambda salt, n: F.pmod(F.conv(F.substring(salted(salt), 1, 12), 16, 10).cast("long"), F.lit(n)).cast("int")
+    of = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), draw(salt, len(values)) + 1)
+    mixed = F.translate(F.concat(*[F.base64(F.unhex(salted(f"mixed {i}"))) for i in range(2)]), "+/=", "aZ3")
+    digits = F.translate(F.concat(salted("d0"), salted("d1")), "abcdef", "135790")
+    each = cut(each.withColumns({**{f"w{i}": of(common, f"w{i}") for i in range(5)}, "mixed": mixed, "digits": digits, "hexes": F.concat(salted("a"), salted("b"))}))
+    mixed, digits, hexes = F.col("mixed"), F.col("digits"), F.col("hexes")
+    word = F.col
+    what = F.col("what")
+    value = (
+        F.when(what == "hex key", F.substring(hexes, F.lit(1), 8 + draw("n", 57)))
+        .when(what == "mixed key", F.substring(mixed, F.lit(1), 8 + draw("n", 37)))
+        .when(what == "issued key", F.concat(F.lit("AKIA"), F.substring(F.upper(mixed), 1, 16)))
+        .when(what == "issued token", F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)))
+        .when(what == "password", F.concat(F.initcap(word("w0")), F.substring(digits, F.lit(1), 2 + draw("n", 5)), of(["!", "$", "#", "", "x", "Qz"], "m"), F.substring(mixed, F.lit(1), 1 + draw("k", 6))))
+        .when(what == "words", F.concat(word("w0"), of(["-", "_", "/"], "s"), word("w1"), of(["-", "_", "/"], "s"), word("w2"), of(["-", "_", "/"], "s"), word("w3")))
+        .when(what == "name", F.concat(word("w0"), F.initcap(word("w1")), F.initcap(word("w2")), F.initcap(word("w3"))))
+        .when(what == "number", F.substring(digits, F.lit(1), 12 + draw("n", 12)))
+        .when(what == "filler", F.repeat(of(["x", "*", "0", "-", "ab", "."], "f"), 10 + draw("n", 14)))
+        .when(what == "placeholder", F.concat(of(["your_", "<", "${", "my-", "example_"], "p"), word("w0"), of(["_here", ">", "}", "-value", "_example"], "q")))
+        .when(what == "digest", F.substring(hexes, F.lit(1), of([32, 40, 64], "n")))
+        .when(what == "path", F.concat_ws("/", word("w0"), word("w1"), word("w2"), F.concat(word("w3"), of([".html", ".py", "/index", "?page=2"], "e"))))
+        .otherwise(F.concat(*[word(f"w{i}") for i in range(5)]))
+    )
+    style = draw("style", 4)
+    natural = what.isin("words", "path", "long word")
+    value = F.when(natural & (style == 0), F.upper(value)).when(natural & (style == 1), F.initcap(value)).otherwise(value)
+    plain = F.regexp_replace("before", ASSIGNED + "$", "")
+    lead = F.concat(of(ANNOUNCE, "lead"), of(["=", ": ", " = '", '="', ":"], "sign"))
+    announced = what.isin("hex key", "mixed key", "password") | (what.isin("issued key", "issued token", "words", "name", "number", "filler", "placeholder") & (draw("lone", 2) == 0))
+    before = F.when(announced, F.concat(plain, F.lit(" "), lead)).when(what == "digest", F.concat(plain, F.lit(" "), of(DIGESTS, "lead"), of([" ", ": ", " ="], "sign"))).otherwise(plain)
+    label = what.isin("hex key", "mixed key", "issued key", "issued token", "password").cast("int")
+    made = each.select("path", value.alias("value"), F.substring(before, -NEAR, NEAR).alias("before"), "after", "what", label.alias("label"))
+    return cut(made).withColumn("id", F.xxhash64("value", "before", "what"))
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", trees: int = 20, depth: int = 6) -> DataFrame:
     """One row for each candidate in docs(doc_id, text, `path`): doc_id, ordinal (from 0 within its document), value, score, kept.
 
-    Labelled findings train the forest: findings(value, label 0 or 1), or where none are given those that rule_label
-    can tell; of each class at most TRAIN_FINDINGS, in an order hashed from their values. score is the forest's
-    probability that the candidate is a secret and kept says whether it is over a half. If there are not both
-    classes to learn from, the rules decide alone (can't tell: a half, not kept). Words and transitions are
-    counted over all texts. null and empty texts have no candidates; a null path is an empty one; repeated rows and rows without doc_id are each scanned.
-    Other columns are ignored.
+    Labelled findings train the forest: findings(value, label 0 or 1), or where none are given those that
+    planted_findings puts into the surroundings of the candidates; of each class at most TRAIN_FINDINGS, in an order
+    hashed from their values. score is the forest's probability that the candidate is a secret and kept says whether it
+    is over a half. If the findings given are not of both classes, nothing can be learned: score is a half, and none is
+    kept. Words and transitions are counted over all texts. null and empty texts have no candidates; a null path is an
+    empty one; repeated rows and rows without doc_id are each scanned. Other columns are ignored.
     """
     found = candidates(docs.select("doc_id", "text", *([path] if path not in ("doc_id", "text") else [])), path)
-    table, names = features(found, dictionary(docs.select("text")))
-    table = cut(VectorAssembler(inputCols=names, outputCol="features").transform(table).select("id", "doc_id", "ordinal", "value", "before", "features"))
+    words = dictionary(docs.select("text"))
+    table = cut(with_features(found, words).select("id", "doc_id", "ordinal", "value", "before", "features"))
     if findings is None:
-        labelled = table.withColumn("label", rule_label()).where("label is not null")
+        labelled = with_features(planted_findings(found, words), words)
     else:
-        known = findings.groupBy("value").agg(F.max("label").cast("int").alias("label"))
-        labelled = table.join(known, "value")
-    at = F.xxhash64("value", "before")
-    sample = cut(labelled.where("label = 1").orderBy(at, "id").limit(TRAIN_FINDINGS).unionAll(labelled.where("label = 0").orderBy(at, "id").limit(TRAIN_FINDINGS)).select("features", "label", at.alias("at")).coalesce(1).sortWithinPartitions("at"))
-    if sample.select("label").distinct().count() < 2:
-        rule = F.coalesce(rule_label().cast("double"), F.lit(0.5))
-        return table.select("doc_id", "ordinal", "value", rule.alias("score"), (rule > 0.5).alias("kept"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label", subsamplingRate=0.8).fit(sample)
+        labelled = table.join(findings.groupBy("value").agg(F.max("label").cast("int").alias("label")), "value")
+    model = trained(labelled, trees, depth)
+    if model is None:
+        return table.select("doc_id", "ordinal", "value", F.lit(0.5).alias("score"), F.lit(False).alias("kept"))
     score = F.round(vector_to_array("probability")[1], 6)
     return model.transform(table).select("doc_id", "ordinal", "value", score.alias("score"), (score > 0.5).alias("kept"))
+
+
+def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
+    """found with the vector `features`."""
+    table, names = features(found, words)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(table)
+
+
+def trained(labelled: DataFrame, trees: int = 20, depth: int = 6):
+    """A forest over labelled(value, before, features, label), or None if it has not both classes."""
+    at = F.xxhash64("value", "before")
+    labelled = cut(labelled.select("features", "label", at.alias("at"), F.crc32(F.concat("value", "before").cast("binary")).alias("then")))
+    sample = cut(labelled.where("label = 1").orderBy("at", "then").limit(TRAIN_FINDINGS).unionAll(labelled.where("label = 0").orderBy("at", "then").limit(TRAIN_FINDINGS)).coalesce(1).sortWithinPartitions("at", "then"))
+    if sample.select("label").distinct().count() < 2:
+        return None
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label", subsamplingRate=0.8).fit(sample)
+
+
+def held_out_scores(docs: DataFrame, path: str = "source", trees: int = 20, depth: int = 6) -> DataFrame:
+    """(what, label, n, kept): how many planted findings of each kind a forest keeps that has learned from the four fifths of them
+    whose surroundings hash otherwise; planted in the surroundings that docs has."""
+    found = candidates(docs, path)
+    words = dictionary(docs.select("text"))
+    table = cut(with_features(planted_findings(found, words), words).withColumn("held", F.pmod(F.xxhash64("after", "path"), F.lit(5)) == 0))
+    model = trained(table.where("not held"), trees, depth)
+    kept = (vector_to_array("probability")[1] > 0.5).cast("int")
+    return model.transform(table.where("held")).groupBy("what", "label").agg(F.count("*").alias("n"), F.sum(kept).alias("kept"))

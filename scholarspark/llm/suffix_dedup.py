@@ -15,7 +15,7 @@ from .common import cut, dealt, written
 
 #: Bytes of the grams whose hashes deal windows out. A key that has over MOST bytes of different pieces is dealt out again by the next, longer grams; the last are whole windows.
 GRAMS = (50, 150, 190)
-MOST = 1 << 21
+MOST = 1 << 19
 CHUNK = 1 << 21  # window starts that a task works on at once
 BLOCK = 1 << 20  # bytes of the texts that get one suffix array, unless a single key has more
 LONGEST = 512  # windows of a run; longer ones, which only periodic texts have, are several
@@ -161,12 +161,16 @@ def _pieces(length: int, with_bytes: bool):
     """For mapInArrow over (k1, k2, text, runs): the pieces of the runs; of neighbouring equal texts, of one only."""
 
     def run(batches):
-        out, last = _Pieces(with_bytes), None
+        out, last = _Pieces(with_bytes), (None, None)
         for batch in batches:
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.ones(len(k1), bool)
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            new[:1] = [(a, b) != last for a, b in zip(k1[:1], k2[:1])]
+            last = (k1[-1], k2[-1]) if len(k1) else last
+            batch = batch.filter(pa.array(new))
             for k1, k2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                if (k1, k2) == last or not runs:
-                    continue
-                last, data = (k1, k2), text.as_buffer().to_pybytes()
+                data = text.as_buffer().to_pybytes()
                 for r in runs:
                     out.add(r["h"], k1, k2, r["p"], r["n"], data[r["p"] : r["p"] + r["n"] + length - 1])
                 if out.size > 1 << 24:
