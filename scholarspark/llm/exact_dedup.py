@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .common import WS_RUN, cut
 
 
-def exact_dedup(docs: DataFrame, tracked: int = 8192, winners: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, tracked: int = 8192, winners: int = 2048) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are after every run of white space becomes one blank; null counts as empty. The row with
@@ -17,8 +17,9 @@ def exact_dedup(docs: DataFrame, tracked: int = 8192, winners: int = 1024) -> Da
     one row of a group is kept. keep_id is null only if all ids of the group are. Other columns are ignored.
 
     Misra-Gries sketches (`tracked` counters each) find digests that may be frequent; at most `winners` of them are
-    counted exactly, and the verified ones are broadcast, so that their rows are settled where they are read. Any
-    digest with over some 4/`tracked` of all rows is among them. The other digests meet in an ordinary shuffle,
+    counted exactly, and the verified ones are broadcast, so that their rows are settled where they are read. With
+    `winners` a quarter of `tracked`, any digest with over some 4/`tracked` of all rows is among them. Sketches are
+    combined in three steps, of 64, of 64, and of the rest. The other digests meet in an ordinary shuffle,
     whose groups are bounded by that share.
     """
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WS_RUN, " ")
@@ -26,6 +27,7 @@ def exact_dedup(docs: DataFrame, tracked: int = 8192, winners: int = 1024) -> Da
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
 
     sketches = rows.groupBy(F.floor(F.spark_partition_id() / 64).alias("g")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("s"))
+    sketches = sketches.groupBy(F.floor(F.col("g") / 64).alias("g")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
     # Grouped by a constant, for combining fails in partitions without a sketch.
     top = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {winners})").alias("top"))
     likely = top.select(F.inline("top")).where("count > 1").select(F.col("item").alias("digest"))

@@ -28,7 +28,7 @@ def letters_of(text: Column) -> Column:
 def training_sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(lang, text): the lines of whole documents that aren't held out, in an order hashed from their ids, while the documents fit into train_bytes for each language.
 
-    Of equal lines one is learned, and lines that several languages have are left out, for they tell nothing. A first count by language thins the rows so that about 4 * train_docs of a language meet in a window.
+    Texts over a tenth of train_bytes are passed over, so that none takes the place of many; a language that has no others is learned from the first of them. Of equal lines one is learned, and lines that several languages have are left out, for they tell nothing. A first count by language thins the rows so that about 4 * train_docs of a language meet in a window.
     """
     able = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = able.groupBy("lang").agg(F.count("*").alias("n"))
@@ -37,8 +37,10 @@ def training_sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs:
     some = able.join(F.broadcast(counts), "lang").where(unit < 4.0 * train_docs / F.col("n")).select("lang", "text", mixed.alias("at"))
     order = Window.partitionBy("lang").orderBy("at", "text")
     small = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_docs)
-    sizes = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = small.withColumn("so_far", sizes).where((F.col("so_far") <= train_bytes) | (F.col("rank") == 1))
+    size = F.octet_length("text")
+    short = small.withColumn("short", size <= train_bytes / 10)
+    sizes = F.sum(F.when(F.col("short"), size).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = short.withColumn("so_far", sizes).withColumn("any", F.max("short").over(Window.partitionBy("lang"))).where((F.col("short") & (F.col("so_far") <= train_bytes)) | (~F.col("any") & (F.col("rank") == 1)))
     lines = chosen.select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", letters_of(F.col("line")).alias("line")).distinct()
     return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("lang").alias("lang")).where("n = 1").select("lang", F.col("line").alias("text"))
 
@@ -119,8 +121,9 @@ class Model:
         total = np.zeros(len(self.langs), np.float64)
         for i in range(min(ORDER, len(data))):
             total += self._bits(i + 1, _grams(data[: i + 1], i + 1))[0]
-        for at in range(0, len(data) - ORDER, 1 << 18):
-            total += self._bits(ORDER + 1, _grams(data[at : at + (1 << 18) + ORDER], ORDER + 1)).sum(axis=0, dtype=np.float64)
+        block = max(1 << 10, (1 << 20) // max(1, len(self.langs)))  # rows of a table with a column for each language
+        for at in range(0, len(data) - ORDER, block):
+            total += self._bits(ORDER + 1, _grams(data[at : at + block + ORDER], ORDER + 1)).sum(axis=0, dtype=np.float64)
         return total
 
 

@@ -10,19 +10,23 @@ from .common import documents, model_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays for its text."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size and the words that the mix takes of it."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, with whether it was held out."""
     return language.identify(documents(spark, sf_dir))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document repeats elsewhere, and the digest of the rest."""
     spans = F.col("spans")
     removed = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     kept = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
@@ -33,29 +37,35 @@ BASE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the verdict of every document."""
     return quality.quality_rules(documents(spark, sf_dir)).select(BASE_COLUMNS)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digests of the ids of every document, and of the text decoded from them."""
     return sentencepieces.encode_decode(documents(spark, sf_dir), model_path())
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the group of every document."""
     return simhash.simhash_groups(documents(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document, how many are dropped, and the digest of the rest."""
     kept = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates, and how many of each kind."""
     found = pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.coalesce(F.col("n_replaced")[k], F.lit(0)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", "text", *[count(k) for k in pii.KINDS])
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, by digest, with score and verdict."""
     found = secrets.scan_secrets(documents(spark, sf_dir))
     return found.select("doc_id", "ordinal", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "kept")
 

@@ -88,3 +88,25 @@ def test_sample_is_bounded(spark):
     sample = language.training_sample(docs, train_bytes=20_000, train_docs=30).collect()
     for lang in ("en", "de", "fr", "es"):
         assert 0 < sum(len(r.text.encode()) for r in sample if r.lang == lang) <= 20_000
+
+
+def test_predictions_against_brute_force(spark):
+    """Languages and scores of the small table, from the same sample with dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = collections.defaultdict(list)
+    for r in language.training_sample(docs, train_bytes=30_000).collect():
+        lines[r.lang].append(r.text.encode())
+    seen = docs.select("doc_id", language.letters_of(docs["text"]).alias("text")).orderBy("doc_id").limit(40).collect()
+    got = {r.doc_id: r for r in language.identify(docs, train_bytes=30_000).collect()}
+    for r in seen:
+        if any(c.isalpha() for c in r.text) and len(r.text) < 3000:
+            bits = {x: brute_bits(known, r.text.encode(), language.ORDER) for x, known in lines.items()}
+            best = min(sorted(bits), key=bits.get)
+            assert got[r.doc_id].lang_pred == best
+            assert math.isclose(got[r.doc_id].score, 1 / sum(2 ** max(bits[best] - b, -1000) for b in bits.values()), abs_tol=1e-3)
+
+
+def test_a_long_text_does_not_fill_the_sample(spark):
+    rows = [(i, ("der die das " * 40_000) if i % 2 else f"der hund {i} und die katze", "de") for i in range(60)] + [(100 + i, "the cat " * 40_000, "en") for i in range(9)]
+    sample = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang == "de" for r in sample) == 1 and sum(r.lang == "en" for r in sample) == 1
