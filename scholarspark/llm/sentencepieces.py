@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MEMO_BYTES = 96 << 20  # about what a task remembers of words and their ids
+MEMO_BYTES = 256 << 20  # about what a Python worker remembers of words and their ids
 LONG = 256  # characters; longer words aren't remembered
 
 
@@ -46,27 +47,23 @@ class Vocabulary:
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk. An agenda holds the adjacent pairs that are pieces, best score first, then leftmost."""
         part: list[str | None] = list(chunk)
-        n = len(part)
+        n, score = len(part), self.score.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, int]] = []
-
-        def propose(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (s := self.score.get(part[a] + part[b])) is not None:
-                heapq.heappush(agenda, (-s, a, b, len(part[a]) + len(part[b])))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        agenda = [(-s, i, i + 1, 2) for i in range(n - 1) if (s := score(part[i] + part[i + 1])) is not None]
+        heapq.heapify(agenda)
         while agenda:
             _, a, b, size = heapq.heappop(agenda)
-            if part[a] is None or part[b] is None or after[a] != b or len(part[a]) + len(part[b]) != size:
+            x, y = part[a], part[b]
+            if x is None or y is None or after[a] != b or len(x) + len(y) != size:
                 continue  # one of the two has been merged since
-            part[a] += part[b]
-            part[b] = None
-            after[a] = after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-            propose(before[a], a)
-            propose(a, after[a])
+            part[a], part[b] = (xy := x + y), None
+            after[a] = c = after[b]
+            if c >= 0:
+                before[c] = a
+                if (s := score(xy + part[c])) is not None:
+                    heapq.heappush(agenda, (-s, a, c, size + len(part[c])))
+            if (z := before[a]) >= 0 and (s := score(part[z] + xy)) is not None:
+                heapq.heappush(agenda, (-s, z, a, size + len(part[z])))
         found: list[int] = []
         for p in part:
             if p is not None:
@@ -87,25 +84,35 @@ class Vocabulary:
 class _Words(dict):
     """word -> its ids as little-endian bytes. Words don't depend on each other where no piece reaches across a blank.
 
-    Each word met for the first time is encoded by the library too; where the two differ, the library's ids hold and
-    the word is noted.
+    Words met for the first time are encoded by the library too (check); where the two differ, the library's ids hold
+    and the word is noted.
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.size, self.other = vocabulary, 0, set()
+        self.vocabulary, self.size, self.new, self.other = vocabulary, 0, [], set()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONG:
+            found, differs = self.checked(word)
+            if differs:
+                self.other.add(word)
+            return found
+        found = self[word] = self.vocabulary.encode(word)
+        self.new.append(word)
+        self.size += 200 + 2 * len(word) + len(found)
+        return found
 
     def checked(self, text: str) -> tuple[bytes, bool]:
         own, theirs = self.vocabulary.encode(text), array("I", self.vocabulary.library.encode(text)).tobytes()
         return theirs, own != theirs
 
-    def __missing__(self, word: str) -> bytes:
-        found, differs = self.checked(word)
-        if differs:
-            self.other.add(word)
-        if len(word) <= LONG:
-            self[word] = found
-            self.size += 200 + 2 * len(word) + len(found)
-        return found
+    def check(self) -> bool:
+        """Compares all new words; whether some had other ids, which are right from now on."""
+        wrong = [(w, f) for w, ids in zip(self.new, self.vocabulary.library.encode(self.new, num_threads=1)) if (f := array("I", ids).tobytes()) != self[w]]
+        self.update(wrong)
+        self.other.update(w for w, _ in wrong)
+        self.new = []
+        return bool(wrong)
 
     def encode(self, text: str) -> tuple[bytes, int]:
         """The ids of a text, and how many of its words have the library's ids against the agenda's."""
@@ -114,24 +121,33 @@ class _Words(dict):
         if not self.vocabulary.splits or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
             found, differs = self.checked(text)  # blanks that belong together: the text counts as one word
             return found, int(differs)
+        words = text.split(" ")
+        found = b"".join(map(self.__getitem__, words))
+        return found, sum(w in self.other for w in words) if self.other else 0
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, int]]:
         if self.size > MEMO_BYTES:
             self.clear()
             self.other.clear()
             self.size = 0
-        words = text.split(" ")
-        found = b"".join(map(self.__getitem__, words))
-        return found, sum(w in self.other for w in words) if self.other else 0
+        found = [self.encode(t) for t in texts]
+        return [self.encode(t) for t in texts] if self.check() else found
+
+
+@functools.lru_cache(1)
+def _words(path: str) -> _Words:
+    """One for each Python worker, which keeps it from task to task."""
+    return _Words(Vocabulary(path))
 
 
 def _code(path: str, keep_ids: bool):
     def run(batches):
-        vocabulary = Vocabulary(path)
-        words = _Words(vocabulary)
+        words = _words(path)
+        vocabulary = words.vocabulary
         begin, end = (array("I", [i]).tobytes() for i in (vocabulary.begin, vocabulary.end))
         for batch in batches:
             n, ids_sha, text_sha, other, kept = [], [], [], [], []
-            for text in batch.column(1):
-                found, differ = words.encode(text.as_py() or "")
+            for found, differ in words.encode_all([t or "" for t in batch.column(1).to_pylist()]):
                 coded = begin + found + end
                 ids = np.frombuffer(coded, "<u4")
                 n.append(len(ids))
@@ -155,7 +171,7 @@ def encode_decode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFr
     library with the file `model`, and the ids are decoded by the library. n_library counts the words of a text that
     the agenda encodes otherwise (a model of another kind), for which the library's ids stand. null counts as empty
     (begin and end only). Other columns are ignored; null or repeated doc_id are carried through. Nothing is
-    shuffled: memory is that of an Arrow batch and MEMO_BYTES of remembered words.
+    shuffled: memory is that of an Arrow batch and, for each Python worker, MEMO_BYTES of remembered words.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_library long" + (", ids array<int>" if keep_ids else "")
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(_code(model, keep_ids), schema)

@@ -144,11 +144,13 @@ def test_sentencepieces_take_the_library_where_they_differ(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(sentencepieces.Vocabulary, "merge", lambda self, chunk: [self.bytes[b] for b in chunk.encode()])
+    sentencepieces._words.cache_clear()
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": ["the the cat", " two  blanks ", None]})
     out = pa.Table.from_batches(sentencepieces._code(model_path(), True)([batch])).to_pydict()
     lib = sentencepieces.Vocabulary(model_path()).library
     assert out["ids"] == [lib.encode(t or "", add_bos=True, add_eos=True) for t in batch.column(1).to_pylist()]
     assert out["n_library"] == [3, 1, 0]
+    sentencepieces._words.cache_clear()
 
 
 def brute_fingerprint(t, n=4):
