@@ -97,41 +97,75 @@ def best_beat(questions: DataFrame, beats: DataFrame) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("question_id", "beat_id", "score")
 
 
-def _meeting(sets: DataFrame, column: str, share: float) -> DataFrame:
-    """(a_id, b_id) for all pairs of sets(id, `column`) that may overlap by `share`, and some more."""
+def _together(words: Column, n: int) -> Column:
+    """All choices of n of the words, in their order, as strings."""
+    if n == 1:
+        return words
+    shorter = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.transform(_together(F.slice(words, i + 1, F.size(words)), n - 1), lambda rest: F.concat_ws(" ", F.element_at(words, i), rest)))
+    return F.flatten(shorter)
+
+
+def _by_rarity(sets: DataFrame, column: str) -> DataFrame:
+    """(id, ws, n): the words of each set from the rarest to the most frequent, and how many they are."""
     words = sets.select("id", F.explode(column).alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
-    by = Window.partitionBy("id")
-    sized = words.withColumn("n", F.count("*").over(by)).join(rare, "word", "left").fillna(1, ["df"])
-    ordered = sized.withColumn("at", F.row_number().over(by.orderBy("df", "word")))
-    prefix = ordered.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * share) + 1) & (F.col("df") > 1)).select("id", "word", "n")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    df = settle(words.groupBy("word").agg(F.count("*").alias("df")))
+    ordered = words.join(df, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ws"))
+    return ordered.select("id", F.col("ws.word").alias("ws"), F.size("ws").alias("n"))
+
+
+def _first(share: float, k: int) -> Column:
+    """Two sets that overlap by `share` have at least ceil(n * share) words in common, and so k of these (if there are as many) among the first words of either, which this gives."""
+    return F.slice("ws", F.lit(1), F.least(F.col("n"), (F.col("n") - F.ceil(F.col("n") * share) + k).cast("int")))
+
+
+def _meeting(sets: DataFrame, share: float, also: DataFrame | None = None) -> DataFrame:
+    """(a_id, b_id, ...) for all pairs of sets(id, ws, n) that overlap by `share`, and some more; with also(id, word), only if they have a word of it in common too.
+
+    Sets meet under three common words among their first; those that may have fewer in common, which have three words
+    or less, also under two and one. Sizes are compared where they meet.
+    """
+    keys = []
+    for k in (3, 2, 1):
+        able = sets.where(F.col("n") >= k) if k == 3 else sets.where((F.col("n") >= k) & (F.ceil(F.col("n") * share) <= k))
+        keys.append(able.select("id", "n", F.explode(_together(_first(share, k), k)).alias("key")))
+    keyed = keys[0].unionAll(keys[1]).unionAll(keys[2])
+    if also is not None:
+        keyed = keyed.join(also, "id").select("id", "n", F.concat_ws("|", "key", "word").alias("key"))
+    keyed = settle(keyed.select("id", "n", F.xxhash64("key").alias("key")))
+    often = settle(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
+    keyed = settle(keyed.join(often, "key"))  # kept, so that the join of pairs can split a key that many have
+    x, y = keyed.alias("x"), keyed.alias("y")
     sizes = F.least("x.n", "y.n") >= share * F.greatest("x.n", "y.n")
-    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & sizes).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & sizes).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"))
 
 
 def drop_similar(questions: DataFrame, share: float = 0.6) -> DataFrame:
     """questions(id, question, correct) without those that repeat an earlier one that stays: word sets that overlap by `share`, or by half of it with answers that do.
 
-    Pairs meet on words of a prefix: of two sets in order from the rarest word that overlap by `share`, the first words
-    have one in common. Pairs that need their answers too meet on those. Then rounds: who has no earlier
-    neighbour left stays, who has an earlier neighbour that stays goes; every round settles at least the earliest open one.
+    Questions with the same words and the same answer words are one, whose first stays or goes for all. Pairs meet on
+    choices of their rarest words (_meeting): of the questions, or of the answers with one of the question. Then
+    rounds: who has no earlier neighbour left stays, who has an earlier neighbour that stays goes; every round settles at
+    least the earliest open one.
     """
     least = share / 2
-    q = questions.select("id", word_set(F.col("question")).alias("w"), word_set(F.coalesce(F.col("correct"), F.lit(""))).alias("a"))
-    pairs = _meeting(q, "w", share).unionAll(_meeting(q, "a", share)).distinct()
+    words = questions.select("id", F.array_sort(word_set(F.col("question"))).alias("w"), F.array_sort(word_set(F.coalesce(F.col("correct"), F.lit("")))).alias("a"))
+    # A question without words overlaps with nothing, not even with another one.
+    q = settle(words.where(F.size("w") > 0).groupBy("w", "a").agg(F.min("id").alias("id")))
+    copies = words.join(q.withColumnRenamed("id", "first"), ["w", "a"]).where("id <> first").select("id")
+    asked, answered = settle(_by_rarity(q, "w")), _by_rarity(q, "a")
+    pairs = _meeting(asked, share).unionAll(_meeting(answered, share, asked.select("id", F.explode(_first(least, 1)).alias("word")))).distinct()
     both = pairs.join(q.select(F.col("id").alias("a_id"), F.col("w").alias("aw"), F.col("a").alias("aa")), "a_id").join(q.select(F.col("id").alias("b_id"), F.col("w").alias("bw"), F.col("a").alias("ba")), "b_id")
     over = jaccard(F.col("aw"), F.col("bw"))
     same = both.where((over >= share) | ((over >= least) & (jaccard(F.col("aa"), F.col("ba")) >= share))).select("a_id", "b_id")
     edges = settle(same)
-    gone = None
+    gone = copies
     while not edges.isEmpty():
         # The earlier ends that nothing earlier touches stay; so their later neighbours go, with all their edges.
         stay = edges.select(F.col("a_id").alias("id")).distinct().join(edges.select(F.col("b_id").alias("id")), "id", "left_anti")
         drop = settle(edges.join(stay.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
-        gone = drop if gone is None else gone.unionAll(drop)
+        gone = gone.unionAll(drop)
         edges = settle(edges.join(drop.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(drop.withColumnRenamed("id", "b_id"), "b_id", "left_anti").join(stay.withColumnRenamed("id", "a_id"), "a_id", "left_anti"))
-    return questions if gone is None else questions.join(gone, "id", "left_anti")
+    return questions.join(gone, "id", "left_anti")
 
 
 def distinct_in_order(items: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:

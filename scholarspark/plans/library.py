@@ -284,5 +284,12 @@ ORACLES = {
         q AS (SELECT item_id, 'src' || (item_id % 20) AS source, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda t: t NOT IN (STOPS))) AS g FROM benchmark),
         s AS (SELECT item_id, doc_id, later, round(len(list_intersect(g, h)) / greatest(len(list_distinct(list_concat(g, h))), 1)::DOUBLE, 6) AS score FROM q JOIN b USING (source))
         SELECT item_id AS question_id, doc_id AS beat_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, later, doc_id) = 1""".replace("STOPS", ", ".join(f"'{x}'" for x in QUESTION_STOP)),
+    "u3_drop_similar": """WITH RECURSIVE q AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS n, list_distinct(list_filter(regexp_extract_all(p_name || ' ' || lower(p_type) || ' size' || p_size || ' word' || (p_partkey % 40), '[a-z0-9]{4,}'), lambda t: t NOT IN (STOPS))) AS w FROM part),
+        u AS (SELECT n, len(w) AS size, unnest(w) AS word FROM q),
+        c AS (SELECT a.n AS first, b.n, count(*) / (any_value(a.size) + any_value(b.size) - count(*))::DOUBLE AS share FROM u a JOIN u b ON a.word = b.word AND a.n < b.n GROUP BY ALL),
+        e AS MATERIALIZED (SELECT n, list(first) AS earlier FROM c WHERE share >= 0.6 GROUP BY n),
+        r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept UNION ALL
+              SELECT r.n + 1, CASE WHEN e.earlier IS NOT NULL AND list_has_any(e.earlier, r.kept) THEN r.kept ELSE list_append(r.kept, r.n + 1) END FROM r LEFT JOIN e ON e.n = r.n + 1 WHERE r.n < (SELECT max(n) FROM q))
+        SELECT id FROM q WHERE n IN (SELECT unnest(kept) FROM r WHERE n = (SELECT max(n) FROM q))""".replace("STOPS", ", ".join(f"'{x}'" for x in QUESTION_STOP)),
     "u2_distinct_in_order": "SELECT o_custkey, min(o_orderkey) AS ordinal FROM orders GROUP BY o_custkey",
 }

@@ -95,6 +95,24 @@ def test_drop_similar_keeps_first(spark):
     assert sorted(r.id for r in got.collect()) == kept and len(kept) < len(rows)
 
 
+def test_drop_similar_by_answers(spark):
+    """Half the overlap is enough if the answers overlap; against the same rule one by one."""
+    import random
+    import re
+
+    rnd = random.Random(1)
+    vocabulary = [f"word{i}" for i in range(14)]
+    rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 7))), " ".join(rnd.choices(vocabulary[:4], k=rnd.randint(0, 4))) if i % 5 else None) for i in range(250)]
+    words = lambda x: {w for w in re.findall("[a-z0-9]{4,}", (x or "").lower()) if w not in T.QUESTION_STOP}
+    over = lambda a, b: len(a & b) / (len(a | b) or 1)
+    sets, kept = {i: (words(q), words(a)) for i, q, a in rows}, []
+    for i, (q, a) in sets.items():
+        if not any(over(q, sets[j][0]) >= 0.6 or (over(q, sets[j][0]) >= 0.3 and over(a, sets[j][1]) >= 0.6) for j in kept):
+            kept.append(i)
+    got = assessment.drop_similar(spark.createDataFrame(rows, "id long, question string, correct string"))
+    assert sorted(r.id for r in got.collect()) == kept and len(kept) < len(rows)
+
+
 def test_balanced_answers(spark):
     q = spark.createDataFrame([(1, f"q{i}", ["a", "b", "c", "d"], i % 4) for i in range(11)], "paper int, question string, options array<string>, answer int")
     got = assessment.balance_answers(q).collect()
