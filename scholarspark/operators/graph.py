@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import alias_keys, choose, clean_label, let, name_in_text, relation_of, slug, NODE_TYPES
 from ..shared import settle
+from .components import components
 
 # What a paper calls itself.
 CENTER_ALIASES = ["this work", "this paper", "our method", "our approach", "our model", "proposed method", "ours", "we"]
@@ -16,20 +17,17 @@ CENTER_ALIASES = ["this work", "this paper", "our method", "our approach", "our
 def connected(pairs: DataFrame) -> DataFrame:
     """(node, label) from links pairs(paper_id, node, key): nodes that share keys, directly or by others, get the smallest node of their component.
 
-    Keys hand the smallest label they have to their nodes, and nodes to their keys; after that labels jump to the
-    label of their label. Rounds halve the way that is left; they stop when no label changes.
+    Every node is linked with the smallest node that has its key; the components of these links, which are fewer than
+    the pairs, are what keys connect. The smallest nodes are kept before they are joined, so that a key that many
+    nodes have can be split.
     """
     pairs = settle(pairs.select("paper_id", "node", "key").distinct())
-    labels = settle(pairs.select("paper_id", "node").distinct().withColumn("label", F.col("node")))
-    while True:
-        by_key = pairs.join(labels, ["paper_id", "node"]).groupBy("paper_id", "key").agg(F.min("label").alias("label"))
-        spread = pairs.join(by_key, ["paper_id", "key"]).groupBy("paper_id", "node").agg(F.min("label").alias("label"))
-        further = spread.select("paper_id", F.col("node").alias("label"), F.col("label").alias("next"))
-        new = settle(spread.join(further, ["paper_id", "label"]).select("paper_id", "node", F.col("next").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), ["paper_id", "node"]).where("label <> old")
-        if changed.isEmpty():
-            return new
-        labels = new
+    least = settle(pairs.groupBy("paper_id", "key").agg(F.min("node").alias("least")))
+    node = lambda c: F.struct(F.col("paper_id").alias("paper_id"), F.col(c).alias("node"))
+    found = settle(components(pairs.join(least, ["paper_id", "key"]).where("node <> least").select(node("node").alias("a"), node("least").alias("b"))))
+    labels = found.select("node.paper_id", "node.node", F.col("label.node").alias("label"))
+    alone = pairs.select("paper_id", "node").distinct().join(labels, ["paper_id", "node"], "left_anti")
+    return labels.unionAll(alone.select("paper_id", "node", F.col("node").alias("label")))
 
 
 def resolve_entities(mentions: DataFrame) -> DataFrame:

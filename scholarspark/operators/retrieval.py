@@ -7,35 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
+from ..shared import settle, written
 
 K1, B = 1.5, 0.75
 
 
-def postings(chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf): how often each chunk has each term."""
-    return chunks.select(F.col(doc).alias("doc"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def bm25_index(chunks: DataFrame, doc: str = "doc_id", text: str = "text", scope: list[str] = (), terms: DataFrame | None = None) -> DataFrame:
+    """(scope, doc, term, tf, df, idf, length, avg_length): the index of all chunks, or with `scope`, columns of chunks
+    such as paper_id, of the chunks of each paper by itself; with terms(term), only the rows of these, with the same numbers. Chunks without terms count too.
 
-
-def bm25_index(chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf, df, idf, length, avg_length). Corpus numbers are one row, so broadcast; chunks without terms count too."""
-    post = postings(chunks, doc, text)
-    length = chunks.select(F.col(doc).alias("doc"), F.size(tokenize(F.col(text))).alias("length"))
-    corpus = length.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    Texts are cut into terms once; lengths and corpus numbers come from the kept table. Document frequencies are kept
+    before they are joined, so that a term that all chunks have can be split.
+    """
+    toks = tokenize(F.col(text))
+    cut = written(chunks.select(*scope, F.col(doc).alias("doc"), toks.alias("toks")).withColumn("length", F.size("toks")))
+    corpus = cut.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    each = cut.select(*scope, "doc", "length", F.explode("toks").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    post = written(each.groupBy(*scope, "doc", "length", "term").agg(F.count("*").alias("tf")))
+    df = settle(post.groupBy(*scope, "term").agg(F.count("*").alias("df")))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return post.join(df, "term").join(length, "doc").join(F.broadcast(corpus)).select("doc", "term", "tf", "df", idf.alias("idf"), "length", "avg_length")
+    joined = post.join(df, [*scope, "term"])
+    # Without a scope the corpus numbers are one row.
+    joined = joined.join(settle(corpus), list(scope)) if scope else joined.join(F.broadcast(corpus))
+    return joined.select(*scope, "doc", "term", "tf", "df", idf.alias("idf"), "length", "avg_length")
+
 
+def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text", scope: list[str] = ()) -> DataFrame:
+    """(scope, query, term, times): the terms of each query."""
+    return queries.select(*scope, F.col(query).alias("query"), F.explode(tokenize(F.col(text))).alias("term")).groupBy(*scope, "query", "term").agg(F.count("*").alias("times"))
 
-def bm25_score(queries: DataFrame, index: DataFrame, query: str = "item_id", text: str = "text") -> DataFrame:
-    """(query, doc, score) for scores over 0; a query's repeated terms count as often as they stand."""
-    terms = queries.select(F.col(query).alias("query"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+
+def bm25_score(queries: DataFrame, index: DataFrame, query: str = "item_id", text: str = "text", scope: list[str] = ()) -> DataFrame:
+    """(scope, query, doc, score) for scores over 0; a query's repeated terms count as often as they stand."""
+    terms = query_terms(queries, query, text, scope)
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return terms.join(index, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return terms.join(index, [*scope, "term"]).groupBy(*scope, "query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: list[str] = ()) -> DataFrame:
+    """(scope, query, doc, score, rank): the k best chunks(doc_id, text) of each of queries(item_id, text); only the queries' terms are indexed."""
+    index = bm25_index(chunks, scope=scope, terms=query_terms(queries, scope=scope))
+    return bm25_top(bm25_score(queries, index, scope=scope), k, scope)
 
 
-def bm25_top(scores: DataFrame, k: int = 5) -> DataFrame:
+def bm25_top(scores: DataFrame, k: int = 5, scope: list[str] = ()) -> DataFrame:
     """The k best documents of each query, by score, then doc."""
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    best = Window.partitionBy(*scope, "query").orderBy(F.desc("score"), "doc")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -78,10 +97,14 @@ def graph_facts(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
     """
     names = F.filter(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.length(x) > 2)
     pairs = questions.join(nodes, "paper_id")
-    focus = pairs.where(F.exists(names, lambda x: F.lower("question").contains(F.lower(x))) | (F.col("node") == F.col("node_id"))).select("query", "paper_id", "node_id", "label", "type", "description")
-    ids = focus.groupBy("query").agg(F.collect_set("node_id").alias("focus"))
-    each = questions.select("query", "paper_id").join(ids, "query", "left").join(edges.withColumnRenamed("description", "said"), "paper_id")
-    touching = each.where(F.col("focus").isNull() | F.array_contains("focus", F.col("source")) | F.array_contains("focus", F.col("target")))
+    focus = settle(pairs.where(F.exists(names, lambda x: F.lower("question").contains(F.lower(x))) | (F.col("node") == F.col("node_id"))).select("query", "paper_id", "node_id", "label", "type", "description"))
+    # Edges of named nodes by two joins on an end; for questions that name none, the first edges of their paper, chosen once.
+    ids, said_of = focus.select("query", "paper_id", "node_id").distinct(), edges.withColumnRenamed("description", "said")
+    touching = ids.join(said_of, (ids["paper_id"] == said_of["paper_id"]) & (ids["node_id"] == said_of["source"])).drop(ids["paper_id"])
+    touching = touching.unionByName(ids.join(said_of, (ids["paper_id"] == said_of["paper_id"]) & (ids["node_id"] == said_of["target"])).drop(ids["paper_id"])).drop("node_id").distinct()
+    first = said_of.withColumn("__r", F.row_number().over(Window.partitionBy("paper_id").orderBy("edge_no"))).where(F.col("__r") <= limit).drop("__r")
+    general = questions.select("query", "paper_id").join(ids.select("query").distinct(), "query", "left_anti").join(first, "paper_id")
+    touching = touching.unionByName(general)
     label = lambda end: nodes.select("paper_id", F.col("node_id").alias(end), F.col("label").alias(f"{end}_label"))
     order = Window.partitionBy("query").orderBy("edge_no")
     told = touching.withColumn("fact_no", F.row_number().over(order)).where(F.col("fact_no") <= limit).join(label("source"), ["paper_id", "source"]).join(label("target"), ["paper_id", "target"])

@@ -111,7 +111,7 @@ def merge_split_headings(lines: DataFrame) -> DataFrame:
 def sane_numbering(headings: DataFrame) -> DataFrame:
     """headings(paper_id, line_no, heading, level) whose numbers follow on: n is the last top number or one more (at first 1 or 2), a subsection's is the last; letters count after the references only. Rejected ones change nothing."""
     h = lambda x: x["heading"]
-    state = F.struct(F.lit(0).alias("top"), F.lit(False).alias("refs"), F.array().cast("array<int>").alias("kept"))
+    state = F.struct(F.lit(0).alias("top"), F.lit(False).alias("refs"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         number = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*)\s", 1)
@@ -124,7 +124,7 @@ def sane_numbering(headings: DataFrame) -> DataFrame:
         refs = s["refs"] | (keep & (name.isin(REFERENCES) | F.lower(h(x)).isin(REFERENCES)))
         return F.struct(F.when(keep & (number != ""), n).otherwise(s["top"]).alias("top"), refs.alias("refs"), F.when(keep, F.array_append(s["kept"], x["line_no"])).otherwise(s["kept"]).alias("kept"))
 
-    listed = headings.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("int").alias("line_no"), "heading"))).alias("hs"))
+    listed = headings.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("long").alias("line_no"), "heading"))).alias("hs"))
     kept = listed.select("paper_id", F.explode(F.aggregate("hs", state, step)["kept"]).alias("line_no"))
     return headings.join(kept, ["paper_id", "line_no"], "left_semi")
 

@@ -28,7 +28,7 @@ def _heads(spark, d):
 
 
 def _markdown(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("a"), F.max("l_linestatus").alias("b")).where("l_linenumber <= 2")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("a"), F.max("l_linestatus").alias("b"))
     return B.table_markdown(rows.select((F.col("l_orderkey") % 7).alias("paper_id"), F.col("l_orderkey").alias("number"), (F.col("l_linenumber") - 1).alias("row_no"), F.posexplode(F.array("a", "b")).alias("col_no", "text")))
 
 
@@ -51,7 +51,7 @@ ORACLES = {
         a AS (SELECT *, sum(CASE WHEN l = 1 AND c THEN 1 ELSE 0 END) OVER (PARTITION BY p ORDER BY o) AS n1 FROM h), b AS (SELECT *, sum(CASE WHEN l = 2 AND c THEN 1 ELSE 0 END) OVER (PARTITION BY p, n1 ORDER BY o) AS n2 FROM a),
         d AS (SELECT *, sum(CASE WHEN l = 3 AND c THEN 1 ELSE 0 END) OVER (PARTITION BY p, n1, n2 ORDER BY o) AS n3 FROM b)
         SELECT o AS ordinal, CASE WHEN NOT c THEN '' WHEN l = 1 THEN CAST(n1 AS VARCHAR) WHEN l = 2 THEN n1 || '.' || n2 ELSE n1 || '.' || n2 || '.' || n3 END AS number FROM d""",
-    "f16_table_markdown": """WITH r AS (SELECT l_orderkey AS number, l_linenumber AS n, '| ' || min(l_returnflag) || ' | ' || max(l_linestatus) || ' |' || CASE WHEN l_linenumber = 1 THEN chr(10) || '| --- | --- |' ELSE '' END AS row FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber)
+    "f16_table_markdown": """WITH r AS (SELECT l_orderkey AS number, l_linenumber AS n, '| ' || min(l_returnflag) || ' | ' || max(l_linestatus) || ' |' || CASE WHEN l_linenumber = 1 THEN chr(10) || '| --- | --- |' ELSE '' END AS row FROM lineitem GROUP BY l_orderkey, l_linenumber)
         SELECT number % 7 AS paper_id, number, string_agg(row, chr(10) ORDER BY n) AS markdown FROM r GROUP BY number""",
     "u6_content_key": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text",
 }

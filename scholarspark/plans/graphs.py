@@ -22,14 +22,19 @@ def _nodes(spark, d):
     return p.unionAll(s).select(F.explode(F.array(*[F.lit(str(i)) for i in range(1, 8)])).alias("paper_id"), "*")
 
 
+def _paper_of(order: str):
+    """A paper for every ten orders."""
+    return F.floor(F.col(order) / 10)
+
+
 def _mentions(spark, d):
-    """Part names of orders as mentions, spelled in several ways; a paper for every hundred orders."""
+    """Part names of orders as mentions, spelled in several ways."""
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     name = F.concat(F.initcap("p_name"), F.lit(" "), F.col("l_partkey") % 40)
     spelled = F.when(k % 4 == 0, F.concat(F.lit("The "), name)).when(k % 4 == 1, F.concat(name, F.lit(" [9]"))).when(k % 4 == 2, F.concat(name, F.lit(" dataset"))).otherwise(F.concat(name, F.lit("s")))
-    center = table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("paper_id")).distinct().select("paper_id", F.lit(-1).cast("long").alias("mention_no"), F.lit("this work").alias("name"), F.lit("").alias("alias"), F.lit("this_work").alias("type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.lit("s0").alias("section_id"))
-    named = li.select((F.col("l_orderkey") % 150).alias("paper_id"), k.alias("mention_no"), spelled.alias("name"), F.when(k % 9 == 0, "our method").otherwise("").alias("alias"), F.when(k % 3 == 0, "concept").otherwise("dataset").alias("type"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.lit("").alias("evidence"), F.concat(F.lit("s"), "l_linenumber").alias("section_id"))
+    center = table(spark, d, "orders").select(_paper_of("o_orderkey").alias("paper_id")).distinct().select("paper_id", F.lit(-1).cast("long").alias("mention_no"), F.lit("this work").alias("name"), F.lit("").alias("alias"), F.lit("this_work").alias("type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.lit("s0").alias("section_id"))
+    named = li.select(_paper_of("l_orderkey").alias("paper_id"), k.alias("mention_no"), spelled.alias("name"), F.when(k % 9 == 0, "our method").otherwise("").alias("alias"), F.when(k % 3 == 0, "concept").otherwise("dataset").alias("type"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.lit("").alias("evidence"), F.concat(F.lit("s"), "l_linenumber").alias("section_id"))
     return named.unionAll(center)
 
 
@@ -38,19 +43,19 @@ def _resolved(spark, d):
 
 
 def _components(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
-    pairs = li.select((F.col("l_orderkey") % 40).alias("paper_id"), F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("key"))
-    return G.connected(pairs.where("key % 3 = 0"))
+    li = table(spark, d, "lineitem")
+    return G.connected(li.select((F.col("l_orderkey") % 40).alias("paper_id"), F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("key")))
 
 
 def _papers(spark, d):
-    p = table(spark, d, "part").agg(F.array_join(F.array_sort(F.collect_set(F.lower("p_name"))), " ").alias("normal_lower"))
-    return table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("paper_id")).distinct().join(F.broadcast(p))
+    """Each paper says the names of its own parts."""
+    m = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return m.groupBy(_paper_of("l_orderkey").alias("paper_id")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("p_name"))), " ").alias("normal_lower"))
 
 
 def _relations(spark, d):
     m = _mentions(spark, d)
-    return m.where("mention_no % 3 = 0").select("paper_id", F.col("mention_no").alias("relation_no"), F.col("name").alias("source"), F.when(F.col("mention_no") % 2 == 0, "we").otherwise("Nothing Known").alias("target"), F.lit("builds on").alias("relation"), "description", "section_id")
+    return m.select("paper_id", F.col("mention_no").alias("relation_no"), F.col("name").alias("source"), F.when(F.col("mention_no") % 2 == 0, "we").otherwise("Nothing Known").alias("target"), F.lit("builds on").alias("relation"), "description", "section_id")
 
 
 def _graph(spark, d):
@@ -84,9 +89,9 @@ def _integrity(spark, d):
 def _facts(spark, d):
     from ..operators.retrieval import graph_facts
 
-    q = table(spark, d, "supplier").select(F.lit("1").alias("paper_id"), F.col("s_suppkey").alias("query"), F.concat(F.lit("What of "), "s_name", F.lit("?")).alias("question"), F.lit(None).cast("string").alias("node"))
-    nodes = _nodes(spark, d).withColumn("description", F.lit("")).where("paper_id = '1'")
-    edges = _edges(spark, d).where("paper_id = '1'").withColumn("edge_no", F.col("relation_no"))
+    q = table(spark, d, "supplier").select((F.col("s_suppkey") % 7 + 1).cast("string").alias("paper_id"), F.col("s_suppkey").alias("query"), F.concat(F.lit("What of "), "s_name", F.lit("?")).alias("question"), F.lit(None).cast("string").alias("node"))
+    nodes = _nodes(spark, d).withColumn("description", F.lit(""))
+    edges = _edges(spark, d).withColumn("edge_no", F.col("relation_no"))
     return graph_facts(q, nodes, edges)
 
 
@@ -112,7 +117,7 @@ def _sections(spark, d):
 
 def _store(spark, d):
     """Replies that a store lacks are computed once for each distinct request."""
-    asks = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("request"))
+    asks = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("request"))
     known = asks.where("turn = 0").select("request").distinct().withColumn("reply", F.lit("stored"))
     stored = X.request_keys(known, "demo").select("request_key", "reply")
     done, _ = X.enrich(asks, stored, "demo", X.reverse_provider)
@@ -120,9 +125,9 @@ def _store(spark, d):
 
 
 def _checked(spark, d):
-    asks = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 12).alias("request"))
+    asks = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("request"))
     ok = F.when(F.length("reply") % 2 == 1, F.lit("odd length"))
-    return X.enrich_checked(asks, "demo", X.reverse_provider, ok, 2).select("conv_id", "reply", "problem", "rounds")
+    return X.enrich_checked(asks, "demo", X.reverse_provider, ok, 2).select("conv_id", "turn", "reply", "problem", "rounds")
 
 
 def _quiz(spark, d):
@@ -185,12 +190,12 @@ ORACLES = {
     "j23_neighborhood": f"""WITH {_E} SELECT paper_id, source AS node_id, target AS other, relation, 'out' AS direction FROM e WHERE source IN ('p1', 's1', 's3')
         UNION ALL SELECT paper_id, target, source, relation, 'in' FROM e WHERE target IN ('p1', 's1', 's3')""",
     "j25_check_integrity": f"WITH {_E} SELECT DISTINCT paper_id, 'unknown end' AS problem, 's3' AS what FROM e WHERE target = 's3'",
-    "e3_connected": """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey % 40 AS paper_id, l_orderkey AS node, l_partkey AS key FROM lineitem WHERE l_orderkey % 5 = 0 AND l_partkey % 3 = 0),
+    "e3_connected": """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey % 40 AS paper_id, l_orderkey AS node, l_partkey AS key FROM lineitem),
         l AS (SELECT DISTINCT a.paper_id, a.node, b.node AS other FROM p a JOIN p b USING (paper_id, key)),
         r AS (SELECT DISTINCT paper_id, node, node AS label FROM p UNION SELECT l.paper_id, l.node, r.label FROM r JOIN l ON l.paper_id = r.paper_id AND l.other = r.node)
         SELECT paper_id, node, min(label) AS label FROM r GROUP BY ALL""",
     "w13_unique_slugs": "SELECT p_partkey % 10 AS paper_id, p_partkey AS cluster, replace(p_name, ' ', '-') || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS node_id FROM part WINDOW w AS (PARTITION BY p_partkey % 10, p_name ORDER BY p_partkey)",
-    "x1_enrich": """WITH a AS (SELECT conv_id, turn, left(text, 12) AS request FROM conversations), k AS (SELECT DISTINCT request FROM a WHERE turn = 0)
+    "x1_enrich": """WITH a AS (SELECT conv_id, turn, text AS request FROM conversations), k AS (SELECT DISTINCT request FROM a WHERE turn = 0)
         SELECT conv_id, turn, request, CASE WHEN request IN (SELECT request FROM k) THEN 'stored' ELSE reverse(request) END AS reply FROM a""",
     "x4_extractive_quiz": rf"""WITH {_SENT}, q AS (SELECT doc_id, i, s[i] AS s, string_split_regex(s[i], '\s+') AS w FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM s))
         SELECT doc_id, CAST(i AS INT) AS question_no, 'What does the paper say about ' || array_to_string(list_transform(w[3:6], lambda x: trim(x, '.,;:')), ' ') || '?' AS question, array_to_string(w[1:18], ' ') AS correct FROM q""",

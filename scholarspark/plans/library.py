@@ -120,7 +120,7 @@ def _beats(spark, d):
 
 
 def _artifact(spark, d):
-    i = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("beat_id"), (F.col("l_returnflag") == "R").alias("applied"))
+    i = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("beat_id"), (F.col("l_returnflag") == "R").alias("applied"))
     return L.artifact_counts(table(spark, d, "part").select(F.lower("p_type").alias("type")), i)
 
 
@@ -164,7 +164,7 @@ def _quiz_stats(spark, d):
 
 
 def _best_beat(spark, d):
-    b = table(spark, d, "documents").where("length(text) < 3000").select(F.col("lang").alias("paper_id"), F.col("source").alias("section_id"), F.col("doc_id").alias("beat_id"), F.col("doc_id").alias("beat_no"), F.when(F.col("doc_id") % 2 == 0, "deep").otherwise("high").alias("view"), "text")
+    b = table(spark, d, "documents").select(F.col("lang").alias("paper_id"), F.col("source").alias("section_id"), F.col("doc_id").alias("beat_id"), F.col("doc_id").alias("beat_no"), F.when(F.col("doc_id") % 2 == 0, "deep").otherwise("high").alias("view"), "text")
     q = table(spark, d, "benchmark").select(F.lit("en").alias("paper_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("section_id"), F.col("item_id").alias("question_id"), "text")
     return Q.best_beat(q, b)
 
@@ -256,8 +256,8 @@ ORACLES = {
     "t9_order_runs": "SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END AS state FROM orders",
     "a21_view_stats": r"""WITH w AS (SELECT role, turn, len(regexp_extract_all(text, '\S+')) AS n FROM conversations)
         SELECT role AS view, count(*) AS beats, CAST(sum(n) AS BIGINT) AS words, round(sum(n) / 150.0::DOUBLE, 1) AS minutes, count(*) FILTER (WHERE turn = 0) AS diagrams FROM w GROUP BY role""",
-    "a25_artifact_counts": """SELECT 'diagram ' || lower(p_type) AS what, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'issues', count(*) FROM lineitem WHERE l_linenumber = 1
-        UNION ALL SELECT 'corrected beats', count(DISTINCT l_suppkey) FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'""",
+    "a25_artifact_counts": """SELECT 'diagram ' || lower(p_type) AS what, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'issues', count(*) FROM lineitem
+        UNION ALL SELECT 'corrected beats', count(DISTINCT l_suppkey) FROM lineitem WHERE l_returnflag = 'R'""",
     "t12_best_per_series": "SELECT p_brand AS series, arg_max(p_name, struct_pack(v := p_retailprice, f := -p_partkey)) AS category, max(p_retailprice) AS value FROM part WHERE p_size > 5 GROUP BY p_brand",
     "p5_question_problems": """SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 5 = 0 THEN 'question, correct answer and explanation are required' END,
         CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 7 = 0 THEN 'needs 3 non-empty distractors' END, CASE WHEN p_partkey % 3 = 0 THEN 'the four options must be different' END,
@@ -280,7 +280,7 @@ ORACLES = {
     "j21_agree_keys": f"WITH {_ANS} SELECT doc_id AS question_id, answer, given = answer AS agreed FROM ans",
     "a24_quiz_stats": f"""WITH {_ANS} SELECT count(*) AS asked, count(*) FILTER (WHERE doc_id % 6 = 0) AS malformed, count(*) FILTER (WHERE doc_id % 6 <> 0 AND given <> answer) AS disputed,
         count(*) FILTER (WHERE doc_id % 6 <> 0 AND given = answer) AS kept, count(DISTINCT section) FILTER (WHERE doc_id % 6 <> 0 AND given = answer) AS sections FROM ans""",
-    "j19_best_beat": r"""WITH b AS (SELECT source, doc_id, doc_id % 2 AS later, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda t: t NOT IN (STOPS))) AS h FROM documents WHERE lang = 'en' AND length(text) < 3000),
+    "j19_best_beat": r"""WITH b AS (SELECT source, doc_id, doc_id % 2 AS later, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda t: t NOT IN (STOPS))) AS h FROM documents WHERE lang = 'en'),
         q AS (SELECT item_id, 'src' || (item_id % 20) AS source, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda t: t NOT IN (STOPS))) AS g FROM benchmark),
         s AS (SELECT item_id, doc_id, later, round(len(list_intersect(g, h)) / greatest(len(list_distinct(list_concat(g, h))), 1)::DOUBLE, 6) AS score FROM q JOIN b USING (source))
         SELECT item_id AS question_id, doc_id AS beat_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, later, doc_id) = 1""".replace("STOPS", ", ".join(f"'{x}'" for x in QUESTION_STOP)),

@@ -13,8 +13,9 @@ from ..sources.tables import table, titles
 
 
 def _lines(spark, d):
-    """v_lines: a source is a paper, a document a page and a block."""
-    return doc_lines(spark, d).select("paper_id", F.col("doc_id").alias("page"), F.col("doc_id").alias("block"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("line_no"), "text")
+    """v_lines: a document is a paper, forty lines a page and five a block."""
+    n = F.col("line_no").cast("long")
+    return doc_lines(spark, d).select(F.col("doc_id").alias("paper_id"), F.floor(n / 40).alias("page"), F.floor(n / 5).alias("block"), n.alias("line_no"), "text")
 
 
 def _marked(spark, d):
@@ -30,7 +31,8 @@ def _sections(spark, d):
 
 
 def _strip(spark, d):
-    kept = S.strip_repeated_lines(_lines(spark, d).withColumn("in_margin", F.lit(True)), 0.1)
+    pages = doc_lines(spark, d).select("paper_id", F.col("doc_id").alias("page"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("line_no"), "text")
+    kept = S.strip_repeated_lines(pages.withColumn("in_margin", F.lit(True)), 0.1)
     return kept.groupBy("paper_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -40,7 +42,7 @@ def _body(spark, d):
 
 
 def _spans(spark, d):
-    return S.page_spans(_lines(spark, d).select("paper_id", (F.col("page") % 7).alias("section_no"), "page")).select("paper_id", "section_no", "page_start", "page_end", F.size("pages").cast("long").alias("n_pages"))
+    return S.page_spans(_lines(spark, d).select("paper_id", (F.col("line_no") % 7).alias("section_no"), "page")).select("paper_id", "section_no", "page_start", "page_end", F.size("pages").cast("long").alias("n_pages"))
 
 
 def _paragraphs(spark, d):
@@ -53,8 +55,8 @@ def _sectionize(spark, d):
 
 def _structure(spark, d):
     heads = _marked(spark, d).where("heading is not null").select("paper_id", "line_no", F.concat(F.col("line_no") % 9, F.lit(" "), "heading").alias("heading"))
-    pages = table(spark, d, "documents").groupBy(F.col("source").alias("paper_id")).agg(F.count("*").alias("n_pages"))
-    return S.choose_structure(heads.where("line_no % 5 = 0"), pages).select("paper_id", "start", "heading")
+    pages = _lines(spark, d).groupBy("paper_id").agg((F.max("page") + 1).alias("n_pages"))
+    return S.choose_structure(heads, pages).select("paper_id", "start", "heading")
 
 
 def _neighbors(spark, d):
@@ -64,7 +66,7 @@ def _neighbors(spark, d):
 
 def _earlier(spark, d):
     c = table(spark, d, "conversations")
-    return S.earlier_context(c.select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("section_no"), F.substring("text", 1, 40).alias("summary"))).select("paper_id", "section_no", "earlier")
+    return S.earlier_context(c.select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("section_no"), F.col("text").alias("summary"))).select("paper_id", "section_no", "earlier")
 
 
 def _page_section(spark, d):
@@ -86,7 +88,7 @@ def _chunks(spark, d):
 
 def _pack(spark, d):
     o = table(spark, d, "orders")
-    return C.pack_units(o.select((F.col("o_custkey") % 100).alias("paper_id"), F.col("o_orderkey").alias("unit_no"), F.floor(F.col("o_totalprice")).alias("size")), 1_000_000)
+    return C.pack_units(o.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("unit_no"), F.floor(F.col("o_totalprice")).alias("size")), 1_000_000)
 
 
 def _label_parts(spark, d):
@@ -118,7 +120,7 @@ def _fallback(spark, d):
 
 def _grounding_text(spark, d):
     s = _sections(spark, d)
-    u = s.where("section_no % 4 = 1").select("paper_id", F.col("section_no").alias("section_id"), F.array(F.concat(F.lit("r"), F.col("section_no") + 1), F.concat(F.lit("r"), F.col("section_no")), F.lit("r9999")).alias("raw_ids"))
+    u = s.select("paper_id", F.col("section_no").alias("section_id"), F.array(F.concat(F.lit("r"), F.col("section_no") + 1), F.concat(F.lit("r"), F.col("section_no")), F.lit("r9999")).alias("raw_ids"))
     return C.grounding_text(u, s).select("paper_id", "section_id", F.md5("text").alias("md5"))
 
 
@@ -188,8 +190,8 @@ def _beats(spark, d):
 
 def _fixes(spark, d):
     c = table(spark, d, "conversations")
-    beats = c.select(F.concat(F.lit("s"), "conv_id").alias("section_id"), F.concat(F.lit("deep.s"), "conv_id", F.lit(".b"), "turn").alias("beat_id"), F.substring("text", 1, 30).alias("narration"))
-    f = c.select(F.concat(F.lit("s"), "conv_id").alias("section_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("b"), "turn")).otherwise(F.concat(F.lit("deep.s"), "conv_id", F.lit(".b"), "turn")).alias("beat_id"), F.col("turn").alias("fix_no"), F.when(F.col("turn") % 3 == 0, " ").otherwise(F.reverse(F.substring("text", 1, 30))).alias("narration"), (F.col("conv_id") % 5 == 0).alias("ungrounded"))
+    beats = c.select(F.concat(F.lit("s"), "conv_id").alias("section_id"), F.concat(F.lit("deep.s"), "conv_id", F.lit(".b"), "turn").alias("beat_id"), F.col("text").alias("narration"))
+    f = c.select(F.concat(F.lit("s"), "conv_id").alias("section_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("b"), "turn")).otherwise(F.concat(F.lit("deep.s"), "conv_id", F.lit(".b"), "turn")).alias("beat_id"), F.col("turn").alias("fix_no"), F.when(F.col("turn") % 3 == 0, " ").otherwise(F.reverse("text")).alias("narration"), (F.col("conv_id") % 5 == 0).alias("ungrounded"))
     return G.apply_fixes(beats, f).select("beat_id", "narration", "applied")
 
 
@@ -223,28 +225,28 @@ QUERIES = {
     "j18_apply_fixes": _fixes,
 }
 
-_L = "l AS (SELECT source AS paper_id, doc_id AS page, doc_id * 1000000 + i - 1 AS line_no, ls[i] AS text FROM (SELECT source, doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+_L = "l AS (SELECT doc_id AS paper_id, (i - 1) // 40 AS page, (i - 1) // 5 AS block, i - 1 AS line_no, ls[i] AS text FROM (SELECT source, doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 _N = r"""trim(regexp_replace(regexp_replace(translate(X, '‘’“”–—−' || chr(160) || chr(8201) || chr(8239) || chr(173), '''''""---   '), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))"""
 _HEAD = r"m AS (SELECT *, CASE WHEN trim(text) <> '' AND len(regexp_extract_all(trim(text, chr(32)), '\s+')) < 3 THEN text END AS heading FROM l)"
 _SEC = "s AS (SELECT source AS paper_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id % 3 + 1 AS level, text FROM documents)"
 
 ORACLES = {
-    "a1_strip_repeated_lines": rf"""WITH {_L}, k AS (SELECT *, regexp_replace(lower(text), '\d+', '#', 'g') AS key FROM l), p AS (SELECT paper_id, count(DISTINCT page) AS n FROM l GROUP BY 1),
+    "a1_strip_repeated_lines": rf"""WITH l AS (SELECT source AS paper_id, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents), k AS (SELECT *, regexp_replace(lower(text), '\d+', '#', 'g') AS key FROM l), p AS (SELECT paper_id, count(DISTINCT page) AS n FROM l GROUP BY 1),
         o AS (SELECT paper_id, key FROM k JOIN p USING (paper_id) GROUP BY paper_id, key, n HAVING count(*) >= greatest(2, floor(n * 0.1::DOUBLE)))
         SELECT paper_id, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM k ANTI JOIN o USING (paper_id, key) WHERE NOT regexp_full_match(key, '[#\s\-–/of]*') GROUP BY paper_id""",
     "a2_body_size": """WITH s AS (SELECT l_suppkey AS paper_id, round_even(l_quantity / 4 * 2, 0) / 2 AS body, sum(l_linenumber) AS c FROM lineitem GROUP BY 1, 2)
         SELECT paper_id, arg_max(body, struct_pack(c := c, b := -body)) AS body FROM s GROUP BY paper_id""",
-    "a3_page_spans": "SELECT source AS paper_id, doc_id % 7 AS section_no, min(doc_id) AS page_start, max(doc_id) AS page_end, count(*) AS n_pages FROM documents GROUP BY 1, 2",
-    "a4_paragraphs": rf"""WITH {_L}, b AS (SELECT paper_id, page, trim(string_agg(text, ' ' ORDER BY line_no)) AS t FROM l GROUP BY 1, 2),
-        p AS (SELECT paper_id, regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY page), '([\p{{L}}\p{{N}}_])- (\p{{Ll}})', '\1\2', 'g') AS t FROM b WHERE t <> '' GROUP BY 1)
+    "a3_page_spans": f"WITH {_L} SELECT paper_id, line_no % 7 AS section_no, min(page) AS page_start, max(page) AS page_end, count(DISTINCT page) AS n_pages FROM l GROUP BY 1, 2",
+    "a4_paragraphs": rf"""WITH {_L}, b AS (SELECT paper_id, page, block, trim(string_agg(text, ' ' ORDER BY line_no)) AS t FROM l GROUP BY 1, 2, 3),
+        p AS (SELECT paper_id, regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY block), '([\p{{L}}\p{{N}}_])- (\p{{Ll}})', '\1\2', 'g') AS t FROM b WHERE t <> '' GROUP BY 1)
         SELECT paper_id, length(t) AS n, md5(t) AS md5 FROM p""",
     "w1_sectionize": rf"""WITH {_L}, {_HEAD}, w AS (SELECT *, count(heading) OVER o AS section_no, last_value(heading IGNORE NULLS) OVER o AS section FROM m WINDOW o AS (PARTITION BY paper_id ORDER BY line_no))
         SELECT paper_id, section_no, min(section) AS section, count(*) AS n, min(line_no) AS first FROM w WHERE heading IS NULL GROUP BY 1, 2""",
     "w7_neighbors": """SELECT o_custkey AS paper_id, o_orderkey AS section_no, o_orderpriority AS title, lag(o_orderpriority) OVER w AS previous, lead(o_orderpriority) OVER w AS next,
         CAST(row_number() OVER w AS INT) AS position, count(*) OVER (PARTITION BY o_custkey) AS n_sections FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
-    "w8_earlier_context": """SELECT conv_id AS paper_id, turn AS section_no, coalesce(string_agg(left(text, 40), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS earlier FROM conversations""",
+    "w8_earlier_context": """SELECT conv_id AS paper_id, turn AS section_no, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS earlier FROM conversations""",
     "j12_section_of_page": "SELECT p.b AS paper_id, p.page, max(s.p_partkey) AS section_no FROM (SELECT DISTINCT p_brand AS b, p_size + 2 AS page FROM part) p JOIN part s ON s.p_brand = p.b AND page BETWEEN s.p_size AND s.p_size + 5 GROUP BY 1, 2",
-    "w17_pack_units": """WITH RECURSIVE u AS (SELECT o_custkey % 100 AS paper_id, o_orderkey AS unit_no, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS n FROM orders),
+    "w17_pack_units": """WITH RECURSIVE u AS (SELECT o_custkey AS paper_id, o_orderkey AS unit_no, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
         r AS (SELECT paper_id, unit_no, n, 1 AS pack, size AS used FROM u WHERE n = 1 UNION ALL
               SELECT u.paper_id, u.unit_no, u.n, CASE WHEN used > 0 AND used + size > 1000000 THEN pack + 1 ELSE pack END, CASE WHEN used > 0 AND used + size > 1000000 THEN size ELSE used + size END FROM r JOIN u ON u.paper_id = r.paper_id AND u.n = r.n + 1)
         SELECT paper_id, unit_no, CAST(pack AS INT) AS pack FROM r""",
@@ -260,7 +262,7 @@ ORACLES = {
     "u5_fallback_plan": f"""WITH {_SEC}, t AS (SELECT *, greatest(1, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY n)) AS plan_no FROM s)
         SELECT paper_id, CAST(plan_no AS BIGINT) AS plan_no, string_agg('r' || n, ',' ORDER BY n) AS raw_ids FROM t GROUP BY 1, 2""",
     "j1_grounding_text": f"""WITH {_SEC} SELECT a.paper_id, CAST(a.n AS INT) AS section_id, md5(coalesce('## Part ' || b.doc_id || chr(10) || b.text || chr(10) || chr(10), '') || '## Part ' || a.doc_id || chr(10) || a.text) AS md5
-        FROM s a LEFT JOIN s b ON b.paper_id = a.paper_id AND b.n = a.n + 1 WHERE a.n % 4 = 1""",
+        FROM s a LEFT JOIN s b ON b.paper_id = a.paper_id AND b.n = a.n + 1""",
     "j7_name_in_text": r"""SELECT doc_id AS source_id, CAST(i AS INT) AS concept_no, CASE i WHEN 0 THEN length(w) BETWEEN 2 AND 20 AND NOT contains(w, ')') WHEN 1 THEN false ELSE contains(lower(text), source) END AS in_text
         FROM (SELECT *, string_split_regex(trim(text), '\s+')[1] AS w, unnest([0, 1, 2]) AS i FROM documents)""",
     "p8_clean_results": """WITH r AS (SELECT l_suppkey AS section_id, l_orderkey * 10 + l_linenumber AS result_no, l_partkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) <= 6)
@@ -268,7 +270,7 @@ ORACLES = {
     "p9_clean_key_result": "SELECT c_custkey AS paper_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN '' ELSE c_mktsegment END AS key_result FROM customer",
     "j8_drop_ungrounded": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "a22_check_beats": """SELECT conv_id AS section_id, count(*) AS n_beats, count(*) < 4 AS few, coalesce(array_to_string(list_sort(list(DISTINCT turn || '.5') FILTER (WHERE turn % 2 = 1))[1:8], ','), '') AS bad FROM conversations GROUP BY conv_id""",
-    "j18_apply_fixes": """WITH c AS (SELECT conv_id, turn, left(text, 30) AS t FROM conversations), f AS (SELECT *, conv_id % 5 <> 0 AND turn % 3 <> 0 AND trim(reverse(t)) <> '' AND reverse(t) <> t AS ok FROM c)
+    "j18_apply_fixes": """WITH c AS (SELECT conv_id, turn, text AS t FROM conversations), f AS (SELECT *, conv_id % 5 <> 0 AND turn % 3 <> 0 AND trim(reverse(t)) <> '' AND reverse(t) <> t AS ok FROM c)
         SELECT 'deep.s' || conv_id || '.b' || turn AS beat_id, CASE WHEN ok THEN reverse(t) ELSE t END AS narration, ok AS applied FROM f""",
     "j2_match_quotes": f"""WITH q AS (SELECT doc_id, trim({_N.replace("X", "substring(text, 20, 60)")}, ' "''') AS q, {_N.replace("X", "text")} AS s FROM documents WHERE doc_id % 3 <> 0)
         SELECT doc_id AS quote_id, substring(s, strpos(lower(s), lower(q)), length(q)) AS found FROM q WHERE length(q) >= 12 AND strpos(lower(s), lower(q)) > 0""",

@@ -34,7 +34,15 @@ def _docs(spark, d):
 
 
 def _scores(spark, d):
-    return R.bm25_score(table(spark, d, "benchmark"), R.bm25_index(_docs(spark, d)))
+    asked = table(spark, d, "benchmark")
+    return R.bm25_score(asked, R.bm25_index(_docs(spark, d), terms=R.query_terms(asked)))
+
+
+def _scoped(spark, d):
+    """Every source as a paper of its own, asked with every benchmark passage whose number is its last digits."""
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), "item_id", "text")
+    return R.bm25_search(asked, docs, 5, ["source"])
 
 
 def _of_docs(**columns):
@@ -117,15 +125,15 @@ def _context(spark, d):
 
 
 def _expand(spark, d):
-    q = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query"), F.substring("text", 1, 60).alias("question"), (F.col("conv_id") % 60).alias("section"), (F.col("turn") % 30).alias("node"))
+    q = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query"), F.col("text").alias("question"), (F.col("conv_id") % 60).alias("section"), (F.col("turn") % 30).alias("node"))
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("label"))
     return R.expand_query(q, titles(spark, d).select(F.col("page_id").alias("section"), "title"), n).select("query", "text")
 
 
 def _build_context(spark, d):
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("section"), F.col("lang").alias("title"), "text")
-    notes = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 80).alias("notes"))
-    facts = table(spark, d, "benchmark").where("item_id % 3 = 0").select(F.col("item_id").alias("query"), F.lit(1).alias("fact_no"), F.lit("a --uses--> b").alias("fact"))
+    notes = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("notes"))
+    facts = table(spark, d, "benchmark").where("item_id % 3 = 0").select(F.col("item_id").alias("query"), F.lit(1).alias("fact_no"), F.concat(F.col("item_id"), F.lit(" --uses--> "), F.reverse("text")).alias("fact"))
     return R.build_context(notes, R.bm25_top(_scores(spark, d), 6), chunks, facts).select("query", F.md5("context").alias("context_md5"))
 
 
@@ -148,7 +156,8 @@ QUERIES = {
     "j21_option_index": _options,
     "bm25_index": lambda spark, d: R.bm25_index(_docs(spark, d)).select("doc", "term", "tf", "df", F.round("idf", 8).alias("idf"), "length"),
     "bm25_score": _scores,
-    "bm25_top": lambda spark, d: R.bm25_top(_scores(spark, d)),
+    "bm25_top": lambda spark, d: R.bm25_search(table(spark, d, "benchmark"), _docs(spark, d)),
+    "bm25_scoped": _scoped,
     "t2_context_hits": _context,
     "w9_trim_history": _history,
     "x6_expand_query": _expand,
@@ -188,6 +197,15 @@ ORACLES = {
     "bm25_index": BM25 + "SELECT doc, term, tf, df, round(idf, 8) AS idf, CAST(length AS INT) AS length FROM idx",
     "bm25_score": BM25 + "SELECT query, doc, score FROM s",
     "bm25_top": BM25 + "SELECT query, doc, score, rank FROM top WHERE rank <= 5",
+    "bm25_scoped": rf"""WITH d AS (SELECT source, doc_id, {TOKENS} AS toks FROM documents),
+        p AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(toks) AS term FROM d) GROUP BY ALL),
+        n AS (SELECT source, count(*) AS n_docs, avg(len(toks)) AS avg_length FROM d GROUP BY source),
+        f AS (SELECT source, term, count(*) AS df FROM p GROUP BY ALL),
+        q AS (SELECT 'src' || (item_id % 20) AS source, item_id, unnest({TOKENS}) AS term FROM benchmark),
+        qt AS (SELECT source, item_id AS query, term, count(*) AS times FROM q GROUP BY ALL),
+        s AS (SELECT source, query, doc_id AS doc, round(sum(times * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks) / avg_length))), 6) AS score
+              FROM qt JOIN p USING (source, term) JOIN f USING (source, term) JOIN d USING (source, doc_id) JOIN n USING (source) GROUP BY ALL HAVING score > 0)
+        SELECT source, query, doc, score, row_number() OVER (PARTITION BY source, query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 5""",
     "t2_context_hits": BM25
     + """, hit AS (SELECT query, doc, rank FROM top WHERE rank <= 6),
         loc AS (SELECT b.item_id AS query, d.doc_id AS doc, coalesce(s.score, 0) AS score FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20) LEFT JOIN s ON s.query = b.item_id AND s.doc = d.doc_id),
@@ -199,10 +217,10 @@ ORACLES = {
         s AS (SELECT conv_id, turn, role, left(text, 3000) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM l WHERE b <= 6 AND role IN ('user', 'assistant') AND length(text) > 0),
         f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM s WHERE NOT (a = 1 AND role <> 'user'))
         SELECT conv_id, turn, role, text FROM f WHERE NOT (z = 1 AND role = 'user')""",
-    "x6_expand_query": """SELECT conv_id || '-' || turn AS query, array_to_string(list_filter([left(c.text, 60), regexp_extract(p.html, '<title>([^<]*)</title>', 1), n.n_name], lambda x: x IS NOT NULL AND x <> ''), ' ') AS text
+    "x6_expand_query": """SELECT conv_id || '-' || turn AS query, array_to_string(list_filter([c.text, regexp_extract(p.html, '<title>([^<]*)</title>', 1), n.n_name], lambda x: x IS NOT NULL AND x <> ''), ' ') AS text
         FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id % 60 LEFT JOIN nation n ON n.n_nationkey = c.turn % 30 WHERE role = 'user'""",
     "x7_build_context": BM25
-    + """SELECT b.item_id AS query, md5('SECTION NOTES:' || chr(10) || left(b.text, 80) || chr(10) || chr(10) || 'EXCERPTS FROM THE PAPER:' || chr(10) || coalesce(e.x, '(no matching excerpt)')
-        || CASE WHEN b.item_id % 3 = 0 THEN chr(10) || chr(10) || 'KNOWLEDGE GRAPH FACTS:' || chr(10) || 'a --uses--> b' ELSE '' END) AS context_md5
+    + """SELECT b.item_id AS query, md5('SECTION NOTES:' || chr(10) || b.text || chr(10) || chr(10) || 'EXCERPTS FROM THE PAPER:' || chr(10) || coalesce(e.x, '(no matching excerpt)')
+        || CASE WHEN b.item_id % 3 = 0 THEN chr(10) || chr(10) || 'KNOWLEDGE GRAPH FACTS:' || chr(10) || b.item_id || ' --uses--> ' || reverse(b.text) ELSE '' END) AS context_md5
         FROM benchmark b LEFT JOIN (SELECT query, string_agg('[' || source || '] (' || lang || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS x FROM top JOIN documents ON doc = doc_id WHERE rank <= 6 GROUP BY query) e ON e.query = b.item_id""",
 }
