@@ -102,11 +102,11 @@ def graph_facts(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
     ids, said_of = focus.select("query", "paper_id", "node_id").distinct(), edges.withColumnRenamed("description", "said")
     touching = ids.join(said_of, (ids["paper_id"] == said_of["paper_id"]) & (ids["node_id"] == said_of["source"])).drop(ids["paper_id"])
     touching = touching.unionByName(ids.join(said_of, (ids["paper_id"] == said_of["paper_id"]) & (ids["node_id"] == said_of["target"])).drop(ids["paper_id"])).drop("node_id").distinct()
-    first = said_of.withColumn("__r", F.row_number().over(Window.partitionBy("paper_id").orderBy("edge_no"))).where(F.col("__r") <= limit).drop("__r")
+    first = said_of.withColumn("__r", F.row_number().over(Window.partitionBy("paper_id").orderBy("edge_no", "source", "target"))).where(F.col("__r") <= limit).drop("__r")
     general = questions.select("query", "paper_id").join(ids.select("query").distinct(), "query", "left_anti").join(first, "paper_id")
     touching = touching.unionByName(general)
     label = lambda end: nodes.select("paper_id", F.col("node_id").alias(end), F.col("label").alias(f"{end}_label"))
-    order = Window.partitionBy("query").orderBy("edge_no")
+    order = Window.partitionBy("query").orderBy("edge_no", "source", "target")
     told = touching.withColumn("fact_no", F.row_number().over(order)).where(F.col("fact_no") <= limit).join(label("source"), ["paper_id", "source"]).join(label("target"), ["paper_id", "target"])
     said = F.when(F.coalesce("said", F.lit("")) != "", F.concat(F.lit(": "), "said")).otherwise("")
     facts = told.select("query", "fact_no", F.concat("source_label", F.lit(" --"), "relation", F.lit("--> "), "target_label", said).alias("fact"))

@@ -53,5 +53,7 @@ ORACLES = {
         SELECT o AS ordinal, CASE WHEN NOT c THEN '' WHEN l = 1 THEN CAST(n1 AS VARCHAR) WHEN l = 2 THEN n1 || '.' || n2 ELSE n1 || '.' || n2 || '.' || n3 END AS number FROM d""",
     "f16_table_markdown": """WITH r AS (SELECT l_orderkey AS number, l_linenumber AS n, '| ' || min(l_returnflag) || ' | ' || max(l_linestatus) || ' |' || CASE WHEN l_linenumber = 1 THEN chr(10) || '| --- | --- |' ELSE '' END AS row FROM lineitem GROUP BY l_orderkey, l_linenumber)
         SELECT number % 7 AS paper_id, number, string_agg(row, chr(10) ORDER BY n) AS markdown FROM r GROUP BY number""",
+    "f10_label_numbers": r"""SELECT doc_id, CAST(least(6, len(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '(\w+)\. ', '\1 4.2 ', 'g'), '([A-Za-z][A-Za-z\-]+(?: [A-Za-z][A-Za-z\-]+)?)[^\d\n]{0,12}?(\d{1,3}\.\d{1,2})', 1), lambda x: lower(trim(x)))))) AS INT) AS n FROM documents""",
+    "f19_join_paragraphs": r"""SELECT doc_id, md5(array_to_string(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: CASE WHEN regexp_matches(p, '(?m)^\s*(?:\\(?:begin|end|item|\[|\])|[|&-]|\$\$)') THEN p ELSE trim(regexp_replace(p, '\s*\n\s*', ' ', 'g')) END), chr(10) || chr(10))) AS md5 FROM documents""",
     "u6_content_key": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text",
 }

@@ -27,11 +27,20 @@ def _paper_of(order: str):
     return F.floor(F.col(order) / 10)
 
 
+def _order_lines(spark, d):
+    """(l_orderkey, l_linenumber, l_partkey): one part, the first, of each line number of an order."""
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+
+
+def _part_name():
+    return F.concat(F.initcap("p_name"), F.lit(" "), F.col("l_partkey") % 40)
+
+
 def _mentions(spark, d):
     """Part names of orders as mentions, spelled in several ways."""
-    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = _order_lines(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    name = F.concat(F.initcap("p_name"), F.lit(" "), F.col("l_partkey") % 40)
+    name = _part_name()
     spelled = F.when(k % 4 == 0, F.concat(F.lit("The "), name)).when(k % 4 == 1, F.concat(name, F.lit(" [9]"))).when(k % 4 == 2, F.concat(name, F.lit(" dataset"))).otherwise(F.concat(name, F.lit("s")))
     center = table(spark, d, "orders").select(_paper_of("o_orderkey").alias("paper_id")).distinct().select("paper_id", F.lit(-1).cast("long").alias("mention_no"), F.lit("this work").alias("name"), F.lit("").alias("alias"), F.lit("this_work").alias("type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.lit("s0").alias("section_id"))
     named = li.select(_paper_of("l_orderkey").alias("paper_id"), k.alias("mention_no"), spelled.alias("name"), F.when(k % 9 == 0, "our method").otherwise("").alias("alias"), F.when(k % 3 == 0, "concept").otherwise("dataset").alias("type"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.lit("").alias("evidence"), F.concat(F.lit("s"), "l_linenumber").alias("section_id"))
@@ -49,8 +58,8 @@ def _components(spark, d):
 
 def _papers(spark, d):
     """Each paper says the names of its own parts."""
-    m = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return m.groupBy(_paper_of("l_orderkey").alias("paper_id")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("p_name"))), " ").alias("normal_lower"))
+    m = _order_lines(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return m.groupBy(_paper_of("l_orderkey").alias("paper_id")).agg(F.array_join(F.array_sort(F.collect_set(F.lower(_part_name()))), "; ").alias("normal_lower"))
 
 
 def _relations(spark, d):
@@ -170,11 +179,24 @@ _E = "e AS (SELECT CAST(l_linenumber AS VARCHAR) AS paper_id, 'p' || l_partkey A
 _V = """v AS (SELECT CAST(p AS VARCHAR) AS paper_id, x.* FROM (SELECT unnest(generate_series(1, 7)) AS p), (SELECT 'p' || p_partkey AS node_id, p_name AS label, CASE WHEN p_partkey = 0 THEN 'this_work' ELSE 'method' END AS type, lower(p_brand) AS alias, p_size % 5 AS mentions FROM part
     UNION ALL SELECT 's' || s_suppkey, s_name, 'dataset', '', 1 FROM supplier) x)"""
 _G = "g AS (SELECT paper_id, node_id, count(*) AS n FROM (SELECT paper_id, source AS node_id FROM e UNION ALL SELECT paper_id, target FROM e) GROUP BY ALL)"
+_M = """m AS (SELECT l_orderkey // 10 AS paper_id, l_orderkey * 10 + l_linenumber AS mention_no, lower(n) AS key, 's' || l_linenumber AS section_id, p_type,
+        CASE (l_orderkey * 10 + l_linenumber) % 4 WHEN 0 THEN 'The ' || n WHEN 1 THEN n || ' [9]' WHEN 2 THEN n || ' dataset' ELSE n || 's' END AS name
+        FROM (SELECT l_orderkey, l_linenumber, p_type, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' ' || (l_partkey % 40) AS n
+              FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = l_partkey)),
+    g AS (SELECT paper_id, key, min(mention_no) AS c, bool_or(mention_no % 9 = 0) AS own FROM m GROUP BY ALL),
+    w AS (SELECT m.*, CASE WHEN own THEN -1 ELSE c END AS cluster, CASE WHEN mention_no % 9 = 0 THEN 'our method' ELSE '' END AS alias, CASE WHEN mention_no % 3 = 0 THEN 'concept' ELSE 'dataset' END AS type, CASE WHEN mention_no % 2 = 0 THEN p_type ELSE '' END AS description FROM m JOIN g USING (paper_id, key)),
+    r AS (SELECT paper_id, mention_no, name, section_id, cluster, alias, type, description FROM w UNION ALL SELECT DISTINCT o_orderkey // 10, -1, 'this work', 's0', -1, '', 'this_work', '' FROM orders)"""
+_ROLLED = """nm AS (SELECT paper_id, cluster, name, count(*) AS n, min(mention_no) AS f FROM r GROUP BY ALL),
+    lb AS (SELECT paper_id, cluster, arg_max(name, struct_pack(n := n, l := length(name), f := -f)) AS label FROM nm GROUP BY ALL),
+    kd AS (SELECT paper_id, cluster, type, count(*) AS n, min(mention_no) AS f FROM r GROUP BY ALL),
+    tp AS (SELECT paper_id, cluster, arg_max(type, struct_pack(o := type = 'this_work', r := type <> 'concept', n := n, f := -f)) AS type FROM kd GROUP BY ALL),
+    re AS (SELECT paper_id, cluster, list_sort(list_distinct(list_concat(list(name), list(alias) FILTER (WHERE alias <> '')))) AS names, coalesce(arg_min(description, mention_no) FILTER (WHERE description <> ''), '') AS description,
+        array_to_string(list_sort(list_distinct(list(section_id))), ',') AS sections, count(*) AS mentions FROM r GROUP BY ALL)"""
 _SENT = r"""s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) BETWEEN 40 AND 260) AS s FROM documents)"""
 
 ORACLES = {
     "e1_clean_label": "SELECT p_partkey, 'π0-' || p_name AS label FROM part",
-    "e2_alias_keys": "SELECT p_partkey, array_to_string(list_sort(list_distinct([p_name || ' dataset', p_name])), '|') AS keys FROM part",
+    "e2_alias_keys": "SELECT p_partkey, array_to_string(list_sort(list_distinct([n || ' dataset', p_name])), '|') AS keys FROM part",
     "a8_rollup_edges": f"""WITH {_E}, p AS (SELECT paper_id, source, target, relation, section_id, min(relation_no) AS f, arg_min(description, struct_pack(a := relation_no, b := description)) AS d, count(*) AS n FROM e GROUP BY ALL)
         SELECT paper_id, source, target, relation, arg_min(d, f) AS description, string_agg(CAST(section_id AS VARCHAR), ',' ORDER BY f) AS sections, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
     "e7_add_implied_edges": f"""WITH {_E}, o AS (SELECT paper_id, source, target, relation FROM e WHERE relation = 'N'),
@@ -194,6 +216,28 @@ ORACLES = {
         l AS (SELECT DISTINCT a.paper_id, a.node, b.node AS other FROM p a JOIN p b USING (paper_id, key)),
         r AS (SELECT DISTINCT paper_id, node, node AS label FROM p UNION SELECT l.paper_id, l.node, r.label FROM r JOIN l ON l.paper_id = r.paper_id AND l.other = r.node)
         SELECT paper_id, node, min(label) AS label FROM r GROUP BY ALL""",
+    "e3_resolve_entities": f"WITH {_M} SELECT paper_id, mention_no, cluster FROM r",
+    "e5_resolve_edges": f"WITH {_M} SELECT paper_id, cluster AS source, CAST(-1 AS BIGINT) AS target, 'extends' AS relation, description, section_id, mention_no AS relation_no FROM w WHERE cluster <> -1 AND mention_no % 2 = 0",
+    "a7_rollup_entities": f"""WITH {_M}, {_ROLLED} SELECT paper_id, cluster, label, type, array_to_string(list_filter(names, lambda x: x <> label)[1:6], '|') AS aliases, description, sections, mentions FROM re JOIN lb USING (paper_id, cluster) JOIN tp USING (paper_id, cluster)""",
+    "e8_build_graph": f"""WITH {_M.replace("n || ' [9]'", "n")}, {_ROLLED},
+        sd AS (SELECT paper_id, cluster FROM r GROUP BY ALL HAVING bool_or(mention_no % 4 = 1) OR cluster = -1),
+        nd AS (SELECT paper_id, cluster, label, type, mentions, trim(regexp_replace(regexp_replace(lower(label), '^the ', ''), '[^a-z0-9]+', '-', 'g'), '-')[1:40] AS slug FROM re JOIN sd USING (paper_id, cluster) JOIN lb USING (paper_id, cluster) JOIN tp USING (paper_id, cluster)),
+        no AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN slug ELSE slug || '-' || row_number() OVER w END AS node_id FROM nd WINDOW w AS (PARTITION BY paper_id, slug ORDER BY cluster)),
+        ed AS (SELECT DISTINCT paper_id, cluster AS source, -1 AS target FROM w JOIN sd USING (paper_id, cluster) WHERE cluster <> -1 AND mention_no % 2 = 0),
+        dg AS (SELECT paper_id, cluster, count(*) AS degree FROM (SELECT paper_id, source AS cluster FROM ed UNION ALL SELECT paper_id, target FROM ed) GROUP BY ALL),
+        al AS (SELECT no.*, coalesce(degree, 0) AS degree, count(*) OVER (PARTITION BY paper_id) AS n FROM no LEFT JOIN dg USING (paper_id, cluster))
+        SELECT paper_id, node_id, label, type, mentions, degree, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY type <> 'this_work', 2 * degree + mentions DESC, lower(label), node_id) AS INT) AS rank
+        FROM al WHERE n <= 12 OR degree > 0 OR type = 'this_work' QUALIFY rank <= 36""",
+    "j22_graph_facts": f"""WITH {_E}, {_V}, q AS (SELECT CAST(s_suppkey % 7 + 1 AS VARCHAR) AS paper_id, s_suppkey AS query, 'what of ' || lower(s_name) || '?' AS question FROM supplier),
+        f AS (SELECT query, paper_id, node_id FROM q JOIN v USING (paper_id) WHERE (length(label) > 2 AND contains(question, lower(label))) OR (length(alias) > 2 AND contains(question, alias))),
+        t AS (SELECT DISTINCT query, e.* FROM f JOIN e ON e.paper_id = f.paper_id AND (e.source = f.node_id OR e.target = f.node_id)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relation_no, source, target) AS fact_no FROM t QUALIFY fact_no <= 14)
+        SELECT query, CAST(fact_no AS INT) AS fact_no, a.label || ' --' || relation || '--> ' || b.label || ': ' || description AS fact FROM n JOIN v a ON a.paper_id = n.paper_id AND a.node_id = n.source JOIN v b ON b.paper_id = n.paper_id AND b.node_id = n.target""",
+    "x2_enrich_checked": """SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN reverse(text) ELSE reverse(text || repeat(chr(10) || 'Problem: odd length', 2)) END AS reply, CASE WHEN length(text) % 2 = 1 THEN 'odd length' END AS problem, CASE WHEN length(text) % 2 = 1 THEN 2 ELSE 0 END AS rounds FROM conversations""",
+    "x3_extractive_analysis": rf"""WITH {_SENT}, c AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}_-]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9-]{{3,}}'))))[1:6] AS c, CASE WHEN len(s) > 0 THEN s WHEN text = '' THEN ['This section has little text.'] ELSE [left(text, 200)] END AS p FROM s)
+        SELECT doc_id, array_to_string(p[1:2], ' ') AS summary, CAST(len(p[1:4]) AS BIGINT) AS n_points, array_to_string(c[1:3], ',') AS concepts, array_to_string(c[4:6], ',') AS prior_work FROM c""",
+    "x5_t11_extractive_graph": r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9]{2,}'))) AS term FROM documents), n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2)
+        SELECT doc_id, 'this work' AS source, 'uses' AS relation, term AS target FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= 4""",
     "w13_unique_slugs": "SELECT p_partkey % 10 AS paper_id, p_partkey AS cluster, replace(p_name, ' ', '-') || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS node_id FROM part WINDOW w AS (PARTITION BY p_partkey % 10, p_name ORDER BY p_partkey)",
     "x1_enrich": """WITH a AS (SELECT conv_id, turn, text AS request FROM conversations), k AS (SELECT DISTINCT request FROM a WHERE turn = 0)
         SELECT conv_id, turn, request, CASE WHEN request IN (SELECT request FROM k) THEN 'stored' ELSE reverse(request) END AS reply FROM a""",

@@ -227,6 +227,7 @@ QUERIES = {
 
 _L = "l AS (SELECT doc_id AS paper_id, (i - 1) // 40 AS page, (i - 1) // 5 AS block, i - 1 AS line_no, ls[i] AS text FROM (SELECT source, doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 _N = r"""trim(regexp_replace(regexp_replace(translate(X, '‘’“”–—−' || chr(160) || chr(8201) || chr(8239) || chr(173), '''''""---   '), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))"""
+_CANON = rf"trim(regexp_replace(regexp_replace(replace(lower({_N}), 'π', 'pi'), '[\\$_^{{}}]', '', 'g'), '[^a-z0-9.%]+', ' ', 'g'))"
 _HEAD = r"m AS (SELECT *, CASE WHEN trim(text) <> '' AND len(regexp_extract_all(trim(text, chr(32)), '\s+')) < 3 THEN text END AS heading FROM l)"
 _SEC = "s AS (SELECT source AS paper_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id % 3 + 1 AS level, text FROM documents)"
 
@@ -242,6 +243,16 @@ ORACLES = {
         SELECT paper_id, length(t) AS n, md5(t) AS md5 FROM p""",
     "w1_sectionize": rf"""WITH {_L}, {_HEAD}, w AS (SELECT *, count(heading) OVER o AS section_no, last_value(heading IGNORE NULLS) OVER o AS section FROM m WINDOW o AS (PARTITION BY paper_id ORDER BY line_no))
         SELECT paper_id, section_no, min(section) AS section, count(*) AS n, min(line_no) AS first FROM w WHERE heading IS NULL GROUP BY 1, 2""",
+    "w15_choose_structure": rf"""WITH {_L}, {_HEAD}, h AS (SELECT paper_id, line_no AS start, (line_no % 9) || ' ' || heading AS heading, count(*) OVER (PARTITION BY paper_id) AS n FROM m WHERE heading IS NOT NULL),
+        p AS (SELECT paper_id, max(page) + 1 AS n FROM l GROUP BY 1)
+        SELECT paper_id, start, heading FROM h WHERE n >= 3
+        UNION ALL SELECT paper_id, x, 'Pages ' || (x + 1) || '-' || least(n, x + 2) FROM (SELECT paper_id, n, unnest(generate_series(0, n - 1, 2)) AS x FROM p WHERE paper_id NOT IN (SELECT paper_id FROM h WHERE n >= 3))""",
+    "j13_find_page": f"""WITH c AS (SELECT doc_id AS page, ' ' || {_CANON.replace("X", "text")} || ' ' AS t FROM documents), k AS (SELECT item_id, ' ' || array_to_string(string_split({_CANON.replace("X", "text")}, ' ')[1:5], ' ') || ' ' AS key FROM benchmark), n AS (SELECT count(*) AS n FROM documents)
+        SELECT 'all' AS paper_id, item_id AS phrase_id, arg_min(page, ((page - item_id * 10) % n + n) % n) AS page FROM k JOIN c ON contains(t, key), n GROUP BY item_id""",
+    "j4_ground_numbers": r"SELECT doc_id AS number_id FROM documents WHERE doc_id % 2 = 0 AND regexp_matches(text, '(^|[^\w.])\d+($|[^\w.])')",
+    "p7_clean_concepts": r"""WITH f AS (SELECT doc_id, i, CASE i WHEN 0 THEN length(w) BETWEEN 2 AND 20 AND NOT contains(w, ')') WHEN 1 THEN false ELSE contains(lower(text), source) END AS hit
+        FROM (SELECT *, string_split_regex(trim(text), '\s+')[1] AS w, unnest([0, 1, 2]) AS i FROM documents))
+        SELECT doc_id AS section_id, CAST(i AS INT) AS concept_no FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM f) WHERE hit OR NOT any_hit""",
     "w7_neighbors": """SELECT o_custkey AS paper_id, o_orderkey AS section_no, o_orderpriority AS title, lag(o_orderpriority) OVER w AS previous, lead(o_orderpriority) OVER w AS next,
         CAST(row_number() OVER w AS INT) AS position, count(*) OVER (PARTITION BY o_custkey) AS n_sections FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
     "w8_earlier_context": """SELECT conv_id AS paper_id, turn AS section_no, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS earlier FROM conversations""",
