@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import floats, graphs, layout, library, papers, retrieval, tex
+from . import exchange, floats, graphs, layout, library, papers, retrieval, tex
 
-_PLANS = (retrieval, library, papers, graphs, floats, tex, layout)
+_PLANS = (retrieval, library, papers, graphs, floats, tex, layout, exchange)
 
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
