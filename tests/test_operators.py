@@ -215,9 +215,43 @@ def test_quotes_with_noise(spark):
     assert (40, len(texts) - 1) in want and len(want) > 30
     tables = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), spark.createDataFrame(list(enumerate(texts)), "source_id long, text string")
     assert {(r.quote_id, r.source_id): r.found for r in grounding.fuzzy_match_quotes(*tables).collect()} == want
-    hits, grounding.MOST_HITS = grounding.MOST_HITS, 5
-    try:
-        found = grounding._Quotes(bare)
-        assert {(i, j): f for j, t in enumerate(texts) if t is not None for i, f in grounding._near(found, t, 0.88) if len(bare[i]) >= 12} == want
-    finally:
-        grounding.MOST_HITS = hits
+    lows = [(t, grounding._rolled(grounding._codes(t), 8)) for t in texts if t is not None]
+    for low, have in lows:
+        for q in bare:
+            got = grounding._longest(have, have.argsort(kind="stable"), grounding._rolled(grounding._codes(q), 8))
+            m = SequenceMatcher(None, low, q, autojunk=False).find_longest_match()
+            assert got == ((m.a, m.b, m.size) if m.size >= 8 else (0, 0, 0))
+
+
+def test_recall_of_quotes_with_typos(spark):
+    """Pieces of the small table's documents with up to a typo in every ten characters: nearly all that the comparison of every quote with every source finds."""
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(3)
+    docs = [(r.doc_id, re.sub(r"\s+", " ", r.text).strip()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    docs = [(i, t) for i, t in docs if 100 < len(t) < 4000]
+    quotes = []
+    for k in range(120):
+        text = rnd.choice(docs)[1]
+        at = rnd.randrange(len(text) - 90)
+        quote = list(text[at : at + rnd.randint(60, 200)])
+        for j in rnd.sample(range(len(quote)), len(quote) * (k % 10) // 100):
+            quote[j] = rnd.choice(["", "q", quote[j] + "z"])
+        quotes.append((k, "".join(quote).strip(" \"'")))
+
+    def near(q, low):
+        if q in low:
+            return True
+        if not any(q[i : i + 8] in low for i in range(len(q) - 7)):
+            return False
+        m = SequenceMatcher(None, low, q, autojunk=False).find_longest_match()
+        start = max(0, m.a - m.b)
+        window = SequenceMatcher(None, low[start : start + len(q) + 8], q, autojunk=False)
+        return window.real_quick_ratio() >= 0.88 and window.quick_ratio() >= 0.88 and window.ratio() >= 0.88
+
+    want = {(k, i) for k, q in quotes for i, t in docs if near(q.lower(), t.lower())}
+    tables = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "source_id long, text string")
+    got = {(r.quote_id, r.source_id) for r in grounding.fuzzy_match_quotes(*tables).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
