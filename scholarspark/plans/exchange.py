@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import new_path
 from ..sources import io
 from ..sources.tables import table
 from ..streaming import activity
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
 def _corpus(spark, d):
     """Every document as a nested paper with a section for each line."""
-    path = _folder(spark)
+    path = new_path(spark)
     docs = table(spark, d, "documents")
     section = lambda x, i: F.struct(F.concat(F.lit("r"), i).alias("raw_id"), i.alias("section_no"), F.lit("h").alias("heading"), F.lit(1).alias("level"), x.alias("text"), F.floor(i / 40).cast("int").alias("page_start"), F.floor(i / 40).cast("int").alias("page_end"))
     papers = docs.select(F.col("doc_id").cast("string").alias("paper_id"), "source", F.transform(F.split("text", "\n", -1), section).alias("sections"))
@@ -28,7 +22,7 @@ def _corpus(spark, d):
 
 
 def _corpus_papers(spark, d):
-    path = _folder(spark)
+    path = new_path(spark)
     table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "source", F.sha2("text", 256).alias("sha256"), F.lit([]).cast(f"array<struct<{io.SECTION.replace(' ', ': ').replace(',:', ',')}>>").alias("sections")).write.json(path)
     return io.read_corpus(spark, path)[0].select("paper_id", "source", "sha256")
 
@@ -45,14 +39,14 @@ def _events(spark, d):
 
 
 def _read_activity(spark, d):
-    path = _folder(spark)
+    path = new_path(spark)
     _events(spark, d).write.json(path)
     return io.read_activity(spark, path).select("page", "kind", F.col("at").cast("timestamp_ntz").alias("at"), "correct", "total", F.array_join("read", ",").alias("read"))
 
 
 def _run_logs(spark, d):
     """A line for each event in the form of a log, and some that have another."""
-    path = _folder(spark)
+    path = new_path(spark)
     level = F.element_at(F.array(*map(F.lit, ["DEBUG", "INFO", "WARNING", "ERROR"])), (F.col("event_id") % 4 + 1).cast("int"))
     line = F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" "), level, F.lit(" "), "event_type", F.lit(": value "), "event_id")
     table(spark, d, "events").select(F.when(F.col("event_id") % 9 == 0, "no log line").otherwise(line).alias("value")).write.text(path)
@@ -60,32 +54,32 @@ def _run_logs(spark, d):
 
 
 def _cache_files(spark, d):
-    path = _folder(spark)
+    path = new_path(spark)
     table(spark, d, "documents").select("text", "lang").write.partitionBy("lang").parquet(path)
     return io.read_cache_files(spark, path).where("file like '%.parquet' and bytes > 0").select("kind").distinct()
 
 
 def _artifacts(spark, d):
-    path = _folder(spark)
+    path = new_path(spark)
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.struct(F.col("source").alias("title"), F.length("text").alias("size")).alias("paper"))
     io.write_artifacts(docs, path)
     return spark.read.schema("paper_id string, paper struct<title: string, size: long>, bucket int").json(path).select("paper_id", "paper.title", "paper.size", (F.col("bucket") == F.pmod(F.hash("paper_id"), F.lit(16))).alias("placed"))
 
 
 def _index(spark, d):
-    path = _folder(spark)
+    path = new_path(spark)
     docs = table(spark, d, "documents").select(F.col("source").alias("paper_id"), F.col("doc_id").alias("chunk_no"), "text")
     io.write_index(docs, path)
     return spark.read.parquet(path).select("paper_id", "chunk_no", F.md5("text").alias("md5"))
 
 
 def _stage(spark, d):
-    return io.write_stage(table(spark, d, "events").where("event_type <> 'error'"), "activity", _folder(spark)).select("event_id", "user_id", "event_type")
+    return io.write_stage(table(spark, d, "events").where("event_type <> 'error'"), "activity", new_path(spark)).select("event_id", "user_id", "event_type")
 
 
 def _responses(spark, d):
     """Replies stored in two turns, and read as one store."""
-    path = _folder(spark)
+    path = new_path(spark)
     c = table(spark, d, "conversations").select(F.sha2(F.concat_ws("|", "conv_id", "turn"), 256).alias("request_key"), F.col("text").alias("reply"), "turn")
     io.append_responses(c.where("turn % 2 = 0").drop("turn"), path)
     io.append_responses(c.where("turn % 2 = 1").drop("turn"), path)
@@ -94,7 +88,7 @@ def _responses(spark, d):
 
 def _streamed(spark, stream: DataFrame, mode: str, schema) -> DataFrame:
     """All rows that a stream has given by the end of the input, with the number of their batch."""
-    path = _folder(spark)
+    path = new_path(spark)
     keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/rows")
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -103,7 +97,7 @@ def _streamed(spark, stream: DataFrame, mode: str, schema) -> DataFrame:
 
 def _raw(spark, d):
     """The events as a stream of JSON lines."""
-    path = _folder(spark)
+    path = new_path(spark)
     e = _events(spark, d)
     e.select(F.when(F.substring("page", -1, 1) == "7", F.lit("{broken")).otherwise(F.to_json(F.struct(*e.columns))).alias("value")).write.text(path)
     return spark.readStream.text(path)
@@ -135,7 +129,7 @@ def _progress(spark, d):
 
 
 def _changes(spark, d):
-    path = _folder(spark)
+    path = new_path(spark)
     e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("run"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("state"))
     e.write.parquet(path)
     stream = spark.readStream.schema(e.schema).parquet(path)

@@ -255,3 +255,16 @@ def test_recall_of_quotes_with_typos(spark):
     tables = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "source_id long, text string")
     got = {(r.quote_id, r.source_id) for r in grounding.fuzzy_match_quotes(*tables).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    from scholarspark.shared import scratch, shared_dir, written
+
+    outside = str(tmp_path / "kept")
+    with scratch(spark) as folder:
+        inner = written(spark.range(5))
+        kept = written(inner.where("id > 2"), outside)
+        assert os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 2 and shared_dir(spark)
