@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.components import components
+from ..shared import new_path, shared_dir, written
 from ..shared import settle as cut
-from ..shared import shared_dir, written
 
 __all__ = ["WS_CLASS", "WS_RUN", "components", "cut", "dealt", "documents", "fresh", "model_path", "n_words", "positions", "shared_dir", "written"]
 
@@ -32,7 +33,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df, written as Parquet in the shared folder in buckets by keys: joins on them don't shuffle it again."""
     spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", new_path(spark)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -58,28 +59,3 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(so_far), F.lit(0)).alias("__before"))
     in_range = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(before, "__range").select(*df.columns, (F.col("__before") + in_range).alias("position"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph: one row (node, label) for each node of `edges` (a, b long); label is the smallest node of its component.
-
-    Large-star and small-star rounds: every node hands its neighbours to the smallest node that it knows, which
-    halves the distances each time. Stops when a round changes nothing. Only a count and a sum reach the driver.
-    Null ends and loops are ignored; an empty table gives an empty one.
-    """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are kept before they are joined: straight after the sums, a hub's neighbours would stay in one task.
-        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    leaves = now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
-    return leaves.unionAll(leaves.select(F.col("label").alias("node"), "label").distinct())

@@ -58,3 +58,37 @@ def test_run(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     assert all(len(r.ids) == r.n_tokens for r in out.collect())
+
+
+def test_awkward_rows(spark):
+    """Nulls in every column, empty and blank texts, repeated rows, and columns with other names and clashing ones."""
+    good = " ".join(f"word{i} then{i % 7} more{i * 31 % 101}" for i in range(40))
+    rows = [(1, good, "en", "s", 9), (2, good, None, None, None), (None, good + " end", "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", None, 0), (5, " \n ", "de", "s", 3), (1, good, "en", "s", 9)]
+    table = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, fp string")
+    docs, kept = table, {}
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        kept[name] = docs.collect()
+        docs = spark.createDataFrame(kept[name], docs.schema)
+        if name != "sentencepiece":
+            assert docs.columns == pipeline.COLUMNS
+    assert sorted(repr(r.doc_id) for r in kept["quality rules"]) == ["1", "1", "2", "None"]  # the others have under 50 words
+    assert len(kept["line dedup"]) == 4
+    assert [r.doc_id for r in kept["simhash near-dedup"]].count(1) == 1 and len(kept["simhash near-dedup"]) <= 2
+    empty = table.where("doc_id > 1000")
+    for _, stage in pipeline.STAGES:
+        empty = stage(spark, empty, "")
+        assert empty.count() == 0
+
+
+def test_run_leaves_one_table(spark):
+    """What the stages have written goes, but for the input of the last."""
+    import os
+
+    from scholarspark.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(folder) if len(x) == 32}
+    before = tables()
+    assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(tables() - before) == 1
