@@ -56,7 +56,7 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_library", "ids"]
     assert all(len(r.ids) == r.n_tokens for r in out.collect())
 
 
