@@ -241,6 +241,7 @@ ORACLES = {
     "w13_unique_slugs": "SELECT p_partkey % 10 AS paper_id, p_partkey AS cluster, replace(p_name, ' ', '-') || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS node_id FROM part WINDOW w AS (PARTITION BY p_partkey % 10, p_name ORDER BY p_partkey)",
     "x1_enrich": """WITH a AS (SELECT conv_id, turn, text AS request FROM conversations), k AS (SELECT DISTINCT request FROM a WHERE turn = 0)
         SELECT conv_id, turn, request, CASE WHEN request IN (SELECT request FROM k) THEN 'stored' ELSE reverse(request) END AS reply FROM a""",
+    "x4_check_answers": rf"""WITH {_SENT} SELECT doc_id, CAST(i AS INT) AS question_no, 1 AS found FROM (SELECT doc_id, unnest(generate_series(1, len(s))) AS i FROM s)""",
     "x4_extractive_quiz": rf"""WITH {_SENT}, q AS (SELECT doc_id, i, s[i] AS s, string_split_regex(s[i], '\s+') AS w FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM s))
         SELECT doc_id, CAST(i AS INT) AS question_no, 'What does the paper say about ' || array_to_string(list_transform(w[3:6], lambda x: trim(x, '.,;:')), ' ') || '?' AS question, array_to_string(w[1:18], ' ') AS correct FROM q""",
 }

@@ -112,6 +112,12 @@ QUERIES = {
 }
 
 ORACLES = {
+    "j14_locate_quotes": r"""WITH p AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
+        q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        s AS (SELECT item_id, unnest([w[1:9], CASE WHEN len(w) > 14 THEN w[-7:] END]) AS s FROM q),
+        h AS (SELECT DISTINCT item_id, doc_id, CASE doc_id WHEN item_id * 2 THEN 1 WHEN item_id THEN 2 ELSE 0 END AS place FROM s JOIN p ON contains(t, ' ' || array_to_string(s, ' ') || ' ') WHERE len(s) >= 4),
+        b AS (SELECT item_id, doc_id FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY place = 0, place, doc_id) = 1)
+        SELECT item_id AS quote_id, coalesce(doc_id, -1) AS page FROM benchmark LEFT JOIN b USING (item_id)""",
     "f17_tabular_cells": """SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no, o_orderstatus || '||' || o_orderkey AS cells FROM orders""",
     "f21_parse_bibitems": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders)
         SELECT o_custkey, no, 'k' || o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ', ' || year(o_orderdate) ELSE CAST(no AS VARCHAR) END AS short, o_orderstatus || '.' AS text FROM o""",
