@@ -1,6 +1,6 @@
 """Column functions over TeX sources: tables, bibliographies, sections, citations and cross-references.
 
-Groups in braces are read without nested ones, unless said otherwise.
+Titles and labels in braces may hold other groups, DEPTH levels of them.
 """
 
 from __future__ import annotations
@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 
 from .text import delatex, let, strip_comments, text_or_empty
 
+DEPTH = 5
+
+
+def _inside(depth: int = DEPTH) -> str:
+    """A pattern for what stands between two braces that belong together."""
+    return r"[^{}]*+" + (rf"(?:\{{{_inside(depth - 1)}\}}[^{{}}]*+)*+" if depth else "")
+
+
 # Commands that draw a table, commands that cite or refer, and how each shows what it names.
 TABLE_RULES = r"\\(?:toprule|midrule|bottomrule|hline|endhead|endfoot|endfirsthead)\b(?:\[[^\]]*\])?|\\(?:cmidrule|cline)(?:\([^)]*\))?\{[^}]*\}|\\(?:rowcolor|cellcolor)(?:\[[^\]]*\])?\{[^}]*\}"
 CITE = r"\\(?:citep|citealp|parencite|cite|autocite|citet|textcite|citeauthor|citeyear)\*?(?:\[[^\]]*\]){0,2}\{[^}]*\}"
 REFER = r"\\(?:autoref|cref|Cref|nameref|eqref|ref)\{[^}]*\}"
-HEADING = r"\\(section|subsection|subsubsection)(\*?)\s*(?:\[[^\]]*\])?\s*\{([^{}]*)\}"
+HEADING = rf"\\(section|subsection|subsubsection)(\*?)\s*(?:\[[^\]]*\])?\s*\{{({_inside()})\}}"
 LEVELS = {"section": 1, "subsection": 2, "subsubsection": 3}
 LEAST_PREAMBLE = 200
 
@@ -43,7 +51,7 @@ def tabular_cells(body: Column) -> Column:
 def parse_bibitems(bbl: Column) -> Column:
     """array of (no, key, short, text): the entries of a bibliography; short is "Authors, Year" from the label, else the label up to ), else the running number."""
     items = F.slice(F.split(text_or_empty(bbl), r"\\bibitem", -1), 2, 1_000_000_000)
-    form = r"(?s)^\s*(?:\[((?:[^\[\]{}]|\{[^{}]*\})*)\])?\s*(?:\{([^{}]*)\})?(.*)$"
+    form = rf"(?s)^\s*(?:\[((?:[^\[\]{{}}]|\{{{_inside()}\}})*)\])?\s*(?:\{{([^{{}}]*)\}})?(.*)$"
 
     def entry(item: Column, i: Column) -> Column:
         label = tex_text(F.regexp_replace(F.regexp_extract(item, form, 1), r"[{}]", ""))
@@ -60,7 +68,7 @@ def split_tex_sections(tex: Column) -> Column:
     t = strip_comments(text_or_empty(tex))
     t = F.regexp_replace(t, r"(?s)^.*?\\begin\{document\}", "")
     t = F.regexp_replace(t, r"(?s)\\begin\{(abstract|thebibliography)\}.*?\\end\{\1\}|\\maketitle|\\end\{document\}", "")
-    whole = HEADING.replace("(section|subsection|subsubsection)(\\*?)", "(?:section|subsection|subsubsection)\\*?").replace("([^{}]*)", "[^{}]*")
+    whole = HEADING.replace("(section|subsection|subsubsection)(\\*?)", "(?:section|subsection|subsubsection)\\*?").replace(f"({_inside()})", _inside())
     kind, star, title = (F.regexp_extract_all(t, F.lit(HEADING), F.lit(g)) for g in (1, 2, 3))
     level = lambda k: F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[k]
     heads = F.transform(F.arrays_zip(kind.alias("k"), star.alias("s"), title.alias("t")), lambda h: F.struct(level(h["k"]).alias("level"), (h["s"] == "*").alias("starred"), tex_text(h["t"]).alias("title")))

@@ -28,8 +28,11 @@ def test_bibliography(spark):
 def test_sections(spark):
     text = "\\title{t}\\begin{document}\\maketitle\\begin{abstract}gone\\end{abstract} short % \\section{no}\n\\section{One}\n a \\subsection*[s]{Two \\emph{x}}b\\subsection{Three}\\begin{thebibliography}{9}z\\end{thebibliography}\\section*{End} c\\end{document}"
     got = [tuple(s) for s in column(spark, tex.split_tex_sections, text)[0]]
-    assert got[0] == (1, 1, False, "One", got[0][4]) and got[0][4].startswith("a")
-    assert got[1:] == [(2, 2, False, "Three", ""), (3, 1, True, "End", "c")]  # a title with a nested group is no mark
+    assert got == [(1, 1, False, "One", "a"), (2, 2, True, "Two x", "b"), (3, 2, False, "Three", ""), (4, 1, True, "End", "c")]
+    deep = "\\section{A {\\bf B {C {D}}} E} body \\section{open {never closed"
+    assert [(s.no, s.body) for s in column(spark, tex.split_tex_sections, deep)[0]] == [(1, "body \\section{open {never closed")]
+    long = "\\bibitem[{{A {B}} et~al.(2020)}]{k} Text."
+    assert [tuple(e) for e in column(spark, tex.parse_bibitems, long)[0]] == [(1, "k", "A B et al., 2020", "Text.")]
     assert column(spark, tex.split_tex_sections, "y" * 201 + "\\section{A}b", None)[0][0].title == "Preamble"
     assert column(spark, tex.split_tex_sections, None, "") == [[], []]
 
