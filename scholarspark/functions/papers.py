@@ -41,6 +41,7 @@ def content_key(*columns: Column) -> Column:
 
 def label_numbers(text: Column, most: int = 6) -> Column:
     """array of (label, value): one or two words within 12 characters before a decimal number; the first of each label, `most` at most."""
+    # The form of a label and its number.
     form = r"([A-Za-z][A-Za-z\-]+(?: [A-Za-z][A-Za-z\-]+)?)[^\d\n]{0,12}?(\d{1,3}\.\d{1,2})"
     t = text_or_empty(text)
     pairs = F.zip_with(F.regexp_extract_all(t, F.lit(form), F.lit(1)), F.regexp_extract_all(t, F.lit(form), F.lit(2)), lambda a, b: F.struct(F.lower(F.trim(a)).alias("key"), F.substring(F.trim(a), 1, 24).alias("label"), b.cast("double").alias("value")))
