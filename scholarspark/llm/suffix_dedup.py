@@ -15,7 +15,7 @@ from .common import cut, dealt, written
 
 #: Bytes of the grams whose hashes deal windows out. A key that has over MOST bytes of different pieces is dealt out again by the next, longer grams; the last are whole windows.
 GRAMS = (50, 150, 190)
-MOST = 1 << 19
+MOST = 1 << 20
 CHUNK = 1 << 21  # window starts that a task works on at once
 BLOCK = 1 << 20  # bytes of the texts that get one suffix array, unless a single key has more
 LONGEST = 512  # windows of a run; longer ones, which only periodic texts have, are several
@@ -335,15 +335,26 @@ def _cut_out(batches):
 
 
 def repeated_spans(texts: DataFrame, length: int, most: int = MOST) -> DataFrame:
-    """(k1, k2, start, stop) of what repeats in dealt texts(k1, k2, text, runs)."""
-    spans, level, source, step = [], 0, texts.select("k1", "k2", "text", "runs"), lambda b: _pieces(length, b)
+    """(k1, k2, start, stop) of what repeats in dealt texts(k1, k2, text, runs, copied).
+
+    The bytes of a piece come from the first of its owners among the texts without copies; texts with copies, which
+    lie together, give theirs besides, once for each task."""
+    held = texts.where("runs is not null")
+    single, several_of = held.where("not copied").select("k1", "k2", "text", "runs"), held.where("copied").select("k1", "k2", "text", "runs")
+    narrow = lambda source, step: source.mapInArrow(step, _Pieces.DDL).drop("piece")
+    found = written(narrow(single, _pieces(length, False)).withColumn("copied", F.lit(False)).unionAll(narrow(several_of, _pieces(length, False)).withColumn("copied", F.lit(True))))
+    spans, level = [], 0
     while True:
-        narrow = written(source.mapInArrow(step(False), _Pieces.DDL).drop("piece"))
-        each = cut(narrow.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), (F.max("n") + length - 1).alias("size")))
+        own = F.when(~F.col("copied"), F.struct("k1", "k2", "p", "n"))
+        each = cut(found.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), (F.max("n") + length - 1).alias("size"), F.min(own).alias("own")))
         # A piece with several owners is repeated as a whole. Sums are kept before the join, so that it can split frequent pieces.
-        several = narrow.join(each.where("times > 1").select("d1", "d2"), ["d1", "d2"])
+        several = found.join(each.where("times > 1").select("d1", "d2"), ["d1", "d2"])
         spans.append(several.select("k1", "k2", F.col("p").alias("start"), (F.col("p") + F.col("n") + length - 1).alias("stop")))
-        pieces = source.mapInArrow(step(True), _Pieces.DDL)
+        if level == 0:
+            first = each.where("own is not null").select("own.k1", "own.k2", F.struct("own.p", "own.n", F.col("key").alias("h")).alias("run")).groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
+            pieces = single.drop("runs").join(first, ["k1", "k2"]).select("k1", "k2", "text", "runs").unionAll(several_of).mapInArrow(_pieces(length, True), _Pieces.DDL)
+        else:
+            pieces = source.mapInArrow(_slices(length, gram, True), _Pieces.DDL)
         hot = cut(each.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("key"))
         n_hot = hot.count() if level < len(GRAMS) else 0
         if n_hot:
@@ -355,7 +366,7 @@ def repeated_spans(texts: DataFrame, length: int, most: int = MOST) -> DataFrame
             return functools.reduce(DataFrame.unionAll, spans)
         level += 1
         gram = (*GRAMS, length)[level]
-        step = lambda b, gram=gram: _slices(length, gram, b)
+        found = written(narrow(source, _slices(length, gram, False)).withColumn("copied", F.lit(True)))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, most: int = MOST) -> DataFrame:
@@ -369,7 +380,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, most: int = MOST) -> DataFr
     Texts go by a key of their content; equal ones are settled by counting them. Strings of `length` bytes are dealt
     out by the least hash of their grams, which equal strings share. A run of neighbouring windows with one least
     hash is one row. Hashes that occur once can't be repeats, so only the bytes of the other runs are shuffled, of
-    equal runs once for each task, and each task builds suffix arrays of blocks of them: small suffixes sorted,
+    equal runs those of one, and each task builds suffix arrays of blocks of them: small suffixes sorted,
     large ones induced, adjacent common prefixes compared. A run with several owners is repeated as a whole. A hash under
     which over `most` bytes would gather is dealt out again by the least hash of longer grams, at last of whole
     windows, of which only different ones remain. Texts are shuffled once, with their runs, and lie by their key then.
@@ -384,7 +395,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, most: int = MOST) -> DataFr
     found = runs.join(often, "h").select("k1", "k2", F.struct("p", "n", "h").alias("run"), F.lit(False).alias("copied")).unionAll(copied)
     marks = written(found.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"), F.max("copied").alias("copied")))
     texts = dealt(keyed.join(marks, ["k1", "k2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False))), "k1", "k2")
-    spans = repeated_spans(texts.where("runs is not null"), length, most)
+    spans = repeated_spans(texts, length, most)
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
     single = texts.where("not copied").join(per_doc, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut_out, schema)
