@@ -16,7 +16,8 @@ from .common import cut, dealt, written
 #: Bytes of the grams whose hashes deal windows out. A key that has over MOST bytes of different pieces is dealt out again by the next, longer grams; the last are whole windows.
 GRAMS = (50, 150, 190)
 MOST = 1 << 20
-CHUNK = 1 << 21  # window starts that a task works on at once
+CHUNK = 1 << 19  # window starts that a task works on at once
+ROWS = 1000  # texts that a task lays out at once
 BLOCK = 1 << 20  # bytes of the texts that get one suffix array, unless a single key has more
 LONGEST = 512  # windows of a run; longer ones, which only periodic texts have, are several
 SEEN = 500_000  # digests that a task remembers
@@ -120,10 +121,11 @@ def _runs(length: int):
                     seen.add(k)
                     new.append(i)
             seen = set() if len(seen) > SEEN else seen
-            batch = batch.take(pa.array(new, pa.int64()))
-            for text, p, n, h, again in _cut_runs(*_strings(batch.column(2)), hasher):
-                text = pa.array(text)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(p), pa.array(n), pa.array(h), pa.array(again)], names=["k1", "k2", "p", "n", "h", "again"])
+            for i in range(0, len(new), ROWS):
+                some = batch.take(pa.array(new[i : i + ROWS], pa.int64()))
+                for text, p, n, h, again in _cut_runs(*_strings(some.column(2)), hasher):
+                    text = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(text), some.column(1).take(text), pa.array(p), pa.array(n), pa.array(h), pa.array(again)], names=["k1", "k2", "p", "n", "h", "again"])
 
     return run
 
@@ -169,12 +171,14 @@ def _pieces(length: int, with_bytes: bool):
             new[:1] = [(a, b) != last for a, b in zip(k1[:1], k2[:1])]
             last = (k1[-1], k2[-1]) if len(k1) else last
             batch = batch.filter(pa.array(new))
-            for k1, k2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                data = text.as_buffer().to_pybytes()
-                for r in runs:
-                    out.add(r["h"], k1, k2, r["p"], r["n"], data[r["p"] : r["p"] + r["n"] + length - 1])
-                if out.size > 1 << 24:
-                    yield out.batch()
+            for i in range(0, len(batch), ROWS):
+                some = batch.slice(i, ROWS)
+                for k1, k2, text, runs in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2), some.column(3).to_pylist()):
+                    data = text.as_buffer().to_pybytes()
+                    for r in runs:
+                        out.add(r["h"], k1, k2, r["p"], r["n"], data[r["p"] : r["p"] + r["n"] + length - 1])
+                    if out.size > 1 << 23:
+                        yield out.batch()
         yield out.batch()
 
     return run
