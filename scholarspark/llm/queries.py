@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, line_dedup, mixing, pii, quality, secrets, sentencepieces, simhash, suffix_dedup
+from . import exact_dedup, language, line_dedup, mixing, pii, quality, resampling, secrets, sentencepieces, simhash, suffix_dedup, whitening, word_bpe
 from .common import documents, model_path
 
 
@@ -70,6 +70,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ordinal", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "kept")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score, and its rank if it is drawn."""
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digests of the word-end BPE ids of every document, and of the text decoded from them."""
+    return word_bpe.encode_decode(documents(spark, sf_dir), model_path("word_bpe_49k.json"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 16 first principal components, whitened; a deviation beyond a long is null."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -81,6 +97,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op11_resampling": op11_resampling,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -154,4 +173,30 @@ ORACLES = {
                NOT base_failed AND lost <= n_words * 0.5::DOUBLE AS kept
         FROM f
     """,
+    "op11_resampling": r"""
+        WITH byte_table AS (
+            SELECT [list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, 3988292384 * (c & 1))) FOR b IN range(256)] AS t),
+        seen AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        wanted AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        f AS (SELECT doc_id, unnest(ws) AS w FROM seen),
+        g AS (SELECT unnest(ws) AS w FROM wanted),
+        words AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM f UNION ALL SELECT w FROM g)),
+        coded AS (SELECT w, xor(4294967295, list_reduce(
+                      list_concat([4294967295], [CAST(CAST('0x' || h[2 * i + 1:2 * i + 2] AS INTEGER) AS BIGINT) FOR i IN range(length(h) // 2)]),
+                      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+                  FROM words, byte_table),
+        s AS (SELECT bucket, count(*) AS n FROM f JOIN coded USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM g JOIN coded USING (w) GROUP BY bucket),
+        sums AS (SELECT CAST(coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS s_all, CAST(coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS t_all),
+        gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain
+                 FROM sums, s LEFT JOIN t USING (bucket)),
+        weighed AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN coded USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+        d AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                     CAST(CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) AS h
+              FROM seen LEFT JOIN weighed USING (doc_id)),
+        e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20)
+        SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank
+        FROM e LEFT JOIN r USING (doc_id)
+    """,
 }
