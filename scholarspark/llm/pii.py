@@ -41,8 +41,9 @@ _WORD = r"\p{Lu}[\p{L}’'-]*\p{L}"
 _LETTER_BEFORE = r"(?<![\p{L}\p{N}])"
 _CUE = rf"{_LETTER_BEFORE}(?i:{'|'.join(CUES)})[ \n]"
 # Each begins where nothing of its own kind goes before, and takes its first part without going back, so long words cost no more than their length.
+# Groups that repeat have a bound, for they are matched by recursion; a host has at most 127 labels.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}(?<=\.[A-Za-z]{2,24})",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "card": r"(?<![\d+])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\d+.,])\d{13,19}(?![\d.,]\d|\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
