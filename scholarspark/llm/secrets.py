@@ -55,7 +55,12 @@ def dictionary(docs: DataFrame, share: float = WORD_SHARE) -> DataFrame:
 
 
 def _grams(value: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(value) - (k - 1)), lambda i: F.substring(value, i, F.lit(k)))
+    """The runs of k characters, in one pass: the characters beside themselves, moved by one each time."""
+    chars = F.split(value, "")
+    found = chars
+    for i in range(1, k):
+        found = F.zip_with(found, F.slice(chars, F.lit(i + 1), F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.filter(found, lambda g: g.isNotNull())
 
 
 def features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, list[str]]:
