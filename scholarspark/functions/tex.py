@@ -51,7 +51,7 @@ def tabular_cells(body: Column) -> Column:
 def parse_bibitems(bbl: Column) -> Column:
     """array of (no, key, short, text): the entries of a bibliography; short is "Authors, Year" from the label, else the label up to ), else the running number."""
     items = F.slice(F.split(text_or_empty(bbl), r"\\bibitem", -1), 2, 1_000_000_000)
-    form = rf"(?s)^\s*(?:\[((?:[^\[\]{{}}]|\{{{_inside()}\}})*)\])?\s*(?:\{{([^{{}}]*)\}})?(.*)$"
+    form = rf"(?s)^\s*(?:\[((?:[^\[\]{{}}]++|\{{{_inside()}\}})*+)\])?\s*(?:\{{([^{{}}]*)\}})?(.*)$"
 
     def entry(item: Column, i: Column) -> Column:
         label = tex_text(F.regexp_replace(F.regexp_extract(item, form, 1), r"[{}]", ""))

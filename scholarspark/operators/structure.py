@@ -114,12 +114,12 @@ def sane_numbering(headings: DataFrame) -> DataFrame:
     state = F.struct(F.lit(0).alias("top"), F.lit(False).alias("refs"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
-        number = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*)\s", 1)
-        sub = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*)\s", 2) != ""
+        number = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*+)\s", 1)
+        sub = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*+)\s", 2) != ""
         name = F.lower(F.trim(F.regexp_replace(h(x), r"^[\dIVXA-H.]+\s+", "")))
         n = number.try_cast("int")
         wrong = (n == 0) | ((n > s["top"] + 1) & ~((s["top"] == 0) & (n <= 2))) | (n < s["top"]) | (sub & (n != s["top"]))
-        letter = (number == "") & h(x).rlike(r"^[A-H](\.\d{1,2})*\s") & ~name.isin(KNOWN_HEADINGS)
+        letter = (number == "") & h(x).rlike(r"^[A-H](\.\d{1,2})*+\s") & ~name.isin(KNOWN_HEADINGS)
         keep = F.when(number != "", ~wrong).otherwise(~letter | s["refs"])
         refs = s["refs"] | (keep & (name.isin(REFERENCES) | F.lower(h(x)).isin(REFERENCES)))
         return F.struct(F.when(keep & (number != ""), n).otherwise(s["top"]).alias("top"), refs.alias("refs"), F.when(keep, F.array_append(s["kept"], x["line_no"])).otherwise(s["kept"]).alias("kept"))
@@ -148,7 +148,7 @@ def choose_structure(headings: DataFrame, pages: DataFrame) -> DataFrame:
     headings(paper_id, line_no, heading), pages(paper_id, n_pages)."""
     by = Window.partitionBy("paper_id")
     many = F.count_if(F.col("heading").rlike(r"^(\d|[IVX]+\s)")).over(by) >= 3
-    fits = F.col("heading").rlike(r"^(\d{1,2}(\.\d{1,2})*|[IVX]{1,5}|[A-H](\.\d{1,2})*)\s") | F.lower(clean_heading(F.col("heading"))).isin(UNNUMBERED)
+    fits = F.col("heading").rlike(r"^(\d{1,2}(?:\.\d{1,2})*+|[IVX]{1,5}|[A-H](?:\.\d{1,2})*+)\s") | F.lower(clean_heading(F.col("heading"))).isin(UNNUMBERED)
     kept = headings.withColumn("__m", many).where(~F.col("__m") | fits).withColumn("__n", F.count("*").over(by)).where("__n >= 3").select("paper_id", F.col("line_no").cast("long").alias("start"), "heading")
     rest = pages.join(kept.select("paper_id").distinct(), "paper_id", "left_anti").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pages").cast("long") - 1, F.lit(2).cast("long"))))
     return kept.unionAll(rest.select("paper_id", "start", F.concat(F.lit("Pages "), F.col("start") + 1, F.lit("-"), F.least(F.col("n_pages"), F.col("start") + 2)).alias("heading")))

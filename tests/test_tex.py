@@ -4,7 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
-from scholarspark.functions import tex
+from scholarspark.functions import tex, text
 from scholarspark.operators import papers
 
 
@@ -118,3 +118,12 @@ def test_assemble(spark):
     deep, high = row.views
     assert [(b.beat_id, b.focus, b.clip) for b in deep.sections[0].beats] == [("b1", ["n1"], None), ("b2", [], None)] and deep.sections[0].diagram == "D"
     assert [(b.beat_id, b.focus, b.clip) for b in high.sections[0].beats] == [("b3", [], "c.mp3")]
+
+
+def test_long_labels(spark):
+    """Labels, headings and numbers of any length are read without recursion."""
+    label = "Smith{x}" * 25_000
+    bbl = r"\bibitem[" + label + r"(2020)]{key} Some text." + "\n" + r"\bibitem[" + "b" * 200_000 + r"]{other} More."
+    found = spark.createDataFrame([(bbl,)], "t string").select(tex.parse_bibitems(F.col("t")).alias("x")).first().x
+    assert [(e.key, e.text) for e in found] == [("key", "Some text."), ("other", "More.")] and found[0].short == "Smithx" * 25_000 + ", 2020" and len(found[1].short) == 200_000
+    assert spark.createDataFrame([("at 1" + ".23" * 50_000,)], "t string").select(F.size(text.numbers_in(F.col("t"))).alias("n")).first().n == 1
