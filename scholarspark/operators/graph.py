@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import alias_keys, choose, clean_label, let, name_in_text, relation_of, slug, NODE_TYPES
+from ..functions.text import alias_keys, choose, clean_label, let, name_forms, relation_of, slug, NODE_TYPES
 from ..shared import settle
 from .components import components
+from .lookup import look_up
 
 # What a paper calls itself.
 CENTER_ALIASES = ["this work", "this paper", "our method", "our approach", "our model", "proposed method", "ours", "we"]
@@ -56,9 +57,12 @@ def rollup_entities(mentions: DataFrame) -> DataFrame:
 
 
 def filter_clusters(nodes: DataFrame, papers: DataFrame) -> DataFrame:
-    """nodes that are the paper itself, have evidence, or a name in the paper: papers(paper_id, normal_lower)."""
-    said = F.exists(F.concat(F.array("label"), F.col("aliases")), lambda n: name_in_text(n, F.col("normal_lower")))
-    return nodes.join(papers.select("paper_id", "normal_lower"), "paper_id").where((F.col("type") == "this_work") | (F.col("evidence") != "") | said).drop("normal_lower")
+    """nodes that are the paper itself, have evidence, or a name in the paper: papers(paper_id, normal_lower). Only the others' names are looked up, all of a paper in one reading of it."""
+    sure = (F.col("type") == "this_work") | (F.col("evidence") != "")
+    forms = F.flatten(F.transform(F.concat(F.array("label"), F.col("aliases")), name_forms))
+    told = look_up(nodes.where(~F.coalesce(sure, F.lit(False))), forms, papers, "paper_id", F.col("normal_lower"))
+    said = told.where(F.exists("found", lambda f: f.isNotNull())).drop("found")
+    return nodes.where(sure).join(papers.select("paper_id"), "paper_id", "left_semi").unionByName(said)
 
 
 def unique_slugs(nodes: DataFrame) -> DataFrame:

@@ -10,28 +10,39 @@ from ..functions.text import tokenize
 from ..shared import settle, written
 
 K1, B = 1.5, 0.75
+#: Documents of a block of postings, and blocks of a query that are scored first, which give the score that others must reach.
+BLOCK, FIRST_BLOCKS = 128, 2
+SLACK = 2e-6  # scores are compared after rounding to 6 digits
+IDF = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+#: What a term that stands once in a query adds to a document's score.
+IMPACT = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
 
 
-def bm25_index(chunks: DataFrame, doc: str = "doc_id", text: str = "text", scope: list[str] = (), terms: DataFrame | None = None) -> DataFrame:
-    """(scope, doc, term, tf, df, idf, length, avg_length): the index of all chunks, or with `scope`, columns of chunks
-    such as paper_id, of the chunks of each paper by itself; with terms(term), only the rows of these, with the same numbers. Chunks without terms count too.
-
-    Texts are cut into terms once; lengths and corpus numbers come from the kept table. Document frequencies are kept
-    before they are joined, so that a term that all chunks have can be split.
-    """
+def _postings(chunks: DataFrame, doc: str, text: str, scope: list[str], terms: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings(scope, doc, length, term, tf), df(scope, term, df), corpus(scope, n_docs, avg_length)), each kept. Texts are cut into terms once; lengths and corpus numbers come from the kept table."""
     toks = tokenize(F.col(text))
     cut = written(chunks.select(*scope, F.col(doc).alias("doc"), toks.alias("toks")).withColumn("length", F.size("toks")))
-    corpus = cut.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    corpus = settle(cut.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")))
     each = cut.select(*scope, "doc", "length", F.explode("toks").alias("term"))
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
     post = written(each.groupBy(*scope, "doc", "length", "term").agg(F.count("*").alias("tf")))
-    df = settle(post.groupBy(*scope, "term").agg(F.count("*").alias("df")))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    joined = post.join(df, [*scope, "term"])
-    # Without a scope the corpus numbers are one row.
-    joined = joined.join(settle(corpus), list(scope)) if scope else joined.join(F.broadcast(corpus))
-    return joined.select(*scope, "doc", "term", "tf", "df", idf.alias("idf"), "length", "avg_length")
+    return post, settle(post.groupBy(*scope, "term").agg(F.count("*").alias("df"))), corpus
+
+
+def _with_corpus(rows: DataFrame, corpus: DataFrame, scope: list[str]) -> DataFrame:
+    """rows with the numbers of the corpus, which without a scope are one row."""
+    return rows.join(corpus, list(scope)) if scope else rows.join(F.broadcast(corpus))
+
+
+def bm25_index(chunks: DataFrame, doc: str = "doc_id", text: str = "text", scope: list[str] = (), terms: DataFrame | None = None) -> DataFrame:
+    """(scope, doc, term, tf, df, idf, length, avg_length): the index of all chunks, or with `scope`, columns of chunks
+    such as paper_id, of the chunks of each paper by itself; with terms(term), only the rows of these, with the same numbers. Chunks without terms count too.
+
+    Document frequencies are kept before they are joined, so that a term that all chunks have can be split.
+    """
+    post, df, corpus = _postings(chunks, doc, text, scope, terms)
+    return _with_corpus(post.join(df, [*scope, "term"]), corpus, scope).select(*scope, "doc", "term", "tf", "df", IDF.alias("idf"), "length", "avg_length")
 
 
 def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text", scope: list[str] = ()) -> DataFrame:
@@ -42,14 +53,61 @@ def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text",
 def bm25_score(queries: DataFrame, index: DataFrame, query: str = "item_id", text: str = "text", scope: list[str] = ()) -> DataFrame:
     """(scope, query, doc, score) for scores over 0; a query's repeated terms count as often as they stand."""
     terms = query_terms(queries, query, text, scope)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return terms.join(index, [*scope, "term"]).groupBy(*scope, "query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return terms.join(index, [*scope, "term"]).groupBy(*scope, "query", "doc").agg(F.round(F.sum(F.col("times") * IMPACT), 6).alias("score")).where("score > 0")
+
 
+def bm25_blocks(chunks: DataFrame, doc: str = "doc_id", text: str = "text", scope: list[str] = (), terms: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(scope, term, block, best, n, postings): the index in blocks, written to the shared folder. A document is in the same block, one of about `block` documents, for all of its terms;
+    postings is an array of (doc, impact), and best the largest impact among them."""
+    post, df, corpus = _postings(chunks, doc, text, scope, terms)
+    rows = _with_corpus(post.join(df, [*scope, "term"]), corpus, scope).withColumn("idf", IDF)
+    of = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n_docs") / block).cast("long")).alias("block")
+    rows = rows.select(*scope, "term", of, F.struct("doc", IMPACT.alias("impact")).alias("p"))
+    return written(rows.groupBy(*scope, "term", "block").agg(F.max("p.impact").alias("best"), F.count("*").alias("n"), F.collect_list("p").alias("postings")))
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: list[str] = ()) -> DataFrame:
-    """(scope, query, doc, score, rank): the k best chunks(doc_id, text) of each of queries(item_id, text); only the queries' terms are indexed."""
-    index = bm25_index(chunks, scope=scope, terms=query_terms(queries, scope=scope))
-    return bm25_top(bm25_score(queries, index, scope=scope), k, scope)
+
+def _scored_blocks(asked: DataFrame, blocks: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, query, doc, score) of all documents in the blocks that asked(scope, query, term, times, block) names."""
+    each = asked.join(blocks.select(*scope, "term", "block", "postings"), [*scope, "term", "block"]).select(*scope, "query", "times", F.inline("postings"))
+    return each.groupBy(*scope, "query", "doc").agg(F.round(F.sum(F.col("times") * F.col("impact")), 6).alias("score"))
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: list[str] = (), blocks: DataFrame | None = None, first: int = FIRST_BLOCKS) -> DataFrame:
+    """(scope, query, doc, score, rank): the k best chunks(doc_id, text) of each of queries(item_id, text), from bm25_blocks of the chunks, which is
+    made for the queries' terms if it isn't given.
+
+    No document of a block scores more than the block's best impacts of a query's terms together. The blocks for which that is most are
+    scored first; the k-th best score found there is the least that others must reach, and only
+    blocks that can are scored then. Rows are those of scoring every posting; see search_work for what is read.
+    """
+    asked, first_scores, rest = _pruned(queries, chunks, k, scope, blocks, first)
+    blocks = asked[1]
+    scores = first_scores.unionByName(_scored_blocks(rest, blocks, scope)).where("score > 0")
+    return bm25_top(scores, k, scope)
+
+
+def search_work(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: list[str] = (), first: int = FIRST_BLOCKS) -> DataFrame:
+    """(scope, query, postings, read): how many postings the terms of each query have, and how many of them bm25_search reads."""
+    (wanted, blocks), _, rest = _pruned(queries, chunks, k, scope, None, first)
+    size = blocks.select(*scope, "term", "block", "n")
+    total = wanted.join(size, [*scope, "term", "block"]).groupBy(*scope, "query").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("early"), F.col("n")).otherwise(0)).alias("early"))
+    late = rest.join(size, [*scope, "term", "block"]).groupBy(*scope, "query").agg(F.sum("n").alias("late"))
+    return total.join(late, [*scope, "query"], "left").select(*scope, "query", "postings", (F.col("early") + F.coalesce("late", F.lit(0))).alias("read"))
+
+
+def _pruned(queries: DataFrame, chunks: DataFrame, k: int, scope: list[str], blocks: DataFrame | None, first: int):
+    """((every (query, term, times, block) with `early` if scored first, blocks), scores of the first blocks, the rows of those blocks that must be scored then)."""
+    terms = settle(query_terms(queries, scope=scope))
+    blocks = bm25_blocks(chunks, scope=scope, terms=terms) if blocks is None else blocks
+    wanted = settle(terms.join(blocks.select(*scope, "term", "block", "best"), [*scope, "term"]))
+    bounds = wanted.groupBy(*scope, "query", "block").agg(F.sum(F.col("times") * F.col("best")).alias("bound"))
+    by = Window.partitionBy(*scope, "query").orderBy(F.desc("bound"), "block")
+    early = settle(bounds.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= first).drop("__r"))
+    flagged = wanted.join(early.select(*scope, "query", "block", F.lit(True).alias("early")), [*scope, "query", "block"], "left").withColumn("early", F.coalesce("early", F.lit(False)))
+    scores = settle(_scored_blocks(flagged.where("early"), blocks, scope))
+    least = bm25_top(scores, k, scope).where(F.col("rank") == k).select(*scope, "query", F.col("score").alias("least"))
+    able = bounds.join(early, [*scope, "query", "block"], "left_anti").join(settle(least), [*scope, "query"], "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
+    return (flagged, blocks), scores, wanted.join(able.select(*scope, "query", "block"), [*scope, "query", "block"], "left_semi")
 
 
 def bm25_top(scores: DataFrame, k: int = 5, scope: list[str] = ()) -> DataFrame:

@@ -296,3 +296,79 @@ def test_scratch_is_removed(spark, tmp_path):
         kept = written(inner.where("id > 2"), outside)
         assert os.path.isdir(folder.removeprefix("file:"))
     assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 2 and shared_dir(spark)
+
+
+def test_look_up(spark, monkeypatch):
+    """Every phrase where it stands first, as the text spells it; overlapping and nested phrases too; a hot key's text goes out again."""
+    from scholarspark.operators import lookup
+
+    texts = {1: "Abcabx Äé 漢字 abCAB", 2: "", 3: None, 4: "the THE tHe", 5: "unasked"}
+    rows = [(1, i, f) for i, f in enumerate([["abc", "bca", "ab", "zz"], ["äé 漢"], [], None, ["", "x"], ["cab"]])]
+    rows += [(2, 9, ["a"]), (3, 10, ["a"]), (None, 11, ["a"]), (8, 12, ["a"])] + [(4, 100 + i, ["the", f"t{i}"]) for i in range(40)]
+    table = spark.createDataFrame(rows, "k int, n int, f array<string>").repartition(3)
+    read = spark.createDataFrame(list(texts.items()), "k int, t string")
+    want = {n: [next((texts[k][i : i + len(f)] for i in range(len(texts[k])) if f and texts[k].lower()[i:].startswith(f)), None) for f in fs] for k, n, fs in rows if texts.get(k) is not None and fs is not None}
+    for most in (50_000, 7):
+        monkeypatch.setattr(lookup, "MOST_ROWS", most)
+        out = lookup.look_up(table, F.col("f"), read, "k", F.lower("t"), F.col("t"))
+        assert out.columns == ["k", "n", "f", "found"]
+        assert {r.n: r.found for r in out.collect()} == want
+
+
+def test_names_read_a_text_once(spark):
+    """As many rows with a text reach the join's other side as there are texts with names."""
+    names = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id % 50) AS source_id", "concat('Name ', id, ' (N', id, ')') AS name")
+    texts = spark.range(60).selectExpr("id AS source_id", "concat('has Name ', id, ' and n', id + 100, '.') AS text")
+    got = {(r.source_id, r.name) for r in grounding.named(names, texts).where("in_text").collect()}
+    plain = {(r.source_id, r.name) for r in names.join(texts, "source_id").where(T.name_in_text(F.col("name"), F.lower(F.col("text")))).collect()}
+    assert got == plain and len(got) > 50
+    from scholarspark.operators import lookup
+
+    seen = spark.sparkContext.accumulator(0)
+    real = lookup._looked_up
+
+    def counting(s):
+        inner = real(s)
+
+        def run(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from inner(each())
+
+        return run
+
+    lookup._looked_up = counting
+    try:
+        assert grounding.named(names, texts).count() == 3000 and seen.value == names.select("source_id").distinct().count()
+    finally:
+        lookup._looked_up = real
+
+
+def test_pruned_search(spark):
+    """The k best of scoring every posting, with ties, few documents, and blocks of any size; most postings of frequent terms aren't read."""
+    import random
+
+    from scholarspark.operators import retrieval
+
+    rnd = random.Random(8)
+    frequent, rare = [f"often{i}" for i in range(6)], [f"rare{i}" for i in range(400)]
+    docs = [(i, i % 3, " ".join(rnd.choices(frequent, k=rnd.randint(0, 12)) + (rnd.choices(rare, k=3) if i % 4 else []))) for i in range(4000)]
+    docs += [(5000 + i, 0, "often0 rare7") for i in range(30)]
+    queries = [(i, i % 3, " ".join(rnd.sample(frequent, 3) + rnd.choices(rare, k=rnd.randint(0, 3)))) for i in range(30)] + [(90, 0, "often0 rare7 rare7"), (91, 1, "nowhere"), (92, 2, "")]
+    chunks = spark.createDataFrame(docs, "doc_id int, part int, text string").repartition(4)
+    asked = spark.createDataFrame(queries, "item_id int, part int, text string")
+    for scope in ([], ["part"]):
+        every = retrieval.bm25_score(asked, retrieval.bm25_index(chunks, scope=scope), scope=scope)
+        for k, first in ((5, 2), (1, 1), (40, 1), (5000, 2)):
+            want = sorted(map(tuple, retrieval.bm25_top(every, k, scope).select(*scope, "query", "doc", "score", "rank").collect()))
+            got = sorted(map(tuple, retrieval.bm25_search(asked, chunks, k, scope, first=first).select(*scope, "query", "doc", "score", "rank").collect()))
+            assert [(r[:-2], r[-1]) for r in got] == [(r[:-2], r[-1]) for r in want] and all(abs(a[-2] - b[-2]) < 2e-6 for a, b in zip(got, want))
+    work = {r["query"]: (r.postings, r.read) for r in retrieval.search_work(asked, chunks).collect()}
+    assert all(read <= n for n, read in work.values()) and sum(read for _, read in work.values()) < sum(n for n, _ in work.values())
+    blocks = retrieval.bm25_blocks(chunks, block=16)
+    assert blocks.agg(F.max("n")).first()[0] < 64
+    assert retrieval.bm25_search(asked, chunks, blocks=blocks).count() == retrieval.bm25_search(asked, chunks).count()
+    assert retrieval.bm25_search(asked, chunks.limit(0)).count() == 0
