@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,9 +13,15 @@ K1, B = 1.5, 0.75
 #: Documents of a block of postings, and blocks of a query that are scored first, which give the score that others must reach.
 BLOCK, FIRST_BLOCKS = 128, 2
 SLACK = 2e-6  # scores are compared after rounding to 6 digits
-IDF = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-#: What a term that stands once in a query adds to a document's score.
-IMPACT = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+
+
+def _idf() -> Column:
+    return F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _impact() -> Column:
+    """What a term that stands once in a query adds to a document's score."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
 
 
 def _postings(chunks: DataFrame, doc: str, text: str, scope: list[str], terms: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -42,7 +48,7 @@ def bm25_index(chunks: DataFrame, doc: str = "doc_id", text: str = "text", scope
     Document frequencies are kept before they are joined, so that a term that all chunks have can be split.
     """
     post, df, corpus = _postings(chunks, doc, text, scope, terms)
-    return _with_corpus(post.join(df, [*scope, "term"]), corpus, scope).select(*scope, "doc", "term", "tf", "df", IDF.alias("idf"), "length", "avg_length")
+    return _with_corpus(post.join(df, [*scope, "term"]), corpus, scope).select(*scope, "doc", "term", "tf", "df", _idf().alias("idf"), "length", "avg_length")
 
 
 def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text", scope: list[str] = ()) -> DataFrame:
@@ -53,16 +59,16 @@ def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text",
 def bm25_score(queries: DataFrame, index: DataFrame, query: str = "item_id", text: str = "text", scope: list[str] = ()) -> DataFrame:
     """(scope, query, doc, score) for scores over 0; a query's repeated terms count as often as they stand."""
     terms = query_terms(queries, query, text, scope)
-    return terms.join(index, [*scope, "term"]).groupBy(*scope, "query", "doc").agg(F.round(F.sum(F.col("times") * IMPACT), 6).alias("score")).where("score > 0")
+    return terms.join(index, [*scope, "term"]).groupBy(*scope, "query", "doc").agg(F.round(F.sum(F.col("times") * _impact()), 6).alias("score")).where("score > 0")
 
 
 def bm25_blocks(chunks: DataFrame, doc: str = "doc_id", text: str = "text", scope: list[str] = (), terms: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(scope, term, block, best, n, postings): the index in blocks, written to the shared folder. A document is in the same block, one of about `block` documents, for all of its terms;
     postings is an array of (doc, impact), and best the largest impact among them."""
     post, df, corpus = _postings(chunks, doc, text, scope, terms)
-    rows = _with_corpus(post.join(df, [*scope, "term"]), corpus, scope).withColumn("idf", IDF)
+    rows = _with_corpus(post.join(df, [*scope, "term"]), corpus, scope).withColumn("idf", _idf())
     of = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n_docs") / block).cast("long")).alias("block")
-    rows = rows.select(*scope, "term", of, F.struct("doc", IMPACT.alias("impact")).alias("p"))
+    rows = rows.select(*scope, "term", of, F.struct("doc", _impact().alias("impact")).alias("p"))
     return written(rows.groupBy(*scope, "term", "block").agg(F.max("p.impact").alias("best"), F.count("*").alias("n"), F.collect_list("p").alias("postings")))
 
 
