@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import alias_keys, choose, clean_label, let, name_forms, relation_of, slug, NODE_TYPES
-from ..shared import settle
+from ..shared import settle, written
 from .components import components
 from .lookup import look_up
+from .substrings import containing
 
 # What a paper calls itself.
 CENTER_ALIASES = ["this work", "this paper", "our method", "our approach", "our model", "proposed method", "ours", "we"]
@@ -140,6 +141,15 @@ def search_nodes(nodes: DataFrame, query: str, hidden: list[str] = ()) -> DataFr
     return nodes.where(~F.col("type").isin(list(hidden)) & (F.lower("label").contains(q) | F.exists("aliases", lambda a: F.lower(a).contains(q))))
 
 
+def search_nodes_all(nodes: DataFrame, queries: DataFrame, hidden: list[str] = ()) -> DataFrame:
+    """search_nodes for each of queries(query, text), by an index of runs of characters: query and the columns of nodes. Equal names are indexed once. Empty queries find nothing."""
+    shown = written(nodes.where(~F.col("type").isin(list(hidden))).withColumn("__node", F.monotonically_increasing_id()))
+    said = shown.select("__node", F.explode(F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: F.lower(n)))).alias("name")).where("name is not null")
+    names = written(said.select("name").distinct().withColumn("at", F.monotonically_increasing_id()))
+    found = containing(queries.select(F.col("text").alias("term")), names, "at", F.col("name")).join(names, "at").join(said, "name").select("term", "__node").distinct()
+    return queries.select("query", F.col("text").alias("term")).join(found, "term").join(shown, "__node").select("query", *nodes.columns)
+
+
 def neighborhood(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(node_id, other, relation, direction) for ids(paper_id, node_id): what they lead to and what leads to them."""
     out = edges.join(ids.withColumnRenamed("node_id", "source"), ["paper_id", "source"]).select("paper_id", F.col("source").alias("node_id"), F.col("target").alias("other"), "relation", F.lit("out").alias("direction"))

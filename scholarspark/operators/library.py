@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import title_key
+from ..shared import settle, written
+from .substrings import having_all
 
 
 def quiz_summary(attempts: DataFrame) -> DataFrame:
@@ -56,12 +58,31 @@ def search_library(pages: DataFrame, concepts: DataFrame, query: str, limit: int
     return found.select("page", "in_meta", F.coalesce(F.size(F.when(F.col("matched").isNotNull(), F.col("matched"))), F.lit(0)).alias("n_matched"), "matched")
 
 
+def search_library_all(pages: DataFrame, concepts: DataFrame, queries: DataFrame, limit: int = 12) -> DataFrame:
+    """search_library for each of queries(query, text), by an index of runs of characters: query, page, in_meta, n_matched, matched. Queries without terms find nothing."""
+    asked = settle(queries.select("query", F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "").alias("terms")))
+    meta = having_all(asked, pages.select("page", "meta"), "page", F.col("meta")).withColumn("in_meta", F.lit(True))
+    each = written(concepts.select("page", "label", "text").withColumn("concept", F.monotonically_increasing_id()))
+    hit = having_all(asked, each, "concept", F.col("text")).join(each.select("concept", "page", "label"), "concept")
+    matched = hit.groupBy("query", "page").agg(F.slice(F.array_sort(F.collect_set("label")), 1, limit).alias("matched")).join(pages.select("page"), "page", "left_semi")
+    both = meta.join(matched, ["query", "page"], "full")
+    return both.select("query", "page", F.coalesce("in_meta", F.lit(False)).alias("in_meta"), F.coalesce(F.size(F.when(F.col("matched").isNotNull(), F.col("matched"))), F.lit(0)).alias("n_matched"), "matched")
+
+
 def filter_pages(pages: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     """Pages that are search hits or have the query in their title or name."""
     named = pages.where(F.lower("title").contains(query.lower()) | F.lower("name").contains(query.lower()))
     return named.select("page").unionAll(pages.join(hits, "page", "left_semi").select("page")).distinct()
 
 
+def filter_pages_all(pages: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """filter_pages for each of queries(query, text) with its hits(query, page), by an index of runs of characters: (query, page). Empty queries find their hits only."""
+    said = pages.select("page", F.explode(F.array("title", "name")).alias("text")).where("text is not null")
+    said = written(said.withColumn("at", F.monotonically_increasing_id()))
+    named = having_all(queries.select("query", F.array(F.lower("text")).alias("terms")), said, "at", F.col("text")).join(said, "at").select("query", "page")
+    return named.unionAll(hits.select("query", "page").join(pages.select("page"), "page", "left_semi").select("query", "page")).distinct()
+
+
 def cache_by_kind(files: DataFrame) -> DataFrame:
     """files(kind, bytes): files and bytes of each kind."""
     return files.groupBy("kind").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))

@@ -148,6 +148,12 @@ def _key_check(spark, d):
     return X.check_answers(q.withColumn("options", F.array(F.lit("zz zz"), F.col("correct"))), _sections(spark, d)).select("doc_id", "question_no", "found")
 
 
+def _nodes_many(spark, d):
+    """Nodes for every beginning of a part's name of one to six characters."""
+    asked = table(spark, d, "part").select(F.expr("upper(substring(p_name, 1, cast(p_partkey % 6 as int) + 1))").alias("text")).distinct()
+    return G.search_nodes_all(_nodes(spark, d), asked.withColumn("query", F.col("text")), ["dataset"]).select("query", "paper_id", "node_id")
+
+
 QUERIES = {
     "e1_clean_label": _labels,
     "e2_alias_keys": _keys,
@@ -163,6 +169,7 @@ QUERIES = {
     "t10_top_nodes": lambda s, d: G.top_nodes(G.degrees(_nodes(s, d), _edges(s, d))).select("paper_id", "node_id", "rank"),
     "p10_filter_graph": _filtered,
     "p11_search_nodes": lambda s, d: G.search_nodes(_nodes(s, d), "Brand#1", ["dataset"]).select("paper_id", "node_id"),
+    "p11_search_many": _nodes_many,
     "j23_neighborhood": _hood,
     "j25_check_integrity": _integrity,
     "j22_graph_facts": _facts,
@@ -208,6 +215,8 @@ ORACLES = {
         SELECT paper_id, node_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY type <> 'this_work', 2 * n + mentions DESC, lower(label), node_id) AS INT) AS rank FROM r QUALIFY rank <= 36""",
     "t10_top_nodes": f"""WITH {_E}, {_V}, {_G} SELECT paper_id, node_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY coalesce(n, 0) DESC, label, node_id) AS INT) AS rank FROM v LEFT JOIN g USING (paper_id, node_id) WHERE type <> 'this_work' QUALIFY rank <= 8""",
     "p10_filter_graph": f"WITH {_V} SELECT paper_id, node_id FROM v WHERE type <> 'dataset'",
+    "p11_search_many": f"""WITH {_V}, q AS (SELECT DISTINCT upper(left(p_name, CAST(p_partkey % 6 AS INT) + 1)) AS query FROM part)
+        SELECT query, paper_id, node_id FROM q, v WHERE type <> 'dataset' AND (contains(lower(label), lower(query)) OR contains(alias, lower(query)))""",
     "p11_search_nodes": f"WITH {_V} SELECT paper_id, node_id FROM v WHERE type <> 'dataset' AND (contains(lower(label), 'brand#1') OR contains(alias, 'brand#1'))",
     "j23_neighborhood": f"""WITH {_E} SELECT paper_id, source AS node_id, target AS other, relation, 'out' AS direction FROM e WHERE source IN ('p1', 's1', 's3')
         UNION ALL SELECT paper_id, target, source, relation, 'in' FROM e WHERE target IN ('p1', 's1', 's3')""",

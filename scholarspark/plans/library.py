@@ -55,6 +55,23 @@ def _search(spark, d):
     return L.search_library(pages, concepts, "license apache").select("page", "in_meta", "n_matched", F.array_join("matched", ",").alias("matched"))
 
 
+def _search_many(spark, d):
+    """Every source as a page and every document as a concept, asked for the first two words of every benchmark passage."""
+    docs = table(spark, d, "documents")
+    pages = docs.groupBy(F.col("source").alias("page")).agg(F.concat_ws(" ", F.col("source"), F.array_join(F.array_sort(F.collect_set("lang")), " ")).alias("meta"))
+    concepts = docs.select(F.col("source").alias("page"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("label"), "text")
+    words = F.slice(F.split(F.trim("text"), r"\s+"), 1, 2)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("SRC1 e"), F.substring(F.element_at(words, 1), 1, 1))).otherwise(F.array_join(words, " ")).alias("text"))
+    return L.search_library_all(pages, concepts, asked).select("query", "page", "in_meta", "n_matched", F.array_join("matched", ",").alias("matched"))
+
+
+def _filter_many(spark, d):
+    """Pages for the beginning, of one to five characters, of every nation's name."""
+    p = titles(spark, d).select(F.col("page_id").alias("page"), "title", F.col("url").alias("name"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"), F.expr("substring(n_name, 1, n_nationkey % 5 + 1)").alias("text"))
+    return L.filter_pages_all(p, p.where("page % 10 = 0").select((F.col("page") % 25).cast("int").alias("query"), "page"), n)
+
+
 def _filter_pages(spark, d):
     p = titles(spark, d).select(F.col("page_id").alias("page"), "title", F.col("url").alias("name"))
     return L.filter_pages(p, p.where("page % 10 = 0").select("page"), "the")
@@ -189,6 +206,8 @@ QUERIES = {
     "a10_connections": _connections,
     "a11_search_library": _search,
     "p12_filter_pages": _filter_pages,
+    "a11_search_many": _search_many,
+    "p12_filter_many": _filter_many,
     "a17_cache_by_kind": lambda s, d: L.cache_by_kind(table(s, d, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_quantity").cast("long").alias("bytes"))),
     "a18_cache_by_project": lambda s, d: L.cache_by_project(_manifest(s, d), _files(s, d)),
     "u1_exclusive_files": _exclusive,
@@ -238,6 +257,15 @@ ORACLES = {
     "a11_search_library": """WITH h AS (SELECT source AS page, 'd' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS label FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'apache')),
         m AS (SELECT page, list_sort(list(DISTINCT label))[1:12] AS ls FROM h GROUP BY page)
         SELECT page, false AS in_meta, CAST(len(ls) AS INT) AS n_matched, array_to_string(ls, ',') AS matched FROM m""",
+    "a11_search_many": r"""WITH b AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark),
+        q AS (SELECT item_id AS query, lower(CASE WHEN item_id % 4 = 0 THEN 'SRC1' ELSE w[1] END) AS t1, lower(CASE WHEN item_id % 4 = 0 THEN 'e' || w[1][1] ELSE w[2] END) AS t2 FROM b),
+        p AS (SELECT source AS page, lower(source || ' ' || array_to_string(list_sort(list(DISTINCT lang)), ' ')) AS meta FROM documents GROUP BY source),
+        m AS (SELECT query, page FROM q, p WHERE contains(meta, t1) AND contains(meta, t2)),
+        h AS (SELECT query, source AS page, list_sort(list(DISTINCT 'd' || lpad(CAST(doc_id AS VARCHAR), 6, '0')))[1:12] AS ls FROM q, documents WHERE contains(lower(text), t1) AND contains(lower(text), t2) GROUP BY ALL)
+        SELECT query, page, m.query IS NOT NULL AS in_meta, CAST(coalesce(len(ls), 0) AS INT) AS n_matched, array_to_string(ls, ',') AS matched FROM m FULL JOIN h USING (query, page)""",
+    "p12_filter_many": f"""WITH p AS (SELECT page_id AS page, lower({TITLE}) AS title, lower(url) AS name FROM pages)
+        SELECT n_nationkey AS query, page FROM nation, p WHERE contains(title, lower(left(n_name, n_nationkey % 5 + 1))) OR contains(name, lower(left(n_name, n_nationkey % 5 + 1)))
+        UNION SELECT CAST(page % 25 AS INT), page FROM p WHERE page % 10 = 0""",
     "p12_filter_pages": f"SELECT page_id AS page FROM pages WHERE page_id % 10 = 0 OR contains(lower({TITLE}), 'the') OR contains(lower(url), 'the')",
     "a17_cache_by_kind": "SELECT l_returnflag AS kind, count(*) AS files, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes FROM lineitem GROUP BY 1",
     "a18_cache_by_project": """WITH m AS (SELECT DISTINCT source AS project, md5(text) AS file, n_chars AS bytes FROM documents), o AS (SELECT file, count(*) AS n FROM m GROUP BY file)

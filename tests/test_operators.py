@@ -372,3 +372,22 @@ def test_pruned_search(spark):
     assert blocks.agg(F.max("n")).first()[0] < 64
     assert retrieval.bm25_search(asked, chunks, blocks=blocks).count() == retrieval.bm25_search(asked, chunks).count()
     assert retrieval.bm25_search(asked, chunks.limit(0)).count() == 0
+
+
+def test_substrings_of_any_length(spark):
+    """Terms of one character and more, in any case, equal a scan; an index that is kept gives the same."""
+    import random
+
+    from scholarspark.operators import substrings
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcÄé漢 ") for _ in range(rnd.randint(0, 30))) for _ in range(300)] + ["", "a", "ab", None, "x" * 100_000 + "needle", "Abc" * 5]
+    terms = ["a", "AB", "abc", "bca ", "é漢", "ÄÉ漢a", "zzz", "needle", "xxxxxx", "", None, "c", "ab", "abcabcabcabcabc"] + ["".join(rnd.choice("abc") for _ in range(5)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = {(t, i) for t in terms if t for i, x in enumerate(texts) if x is not None and t.lower() in x.lower()}
+    index = substrings.gram_index(rows, "id", F.col("text"))
+    for given in (None, index):
+        got = [(r.term, r.id) for r in substrings.containing(asked, rows, "id", F.col("text"), given).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert substrings.containing(asked.limit(0), rows, "id", F.col("text")).count() == substrings.containing(asked, rows.limit(0), "id", F.col("text")).count() == 0
