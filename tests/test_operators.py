@@ -327,8 +327,8 @@ def test_names_read_a_text_once(spark):
     seen = spark.sparkContext.accumulator(0)
     real = lookup._looked_up
 
-    def counting(s):
-        inner = real(s)
+    def counting(*given):
+        inner = real(*given)
 
         def run(batches):
             def each():
@@ -391,3 +391,25 @@ def test_substrings_of_any_length(spark):
         got = [(r.term, r.id) for r in substrings.containing(asked, rows, "id", F.col("text"), given).collect()]
         assert set(got) == want and len(got) == len(want)
     assert substrings.containing(asked.limit(0), rows, "id", F.col("text")).count() == substrings.containing(asked, rows.limit(0), "id", F.col("text")).count() == 0
+
+
+def test_numbers_in_powers(spark):
+    """Large and small numbers as texts spell them: with a sign of times or none, with marks or none, rounded to two places or fewer."""
+    said = {1: "3.3 · 10^18 steps", 2: r"about 3 \\cdot 10^{18}".replace("\\\\", "\\"), 3: "3.3 x 1018", 4: "3.31 × 10^{18}", 5: "13.3 · 10^18", 6: "10^{-5} and 2.5*10^(-7)", 7: "3.3 · 10^189", 8: "3,300,000,000,000,000,000", 9: "2 10^5 or 100 000"}
+    texts = spark.createDataFrame(list(said.items()), "source_id int, text string")
+    values = {"a": "3.3e18", "b": "0.00001", "c": "2.5e-7", "d": "200000", "e": "1e5", "f": "3.31e18"}
+    numbers = spark.createDataFrame([(f"{v}{s}", s, x) for v, x in values.items() for s in said], "number_id string, source_id int, value string")
+    got = {r.number_id for r in grounding.ground_numbers(numbers, texts).collect()}
+    assert got == {"a1", "a2", "a3", "b6", "c6", "d9", "e9", "f2", "f4", "a8"} | ({"f1"} if "f1" in got else set()) | ({"f3"} if "f3" in got else set())
+    labelled = spark.createDataFrame([(f"{v}{s}", s, label, x) for v, x in values.items() for s in said for label in ("steps", "about")], "value_id string, source_id int, label string, value string")
+    none = spark.createDataFrame([], "source_id int, number int, row_no int, col_no int, is_header boolean, text string")
+    near = {r.value_id for r in grounding.ground_attribution(labelled, none, texts).collect()}
+    assert {"a1", "a2", "f2"} <= near <= got
+
+
+def test_attribution_in_every_window(spark):
+    """A label that stands beside the second of two numbers close together counts, and one beyond the window doesn't."""
+    texts = spark.createDataFrame([(1, "x" * 300 + " 28.4 and then 28.4 " + "y" * 150 + " Big net " + "z" * 300 + " 28.4 128.4 28.45 " + "w" * 230 + " Far net")], "source_id int, text string")
+    values = spark.createDataFrame([(1, 1, "Big net", "28.4"), (2, 1, "Far", "28.4"), (3, 1, "Big net", "8.4"), (4, 2, "Big net", "28.4")], "value_id int, source_id int, label string, value string")
+    none = spark.createDataFrame([], "source_id int, number int, row_no int, col_no int, is_header boolean, text string")
+    assert [r.value_id for r in grounding.ground_attribution(values, none, texts).collect()] == [1]
