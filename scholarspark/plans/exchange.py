@@ -95,12 +95,27 @@ def _streamed(spark, stream: DataFrame, mode: str, schema) -> DataFrame:
     return spark.read.schema(f"{schema}, batch long").parquet(f"{path}/rows")
 
 
-def _raw(spark, d):
-    """The events as a stream of JSON lines."""
+SLICES = 4  # in which rows arrive, each a batch or more
+
+
+def _arriving(spark, rows: DataFrame, put) -> tuple[str, int]:
+    """A folder and a slice's length in microseconds: a folder that rows(at, ...) reach in SLICES by their time of arrival, up to a slice's length after `at`; put(rows, folder) writes one. Batches then cut through pages, and rows come in disorder."""
     path = new_path(spark)
+    first, last = rows.agg(F.min("at"), F.max("at")).select(*[F.unix_micros(c) for c in ("min(at)", "max(at)")]).first()
+    length = max(1, ((last or 0) - (first or 0)) // (SLICES - 1) + 1)
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(length))
+    arrival = ((F.unix_micros("at") - F.lit(first or 0) + late) / length).cast("int")
+    for k in range(SLICES):
+        put(rows.where(arrival == k), path)
+    return path, length
+
+
+def _raw(spark, d):
+    """The events as a stream of JSON lines that arrive in disorder, a file at a time."""
     e = _events(spark, d)
-    e.select(F.when(F.substring("page", -1, 1) == "7", F.lit("{broken")).otherwise(F.to_json(F.struct(*e.columns))).alias("value")).write.text(path)
-    return spark.readStream.text(path)
+    line = F.when(F.substring("page", -1, 1) == "7", F.lit("{broken")).otherwise(F.to_json(F.struct(*[F.col(c) if c != "at" else F.col("said").alias("at") for c in e.columns]))).alias("value")
+    path, _ = _arriving(spark, e.withColumn("said", F.col("at")).withColumn("at", F.to_timestamp("at")), lambda rows, folder: rows.select(line).write.mode("append").text(folder))
+    return spark.readStream.option("maxFilesPerTrigger", 1).text(path)
 
 
 def _parsed(spark, d):
@@ -129,11 +144,12 @@ def _progress(spark, d):
 
 
 def _changes(spark, d):
-    path = new_path(spark)
-    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("run"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("state"))
-    e.write.parquet(path)
-    stream = spark.readStream.schema(e.schema).parquet(path)
-    return _streamed(spark, activity.transition_stream(stream, ("click",), ("error", "purchase")), "append", "run string, ordinal long, before string, state string").drop("batch")
+    """Events as states of runs, in disorder by up to a slice's length: they wait for the watermark, which a last row far ahead lets pass them all."""
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("run"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("state"))
+    path, length = _arriving(spark, e, lambda rows, folder: rows.write.mode("append").parquet(folder))
+    e.agg(F.lit("").alias("run"), (F.max("at") + F.expr("interval 1000 days")).alias("at"), F.lit(0).cast("long").alias("ordinal"), F.lit("end").alias("state")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _streamed(spark, activity.transition_stream(stream, ("click",), ("error", "purchase"), late=f"{2 * length // 1_000_000 + 60} seconds"), "append", "run string, ordinal long, before string, state string").drop("batch")
 
 
 QUERIES = {

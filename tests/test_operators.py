@@ -413,3 +413,39 @@ def test_attribution_in_every_window(spark):
     values = spark.createDataFrame([(1, 1, "Big net", "28.4"), (2, 1, "Far", "28.4"), (3, 1, "Big net", "8.4"), (4, 2, "Big net", "28.4")], "value_id int, source_id int, label string, value string")
     none = spark.createDataFrame([], "source_id int, number int, row_no int, col_no int, is_header boolean, text string")
     assert [r.value_id for r in grounding.ground_attribution(values, none, texts).collect()] == [1]
+
+
+def _batches(spark, df_of, folder, batches, columns, mode):
+    """What a stream gives for each of the batches, written one after the other, as (batch, row) pairs."""
+    out = []
+    source = spark.createDataFrame([], columns)
+    (folder / "in").mkdir(parents=True)
+    query = None
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").json(str(folder / "in"))
+        stream = df_of(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).json(str(folder / "in")))
+        query = stream.writeStream.outputMode(mode).foreachBatch(lambda b, n, k=k: out.extend((k, tuple(r)) for r in b.collect())).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return out
+
+
+def test_late_rows_and_idle_state(spark, tmp_path):
+    """Rows behind the watermark are dropped, and an idle page's or run's state goes, over several runs from one checkpoint."""
+    import datetime
+
+    t = lambda h, m=0: datetime.datetime(2024, 1, 1 + h // 24, h % 24, m)
+    columns = "page string, kind string, at timestamp, correct long, total long, read array<string>"
+    quiz = lambda page, at, correct: (page, "quiz", at, correct, 9, None)
+    batches = [[quiz("p", t(1), 1), quiz("q", t(1), 2)], [quiz("p", t(3), 3), quiz("p", t(0), 4)], [quiz("p", t(2), 5), quiz("q", t(3), 6)], [quiz("z", t(30), 7)], [quiz("z", t(30, 1), 8)], [quiz("p", t(31), 9)]]
+    got = _batches(spark, lambda s: activity.attempts_stream(s, 2, late="30 minutes", idle="5 hours"), tmp_path / "a", batches, columns, "update")
+    of = lambda k, page: [r[2] for n, r in got if n == k and r[0] == page]
+    assert of(0, "p") == [1] and of(1, "p") == [1, 3] and of(2, "p") == [] and of(2, "q") == [2, 6]  # t(0) is late at once: t(1) has moved the watermark
+    assert of(4, "z") == [7, 8] and of(5, "p") == [9]  # p was idle, so what it had is gone
+    reading = lambda page, at, *read: (page, "progress", at, None, None, list(read))
+    batches = [[reading("p", t(1), "s1")], [reading("p", t(3), "s2")], [reading("p", t(2), "s0"), reading("p", t(2, 45), "s9")], [reading("z", t(30), "x")], [reading("z", t(30), "x")], [reading("p", t(30, 5), "new")]]
+    got = _batches(spark, lambda s: activity.progress_stream(s, late="30 minutes", idle="5 hours"), tmp_path / "b", batches, columns, "update")
+    assert [(k, r[0], r[2]) for k, r in got] == [(0, "p", ["s1"]), (1, "p", ["s2"]), (3, "z", ["x"]), (5, "p", ["new"])]
+    columns = "run string, at timestamp, ordinal long, state string"
+    batches = [[("r", t(2), 2, "done"), ("s", t(1), 1, "running")], [("r", t(1, 45), 1, "running"), ("s", t(2), 2, "failed")], [("s", t(5), 3, "running")], [("r", t(1), 0, "running"), ("s", t(9), 4, "done")], [("z", t(60), 1, "x")], [("s", t(61), 9, "done")], [("z", t(90), 2, "x")]]
+    got = _batches(spark, lambda s: activity.transition_stream(s, late="30 minutes", idle="20 hours"), tmp_path / "c", batches, columns, "append")
+    assert sorted(r for _, r in got) == [("r", 2, "running", "done"), ("s", 2, "running", "failed"), ("s", 4, "running", "done")]
