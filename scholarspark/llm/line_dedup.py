@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ BROADCAST_KEYS = 200_000
 FLUSH = 2_000_000  # cells that a task holds before it hands them on
 #: Cells for each line, and cells at most: so many bits are broadcast, 256 MB here.
 CELLS, MAX_CELLS = 16, 1 << 31
+SLICE = 8 << 20  # bytes of text whose lines a task lays out at once
 FAN = 64  # groups in which the parts of a shard are merged before they meet
 
 
@@ -97,12 +99,22 @@ def _merge_all(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
 
 
+def _slices(batch: pa.RecordBatch, text_at: int):
+    """A batch in parts of about SLICE bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _suspects(filters, size: int, least: int, schema: pa.Schema, text_at: int):
     """For mapInArrow: each batch with n_lines and the (line, key) that may be repeated: array of (line, 128-bit hash of the key)."""
 
     def run(batches):
         bits = filters.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, text_at)):
             n_lines, docs, hashes = [], [], []
             for row, text in enumerate(batch.column(text_at)):
                 text = text.as_py() or ""
@@ -127,7 +139,7 @@ def _without(text_at: int, schema: pa.Schema):
     """For mapInArrow over the columns of docs, n_lines and the dropped lines' numbers: the texts without these lines, and how many there were."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, text_at)):
             texts, n = [], []
             for text, drops in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
                 gone = set(drops.as_py())
