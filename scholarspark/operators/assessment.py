@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from ..functions.text import jaccard, option_index, word_set
 from ..shared import settle
 
 MAX_PER_SECTION = 4
+#: Open questions of a key that are compared with each other in the first wave.
+GROUP = 256
 
 
 def question_problems(questions: DataFrame) -> DataFrame:
@@ -118,11 +122,11 @@ def _first(share: float, k: int) -> Column:
     return F.slice("ws", F.lit(1), F.least(F.col("n"), (F.col("n") - F.ceil(F.col("n") * share) + k).cast("int")))
 
 
-def _meeting(sets: DataFrame, share: float, also: DataFrame | None = None) -> DataFrame:
-    """(a_id, b_id, ...) for all pairs of sets(id, ws, n) that overlap by `share`, and some more; with also(id, word), only if they have a word of it in common too.
+def _keys(sets: DataFrame, share: float, also: DataFrame | None = None) -> DataFrame:
+    """(id, n, key): what sets(id, ws, n) that overlap by `share` have in common, and some others do; with also(id, word), each key only with each word.
 
     Sets meet under three common words among their first; those that may have fewer in common, which have three words
-    or less, also under two and one. Sizes are compared where they meet.
+    or less, also under two and one.
     """
     keys = []
     for k in (3, 2, 1):
@@ -130,22 +134,26 @@ def _meeting(sets: DataFrame, share: float, also: DataFrame | None = None) -> Da
         keys.append(able.select("id", "n", F.explode(_together(_first(share, k), k)).alias("key")))
     keyed = keys[0].unionAll(keys[1]).unionAll(keys[2])
     if also is not None:
-        keyed = keyed.join(also, "id").select("id", "n", F.concat_ws("|", "key", "word").alias("key"))
-    keyed = settle(keyed.select("id", "n", F.xxhash64("key").alias("key")))
-    often = settle(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
-    keyed = settle(keyed.join(often, "key"))  # kept, so that the join of pairs can split a key that many have
-    x, y = keyed.alias("x"), keyed.alias("y")
+        keyed = keyed.join(also, "id").select("id", "n", F.concat_ws("|", F.lit("answer"), "key", "word").alias("key"))
+    return keyed.select("id", "n", F.xxhash64("key").alias("key"))
+
+
+def _pairs(x: DataFrame, y: DataFrame, share: float) -> DataFrame:
+    """(a_id, b_id), b_id from y and a_id an earlier one from x that has a key of it and a size that may do."""
+    x, y = x.alias("x"), y.alias("y")
     sizes = F.least("x.n", "y.n") >= share * F.greatest("x.n", "y.n")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & sizes).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & sizes).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id")).distinct()
 
 
-def drop_similar(questions: DataFrame, share: float = 0.6) -> DataFrame:
+def drop_similar(questions: DataFrame, share: float = 0.6, group: int = GROUP) -> DataFrame:
     """questions(id, question, correct) without those that repeat an earlier one that stays: word sets that overlap by `share`, or by half of it with answers that do.
 
-    Questions with the same words and the same answer words are one, whose first stays or goes for all. Pairs meet on
-    choices of their rarest words (_meeting): of the questions, or of the answers with one of the question. Then
-    rounds: who has no earlier neighbour left stays, who has an earlier neighbour that stays goes; every round settles at
-    least the earliest open one.
+    Questions with the same words and the same answer words are one, whose first stays or goes for all. The others meet on
+    choices of their rarest words (_keys): of the questions, or of the answers with one of the question. In waves: of
+    each key the first `group` open questions are compared with each other; who is among them under all of its keys, and has
+    no earlier neighbour left, stays, and is a leader; then all open questions are compared with the new leaders
+    under their keys, and their neighbours go. So a family of n alike questions makes about n links, and one
+    of questions that only share words is settled group by group, each wave with groups twice as large. Every wave settles the earliest open question at least.
     """
     least = share / 2
     words = questions.select("id", F.array_sort(word_set(F.col("question"))).alias("w"), F.array_sort(word_set(F.coalesce(F.col("correct"), F.lit("")))).alias("a"))
@@ -153,18 +161,44 @@ def drop_similar(questions: DataFrame, share: float = 0.6) -> DataFrame:
     q = settle(words.where(F.size("w") > 0).groupBy("w", "a").agg(F.min("id").alias("id")))
     copies = words.join(q.withColumnRenamed("id", "first"), ["w", "a"]).where("id <> first").select("id")
     asked, answered = settle(_by_rarity(q, "w")), _by_rarity(q, "a")
-    pairs = _meeting(asked, share).unionAll(_meeting(answered, share, asked.select("id", F.explode(_first(least, 1)).alias("word")))).distinct()
-    both = pairs.join(q.select(F.col("id").alias("a_id"), F.col("w").alias("aw"), F.col("a").alias("aa")), "a_id").join(q.select(F.col("id").alias("b_id"), F.col("w").alias("bw"), F.col("a").alias("ba")), "b_id")
-    over = jaccard(F.col("aw"), F.col("bw"))
-    same = both.where((over >= share) | ((over >= least) & (jaccard(F.col("aa"), F.col("ba")) >= share))).select("a_id", "b_id")
-    edges = settle(same)
+    keyed = settle(_keys(asked, share).unionAll(_keys(answered, share, asked.select("id", F.explode(_first(least, 1)).alias("word")))).distinct())
+    often = settle(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
+    keyed = settle(keyed.join(often, "key"))  # kept, so that a join can split a key that many have
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q.select(F.col("id").alias("a_id"), F.col("w").alias("aw"), F.col("a").alias("aa")), "a_id").join(q.select(F.col("id").alias("b_id"), F.col("w").alias("bw"), F.col("a").alias("ba")), "b_id")
+        over = jaccard(F.col("aw"), F.col("bw"))
+        return settle(both.where((over >= share) | ((over >= least) & (jaccard(F.col("aa"), F.col("ba")) >= share))).select("a_id", "b_id"))
+
     gone = copies
-    while not edges.isEmpty():
-        # The earlier ends that nothing earlier touches stay; so their later neighbours go, with all their edges.
-        stay = edges.select(F.col("a_id").alias("id")).distinct().join(edges.select(F.col("b_id").alias("id")), "id", "left_anti")
-        drop = settle(edges.join(stay.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
+    while not keyed.isEmpty():
+        first = settle(keyed.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= group).drop("r"))
+        n_keys = keyed.groupBy("id").agg(F.count("*").alias("all"))
+        able = settle(first.groupBy("id").agg(F.count("*").alias("n")).join(n_keys, "id").where(F.col("n") == F.col("all")).select("id"))
+        edges = alike(_pairs(first, first.join(able, "id", "left_semi"), share))
+        leaders, settled = [], able
+        while True:
+            # Who has no earlier neighbour left stays; so their later neighbours go, with all their edges.
+            stay = settle(settled.join(edges.select(F.col("b_id").alias("id")), "id", "left_anti"))
+            if stay.isEmpty():
+                break
+            leaders.append(stay)
+            drop = settle(edges.join(stay.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
+            gone = gone.unionAll(drop)
+            edges = settle(edges.join(drop.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(drop.withColumnRenamed("id", "b_id"), "b_id", "left_anti"))
+            settled = settle(settled.join(stay.unionAll(drop), "id", "left_anti"))
+            keyed = keyed.join(drop, "id", "left_anti")
+            if edges.isEmpty() and settled.isEmpty():
+                break
+        new = settle(functools.reduce(DataFrame.unionAll, leaders))
+        led = settle(keyed.join(new, "id", "left_semi"))
+        keyed = settle(keyed.join(new, "id", "left_anti"))
+        if keyed.isEmpty():
+            break
+        drop = settle(alike(_pairs(led, keyed, share)).select(F.col("b_id").alias("id")).distinct())
         gone = gone.unionAll(drop)
-        edges = settle(edges.join(drop.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(drop.withColumnRenamed("id", "b_id"), "b_id", "left_anti").join(stay.withColumnRenamed("id", "a_id"), "a_id", "left_anti"))
+        keyed = settle(keyed.join(drop, "id", "left_anti"))
+        group *= 2
     return questions.join(gone, "id", "left_anti")
 
 

@@ -111,8 +111,22 @@ def test_drop_similar_by_answers(spark):
     for i, (q, a) in sets.items():
         if not any(over(q, sets[j][0]) >= 0.6 or (over(q, sets[j][0]) >= 0.3 and over(a, sets[j][1]) >= 0.6) for j in kept):
             kept.append(i)
-    got = assessment.drop_similar(spark.createDataFrame(rows, "id long, question string, correct string"))
-    assert sorted(r.id for r in got.collect()) == kept and len(kept) < len(rows)
+    for group in (256, 3):
+        got = assessment.drop_similar(spark.createDataFrame(rows, "id long, question string, correct string"), group=group)
+        assert sorted(r.id for r in got.collect()) == kept and len(kept) < len(rows)
+
+
+def test_drop_similar_families(spark, monkeypatch):
+    """A family of 20,000 alike questions makes about as many links, and not their square."""
+    family = [(i, f"which planet circles around star number{i % 3} name{i}xxxx the fastest when seen from afar", "") for i in range(20_000)]
+    others = [(30_000 + i, f"other{i}aaaa subject{i}bbbb matter{i}cccc", "") for i in range(100)]
+    pairs = []
+    real = assessment._pairs
+    monkeypatch.setattr(assessment, "_pairs", lambda x, y, share: pairs.append(real(x, y, share)) or pairs[-1])
+    got = assessment.drop_similar(spark.createDataFrame(family + others, "id long, question string, correct string").repartition(4), group=32)
+    kept = sorted(r.id for r in got.collect())
+    assert kept == [0, *range(30_000, 30_100)]
+    assert sum(p.count() for p in pairs) < 60_000
 
 
 def test_balanced_answers(spark):
