@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import new_path
+from ..shared import new_path, written
 from ..sources import io
 from ..sources.tables import table
 from ..streaming import activity
@@ -45,18 +45,46 @@ def _read_activity(spark, d):
 
 
 def _run_logs(spark, d):
-    """A line for each event in the form of a log, and some that have another."""
+    """A log for each type of event, in files by the order of events: a line for each event in the form of a log, and some that have another; the last 40 of each."""
     path = new_path(spark)
     level = F.element_at(F.array(*map(F.lit, ["DEBUG", "INFO", "WARNING", "ERROR"])), (F.col("event_id") % 4 + 1).cast("int"))
     line = F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" "), level, F.lit(" "), "event_type", F.lit(": value "), "event_id")
-    table(spark, d, "events").select(F.when(F.col("event_id") % 9 == 0, "no log line").otherwise(line).alias("value")).write.text(path)
-    return io.read_run_logs(spark, path, n=1 << 30).select("level", "stage", "message")
+    said = table(spark, d, "events").select("event_id", F.col("event_type").alias("log"), F.when(F.col("event_id") % 9 == 0, "no log line").otherwise(line).alias("value"))
+    said.repartitionByRange(8, "log", "event_id").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(path)
+    return io.read_run_logs(spark, path, n=40, run=F.regexp_extract("file", "log=([^/]+)/", 1)).select("run", "line_no", "level", "stage", "message")
 
 
 def _cache_files(spark, d):
+    """Texts in folders by language: how many bytes each holds."""
     path = new_path(spark)
-    table(spark, d, "documents").select("text", "lang").write.partitionBy("lang").parquet(path)
-    return io.read_cache_files(spark, path).where("file like '%.parquet' and bytes > 0").select("kind").distinct()
+    table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "lang").write.partitionBy("lang").text(path)
+    return io.read_cache_files(spark, path).where("file like '%.txt'").groupBy("kind").agg(F.sum("bytes").alias("bytes"))
+
+
+def _read_artifacts(spark, d):
+    """A page for each region: suppliers as sections, nations as nodes with an edge to the next, customers' segments as questions."""
+    root = new_path(spark)
+    of = lambda df, nation: df.join(table(spark, d, "nation"), F.col(nation) == F.col("n_nationkey"))
+    ids = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))
+    named = lambda c: F.transform(c, lambda x: F.struct(x.alias("id")))
+    s = of(table(spark, d, "supplier"), "s_nationkey").groupBy("n_regionkey").agg(ids("s_suppkey").alias("sections"))
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(ids("n_name").alias("nodes"))
+    q = of(table(spark, d, "customer"), "c_nationkey").groupBy("n_regionkey").agg(ids("c_mktsegment").alias("questions"))
+    pages = table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).drop("n_regionkey").join(s, F.col("r_regionkey") == F.col("n_regionkey"), "left").drop("n_regionkey").join(q, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    rows = written(pages.select("r_regionkey", F.struct(F.concat(F.lit("p"), "r_regionkey").alias("id"), F.col("r_name").alias("title")).alias("paper"), named("sections").alias("sections"), F.struct(named("nodes").alias("nodes"), F.transform(F.slice("nodes", F.lit(2), F.size("nodes")), lambda x: F.struct(x.alias("source"))).alias("edges")).alias("graph"), F.struct(named("questions").alias("questions")).alias("quiz")))
+    for region in range(5):  # the region keys
+        rows.where(F.col("r_regionkey") == region).drop("r_regionkey").write.json(f"{root}/{'.hidden' if region == 3 else f'page-{region}'}/experience.json")
+    return io.read_artifacts(spark, root)
+
+
+def _read_usage(spark, d):
+    """A status file for each priority of orders, with a counter for each of their states."""
+    path = new_path(spark)
+    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("calls"), F.sum(F.floor("o_totalprice")).alias("input_tokens"))
+    counter = F.struct(F.lit("v").alias("provider"), F.col("o_orderstatus").alias("model"), "calls", F.lit(0).cast("long").alias("cached"), "input_tokens", F.lit(None).cast("long").alias("output_tokens"), F.lit(0.5).alias("seconds"))
+    runs = o.groupBy(F.col("o_orderpriority").alias("run")).agg(F.collect_list(counter).alias("usage"))
+    runs.select("run", F.lit("done").alias("state"), F.lit("fast").alias("lane"), "usage").write.option("maxRecordsPerFile", 1).json(path)
+    return io.read_usage(spark, path).select("run", "state", "lane", "model", "calls", "input_tokens", "output_tokens", "seconds")
 
 
 def _artifacts(spark, d):
@@ -155,7 +183,9 @@ def _changes(spark, d):
 QUERIES = {
     "s1_read_corpus_sections": _corpus,
     "s1_read_corpus_papers": _corpus_papers,
+    "s2_read_artifacts": _read_artifacts,
     "s3_read_activity": _read_activity,
+    "s5_read_usage": _read_usage,
     "s4_read_run_logs": _run_logs,
     "s6_read_cache_files": _cache_files,
     "s7_write_artifacts": _artifacts,
@@ -177,8 +207,15 @@ ORACLES = {
     "s1_read_corpus_sections": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(i - 1 AS INT) AS section_no, md5(ls[i]) AS md5, CAST((i - 1) // 40 AS INT) AS page_start FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))",
     "s1_read_corpus_papers": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, source, sha256(text) AS sha256 FROM documents",
     "s3_read_activity": f"WITH {_A} SELECT * FROM a",
-    "s4_read_run_logs": "SELECT ['DEBUG', 'INFO', 'WARNING', 'ERROR'][event_id % 4 + 1] AS level, event_type AS stage, 'value ' || event_id AS message FROM events WHERE event_id % 9 <> 0 AND event_id % 4 <> 0",
-    "s6_read_cache_files": "SELECT DISTINCT 'lang=' || lang AS kind FROM documents",
+    "s2_read_artifacts": """WITH n AS (SELECT n_regionkey AS k, count(DISTINCT n_name) AS n FROM nation GROUP BY 1), s AS (SELECT n_regionkey AS k, count(DISTINCT s_suppkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+        q AS (SELECT n_regionkey AS k, count(DISTINCT c_mktsegment) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+        SELECT 'page-' || r_regionkey AS page, 'p' || r_regionkey AS paper_id, r_name AS title, CAST(coalesce(s.n, 0) AS INT) AS n_sections, CAST(n.n AS INT) AS n_nodes, CAST(n.n - 1 AS INT) AS n_edges, CAST(coalesce(q.n, 0) AS INT) AS n_questions
+        FROM region JOIN n ON n.k = r_regionkey LEFT JOIN s ON s.k = r_regionkey LEFT JOIN q ON q.k = r_regionkey WHERE r_regionkey <> 3""",
+    "s4_read_run_logs": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS line_no FROM events),
+        g AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM e WHERE event_id % 9 <> 0 AND event_id % 4 <> 0)
+        SELECT event_type AS run, line_no, ['DEBUG', 'INFO', 'WARNING', 'ERROR'][event_id % 4 + 1] AS level, event_type AS stage, 'value ' || event_id AS message FROM g WHERE r <= 40""",
+    "s5_read_usage": "SELECT o_orderpriority AS run, 'done' AS state, 'fast' AS lane, o_orderstatus AS model, count(*) AS calls, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS input_tokens, CAST(NULL AS BIGINT) AS output_tokens, 0.5::DOUBLE AS seconds FROM orders GROUP BY 1, 4",
+    "s6_read_cache_files": "SELECT 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS kind, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1",
     "s7_write_artifacts": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, source AS title, length(text) AS size, true AS placed FROM documents",
     "s8_write_index": "SELECT source AS paper_id, doc_id AS chunk_no, md5(text) AS md5 FROM documents",
     "s9_write_stage": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'",

@@ -232,6 +232,22 @@ _HEAD = r"m AS (SELECT *, CASE WHEN trim(text) <> '' AND len(regexp_extract_all(
 _SEC = "s AS (SELECT source AS paper_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id % 3 + 1 AS level, text FROM documents)"
 
 ORACLES = {
+    "w16_w18_build_chunks": """WITH RECURSIVE t AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS section_no FROM documents),
+        p AS (SELECT doc_id, i, ps[i] AS par FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM t WHERE length(text) > 1100))),
+        n AS (SELECT doc_id, max(i) AS n FROM p GROUP BY doc_id),
+        r(doc_id, i, n, rest, cur, k, piece) AS (
+            SELECT doc_id, CAST(1 AS BIGINT), n, CAST(NULL AS VARCHAR), '', 0, CAST(NULL AS VARCHAR) FROM n
+            UNION ALL
+            SELECT doc_id, CASE WHEN rest IS NULL THEN i + 1 ELSE i END, n,
+                   CASE WHEN length(rest) > 1100 THEN trim(substr(rest, stop + 1)) WHEN rest IS NULL AND length(par) > 1100 THEN par END,
+                   CASE WHEN length(rest) > 1100 THEN '' WHEN rest IS NOT NULL THEN rest WHEN par IS NULL OR length(par) > 1100 THEN '' WHEN cur = '' OR length(cur) + length(par) + 1 > 1100 THEN par ELSE cur || chr(10) || par END,
+                   k + CASE WHEN piece IS NULL THEN 0 ELSE 1 END,
+                   CASE WHEN length(rest) > 1100 THEN trim(left(rest, stop)) WHEN rest IS NULL AND cur <> '' AND (par IS NULL OR length(par) > 1100 OR length(cur) + length(par) + 1 > 1100) THEN cur END
+            FROM (SELECT *, CASE WHEN instr(reverse(left(rest, 1100)), ' .') > 0 AND 1100 - instr(reverse(left(rest, 1100)), ' .') > 551 THEN 1100 - instr(reverse(left(rest, 1100)), ' .') ELSE 1100 END AS stop
+                  FROM (SELECT r.*, p.par FROM r LEFT JOIN p ON p.doc_id = r.doc_id AND p.i = r.i AND r.rest IS NULL) WHERE i <= n + 1)),
+        parts AS (SELECT doc_id, k AS part, piece AS text FROM r WHERE piece IS NOT NULL UNION ALL SELECT doc_id, 0, text FROM t WHERE length(text) <= 1100),
+        c AS (SELECT source AS paper_id, section_no, part, parts.text FROM parts JOIN t USING (doc_id) WHERE trim(parts.text) <> '')
+        SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY section_no, part) AS chunk_no, section_no, part, length(text) AS n, md5(text) AS md5 FROM c""",
     "a1_strip_repeated_lines": rf"""WITH l AS (SELECT source AS paper_id, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents), k AS (SELECT *, regexp_replace(lower(text), '\d+', '#', 'g') AS key FROM l), p AS (SELECT paper_id, count(DISTINCT page) AS n FROM l GROUP BY 1),
         o AS (SELECT paper_id, key FROM k JOIN p USING (paper_id) GROUP BY paper_id, key, n HAVING count(*) >= greatest(2, floor(n * 0.1::DOUBLE)))
         SELECT paper_id, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM k ANTI JOIN o USING (paper_id, key) WHERE NOT regexp_full_match(key, '[#\s\-–/of]*') GROUP BY paper_id""",

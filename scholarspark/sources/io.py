@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,10 +22,10 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """(page, paper_id, title, counts) of every finished page under root/<page>/experience.json; folders with other names are skipped, unreadable files give an empty row."""
+    """(page, paper_id, title, counts) of every finished page under root/<page>/experience.json, a file or a folder of files; pages with other names are skipped, unreadable files give an empty row."""
     raw = spark.read.schema(ARTIFACT).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/experience.json").select("*", F.col("_metadata.file_path").alias("file"))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
-    page = F.element_at(F.split("file", "/"), -2)
+    page = F.regexp_extract("file", r"([^/]+)/experience\.json(?:/[^/]+)?$", 1)
     return raw.where(page.rlike(FOLDER)).select(page.alias("page"), F.col("paper.id").alias("paper_id"), F.col("paper.title").alias("title"), size("sections").alias("n_sections"), size("graph.nodes").alias("n_nodes"), size("graph.edges").alias("n_edges"), size("quiz.questions").alias("n_questions"))
 
 
@@ -36,11 +36,21 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACTIVITY).json(path).where("page is not null")
 
 
-def read_run_logs(spark: SparkSession, path: str, n: int = 200) -> DataFrame:
-    """(run, line_no, level, stage, message): the last n lines of each log file that have the form of one and aren't DEBUG. Files are read whole, one a run."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.log)?$", 1).alias("run"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    part = lambda i: F.regexp_extract("line", LOG_LINE, i)
-    lines = raw.select("run", "line_no", part(1).alias("level"), part(2).alias("stage"), part(3).alias("message")).where("level <> '' and level <> 'DEBUG'")
+def read_run_logs(spark: SparkSession, path: str, n: int = 200, run: Column | None = None) -> DataFrame:
+    """(run, line_no, level, stage, message): the last n lines of each log that have the form of one and aren't DEBUG.
+
+    A log is a file, or with `run`, an expression over `file`, the files that it gives one value, in the order of their names. Lines
+    are read as such, so a long log is read in parts; its line numbers are those before a part and the place in it.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    raw = raw.select((F.regexp_extract("file", r"([^/]+?)(?:\.log)?$", 1) if run is None else run).alias("run"), "*")
+    parts = raw.groupBy("run", "file", "start").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    # A row for each part of a log.
+    before = F.sum("size").over(Window.partitionBy("run").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    part = lambda i: F.regexp_extract("value", LOG_LINE, i)
+    said = raw.select("run", "file", "start", "at", part(1).alias("level"), part(2).alias("stage"), part(3).alias("message")).where("level <> '' and level <> 'DEBUG'")
+    lines = said.join(parts, ["file", "start"]).select("run", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "level", "stage", "message")
     return lines.withColumn("__r", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("line_no")))).where(F.col("__r") <= n).drop("__r")
 
 
