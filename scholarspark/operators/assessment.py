@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, option_index, word_set
 from ..shared import settle
+from .inorder import ranked
 
 MAX_PER_SECTION = 4
 #: Open questions of a key that are compared with each other in the first wave.
@@ -68,11 +69,11 @@ def top_up(sizes: DataFrame, pool: DataFrame, target: int) -> DataFrame:
 
 def balance_answers(questions: DataFrame) -> DataFrame:
     """questions(paper, question, options array, answer) with the right option at slots that are spread evenly over A to D, by a hash of the question; others keep their order."""
-    order = Window.partitionBy("paper").orderBy(F.sha2("question", 256), "question")
-    slot = (F.row_number().over(order) - 1) % 4
+    dealt = ranked(questions.withColumn("__h", F.sha2("question", 256)), ["paper"], [F.col("__h"), F.col("question"), F.col("answer")], "__at")
+    slot = (F.col("__at") - 1) % 4
     others = F.filter("options", lambda o, i: i != F.col("answer"))
     moved = F.concat(F.slice("others", F.lit(1), F.col("slot")), F.array(F.get("options", F.col("answer"))), F.slice("others", F.col("slot") + 1, F.lit(4)))
-    return questions.withColumn("slot", slot.cast("int")).withColumn("others", others).withColumn("options", moved).withColumn("answer", F.col("slot")).drop("slot", "others")
+    return dealt.withColumn("slot", slot.cast("int")).drop("__h", "__at").withColumn("others", others).withColumn("options", moved).withColumn("answer", F.col("slot")).drop("slot", "others")
 
 
 def shuffle_options(questions: DataFrame) -> DataFrame:

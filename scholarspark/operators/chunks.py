@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .inorder import folded, ranked
+
 
 def _pieces(par: Column, most: int) -> Column:
     """An over-long paragraph cut, while it is too long, after the last ". " past half the budget, else hard."""
@@ -45,19 +47,19 @@ def split_text(text: Column, most: int, separator: str = "\n\n") -> Column:
 def build_chunks(sections: DataFrame, most: int = 1100, separator: str = "\n\n") -> DataFrame:
     """(paper_id, chunk_no, section_no, part, text): parts of sections(paper_id, section_no, text), blank ones skipped, numbered through the paper."""
     parts = sections.select("paper_id", "section_no", F.posexplode(split_text(F.col("text"), most, separator)).alias("part", "text")).where(F.trim("text") != "")
-    return parts.withColumn("chunk_no", F.row_number().over(Window.partitionBy("paper_id").orderBy("section_no", "part")))
+    return ranked(parts, ["paper_id"], [F.col("section_no"), F.col("part")], "chunk_no")
 
 
 def pack_units(units: DataFrame, most: int) -> DataFrame:
-    """units(paper_id, unit_no, size) with pack: in order, a unit opens a new pack if it doesn't fit into the last. A fold over each paper's sizes."""
-    step = lambda s, u: F.struct(
-        F.when((s["used"] > 0) & (s["used"] + u["size"] > most), s["pack"] + 1).otherwise(s["pack"]).alias("pack"),
-        F.when((s["used"] > 0) & (s["used"] + u["size"] > most), u["size"]).otherwise(s["used"] + u["size"]).alias("used"),
-        F.array_append(s["out"], F.struct(u["unit_no"].alias("unit_no"), F.when((s["used"] > 0) & (s["used"] + u["size"] > most), s["pack"] + 1).otherwise(s["pack"]).alias("pack"))).alias("out"),
-    )
-    start = F.struct(F.lit(1).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<unit_no:bigint,pack:int>>").alias("out"))
-    listed = units.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("unit_no").cast("long").alias("unit_no"), F.col("size").cast("long").alias("size")))).alias("us"))
-    return listed.select("paper_id", F.inline(F.aggregate("us", start, step)["out"]))
+    """units(paper_id, unit_no, size) with pack: in order, a unit opens a new pack if it doesn't fit into the last. A fold over each paper's sizes, of which only the open pack is held."""
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, int]:
+        (pack, used), (size,) = state, values
+        pack, used = (pack + 1, size) if used > 0 and used + size > most else (pack, used + size)
+        return (pack, used), pack
+
+    rows = units.select("paper_id", F.col("unit_no").cast("long").alias("unit_no"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    return folded(rows, ["paper_id"], [F.col("unit_no"), F.col("size")], ["size"], (1, 0), step, "pack", "int").drop("size")
 
 
 def label_parts(parts: DataFrame) -> DataFrame:

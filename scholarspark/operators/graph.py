@@ -112,7 +112,8 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def prune_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 36) -> DataFrame:
     """The nodes(paper_id, node_id, label, type, mentions) that stay: lone ones go where a paper has over 12; then the paper itself, and by twice the degree and mentions, then label."""
-    ranked = degrees(nodes, edges).withColumn("__n", F.count("*").over(Window.partitionBy("paper_id"))).where((F.col("__n") <= 12) | (F.col("degree") > 0) | (F.col("type") == "this_work"))
+    many = settle(nodes.groupBy("paper_id").agg(F.count("*").alias("__n")))  # kept, so that a large paper's nodes can be split
+    ranked = degrees(nodes, edges).join(many, "paper_id").where((F.col("__n") <= 12) | (F.col("degree") > 0) | (F.col("type") == "this_work"))
     order = Window.partitionBy("paper_id").orderBy(F.col("type") != "this_work", F.desc(2 * F.col("degree") + F.col("mentions")), F.lower("label"), "node_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_nodes).drop("__n")
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.tex import CITE, REFER
 from ..functions.text import delatex, let, normalize, plain_runs, text_or_empty
+from .inorder import folded
 
 # How a citation names a work, and where a bibliography entry's parts end (not after initials).
 CITED_NAME = r"(?U)^([A-Z][\w\-' ]*?)(?: et al\.?)?,?\s*\(?((?:19|20)\d\d)?[a-z]?\)?$"
@@ -139,17 +140,15 @@ def limit_quotes(beats: DataFrame, most: int = 2) -> DataFrame:
 def section_pages(sections: DataFrame, hits: DataFrame, papers: DataFrame) -> DataFrame:
     """sections(paper_id, section_no) with page_start and page_end. A section begins on the first of its hits(paper_id, section_no, page) that isn't before the start of the one before it, or where that one begins; it ends where the next begins, the last with papers(paper_id, n_pages). A fold over the sections of one paper."""
     found = sections.join(hits, ["paper_id", "section_no"], "left").groupBy("paper_id", "section_no").agg(F.collect_set(F.col("page").cast("int")).alias("pages"))
-    listed = found.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "pages"))).alias("all"))
-    zero = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("starts"))
 
-    def step(state: Column, s: Column) -> Column:
-        at = F.coalesce(F.array_min(F.filter(s["pages"], lambda p: p >= state["now"])), state["now"])
-        return let(at, lambda x: F.struct(x.alias("now"), F.array_append(state["starts"], F.greatest(x, F.lit(1))).alias("starts")))
+    def step(state: tuple, values: tuple) -> tuple[tuple, int]:
+        now = min((p for p in values[0] if p >= state[0]), default=state[0])
+        return (now,), max(now, 1)
 
-    placed = listed.join(papers.select("paper_id", "n_pages"), "paper_id", "left").withColumn("starts", F.aggregate("all", zero, step)["starts"])
-    each = placed.select("paper_id", "n_pages", "starts", F.posexplode("all").alias("i", "s"))
-    start, after = F.get("starts", F.col("i")), F.get("starts", F.col("i") + 1)
-    return each.select("paper_id", F.col("s.section_no").alias("section_no"), start.alias("page_start"), F.greatest(start, F.coalesce(after, F.col("n_pages").cast("int"))).alias("page_end"))
+    begun = folded(found, ["paper_id"], [F.col("section_no")], ["pages"], (0,), step, "page_start", "int")
+    after = F.lead("page_start").over(Window.partitionBy("paper_id").orderBy("section_no"))
+    each = begun.withColumn("after", after).join(papers.select("paper_id", "n_pages"), "paper_id", "left")
+    return each.select("paper_id", "section_no", "page_start", F.greatest("page_start", F.coalesce("after", F.col("n_pages").cast("int"))).alias("page_end"))
 
 
 def assemble(beats: DataFrame, diagrams: DataFrame, focus: DataFrame, clips: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import canon, let, normalize
+from .inorder import folded
 
 # Headings that are known without a number.
 KNOWN_HEADINGS = [
@@ -110,23 +111,23 @@ def merge_split_headings(lines: DataFrame) -> DataFrame:
 
 def sane_numbering(headings: DataFrame) -> DataFrame:
     """headings(paper_id, line_no, heading, level) whose numbers follow on: n is the last top number or one more (at first 1 or 2), a subsection's is the last; letters count after the references only. Rejected ones change nothing."""
-    h = lambda x: x["heading"]
-    state = F.struct(F.lit(0).alias("top"), F.lit(False).alias("refs"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        number = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*+)\s", 1)
-        sub = F.regexp_extract(h(x), r"^(\d{1,2})((?:\.\d{1,2})*+)\s", 2) != ""
-        name = F.lower(F.trim(F.regexp_replace(h(x), r"^[\dIVXA-H.]+\s+", "")))
-        n = number.try_cast("int")
-        wrong = (n == 0) | ((n > s["top"] + 1) & ~((s["top"] == 0) & (n <= 2))) | (n < s["top"]) | (sub & (n != s["top"]))
-        letter = (number == "") & h(x).rlike(r"^[A-H](\.\d{1,2})*+\s") & ~name.isin(KNOWN_HEADINGS)
-        keep = F.when(number != "", ~wrong).otherwise(~letter | s["refs"])
-        refs = s["refs"] | (keep & (name.isin(REFERENCES) | F.lower(h(x)).isin(REFERENCES)))
-        return F.struct(F.when(keep & (number != ""), n).otherwise(s["top"]).alias("top"), refs.alias("refs"), F.when(keep, F.array_append(s["kept"], x["line_no"])).otherwise(s["kept"]).alias("kept"))
-
-    listed = headings.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("long").alias("line_no"), "heading"))).alias("hs"))
-    kept = listed.select("paper_id", F.explode(F.aggregate("hs", state, step)["kept"]).alias("line_no"))
-    return headings.join(kept, ["paper_id", "line_no"], "left_semi")
+    h = F.col("heading")
+    number, name = F.regexp_extract(h, r"^(\d{1,2})((?:\.\d{1,2})*+)\s", 1), F.lower(F.trim(F.regexp_replace(h, r"^[\dIVXA-H.]+\s+", "")))
+    said = headings.withColumns({
+        "__n": number.try_cast("int"), "__sub": F.regexp_extract(h, r"^(\d{1,2})((?:\.\d{1,2})*+)\s", 2) != "",
+        "__letter": (number == "") & h.rlike(r"^[A-H](\.\d{1,2})*+\s") & ~name.isin(KNOWN_HEADINGS), "__refs": name.isin(REFERENCES) | F.lower(h).isin(REFERENCES),
+    })
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, bool]:
+        (top, after), (n, sub, letter, refs) = state, values
+        if n is None:
+            keep = after or not letter
+        else:
+            keep = n > 0 and (n == top or not sub and (n == top + 1 or top == 0 and n == 2))
+            top = n if keep else top
+        return (top, after or keep and bool(refs)), keep
+
+    return folded(said, ["paper_id"], [F.col("line_no")], ["__n", "__sub", "__letter", "__refs"], (0, False), step, "__keep", "boolean").where("__keep").select(headings.columns)
 
 
 def neighbors(sections: DataFrame) -> DataFrame:

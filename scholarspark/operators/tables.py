@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .inorder import folded
+
 
 def table_markdown(cells: DataFrame) -> DataFrame:
     """(paper_id, number, markdown): cells(paper_id, number, row_no, col_no, text) as rows of |, a rule under the first."""
@@ -23,16 +25,18 @@ def number_floats(floats: DataFrame) -> DataFrame:
 
 def number_sections(heads: DataFrame) -> DataFrame:
     """heads(paper_id, ordinal, level 1 to 3, starred, appendix) with number: counters of three levels, deeper ones begin anew, appendices count in letters; starred heads have none."""
-    counted = (~F.col("starred")).cast("int")
-    by = Window.partitionBy("paper_id", "appendix").orderBy("ordinal")
-    one = F.sum(F.when(F.col("level") == 1, counted).otherwise(0)).over(by)
-    with_one = heads.withColumn("n1", one)
-    two = F.sum(F.when(F.col("level") == 2, counted).otherwise(0)).over(Window.partitionBy("paper_id", "appendix", "n1").orderBy("ordinal"))
-    with_two = with_one.withColumn("n2", two)
-    three = F.sum(F.when(F.col("level") == 3, counted).otherwise(0)).over(Window.partitionBy("paper_id", "appendix", "n1", "n2").orderBy("ordinal"))
-    top = F.when(F.col("appendix"), F.char(F.col("n1") + 64)).otherwise(F.col("n1").cast("string"))
-    number = F.when(F.col("level") == 1, top).when(F.col("level") == 2, F.concat_ws(".", top, "n2")).otherwise(F.concat_ws(".", top, "n2", "n3"))
-    return with_two.withColumn("n3", three).withColumn("number", F.when(F.col("starred"), "").otherwise(number)).drop("n1", "n2", "n3")
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        level, starred = values
+        if not starred:
+            state = (*state[: level - 1], state[level - 1] + 1, *(0,) * (3 - level))
+        return state, state
+
+    counted = folded(heads, ["paper_id", "appendix"], [F.col("ordinal")], ["level", "starred"], (0, 0, 0), step, "__n", "array<int>")
+    n = [F.col("__n")[i] for i in range(3)]
+    top = F.when(F.col("appendix"), F.char(n[0] + 64)).otherwise(n[0].cast("string"))
+    number = F.when(F.col("level") == 1, top).when(F.col("level") == 2, F.concat_ws(".", top, n[1])).otherwise(F.concat_ws(".", top, n[1], n[2]))
+    return counted.withColumn("number", F.when(F.col("starred"), "").otherwise(number)).drop("__n")
 
 
 def attach_figures(sections: DataFrame, figures: DataFrame, most: int = 4) -> DataFrame:

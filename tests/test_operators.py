@@ -463,3 +463,30 @@ def test_late_rows_and_idle_state(spark, tmp_path):
     batches = [[("r", t(2), 2, "done"), ("s", t(1), 1, "running")], [("r", t(1, 45), 1, "running"), ("s", t(2), 2, "failed")], [("s", t(5), 3, "running")], [("r", t(1), 0, "running"), ("s", t(9), 4, "done")], [("z", t(60), 1, "x")], [("s", t(61), 9, "done")], [("z", t(90), 2, "x")]]
     got = _batches(spark, lambda s: activity.transition_stream(s, late="30 minutes", idle="20 hours"), tmp_path / "c", batches, columns, "append")
     assert sorted(r for _, r in got) == [("r", 2, "running", "done"), ("s", 2, "running", "failed"), ("s", 4, "running", "done")]
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    """Ranks equal a window's, for groups in one range, groups over several, null keys and empty tables."""
+    from pyspark.sql.window import Window
+    from scholarspark.operators import inorder
+
+    rows = spark.range(30_000).selectExpr("case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else concat('g', id % 400) end AS g", "id % 2 AS h", "pmod(xxhash64(id), 1000) AS v", "id", "array(id) AS payload").repartition(5)
+    got = inorder.ranked(rows, ["g", "h"], [F.desc("v"), F.col("id")], "r")
+    want = rows.withColumn("r", F.row_number().over(Window.partitionBy("g", "h").orderBy(F.desc("v"), "id")).cast("long"))
+    assert got.columns == [*rows.columns, "r"] and got.exceptAll(want).count() == 0 and got.count() == 30_000
+    assert inorder.ranked(rows.limit(0), ["g"], [F.col("id")], "r").count() == 0
+    one = inorder.ranked(rows.withColumn("g", F.lit("x")), ["g"], [F.col("id")], "r")
+    assert one.agg(F.max("r"), F.count_distinct("r"), F.lit(0)).first()[:2] == (30_000, 30_000) and one.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_folds_over_long_papers(spark):
+    """A paper of a million units is packed as one by one; headings are kept by the rule, however the rows lie."""
+    units = spark.range(1_000_000).selectExpr("if(id < 990000, 1, id % 100) AS paper_id", "id AS unit_no", "pmod(xxhash64(id), 400) AS size").repartition(4)
+    got = {(r.paper_id, r.unit_no): r.pack for r in chunks.pack_units(units, 1000).where("unit_no % 37 = 0 or paper_id <> 1").collect()}
+    sizes, packs = {}, {}
+    for r in units.orderBy("unit_no").toLocalIterator():
+        pack, used = packs.get(r.paper_id, (1, 0))
+        pack, used = (pack + 1, r["size"]) if used > 0 and used + r["size"] > 1000 else (pack, used + r["size"])
+        packs[r.paper_id] = pack, used
+        sizes[r.paper_id, r.unit_no] = pack
+    assert all(sizes[k] == p for k, p in got.items()) and packs[1][0] > 100_000
