@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..shared import settle
+from ..shared import settle_in_order
 
 
 def _starts(keys: list[pa.Array]) -> np.ndarray:
@@ -52,7 +52,7 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str) -> Da
     spark = rows.sparkSession
     keys = [F.col(c) for c in by]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = settle(rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    placed = settle_in_order(rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__range", F.spark_partition_id()))
     ends = placed.select(*by, "__range").mapInArrow(_ends, "range int, first string, last string, n long").collect()
     before, key, held = {}, None, 0
     for r in sorted(ends):

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import canon, let, normalize
-from .inorder import folded
+from ..shared import settle_in_order
+from .inorder import folded, ranked
 
+#: Blocks of earlier summaries have up to 2^LEVELS of them.
+LEVELS = 10
 # Headings that are known without a number.
 KNOWN_HEADINGS = [
     "abstract", "introduction", "related work", "related works", "background", "preliminaries",
@@ -137,10 +140,36 @@ def neighbors(sections: DataFrame) -> DataFrame:
     return sections.select("*", F.lag("title").over(order).alias("previous"), F.lead("title").over(order).alias("next"), F.row_number().over(order).alias("position"), F.count("*").over(by).alias("n_sections"))
 
 
+def context_blocks(sections: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(blocks(paper_id, level, block, text), refs(paper_id, section_no, refs)) of sections(paper_id, section_no, summary): what comes before each section, in blocks that sections share.
+
+    A block of level k is the summaries of 2^k sections that follow each other, a line each; so each summary is written once a level, and not
+    once for every later section. refs lists the blocks that make up all earlier sections, in order: those of the highest level, and at most one of each below.
+    """
+    # A section without a summary has a place, and adds nothing.
+    placed = settle_in_order(ranked(sections.select("paper_id", "section_no", "summary"), ["paper_id"], [F.col("section_no")], "n").withColumn("n", F.col("n") - 1))
+    each = placed.where("summary is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.expr("shiftright(n, level)"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "summary"))), lambda s: s["summary"]), "\n")
+    blocks = each.groupBy("paper_id", "level", "block").agg(text.alias("text"))
+    n = F.col("n")
+    whole = F.transform(F.when(n >= 1 << levels, F.sequence(F.lit(0).cast("long"), F.shiftright(n, levels).cast("long") - 1)).otherwise(F.array().cast("array<bigint>")), lambda b: F.struct(F.lit(levels).alias("level"), b.alias("block")))
+    rest = F.transform(F.lit([*range(levels - 1, -1, -1)]).cast("array<int>"), lambda k: F.when(F.floor(n / F.pow(F.lit(2), k)) % 2 == 1, F.struct(k.alias("level"), (F.floor(n / F.pow(F.lit(2), k)) - 1).cast("long").alias("block"))))
+    refs = placed.select("paper_id", "section_no", F.concat(whole, F.array_compact(rest)).alias("refs"))
+    return blocks, refs
+
+
+def expand_context(refs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper_id, section_no, earlier) for some of the refs of context_blocks: their blocks' texts, a line each; empty for a first section."""
+    each = refs.select("paper_id", "section_no", F.posexplode("refs").alias("at", "ref")).select("paper_id", "section_no", "at", "ref.*").join(blocks, ["paper_id", "level", "block"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), "\n")
+    told = each.groupBy("paper_id", "section_no").agg(text.alias("earlier"))
+    return refs.select("paper_id", "section_no").join(told, ["paper_id", "section_no"], "left").withColumn("earlier", F.coalesce("earlier", F.lit("")))
+
+
 def earlier_context(sections: DataFrame) -> DataFrame:
-    """sections(paper_id, section_no, summary) with the summaries of all earlier ones, a line each."""
-    before = Window.partitionBy("paper_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
-    return sections.withColumn("earlier", F.array_join(F.collect_list("summary").over(before), "\n"))
+    """sections(paper_id, section_no, summary) with the summaries of all earlier ones, a line each, from the blocks that sections share."""
+    blocks, refs = context_blocks(sections)
+    return sections.join(expand_context(refs, blocks), ["paper_id", "section_no"])
 
 
 def choose_structure(headings: DataFrame, pages: DataFrame) -> DataFrame:

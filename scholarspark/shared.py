@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch: list[str] = []  # folders of the scratch blocks that are open
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())  # folders of the scratch blocks that are open in this thread
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,14 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; for narrow tables. A lost executor costs nothing but its running tasks."""
+    """df, computed once and kept in the shared folder, in a scratch block as Parquet that goes with it; for narrow tables. A lost executor costs nothing but its running tasks."""
+    if _scratch.get():
+        return written(df)
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def settle_in_order(df: DataFrame) -> DataFrame:
+    """df kept as settle does, with its partitions and the order of their rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def new_path(spark: SparkSession) -> str:
     """A path for a table in the shared folder, or in that of the innermost scratch block."""
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{blocks[-1] if (blocks := _scratch.get()) else shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -51,11 +60,11 @@ def removed(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
-    """What `written` writes within the block goes when it ends; write the block's result before, to a path outside."""
+    """What is kept within the block goes when it ends; write the block's result before, to a path outside. Blocks of other threads are apart."""
     folder = new_path(spark)
-    _scratch.append(folder)
+    opened = _scratch.set((*_scratch.get(), folder))
     try:
         yield folder
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(opened)
         removed(spark, folder)

@@ -490,3 +490,43 @@ def test_folds_over_long_papers(spark):
         packs[r.paper_id] = pack, used
         sizes[r.paper_id, r.unit_no] = pack
     assert all(sizes[k] == p for k, p in got.items()) and packs[1][0] > 100_000
+
+
+def test_context_in_blocks(spark):
+    """What comes before any section, from blocks of any height; each summary is written once a level."""
+    rows = [(p, i * 3, None if i % 11 == 5 else f"p{p} s{i}" if i % 7 else "") for p, n in ((1, 300), (2, 1), (3, 64), (4, 17)) for i in range(n)]
+    table = spark.createDataFrame(rows, "paper_id int, section_no int, summary string").repartition(3)
+    want = {(p, i): "\n".join(s for q, j, s in rows if q == p and j < i and s is not None) for p, i, _ in rows}
+    for levels in (0, 3, 10):
+        blocks, refs = structure.context_blocks(table, levels)
+        assert {(r.paper_id, r.section_no): r.earlier for r in structure.expand_context(refs, blocks).collect()} == want
+        assert max(len(r.refs) for r in refs.collect()) <= levels + 300 // 2**levels
+        written = sum(len(r.text.split("\n")) for r in blocks.collect())
+        assert written == (levels + 1) * sum(s is not None for _, _, s in rows)
+    one = structure.expand_context(refs.where("paper_id = 1 and section_no = 897"), blocks).collect()
+    assert [r.earlier for r in one] == [want[1, 897]]
+    assert {(r.paper_id, r.section_no): (r.summary, r.earlier) for r in structure.earlier_context(table).collect()} == {(p, i): (s, want[p, i]) for p, i, s in rows}
+
+
+def test_scratch_blocks_of_threads(spark, tmp_path):
+    """What is settled in a block goes with it, and a block of another thread is another one."""
+    import os
+    import threading
+
+    from scholarspark.shared import scratch, settle, shared_dir
+
+    top = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    seen = {}
+
+    def other():
+        with scratch(spark) as mine:
+            seen["other"] = mine
+            settle(spark.range(3)).count()
+
+    with scratch(spark) as folder:
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        assert settle(spark.range(5).where("id > 1")).count() == 3 and seen["other"] != folder and not seen["other"].startswith(folder)
+    assert set(os.listdir(top)) == before
