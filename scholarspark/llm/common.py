@@ -12,7 +12,7 @@ from ..operators.components import components
 from ..shared import new_path, shared_dir, written
 from ..shared import settle as cut
 
-__all__ = ["WS_CLASS", "WS_RUN", "components", "cut", "dealt", "documents", "fresh", "model_path", "n_words", "positions", "shared_dir", "written"]
+__all__ = ["WS_CLASS", "WS_RUN", "among", "components", "cut", "dealt", "documents", "fresh", "let", "model_path", "n_words", "positions", "shared_dir", "written"]
 
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -50,6 +50,18 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{WS_CLASS}]+|([^{WS_CLASS}])[^{WS_CLASS}]*", "$1")).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def among(values: Column, x: Column) -> Column:
+    """Whether x is in a sorted array, by halving: so looking up as many x as there are values costs little more than their number."""
+    halves = F.transform(F.sequence(F.ceil(F.log2(F.size(values) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    last = let(x, lambda h: F.struct(h.alias("h"), F.aggregate(halves, F.lit(-1), lambda at, half: F.when(F.get(values, at + half) <= h, at + half).otherwise(at)).alias("at")))
+    return let(last, lambda found: F.coalesce(F.get(values, found["at"]) == found["h"], F.lit(False)))
+
+
 def positions(df: DataFrame, *order: Column) -> DataFrame:
     """df with `position`, its rank from 0 in a total order, without sending all rows to one task: sorted in ranges, each range adding the sizes of those before it."""
     placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__at")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, fresh, written
+from .common import among, cut, fresh, written
 
 WHITE = " \t\n\v\f\r"
 HASHES = 3
@@ -135,23 +135,6 @@ def _suspects(filters, size: int, least: int, schema: pa.Schema, text_at: int):
     return run
 
 
-def _without(text_at: int, schema: pa.Schema):
-    """For mapInArrow over the columns of docs, n_lines and the dropped lines' numbers: the texts without these lines, and how many there were."""
-
-    def run(batches):
-        for batch in (part for whole in batches for part in _slices(whole, text_at)):
-            texts, n = [], []
-            for text, drops in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
-                gone = set(drops.as_py())
-                n.append(len(gone))
-                texts.append("\n".join([x for i, x in enumerate((text.as_py() or "").split("\n")) if i not in gone]))
-            columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], schema=schema)
-
-    return run
-
-
 def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int = MAX_CELLS) -> DataFrame:
     """docs(doc_id, text, ...) with the lines of text that repeat in other documents taken out, and n_lines and n_dropped as the last two columns.
 
@@ -186,9 +169,9 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int
     keepers = each.groupBy("key", "doc_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= copies).select("key", "keep")
     keepers = cut(keepers)  # joined straight after the sums, a hot key's lines would stay in one task
     keepers = F.broadcast(keepers) if keepers.count() <= BROADCAST_KEYS else keepers
-    lost = each.join(keepers, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).groupBy("uid").agg(F.collect_list("line").alias(drops)).withColumnRenamed("uid", uid)
+    lost = each.join(keepers, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).groupBy("uid").agg(F.array_sort(F.collect_list("line")).alias(drops)).withColumnRenamed("uid", uid)
     joined = held.join(lost, uid, "left")
-    out = lambda df: df.select(*docs.columns, n_lines, F.lit(0).cast("long").alias(n_dropped))
-    cut_schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-    shortened = joined.where(F.col(drops).isNotNull()).select(*docs.columns, n_lines, drops).mapInArrow(_without(docs.columns.index("text"), to_arrow_schema(cut_schema)), cut_schema)
-    return out(found.where(F.size(suspects) == 0)).unionAll(out(joined.where(F.col(drops).isNull()))).unionAll(shortened)
+    gone = F.col(drops).isNotNull()
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~among(F.col(drops), i)), "\n")
+    out = lambda df, text, n: df.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines, n.cast("long").alias(n_dropped))
+    return out(found.where(F.size(suspects) == 0), F.col("text"), F.lit(0)).unionAll(out(joined, F.when(gone, kept).otherwise(F.col("text")), F.when(gone, F.size(drops)).otherwise(0)))

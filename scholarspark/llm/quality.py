@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, WS_RUN, cut, fresh, n_words
+from .common import WS_CLASS, WS_RUN, among, cut, fresh, let, n_words
 
 #: A line is repeated by its host if over MIN_DOCS of the host's documents have it, and over MAX_SHARE of them or over MAX_DOCS, which doesn't grow with the host.
 MIN_DOCS = 20
@@ -17,11 +17,6 @@ MAX_LOST = 0.5
 BROADCAST_LINES = 200_000
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def line_table(text: Column) -> Column:
     """array of (h, w) for the lines with a word: a hash of the line in lower case with single blanks, and its words."""
     blanks = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
@@ -107,19 +102,12 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     )
 
 
-def _among(values: Column, x: Column) -> Column:
-    """Whether x is in a sorted array, by halving: long documents with many repeated lines cost little more than their length."""
-    halves = F.transform(F.sequence(F.ceil(F.log2(F.size(values) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    last = let(x, lambda h: F.struct(h.alias("h"), F.aggregate(halves, F.lit(-1), lambda at, half: F.when(F.get(values, at + half) <= h, at + half).otherwise(at)).alias("at")))
-    return let(last, lambda found: F.coalesce(F.get(values, found["at"]) == found["h"], F.lit(False)))
-
-
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that quality_rules keeps, without the lines that their hosts repeat; columns as in docs."""
     key, id_, gone = fresh(docs, "__text_hash"), fresh(docs, "__id"), fresh(docs, "__repeated")
     verdicts = quality_rules(docs, **limits).where("kept")
     # Rows with one doc_id and one text but different hosts may differ; any of their verdicts may serve, so take the mildest.
     verdicts = verdicts.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(key)).agg(F.array_sort(F.min_by("repeated", F.size("repeated"))).alias(gone))
-    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~_among(F.col(gone), F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " "))))), "\n")
+    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~among(F.col(gone), F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " "))))), "\n")
     joined = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(verdicts.withColumnRenamed(key, key + "v"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key + "v")))
     return joined.select([F.when(F.size(gone) > 0, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
