@@ -530,3 +530,11 @@ def test_scratch_blocks_of_threads(spark, tmp_path):
         thread.join()
         assert settle(spark.range(5).where("id > 1")).count() == 3 and seen["other"] != folder and not seen["other"].startswith(folder)
     assert set(os.listdir(top)) == before
+
+
+def test_labels_piece_by_piece(spark):
+    said = {
+        r"$\pi_0$-FAST": "π0-FAST", r"$\pi_{0.5}$": "π0.5", "pi_0 and pi_{0.5}": "π0 and π0.5", "api_0": "api_0", "a_b {c} ^d": "a_b {c} ^d", r"\textbf{Big  Net}_2": "Big Net2",
+        r"$x_{ab}^2$": "xab2", r"\foo{bar} $y_$": "bar y_", r"\alpha\beta x": "αβ x", r"\alphabet": "", r"x_\alpha + y^\foo": "xα + y^", r"$x_{ab$": "x_ab", r"\mathrm{x_1}": "x1", "": "", r"\\": r"\\", "$a$\n $b$": "a b",
+    }
+    assert dict(zip(said, col(spark, T.delatex, list(said)))) == said
