@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Bytes of text from which a language is learned, and the documents they may come from. The bound of the training sample.
 TRAIN_BYTES = 300_000
 TRAIN_DOCS = 2_000
@@ -28,19 +30,21 @@ def letters_of(text: Column) -> Column:
 def training_sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(lang, text): the lines of whole documents that aren't held out, in an order hashed from their ids, while the documents fit into train_bytes for each language.
 
-    Texts over a tenth of train_bytes are passed over, so that none takes the place of many; a language that has no others is learned from the first of them. Of equal lines one is learned, and lines that several languages have are left out, for they tell nothing. A first count by language thins the rows so that about 4 * train_docs of a language meet in a window.
+    Texts over a tenth of train_bytes are passed over, so that none takes the place of many; a language that has no others is learned from the first of them. Of equal lines one is learned, and lines that several languages have are left out, for they tell nothing. A first count by language thins the rows so that about 4 * train_docs of a language meet in a window, which holds hashes and sizes only.
     """
     able = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = able.groupBy("lang").agg(F.count("*").alias("n"))
     mixed = F.xxhash64(F.lit("train"), "doc_id", "text")
     unit = mixed.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    some = able.join(F.broadcast(counts), "lang").where(unit < 4.0 * train_docs / F.col("n")).select("lang", "text", mixed.alias("at"))
-    order = Window.partitionBy("lang").orderBy("at", "text")
-    small = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_docs)
     size = F.octet_length("text")
-    short = small.withColumn("short", size <= train_bytes / 10)
-    sizes = F.sum(F.when(F.col("short"), size).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = short.withColumn("so_far", sizes).withColumn("any", F.max("short").over(Window.partitionBy("lang"))).where((F.col("short") & (F.col("so_far") <= train_bytes)) | (~F.col("any") & (F.col("rank") == 1)))
+    # Chosen by hash and size; the texts of those chosen are fetched afterwards.
+    some = able.select("lang", mixed.alias("at"), size.alias("size"), unit.alias("unit")).join(counts, "lang").where(F.col("unit") < 4.0 * train_docs / F.col("n")).select("lang", "at", "size")
+    order = Window.partitionBy("lang").orderBy("at", "size")
+    small = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_docs)
+    short = small.withColumn("short", F.col("size") <= train_bytes / 10)
+    sizes = F.sum(F.when(F.col("short"), F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    picked = short.withColumn("so_far", sizes).withColumn("any", F.max("short").over(Window.partitionBy("lang"))).where((F.col("short") & (F.col("so_far") <= train_bytes)) | (~F.col("any") & (F.col("rank") == 1)))
+    chosen = able.select("lang", "text", mixed.alias("at")).join(cut(picked.select("lang", "at")), ["lang", "at"], "left_semi")
     lines = chosen.select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", letters_of(F.col("line")).alias("line")).distinct()
     return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("lang").alias("lang")).where("n = 1").select("lang", F.col("line").alias("text"))
 
