@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MEMO_BYTES = 256 << 20  # about what a Python worker remembers of words and their ids
+MEMO_BYTES = 128 << 20  # about what a Python worker remembers of words and their ids
 LONG = 256  # characters; longer words aren't remembered
 
 
