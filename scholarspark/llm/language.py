@@ -15,6 +15,8 @@ TRAIN_BYTES = 300_000
 TRAIN_DOCS = 2_000
 ORDER = 4  # bytes of the longest context
 HELD_OUT = 5
+#: Chosen documents up to this number (16 bytes each) are broadcast; for more, texts are shuffled to meet them.
+BROADCAST_PICKED = 500_000
 
 
 def held_out() -> Column:
@@ -44,7 +46,9 @@ def training_sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs:
     short = small.withColumn("short", F.col("size") <= train_bytes / 10)
     sizes = F.sum(F.when(F.col("short"), F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     picked = short.withColumn("so_far", sizes).withColumn("any", F.max("short").over(Window.partitionBy("lang"))).where((F.col("short") & (F.col("so_far") <= train_bytes)) | (~F.col("any") & (F.col("rank") == 1)))
-    chosen = able.select("lang", "text", mixed.alias("at")).join(cut(picked.select("lang", "at")), ["lang", "at"], "left_semi")
+    picked = cut(picked.select("lang", "at"))
+    few = picked.count() <= BROADCAST_PICKED
+    chosen = able.select("lang", "text", mixed.alias("at")).join(F.broadcast(picked) if few else picked, ["lang", "at"], "left_semi")
     lines = chosen.select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", letters_of(F.col("line")).alias("line")).distinct()
     return lines.groupBy("line").agg(F.count("*").alias("n"), F.min("lang").alias("lang")).where("n = 1").select("lang", F.col("line").alias("text"))
 
