@@ -75,65 +75,134 @@ def _count(batches):
 
 
 class Model:
-    """Frozen context trees of all languages, laid out as tables.
+    """Frozen context trees of all languages.
 
     For a language, a context that has been followed n times by d different bytes predicts a byte followed c times
     with c / (n + d) and escapes to the next shorter context with d / (n + d); contexts never met are passed over
     for nothing, and below the empty context all 256 bytes are alike. (No exclusion: the lengths are those of a
-    code that may waste some room.) `cost[k]` has the length in bits for each k-gram that any language has,
-    `escape[k]` that of escaping from each context of k bytes; a column is a language.
+    code that may waste some room.)
+
+    The length of a text is a sum over its grams of 1 to ORDER + 1 bytes. Without any, a byte costs 8 bits and the
+    escape from the empty context. A gram that the language has gains what it is shorter than its last k - 1 bytes and
+    the escape from its first k - 1; one that is followed by another byte costs the escape from itself. So a gram
+    has a value for each language that has it, and for no other, and the tables grow with the sample.
     """
 
-    def __init__(self, counts: list[tuple[str, int, int, int]]):
-        self.langs = sorted({c[0] for c in counts})
-        at = {x: i for i, x in enumerate(self.langs)}
-        lang, k_all = (np.array(v) for v in ([at[c[0]] for c in counts], [c[1] for c in counts])) if counts else (np.empty(0, int),) * 2
-        gram, n = (np.array([c[i] for c in counts], t) for i, t in ((2, np.uint64), (3, np.float64)))
-        self.keys, self.cost, self.context, self.escape = {}, {}, {}, {}
-        width = len(self.langs)
+    def __init__(self, counts: pa.Table | list[tuple[str, int, int, int]]):
+        if not isinstance(counts, pa.Table):
+            schema = pa.schema([("lang", pa.string()), ("k", pa.int8()), ("gram", pa.int64()), ("n", pa.int64())])
+            counts = pa.Table.from_pydict(dict(zip(schema.names, zip(*counts))) if counts else {x: [] for x in schema.names}, schema=schema)
+        names = counts["lang"].combine_chunks().dictionary_encode()
+        self.langs = sorted(names.dictionary.to_pylist())
+        width, at = len(self.langs), {x: i for i, x in enumerate(self.langs)}
+        lang_all = np.array([at[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+        k_all, gram_all, n_all = counts["k"].to_numpy(), counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+        self.levels: list[_Level] = []
+        at_pair, own, gain = _Pairs(np.zeros(1, np.uint64), np.zeros(width, np.int64), np.arange(width)), np.full(width, 8.0), np.zeros(width)
         for k in range(1, ORDER + 2):
-            mine = k_all == k
-            keys, which = np.unique(gram[mine], return_inverse=True)
-            c = np.zeros((len(keys), width), np.float64)
-            c[which, lang[mine]] = n[mine]
-            heads, head = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total, kinds = np.zeros((len(heads), width)), np.zeros((len(heads), width))
-            np.add.at(total, head, c)
-            np.add.at(kinds, head, c > 0)
-            met = total > 0
+            mine = np.flatnonzero(k_all == k)
+            order = mine[np.lexsort((lang_all[mine], gram_all[mine]))]
+            gram, lang, n = gram_all[order], lang_all[order], n_all[order].astype(np.float64)
+            keys, row = np.unique(gram, return_inverse=True)
+            # For each gram of a language: where that language has its first and its last k - 1 bytes.
+            head, tail = at_pair.find(gram >> np.uint64(8), lang), at_pair.find(gram & np.uint64((1 << (8 * (k - 1))) - 1), lang)
+            total, kinds = np.bincount(head, n, len(own)), np.bincount(head, minlength=len(own))
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(met, np.log2((total + kinds) / kinds), 0.0)
-                own = np.log2((total + kinds)[head] / c)
+                escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0)
             if k == 1:
-                shorter = np.full((len(keys), width), 8.0)
+                self.floor = 8 + escape  # of a byte, by language
             else:
-                shorter = self._bits(k - 1, keys & np.uint64((1 << (8 * (k - 1))) - 1)).astype(np.float64)
-            self.keys[k], self.cost[k] = _Index(keys), np.where(c > 0, own, escape[head] + shorter).astype(np.float32)
-            self.context[k], self.escape[k] = _Index(heads), escape.astype(np.float32)
-
-    def _bits(self, k: int, grams: np.ndarray) -> np.ndarray:
-        """Bits (a row for each gram, a column for each language) of the last byte of each k-gram after the others."""
-        if k == 0:
-            return np.full((len(grams), len(self.langs)), 8.0, np.float32)
-        found = self.keys[k].find(grams)
-        out = self.cost[k][found] if len(self.cost[k]) else np.zeros((len(grams), len(self.langs)), np.float32)
-        miss = np.flatnonzero(found < 0)
-        if len(miss):
-            head = self.context[k].find(grams[miss] >> np.uint64(8))
-            esc = np.where(head[:, None] >= 0, self.escape[k][head], np.float32(0)) if len(self.escape[k]) else 0
-            out[miss] = esc + self._bits(k - 1, grams[miss] & np.uint64((1 << (8 * (k - 1))) - 1))
+                self.levels.append(_Level(k - 1, at_pair, width, gain + escape, escape))
+            here = np.log2((total + kinds)[head] / n)
+            at_pair, own, gain = _Pairs(keys, row, lang), here, here - escape[head] - own[tail]
+        self.levels.append(_Level(ORDER + 1, at_pair, width, gain, None))
+
+    def nbytes(self) -> int:
+        """Bytes of the tables."""
+        return sum(level.nbytes() for level in self.levels)
+
+    def lengths(self, data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Code lengths in bits under each language, of data, or of each of the texts that lie in data from at[i] to at[i + 1], in which case a row is a text. Many or long texts go in blocks, and a gram belongs to that in which it begins."""
+        alone, width = at is None, len(self.langs)
+        at = np.array([0, len(data)], np.int64) if alone else at
+        total = np.diff(at)[:, None] * self.floor
+        block = max(1 << 10, (1 << 18) // max(1, width))
+        for c in range(0, len(data), block):
+            part = data[c : c + block + ORDER]
+            place = np.arange(c, min(c + block, len(data)))
+            text = np.searchsorted(at, place, "right") - 1
+            left = at[text + 1] - place  # bytes from there to the end of the text
+            first, size = text[0], text[-1] - text[0] + 1
+            for level in self.levels:
+                begins = np.flatnonzero(left >= level.k)
+                total[first : first + size] += level.values(_grams(part, level.k)[begins], text[begins] - first, size)
+        for level in self.levels[:-1]:  # the last gram of a text isn't followed by a byte
+            text = np.flatnonzero(np.diff(at) >= level.k)
+            last = np.zeros(len(text), np.uint64)
+            for i in range(level.k, 0, -1):
+                last = last << np.uint64(8) | data[at[text + 1] - i]
+            for i in range(0, len(text), block):
+                some = slice(i, i + block)
+                total[text[some]] -= level.values(last[some], np.arange(len(text[some])), len(text[some]), escapes=True)
+        return total[0] if alone else total
+
+
+class _Pairs:
+    """Sorted pairs of a gram and a language that has it."""
+
+    def __init__(self, keys: np.ndarray, row: np.ndarray, lang: np.ndarray):
+        self.keys, self.row, self.lang = keys, row, lang
+        self.wide = int(lang.max(initial=0)) + 1
+        self.number = row * self.wide + lang
+
+    def find(self, gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Where pairs are that are there."""
+        return np.searchsorted(self.number, np.searchsorted(self.keys, gram) * self.wide + lang)
+
+
+class _Level:
+    """Values of the grams of k bytes: a row of all languages for grams that at least one in FULL of them has, pairs of language and value for the others. So there are at most FULL times as many values as pairs."""
+
+    FULL = 4
+
+    def __init__(self, k: int, pairs: _Pairs, width: int, value: np.ndarray, escape: np.ndarray | None):
+        self.k, self.width, self.index = k, width, _Index(pairs.keys)
+        n = np.bincount(pairs.row, minlength=len(pairs.keys))
+        full = n * self.FULL >= width
+        self.full_at = np.where(full, np.cumsum(full) - 1, -1).astype(np.int32)
+        wide = full[pairs.row] if len(pairs.row) else np.zeros(0, bool)
+        self.starts = np.concatenate([[0], np.cumsum(np.where(full, 0, n))])
+        self.lang = pairs.lang[~wide].astype(np.min_scalar_type(max(width, 1)))
+        self.rows, self.pairs = [], []
+        for v in (value, escape) if escape is not None else (value,):
+            rows = np.zeros((int(full.sum()), width), np.float32)
+            rows[self.full_at[pairs.row[wide]], pairs.lang[wide]] = v[wide]
+            self.rows.append(rows)
+            self.pairs.append(v[~wide].astype(np.float32))
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.full_at, self.starts, self.lang, *self.rows, *self.pairs, self.index.slot, self.index.keys))
+
+    def values(self, grams: np.ndarray, text: np.ndarray, n_texts: int, escapes: bool = False) -> np.ndarray:
+        """The sums of the grams' values (or escapes) for each text and language; texts ascend."""
+        out = np.zeros((n_texts, self.width))
+        found = self.index.find(grams)
+        known = np.flatnonzero(found >= 0)
+        row, text = found[known], text[known]
+        at = self.full_at[row]
+        wide = np.flatnonzero(at >= 0)
+        if len(wide):
+            mine = text[wide]
+            begin = np.flatnonzero(np.diff(mine, prepend=-1))
+            out[mine[begin]] += np.add.reduceat(self.rows[escapes][at[wide]], begin, axis=0, dtype=np.float64)
+        if len(wide) < len(row):
+            rest = at < 0
+            row, text = row[rest], text[rest]
+            size = self.starts[row + 1] - self.starts[row]
+            pair = np.arange(size.sum()) + np.repeat(self.starts[row] - np.cumsum(size) + size, size)
+            out += np.bincount(np.repeat(text, size) * self.width + self.lang[pair], self.pairs[escapes][pair], out.size).reshape(out.shape)
         return out
 
-    def lengths(self, data: np.ndarray) -> np.ndarray:
-        """Code length in bits of the bytes under each language. Long texts go in blocks that know the bytes before them."""
-        total = np.zeros(len(self.langs), np.float64)
-        for i in range(min(ORDER, len(data))):
-            total += self._bits(i + 1, _grams(data[: i + 1], i + 1))[0]
-        block = max(1 << 10, (1 << 20) // max(1, len(self.langs)))  # rows of a table with a column for each language
-        for at in range(0, len(data) - ORDER, block):
-            total += self._bits(ORDER + 1, _grams(data[at : at + block + ORDER], ORDER + 1)).sum(axis=0, dtype=np.float64)
-        return total
-
 
 class _Index:
     """Sorted distinct numbers, found through an open hash table."""
@@ -169,16 +238,16 @@ def _predict(model):
     def run(batches):
         m: Model = model.value
         for batch in batches:
-            langs, scores = [], []
-            for text, letters in zip(batch.column(2), batch.column(3).to_pylist()):
-                if not letters or not m.langs:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                bits = m.lengths(np.frombuffer(text.as_buffer(), np.uint8))
-                best = int(bits.argmin())
-                langs.append(m.langs[best])
-                scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()))
+            letters = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            langs, scores = ["und"] * len(letters), np.zeros(len(letters))
+            if m.langs and letters.any():
+                texts = batch.column(2).filter(batch.column(3)).cast(pa.large_binary())
+                at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                bits = m.lengths(np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0])
+                best = bits.argmin(axis=1)
+                scores[letters] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
+                for i, x in zip(np.flatnonzero(letters), best):
+                    langs[i] = m.langs[x]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -193,12 +262,13 @@ def identify(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int =
     texts, texts without a letter, and all texts if there is nothing to learn from, get `und` and 0. Rows
     with null or repeated doc_id are scored each for itself. Other columns are ignored.
 
-    The counts of the sample are made by Spark tasks; the tables made of them, bounded by the sample, are broadcast.
-    Scoring shuffles nothing.
+    The counts of the sample are made by Spark tasks, and reach the driver as Arrow columns: at most ORDER + 1 for each
+    byte of the sample. The tables made of them hold a value for each language that has a gram (see Model), so
+    they grow with the sample and not with its square, and are broadcast. Scoring shuffles nothing.
     """
     spark = docs.sparkSession
     grams = training_sample(docs, train_bytes, train_docs).mapInArrow(_count, "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    model = Model([tuple(r) for r in grams.toLocalIterator()])
+    model = Model(grams.select("lang", F.col("k").cast("byte").alias("k"), "gram", "n").toArrow())
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), letters_of(text).alias("text"), text.rlike(r"\p{L}").alias("letters"))
     return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")

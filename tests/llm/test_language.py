@@ -110,3 +110,26 @@ def test_a_long_text_does_not_fill_the_sample(spark):
     rows = [(i, ("der die das " * 40_000) if i % 2 else f"der hund {i} und die katze", "de") for i in range(60)] + [(100 + i, "the cat " * 40_000, "en") for i in range(9)]
     sample = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert sum(r.lang == "de" for r in sample) == 1 and sum(r.lang == "en" for r in sample) == 1
+
+
+def test_tables_of_many_languages_stay_small():
+    """200 made-up languages with words of their own: tables grow with what each has, and lengths are the plain ones."""
+    rnd, lines, counts = random.Random(21), {}, collections.Counter()
+    for i in range(200):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+        lines[f"l{i:03}"] = [" ".join(rnd.choice(words) for _ in range(300)).encode() for _ in range(2)]
+    for lang, known in lines.items():
+        for line in known:
+            for k in range(1, language.ORDER + 2):
+                counts.update((lang, k, int.from_bytes(line[i : i + k], "big")) for i in range(len(line) - k + 1))
+    model = language.Model([(*key, n) for key, n in counts.items()])
+    grams = len({key[1:] for key in counts})
+    assert model.nbytes() < 60 * len(counts)  # a column for each language would take more than:
+    assert model.nbytes() < 4 * grams * 200 / 5
+    texts = [lines["l007"][0][40:300], b"", lines["l123"][1][:3], "über 12".encode(), lines["l199"][0] * 2]
+    at = np.cumsum([0, *map(len, texts)])
+    got = model.lengths(np.frombuffer(b"".join(texts), np.uint8), at)
+    for data, bits in zip(texts, got):
+        for lang in (7, 11, 123, 199):
+            assert math.isclose(bits[lang], brute_bits(lines[model.langs[lang]], data, language.ORDER), rel_tol=1e-4, abs_tol=1e-6)
+    assert [model.langs[x] for x in got[[0, 4]].argmin(axis=1)] == ["l007", "l199"]
