@@ -17,6 +17,7 @@ ORDER = 4  # bytes of the longest context
 HELD_OUT = 5
 #: Chosen documents up to this number (16 bytes each) are broadcast; for more, texts are shuffled to meet them.
 BROADCAST_PICKED = 500_000
+BROADCAST_LANGS = 10_000  # languages whose counts are broadcast
 
 
 def held_out() -> Column:
@@ -35,7 +36,8 @@ def training_sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs:
     Texts over a tenth of train_bytes are passed over, so that none takes the place of many; a language that has no others is learned from the first of them. Of equal lines one is learned, and lines that several languages have are left out, for they tell nothing. A first count by language thins the rows so that about 4 * train_docs of a language meet in a window, which holds hashes and sizes only.
     """
     able = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    counts = able.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = cut(able.groupBy("lang").agg(F.count("*").alias("n")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts  # so rows are thinned before they meet by language
     mixed = F.xxhash64(F.lit("train"), "doc_id", "text")
     unit = mixed.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     size = F.octet_length("text")
