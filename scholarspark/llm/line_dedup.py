@@ -22,8 +22,9 @@ SHARD = 1 << 20  # cells of a shard of the filters
 #: Repeated keys up to this number are broadcast; more are joined by shuffle, whose hot keys can be split.
 BROADCAST_KEYS = 200_000
 FLUSH = 2_000_000  # cells that a task holds before it hands them on
-#: Cells for each line, and cells at most: so many bits are broadcast, 256 MB here.
+#: Cells for each line, and cells of filters that are broadcast: so many bits, 256 MB here. Larger filters stay in their shards.
 CELLS, MAX_CELLS = 16, 1 << 31
+MET = 500_000  # hashes that a task remembers
 SLICE = 8 << 20  # bytes of text whose lines a task lays out at once
 FAN = 64  # groups in which the parts of a shard are merged before they meet
 
@@ -135,25 +136,71 @@ def _suspects(filters, size: int, least: int, schema: pa.Schema, text_at: int):
     return run
 
 
-def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs(doc_id, text, ...) with the lines of text that repeat in other documents taken out, and n_lines and n_dropped as the last two columns.
+def _line_rows(shards: int, least: int):
+    """For mapInArrow over (uid, doc_id, text): (shard, hash, sure, uid, doc_id, key, lines), one row for each different long line of a text. A line that the task has met in two texts before is sure to be seen twice, so of a frequent one a task sends two rows to its shard."""
+    names = ["shard", "hash", "sure", "uid", "doc_id", "key", "lines"]
 
-    Lines are what \\n separates (null and empty texts: one empty line). A key of `least` code points or more that
-    `copies` documents have loses all its lines but those of the largest doc_id that has it. Rows without doc_id
-    count as one document, and as the smallest. Rows with one doc_id count as one document. Other columns stay as
-    they are, whatever their names; n_lines and n_dropped get a trailing _ where docs has them.
+    def run(batches):
+        met: dict[int, int] = {}
+        for batch in (part for whole in batches for part in _slices(whole, 2)):
+            row, hashes, sure, keys, lines = [], [], [], [], []
+            for i, text in enumerate(batch.column(2)):
+                here: dict[bytes, list[int]] = {}
+                for line, k in _long_keys(text.as_py(), least):
+                    here.setdefault(k.encode().lower(), []).append(line)
+                for k, at in here.items():
+                    h = xxhash.xxh64_intdigest(k)
+                    times = met.get(h, 0)
+                    met[h] = times + 1
+                    row.append(i)
+                    hashes.append(h)
+                    sure.append(times >= 2)
+                    keys.append(xxhash.xxh3_128_digest(k))
+                    lines.append(at)
+            shard = [h * shards >> 64 for h in hashes]
+            uid, doc_id = (batch.column(i).take(pa.array(row, pa.int64())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sure, pa.bool_()), uid, doc_id, pa.array(keys, pa.binary()), pa.array(lines, pa.list_(pa.int32()))], names=names)
+            met = {} if len(met) > MET else met
 
-    First pass: each task notes cells of two Bloom filters, hashes seen once and seen twice, and the parts are
-    merged shard by shard, in two steps. The filters grow with the lines, CELLS for each, up to `max_cells`, whose bits are what
-    an executor can hold; beyond that they fill (with 2 cells a line a twelfth of the other lines passes too),
-    which costs shuffle and changes no result. Second pass: only lines whose cells are
-    all seen twice are shuffled, by 128-bit hash, to count their documents and choose the one that keeps them.
-    Only documents with such lines are joined with what was found.
-    """
+    return run
+
+
+def _seen_twice(batches):
+    """For mapInArrow over rows of _line_rows sorted by shard: those whose cells in the shard's filter are all seen twice. A task holds the rows of one shard, about SHARD / CELLS."""
+    held, shard = [], None
+    once, twice = np.zeros(SHARD, bool), np.zeros(SHARD, bool)
+    cells = lambda rows: _cells(rows.column(1).to_numpy().view(np.uint64), SHARD)
+    passed = lambda: (rows.filter(pa.array(twice[cells(rows)].reshape(HASHES, -1).all(axis=0))) for rows in held)
+    for batch in batches:
+        shards = batch.column(0).to_numpy()
+        edges = [*np.flatnonzero(np.diff(shards, prepend=-1)), len(shards)]
+        for a, b in zip(edges, edges[1:]):
+            if shards[a] != shard:
+                yield from passed()
+                held, shard = [], shards[a]
+                once[:], twice[:] = False, False
+            held.append(batch.slice(a, b - a))
+            hit, n = np.unique(cells(held[-1]), return_counts=True)
+            twice[hit[(n > 1) | once[hit]]] = True
+            once[hit] = True
+    yield from passed()
+
+
+def _sharded(docs: DataFrame, n_cells: int, least: int, n_lines: str, uid: str) -> tuple[DataFrame, DataFrame]:
+    """docs with n_lines and uid, and (uid, doc_id, line, key) of their suspected lines, where filters are too large for one executor: hashes go to the filters' shards."""
+    shards = -(-n_cells // SHARD)
+    text = F.coalesce("text", F.lit(""))
+    counted = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    found = written(docs.withColumn(n_lines, counted).withColumn(uid, F.monotonically_increasing_id()))
+    ddl = f"shard bigint, hash bigint, sure boolean, uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, lines array<int>"
+    rows = written(found.select(F.col(uid).alias("uid"), "doc_id", "text").mapInArrow(_line_rows(shards, least), ddl))
+    tested = rows.where("not sure").repartition("shard").sortWithinPartitions("shard").mapInArrow(_seen_twice, ddl)
+    return found, written(rows.where("sure").unionAll(tested).select("uid", "doc_id", F.explode("lines").alias("line"), "key"))
+
+
+def _broadcast(docs: DataFrame, size: int, least: int, n_lines: str, uid: str, suspects: str) -> tuple[DataFrame, DataFrame]:
+    """docs with n_lines, suspects (array of line and key) and uid, and (uid, doc_id, line, key) of the suspected lines, by filters of `size` cells that every executor has."""
     spark = docs.sparkSession
-    n_lines, n_dropped, suspects, uid, drops = (fresh(docs, x) for x in ("n_lines", "n_dropped", "__suspects", "__uid", "__drops"))
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    size = max(SHARD, min(max_cells, 1 << (CELLS * int(lines)).bit_length()))
     parts = docs.select("text").mapInArrow(_seen(size, least), "shard int, once binary, twice binary")
     bits = np.zeros(size // 8, np.uint8)
     some = parts.groupBy("shard", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("k")).applyInPandas(_merge_some, "shard int, once binary, twice binary")
@@ -164,8 +211,35 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int
     found = docs.mapInArrow(_suspects(spark.sparkContext.broadcast(bits), size, least, to_arrow_schema(schema), docs.columns.index("text")), schema)
     found = written(found.withColumn(uid, F.monotonically_increasing_id()))
 
-    held = found.where(F.size(suspects) > 0)
-    each = written(held.select(uid, F.col("doc_id").alias("doc_id"), F.inline(suspects)).select(F.col(uid).alias("uid"), "doc_id", "line", "key"))
+    each = written(found.where(F.size(suspects) > 0).select(uid, F.col("doc_id").alias("doc_id"), F.inline(suspects)).select(F.col(uid).alias("uid"), "doc_id", "line", "key"))
+    return found, each
+
+
+def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int = MAX_CELLS) -> DataFrame:
+    """docs(doc_id, text, ...) with the lines of text that repeat in other documents taken out, and n_lines and n_dropped as the last two columns.
+
+    Lines are what \\n separates (null and empty texts: one empty line). A key of `least` code points or more that
+    `copies` documents have loses all its lines but those of the largest doc_id that has it. Rows without doc_id
+    count as one document, and as the smallest. Rows with one doc_id count as one document. Other columns stay as
+    they are, whatever their names; n_lines and n_dropped get a trailing _ where docs has them.
+
+    First pass: each task notes cells of two Bloom filters, hashes seen once and seen twice, and the parts are
+    merged shard by shard, in two steps. The filters grow with the lines, CELLS for each. Up to `max_cells`, whose bits are
+    what an executor can hold, they are broadcast, and the second pass tests each line in its place. Larger filters
+    stay where their shards are: each different line of a text goes there as one row of hashes (a line that a task has
+    met twice needs no test), and those that pass are suspected as well. Then only lines whose cells are all seen twice
+    are shuffled, by 128-bit hash, to count their documents and choose the one that keeps them. With broadcast
+    filters only documents with such lines are joined with what was found.
+    """
+    n_lines, n_dropped, suspects, uid, drops = (fresh(docs, x) for x in ("n_lines", "n_dropped", "__suspects", "__uid", "__drops"))
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    size = max(SHARD, 1 << (CELLS * int(lines)).bit_length())
+    if size <= max_cells:
+        found, each = _broadcast(docs, size, least, n_lines, uid, suspects)
+        held, free = found.where(F.size(suspects) > 0), found.where(F.size(suspects) == 0)
+    else:
+        found, each = _sharded(docs, CELLS * int(lines), least, n_lines, uid)
+        held, free = found, found.where(F.lit(False))
     keepers = each.groupBy("key", "doc_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= copies).select("key", "keep")
     keepers = cut(keepers)  # joined straight after the sums, a hot key's lines would stay in one task
     keepers = F.broadcast(keepers) if keepers.count() <= BROADCAST_KEYS else keepers
@@ -174,4 +248,4 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, max_cells: int
     gone = F.col(drops).isNotNull()
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~among(F.col(drops), i)), "\n")
     out = lambda df, text, n: df.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines, n.cast("long").alias(n_dropped))
-    return out(found.where(F.size(suspects) == 0), F.col("text"), F.lit(0)).unionAll(out(joined, F.when(gone, kept).otherwise(F.col("text")), F.when(gone, F.size(drops)).otherwise(0)))
+    return out(free, F.col("text"), F.lit(0)).unionAll(out(joined, F.when(gone, kept).otherwise(F.col("text")), F.when(gone, F.size(drops)).otherwise(0)))

@@ -8,6 +8,7 @@ import re
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from scholarspark.llm import exact_dedup, line_dedup, mixing, sentencepieces, simhash
 from scholarspark.llm.common import components, model_path, positions
 
@@ -113,7 +114,7 @@ def test_line_dedup(docs, rows, none):
         lines = (r[1] or "").split("\n")
         kept = [x for x in lines if not gone(r[0], x)]
         want.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
-    for cells in (1 << 31, 1 << 20):
+    for cells in (1 << 31, 1 << 20, 0):
         got = line_dedup.line_dedup(docs, max_cells=cells)
         assert got.columns == [*docs.columns, "n_lines_", "n_dropped"]
         assert sorted(((r.doc_id, r["n_lines_"], r.n_dropped, r.text or "") for r in got.collect()), key=repr) == sorted(want, key=repr)
@@ -274,3 +275,16 @@ def test_components(spark):
 def test_positions(spark):
     df = spark.createDataFrame([(x,) for x in ["b", None, "a", "Z", "é"]], "s string")
     assert {r.s: r.position for r in positions(df, df["s"].asc_nulls_last()).collect()} == {"Z": 0, "a": 1, "b": 2, "é": 3, None: 4}
+
+
+def test_line_dedup_with_filters_in_shards(spark):
+    """Filters too large to broadcast stay in their shards: few lines but the repeated ones are suspected, and the result is the same."""
+    text = F.expr("array_join(concat(transform(sequence(1, 12), i -> concat('a line of its own ', id, ' and ', i)), array('every document has this line, too'), if(id % 3 = 0, array('EVERY third one has this line  '), array()), if(id = 7, array(), array('short'))), '\n')")
+    docs = spark.range(0, 20_000, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit(1).alias("N_lines")).unionAll(spark.createDataFrame([(None, None, 2), (3, "", 2)], "doc_id long, text string, N_lines int"))
+    _, each = line_dedup._sharded(docs, line_dedup.CELLS * 280_000, 20, "n_lines_", "uid")
+    repeated = 20_000 + 6_667
+    assert repeated <= each.count() < repeated + 0.03 * 240_000
+    shared, sharded = (line_dedup.line_dedup(docs, max_cells=cells) for cells in (line_dedup.MAX_CELLS, 1 << 20))
+    assert sharded.columns == shared.columns == ["doc_id", "text", "N_lines", "n_lines_", "n_dropped"]
+    assert sharded.exceptAll(shared).count() == shared.exceptAll(sharded).count() == 0
+    assert sharded.agg(F.sum("n_dropped")).first()[0] == 19_999 + 6_666
