@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.tex import CITE, REFER
 from ..functions.text import delatex, let, normalize, plain_runs, text_or_empty
+from ..shared import shuffled
 from .inorder import folded
 
 # How a citation names a work, and where a bibliography entry's parts end (not after initials).
@@ -118,10 +119,10 @@ def link_titles(papers: DataFrame, catalog: DataFrame, threshold: float = 0.92)
     asked = a.select("a").distinct().withColumn("words", F.slice(long(F.col("a")), 1, 12)).where(F.size("words") >= 3)
     words = b.select("b", F.explode(F.array_distinct(long(F.col("b")))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    rare = asked.select("a", F.explode("words").alias("word")).join(counts, "word", "left").groupBy("a").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("w"))).alias("word"))
-    pairs = rare.join(words, "word").join(asked, "a").where(F.size(F.array_except("words", F.split("b", " "))) == 0).select("a", "b")
-    scored = pairs.withColumn("ratio", F.when(F.col("a") == F.col("b"), 1.0).otherwise(_ratio("b", "a"))).join(b, "b")
-    kept = a.join(scored, "a").where((F.col("ratio") >= threshold) | F.expr("contains(regexp_replace(lower(coalesce(first_page, '')), '[^a-z0-9]+', ' '), b)"))
+    rare = asked.select("a", F.explode("words").alias("word")).join(shuffled(counts), "word", "left").groupBy("a").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("w"))).alias("word"))
+    pairs = rare.join(shuffled(words), "word").join(shuffled(asked), "a").where(F.size(F.array_except("words", F.split("b", " "))) == 0).select("a", "b")
+    scored = pairs.withColumn("ratio", F.when(F.col("a") == F.col("b"), 1.0).otherwise(_ratio("b", "a"))).join(shuffled(b), "b")
+    kept = a.join(shuffled(scored), "a").where((F.col("ratio") >= threshold) | F.expr("contains(regexp_replace(lower(coalesce(first_page, '')), '[^a-z0-9]+', ' '), b)"))
     return kept.groupBy("paper_id").agg(F.min_by(F.struct("catalog_id", "ratio"), F.struct((-F.col("ratio")).alias("r"), F.col("catalog_id").alias("c"))).alias("x")).select("paper_id", "x.*")
 
 

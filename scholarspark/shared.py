@@ -52,6 +52,11 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle, whatever the planner expects of its size: rows that come of few compressed bytes, as by explode, would pass for small and be broadcast, all of them through the driver."""
+    return df.hint("merge")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
