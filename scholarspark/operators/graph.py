@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import alias_keys, choose, clean_label, let, name_forms, relation_of, slug, NODE_TYPES
-from ..shared import settle, written
+from ..shared import settle, shuffled, written
 from .components import components
 from .lookup import look_up
 from .substrings import containing
@@ -162,7 +162,7 @@ def check_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(paper_id, problem, what): edge ends that aren't nodes, and node ids used twice."""
     ids = nodes.select("paper_id", "node_id").distinct()
     ends = edges.select("paper_id", F.col("source").alias("node_id")).unionAll(edges.select("paper_id", F.col("target").alias("node_id"))).distinct()
-    lost = ends.join(ids, ["paper_id", "node_id"], "left_anti").select("paper_id", F.lit("unknown end").alias("problem"), F.col("node_id").cast("string").alias("what"))
+    lost = ends.join(shuffled(ids), ["paper_id", "node_id"], "left_anti").select("paper_id", F.lit("unknown end").alias("problem"), F.col("node_id").cast("string").alias("what"))
     twice = nodes.groupBy("paper_id", "node_id").agg(F.count("*").alias("n")).where("n > 1").select("paper_id", F.lit("used twice").alias("problem"), F.col("node_id").cast("string").alias("what"))
     return lost.unionAll(twice)
 
