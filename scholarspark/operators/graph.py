@@ -126,7 +126,7 @@ def top_nodes(nodes: DataFrame, k: int = 8) -> DataFrame:
 
 def keep_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are in nodes."""
-    ids = nodes.select("paper_id", "node_id").distinct()
+    ids = shuffled(nodes.select("paper_id", "node_id").distinct())
     return edges.join(ids.withColumnRenamed("node_id", "source"), ["paper_id", "source"], "left_semi").join(ids.withColumnRenamed("node_id", "target"), ["paper_id", "target"], "left_semi")
 
 

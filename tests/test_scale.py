@@ -10,6 +10,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["j24_link_titles", "j25_check_integrity"])
+@pytest.mark.parametrize("name", ["j24_link_titles", "j25_check_integrity", "p10_filter_graph"])
 def test_rows_are_not_broadcast_unchecked(spark, name):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES[name](spark, SMALL))
