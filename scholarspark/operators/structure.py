@@ -28,7 +28,7 @@ DROPPED = ["acknowledgments", "acknowledgements", "acknowledgment", "acknowledge
 REFERENCES = ["references", "bibliography", "reference"]
 # Forms of a numbered heading, of a number alone, of a caption.
 NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3}|[IVX]{1,5}|[A-H](?:\.\d{1,2}){0,2})(?:\.|\s)\s*([A-Za-z].{0,110})$"
-NUMBER_ONLY = r"^(\d{1,2}(?:\.\d{1,2}){0,3}|[IVX]{1,5}|[A-H])\.?$"
+NUMBER_ONLY = r"^(\d{1,2}(?:\.\d{1,2}){0,3}|[IVX]{1,5}|[A-H])\.?\z"
 CAPTION = r"(?i)^(fig(?:ure)?|table|algorithm|listing)\.?\s*(\d+|[ivx]+)\b"
 
 
@@ -103,13 +103,16 @@ def sectionize(lines: DataFrame) -> DataFrame:
 
 
 def merge_split_headings(lines: DataFrame) -> DataFrame:
-    """lines where a bare number and the line right below it, on one page and within three line heights, are one; the second goes."""
+    """lines where a bare number and the line right below it, on one page and within three line heights, are one, in the larger size; the second goes, and as it is used up takes no third, though it be a bare number itself."""
     by = Window.partitionBy("paper_id").orderBy("line_no")
     following = F.lead(F.struct("page", "y0", "text", "size")).over(by)
-    joins = F.col("text").rlike(NUMBER_ONLY) & (following["page"] == F.col("page")) & (F.abs(following["y0"] - F.col("y0")) < 3 * F.greatest("size", F.lit(1.0)))
-    marked = lines.withColumn("__j", F.coalesce(joins, F.lit(False))).withColumn("__t", F.when(F.col("__j"), F.concat("text", F.lit(" "), following["text"])).otherwise(F.col("text"))).withColumn("__s", F.when(F.col("__j"), F.greatest("size", following["size"])).otherwise(F.col("size")))
-    eaten = F.coalesce(F.lag("__j").over(by), F.lit(False))
-    return marked.withColumn("__e", eaten).where(~F.col("__e")).withColumn("text", F.col("__t")).withColumn("size", F.col("__s")).drop("__j", "__t", "__s", "__e")
+    able = F.coalesce(F.col("text").rlike(NUMBER_ONLY) & (following["page"] == F.col("page")) & (F.abs(following["y0"] - F.col("y0")) < 3 * F.greatest("size", F.lit(1.0))), F.lit(False))
+    # Of lines in a row that could take the next, the first, third and so on do.
+    numbered = lines.withColumns({"__a": able, "__n": F.row_number().over(by), "__t": following["text"], "__s": following["size"]})
+    joins = F.col("__a") & ((F.col("__n") - F.coalesce(F.last(F.when(~F.col("__a"), F.col("__n")), ignorenulls=True).over(by), F.lit(0))) % 2 == 1)
+    marked = numbered.withColumn("__j", joins).withColumn("__e", F.coalesce(F.lag("__j").over(by), F.lit(False))).where(~F.col("__e"))
+    taken = lambda c, both: F.when(F.col("__j"), both).otherwise(F.col(c))
+    return marked.withColumns({"text": taken("text", F.concat("text", F.lit(" "), "__t")), "size": taken("size", F.greatest("size", "__s"))}).drop("__a", "__n", "__t", "__s", "__j", "__e")
 
 
 def sane_numbering(headings: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """What queries must not do where tables are large, seen on the smallest ones."""
 
+import os
+
 import pytest
+from scholarspark.operators import structure
 from scholarspark.plans import catalog
 
+from .compare import TABLES, differences
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -13,3 +18,28 @@ def plan(df):
 @pytest.mark.parametrize("name", ["j24_link_titles", "j25_check_integrity", "p10_filter_graph"])
 def test_rows_are_not_broadcast_unchecked(spark, name):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES[name](spark, SMALL))
+
+
+def beside(tmp_path, name, rows):
+    """A folder with the smallest tables, one of them replaced by rows."""
+    rows.write.parquet(str(tmp_path / "own"))
+    for t in TABLES:
+        os.symlink(f"{SMALL}/{t}.parquet" if t != name else next((tmp_path / "own").glob("*.parquet")), tmp_path / f"{t}.parquet")
+    return str(tmp_path)
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+
+def test_merge_split_headings_uses_a_line_once(spark):
+    lines = [(1, i, 0, t, z, 12.0 * i) for i, (t, z) in enumerate([("A", 10.0), ("3", 12.0), ("Method", 10.0), ("1", 10.0), ("2", 10.0), ("3", 10.0), ("End", 14.0), ("4\r", 10.0), ("x", 10.0)])]
+    got = structure.merge_split_headings(spark.createDataFrame(lines, "paper_id int, line_no int, page int, text string, size double, y0 double"))
+    assert [(r.line_no, r.text, r.size) for r in got.orderBy("line_no").collect()] == [(0, "A 3", 12.0), (2, "Method", 10.0), (3, "1 2", 10.0), (5, "3 End", 14.0), (7, "4\r", 10.0), (8, "x", 10.0)]
+
+
+def test_merge_split_headings_equals_sql(spark, tmp_path):
+    text = "\n".join("A" if i in (5, 11, 12, 14, 40, 46) else "4\r" if i == 15 else f"line {i}" for i in range(60))
+    d = beside(tmp_path, "documents", documents(spark, [(1, text), (2, "A\nB"), (3, "")]))
+    n, m, ours, theirs, same = differences(spark, catalog.QUERIES["w2_merge_split_headings"], catalog.ORACLES["w2_merge_split_headings"], d)
+    assert same, (n, m, ours, theirs)
