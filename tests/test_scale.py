@@ -43,3 +43,10 @@ def test_merge_split_headings_equals_sql(spark, tmp_path):
     d = beside(tmp_path, "documents", documents(spark, [(1, text), (2, "A\nB"), (3, "")]))
     n, m, ours, theirs, same = differences(spark, catalog.QUERIES["w2_merge_split_headings"], catalog.ORACLES["w2_merge_split_headings"], d)
     assert same, (n, m, ours, theirs)
+
+
+def test_filter_clusters_equals_sql(spark, tmp_path):
+    texts = ["Straße am Ort.", "Straße am Ort.", "well-\nknown facts", "“Quoted” (abc) text", "(Abc) said", "Größen-\n form", "", " \tIndent", "naïve Übung", "zzqxjw there", "a(bcd)e is", "Zzqxjv it is", "soft\u00adly"]
+    d = beside(tmp_path, "documents", documents(spark, [(k, t) for i, t in enumerate(texts) for k in range(i * 36, i * 36 + 36)]))
+    n, m, ours, theirs, same = differences(spark, catalog.QUERIES["e4_filter_clusters"], catalog.ORACLES["e4_filter_clusters"], d)
+    assert same, (n, m, ours, theirs)
