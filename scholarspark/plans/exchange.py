@@ -123,7 +123,12 @@ def _streamed(spark, stream: DataFrame, mode: str, schema) -> DataFrame:
     return spark.read.schema(f"{schema}, batch long").parquet(f"{path}/rows")
 
 
-SLICES = 4  # in which rows arrive, each a batch or more
+SLICES = 4  # in which rows arrive, each a batch
+
+
+def _files(spark) -> int:
+    """Files of a slice, and of a batch: so batches are as many as slices, however large the table, but where a slice has too few rows to fill them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _arriving(spark, rows: DataFrame, put) -> tuple[str, int]:
@@ -134,16 +139,16 @@ def _arriving(spark, rows: DataFrame, put) -> tuple[str, int]:
     late = F.pmod(F.xxhash64(*rows.columns), F.lit(length))
     arrival = ((F.unix_micros("at") - F.lit(first or 0) + late) / length).cast("int")
     for k in range(SLICES):
-        put(rows.where(arrival == k), path)
+        put(rows.where(arrival == k).repartition(_files(spark)), path)
     return path, length
 
 
 def _raw(spark, d):
-    """The events as a stream of JSON lines that arrive in disorder, a file at a time."""
+    """The events as a stream of JSON lines that arrive in disorder, about a slice at a time."""
     e = _events(spark, d)
     line = F.when(F.substring("page", -1, 1) == "7", F.lit("{broken")).otherwise(F.to_json(F.struct(*[F.col(c) if c != "at" else F.col("said").alias("at") for c in e.columns]))).alias("value")
     path, _ = _arriving(spark, e.withColumn("said", F.col("at")).withColumn("at", F.to_timestamp("at")), lambda rows, folder: rows.select(line).write.mode("append").text(folder))
-    return spark.readStream.option("maxFilesPerTrigger", 1).text(path)
+    return spark.readStream.option("maxFilesPerTrigger", _files(spark)).text(path)
 
 
 def _parsed(spark, d):
@@ -176,7 +181,7 @@ def _changes(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("run"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("state"))
     path, length = _arriving(spark, e, lambda rows, folder: rows.write.mode("append").parquet(folder))
     e.agg(F.lit("").alias("run"), (F.max("at") + F.expr("interval 1000 days")).alias("at"), F.lit(0).cast("long").alias("ordinal"), F.lit("end").alias("state")).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", _files(spark)).parquet(path)
     return _streamed(spark, activity.transition_stream(stream, ("click",), ("error", "purchase"), late=f"{2 * length // 1_000_000 + 60} seconds"), "append", "run string, ordinal long, before string, state string").drop("batch")
 
 

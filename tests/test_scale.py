@@ -1,10 +1,12 @@
 """What queries must not do where tables are large, seen on the smallest ones."""
 
 import os
+from types import SimpleNamespace
 
 import pytest
 from scholarspark.operators import retrieval, structure
 from scholarspark.plans import catalog
+from scholarspark.streaming import activity
 
 from .compare import TABLES, differences
 
@@ -74,3 +76,41 @@ def test_graph_facts_reads_alike_questions_once(spark, monkeypatch):
     assert all(sorted(rows[i]) == about for i in range(40)) and 92 not in rows
     assert sorted(rows[91]) == [(1, "Beta --b--> Alpha"), (2, "Beta --c--> Beta"), (3, "Beta (method): said")]
     assert [n for n, _ in sorted(rows[90])] == [1, 2] and read == [(2, 2)]
+
+
+class _State:
+    """A state store that counts how often a list is read and a timer set."""
+
+    def __init__(self):
+        self.reads, self.timers, self.held, self.wm = 0, [], [], 0
+
+    def getValueState(self, name, schema):
+        kept = []
+        return SimpleNamespace(exists=lambda: bool(kept), get=lambda: kept[0], update=lambda v: kept.__setitem__(slice(None), [v]), clear=kept.clear)
+
+    def getListState(self, name, schema):
+        def get():
+            self.reads += 1
+            return list(self.held)
+
+        return SimpleNamespace(exists=lambda: bool(self.held), get=get, appendList=self.held.extend, put=lambda v: self.held.__setitem__(slice(None), v), clear=self.held.clear)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.wm
+
+
+def test_moves_read_what_waits_once(spark):
+    store, moves = _State(), activity._Moves(("a",), ("b",), True, None)
+    moves.init(store)
+    rows = [SimpleNamespace(us=1000 * n, ordinal=n, state="ab"[n % 2]) for n in range(400)]
+    assert not [r for batch in (rows[200:], rows[:200]) for r in moves.handleInputRows(("r",), batch, store)]
+    found = []
+    for store.wm in (99, 1000):
+        while due := sorted({t for t in store.timers if t <= store.wm}):
+            store.timers = [t for t in store.timers if t > store.wm]
+            for t in due:
+                found += moves.handleExpiredTimer(("r",), store, SimpleNamespace(getExpiryTimeInMs=lambda: t))
+    assert [r.ordinal for r in found] == list(range(1, 400, 2)) and store.reads < 5
