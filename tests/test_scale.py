@@ -4,7 +4,8 @@ import os
 from types import SimpleNamespace
 
 import pytest
-from scholarspark.operators import retrieval, structure
+from pyspark.sql import functions as F
+from scholarspark.operators import grounding, retrieval, structure
 from scholarspark.plans import catalog
 from scholarspark.streaming import activity
 
@@ -114,3 +115,9 @@ def test_moves_read_what_waits_once(spark):
             for t in due:
                 found += moves.handleExpiredTimer(("r",), store, SimpleNamespace(getExpiryTimeInMs=lambda: t))
     assert [r.ordinal for r in found] == list(range(1, 400, 2)) and store.reads < 5
+
+
+def test_attribution_sends_a_value_out_few_times(spark):
+    form = F.explode(F.array_distinct(F.transform(grounding.number_forms(F.col("v")), grounding._without_zeros)))
+    keys = spark.createDataFrame([("5",), ("0.50",), ("1,200%",)], "v string").select("v", form.alias("key"))
+    assert {(r.v, r.key) for r in keys.collect()} == {("5", "5"), ("5", "500"), ("5", ".05"), ("0.50", ".5"), ("0.50", "50"), ("0.50", ".005"), ("1,200%", "1200"), ("1,200%", "120000"), ("1,200%", "12")}
