@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text_or_empty
+from .text import let, text_or_empty
 
 # The two forms of a preprint's identifier.
 PREPRINT = r"(\d{4}\.\d{4,5}(?:v\d+)?|[a-z\-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)"
@@ -41,11 +41,13 @@ def content_key(*columns: Column) -> Column:
 
 def label_numbers(text: Column, most: int = 6) -> Column:
     """array of (label, value): one or two words within 12 characters before a decimal number; the first of each label, `most` at most."""
-    # The form of a label and its number.
-    form = r"([A-Za-z][A-Za-z\-]+(?: [A-Za-z][A-Za-z\-]+)?)[^\d\n]{0,12}?(\d{1,3}\.\d{1,2})"
-    t = text_or_empty(text)
-    pairs = F.zip_with(F.regexp_extract_all(t, F.lit(form), F.lit(1)), F.regexp_extract_all(t, F.lit(form), F.lit(2)), lambda a, b: F.struct(F.lower(F.trim(a)).alias("key"), F.substring(F.trim(a), 1, 24).alias("label"), b.cast("double").alias("value")))
-    first = F.aggregate(pairs, F.array().cast("array<struct<key:string,label:string,value:double>>"), lambda s, p: F.when(F.exists(s, lambda q: q["key"] == p["key"]) | (F.size(s) >= most), s).otherwise(F.array_append(s, p)))
+    # The form of a label and its number. A shorter label or gap never fits where the longest doesn't, so nothing is given back and a run of letters is read from its start only.
+    form = r"(?<![A-Za-z\-])-*+([A-Za-z][A-Za-z\-]++(?: [A-Za-z][A-Za-z\-]++)?+)[^\d\n]{0,12}+(\d{1,3}\.\d{1,2})"
+    found = F.regexp_extract_all(text_or_empty(text), F.lit(form), F.lit(0))
+    part = lambda m, i: F.regexp_extract(m, form, i)
+    pair = lambda m: let(F.trim(part(m, 1)), lambda a: F.struct(F.lower(a).alias("key"), F.substring(a, 1, 24).alias("label"), part(m, 2).cast("double").alias("value")))
+    added = lambda s, m: let(pair(m), lambda p: F.when(F.exists(s, lambda q: q["key"] == p["key"]), s).otherwise(F.array_append(s, p)))
+    first = F.aggregate(found, F.array().cast("array<struct<key:string,label:string,value:double>>"), lambda s, m: F.when(F.size(s) >= most, s).otherwise(added(s, m)))
     return F.transform(first, lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value")))
 
 

@@ -38,7 +38,7 @@ QUERIES = {
     "w4_number_sections": _heads,
     "f16_table_markdown": _markdown,
     "u6_content_key": lambda s, d: table(s, d, "documents").groupBy(P.content_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n"),
-    "f10_label_numbers": lambda s, d: table(s, d, "documents").select("doc_id", F.size(P.label_numbers(F.regexp_replace("text", r"(\w+)\. ", "$1 4.2 "))).alias("n")),
+    "f10_label_numbers": lambda s, d: table(s, d, "documents").select("doc_id", F.size(P.label_numbers(F.regexp_replace("text", r"(?<=\w)\. ", " 4.2 "))).alias("n")),
     "f19_join_paragraphs": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(P.join_paragraphs(F.col("text"))).alias("md5")),
 }
 

@@ -1,10 +1,14 @@
 """What queries must not do where tables are large, seen on the smallest ones."""
 
 import os
+import random
+import re
+import time
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from scholarspark.functions import papers
 from scholarspark.operators import grounding, retrieval, structure
 from scholarspark.plans import catalog
 from scholarspark.streaming import activity
@@ -121,3 +125,21 @@ def test_attribution_sends_a_value_out_few_times(spark):
     form = F.explode(F.array_distinct(F.transform(grounding.number_forms(F.col("v")), grounding._without_zeros)))
     keys = spark.createDataFrame([("5",), ("0.50",), ("1,200%",)], "v string").select("v", form.alias("key"))
     assert {(r.v, r.key) for r in keys.collect()} == {("5", "5"), ("5", "500"), ("5", ".05"), ("0.50", ".5"), ("0.50", "50"), ("0.50", ".005"), ("1,200%", "1200"), ("1,200%", "120000"), ("1,200%", "12")}
+
+
+def test_label_numbers_reads_runs_once(spark):
+    form, rng = r"([A-Za-z][A-Za-z\-]+(?: [A-Za-z][A-Za-z\-]+)?)[^\d\n]{0,12}?(\d{1,3}\.\d{1,2})", random.Random(5)
+    texts = ["".join(rng.choice(["a", "Bc", "-", " ", " ", ".", "\n", "1", "4.2", "12.345", "é", "x" * 13]) for _ in range(40)) for _ in range(3000)]
+
+    def first(text):
+        found = {}
+        for label, value in re.findall(form, text, re.ASCII):
+            found.setdefault(label.lower(), (label[:24], float(value)))
+        return list(found.values())[:6]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", papers.label_numbers(F.col("t")).alias("got")).collect()
+    assert all([tuple(p) for p in r.got] == first(texts[r.i]) for r in rows) and any(len(r.got) == 6 for r in rows)
+    began = time.time()
+    long = ["x" * 60000 + " " * 20 + "fit 4.2", "a-" * 30000 + "!" * 20, "-" * 60000, ("y" * 20000 + " ") * 3 + "!" * 20]
+    got = spark.createDataFrame([(t,) for t in long], "t string").select(papers.label_numbers(F.col("t")).alias("got")).collect()
+    assert [[tuple(p) for p in r.got] for r in got] == [[("fit", 4.2)], [], [], []] and time.time() - began < 20
