@@ -6,10 +6,11 @@ import re
 import time
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from scholarspark.functions import papers
-from scholarspark.operators import grounding, retrieval, structure
+from scholarspark.operators import components, graph, grounding, retrieval, structure
 from scholarspark.plans import catalog
 from scholarspark.streaming import activity
 
@@ -143,3 +144,38 @@ def test_label_numbers_reads_runs_once(spark):
     long = ["x" * 60000 + " " * 20 + "fit 4.2", "a-" * 30000 + "!" * 20, "-" * 60000, ("y" * 20000 + " ") * 3 + "!" * 20]
     got = spark.createDataFrame([(t,) for t in long], "t string").select(papers.label_numbers(F.col("t")).alias("got")).collect()
     assert [[tuple(p) for p in r.got] for r in got] == [[("fit", 4.2)], [], [], []] and time.time() - began < 20
+
+
+def test_papers_of_few_mentions_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(f"p{rng.randrange(9)}", rng.randrange(-9, 40), f"k{rng.randrange(40)}") for _ in range(250)] + [("path", i, f"k{i + j}") for i in range(300) for j in (0, 1)]
+    schema = "paper_id string, node long, key string"
+    want = {}
+    for p, n, _ in pairs:
+        want[p, n] = n
+    while True:
+        least = {}
+        for p, n, k in pairs:
+            least[p, k] = min(least.get((p, k), n), want[p, n])
+        now = dict(want)
+        for p, n, k in pairs:
+            now[p, n] = min(now[p, n], least[p, k])
+        if now == want:
+            break
+        want = now
+    rows = spark.createDataFrame([*pairs, *pairs[:50]], schema).repartition(3)
+    labels = lambda df: sorted(map(tuple, graph.connected(df).collect()))
+    same = sorted((p, n, label) for (p, n), label in want.items())
+    with monkeypatch.context() as m:
+        m.setattr(graph, "components", None)
+        assert labels(rows) == same
+    found = []
+    for at in (1, 50):
+        monkeypatch.setattr(components, "TOGETHER", at)
+        batches = [b for i in range(0, len(pairs), 37) for b in pa.Table.from_pylist([dict(zip(("paper_id", "node", "key"), x)) for x in sorted(pairs)[i : i + 37]]).to_batches()]
+        found.append(sorted((r["paper_id"], r["node"], r["label"]) for b in components._within(batches) for r in b.to_pylist()))
+    assert found == [same, same]
+    # Papers apart: one too large, one with nulls.
+    monkeypatch.setattr(graph, "MOST_PAIRS", 3)
+    mixed = [("a", i, "k") for i in range(5, 9)] + [("b", 2, "k"), ("b", 1, "k"), ("c", 4, None), ("c", 5, "x"), ("c", 3, "x")]
+    assert labels(spark.createDataFrame(mixed, schema)) == [("a", i, 5) for i in range(5, 9)] + [("b", 1, 1), ("b", 2, 1), ("c", 3, 3), ("c", 4, 4), ("c", 5, 3)]
