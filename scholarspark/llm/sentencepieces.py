@@ -10,11 +10,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MEMO_BYTES = 128 << 20  # about what a Python worker remembers of words and their ids
+MEMO_BYTES = 64 << 20  # about what a Python worker remembers of words and their ids
 LONG = 256  # characters; longer words aren't remembered
+PIECE = 1 << 20  # bytes of text encoded together, beside the first text's
 
 
 class Vocabulary:
@@ -140,12 +142,21 @@ def _words(path: str) -> _Words:
     return _Words(Vocabulary(path))
 
 
+def _pieces(batch: pa.RecordBatch):
+    """batch(doc_id, text) in pieces of less than PIECE bytes of text after the first text: texts, ids and new words of a whole batch take ten times its size."""
+    if batch.num_rows:
+        piece = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+        starts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _code(path: str, keep_ids: bool):
     def run(batches):
         words = _words(path)
         vocabulary = words.vocabulary
         begin, end = (array("I", [i]).tobytes() for i in (vocabulary.begin, vocabulary.end))
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             n, ids_sha, text_sha, other, kept = [], [], [], [], []
             for found, differ in words.encode_all([t or "" for t in batch.column(1).to_pylist()]):
                 coded = begin + found + end
@@ -171,7 +182,7 @@ def encode_decode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFr
     library with the file `model`, and the ids are decoded by the library. n_library counts the words of a text that
     the agenda encodes otherwise (a model of another kind), for which the library's ids stand. null counts as empty
     (begin and end only). Other columns are ignored; null or repeated doc_id are carried through. Nothing is
-    shuffled: memory is that of an Arrow batch and, for each Python worker, MEMO_BYTES of remembered words.
+    shuffled: memory is that of an Arrow batch, of a piece of it with its ids and, for each Python worker, MEMO_BYTES of remembered words.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_library long" + (", ids array<int>" if keep_ids else "")
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(_code(model, keep_ids), schema)

@@ -154,6 +154,20 @@ def test_sentencepieces_take_the_library_where_they_differ(monkeypatch):
     sentencepieces._words.cache_clear()
 
 
+def test_sentencepieces_go_through_a_batch_in_pieces(monkeypatch):
+    """A batch of Spark's has 10,000 texts of any size; what is held of it at once is bounded, and a long text is alone at most with what follows it."""
+    import pyarrow as pa
+
+    held, encode_all = [], sentencepieces._Words.encode_all
+    monkeypatch.setattr(sentencepieces._Words, "encode_all", lambda self, texts: held.append(sum(map(len, texts[1:]))) or encode_all(self, texts))
+    texts = ["", None, *(f"word{i} and the rest of it, " * 2000 for i in range(60)), "long text " * 300_000, None, "the end", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    out = pa.Table.from_batches(sentencepieces._code(model_path(), True)([batch, batch.slice(0, 0), batch.slice(1, 1)])).to_pydict()
+    lib = sentencepieces.Vocabulary(model_path()).library
+    assert out["doc_id"] == [*range(len(texts)), 1] and out["ids"] == [lib.encode(t or "", add_bos=True, add_eos=True) for t in [*texts, None]]
+    assert max(held) < sentencepieces.PIECE and len(held) > 5
+
+
 def brute_fingerprint(t, n=4):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     if not words:
