@@ -538,3 +538,35 @@ def test_labels_piece_by_piece(spark):
         r"$x_{ab}^2$": "xab2", r"\foo{bar} $y_$": "bar y_", r"\alpha\beta x": "αβ x", r"\alphabet": "", r"x_\alpha + y^\foo": "xα + y^", r"$x_{ab$": "x_ab", r"\mathrm{x_1}": "x1", "": "", r"\\": r"\\", "$a$\n $b$": "a b",
     }
     assert dict(zip(said, col(spark, T.delatex, list(said)))) == said
+
+
+@pytest.mark.parametrize("most", [0, graph.MOST_NAMES])
+def test_alias_keys_are_worked_out_once_for_each_name(spark, monkeypatch, most):
+    """Whether the keys of names are broadcast or meet by shuffle; null and empty names and aliases have none."""
+    said = [(p, n, ["The Cats", "cat", "dogs", None, "we", ""][n % 6], [None, "", "our method", "cat"][n % 4], "dataset", "", "", "s0") for p in range(40) for n in range(24)]
+    mentions = spark.createDataFrame(said, "paper_id long, mention_no long, name string, alias string, type string, description string, evidence string, section_id string")
+    relations = mentions.select("paper_id", F.col("mention_no").alias("relation_no"), F.col("name").alias("source"), F.lit("dog").alias("target"), F.lit("uses").alias("relation"), "description", "section_id")
+    plain = {r.name: r.k for r in mentions.select("name", T.alias_keys(F.col("name")).alias("k")).collect()}
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        calls.add(1)
+        return plain.get(name, ["our method"] if name == "our method" else ["dog"] if name == "dog" else [])
+
+    monkeypatch.setattr(graph, "alias_keys", F.udf(counted, "array<string>"))
+    monkeypatch.setattr(graph, "MOST_NAMES", most)
+    resolved = graph.resolve_entities(mentions)
+    clusters = {}
+    for r in resolved.collect():
+        clusters.setdefault(r.paper_id, {})[r.mention_no] = r.cluster
+    # "cat" is an alias of every kind of name with an odd number, "our method" of those with an even one; a name without keys and alias stays alone.
+    keys = lambda n: set(plain[said[n][2]]) | ({"our method", "__center__"} if n % 4 == 2 else {"cat"} if n % 4 == 3 else set())
+    keys_of = [k | ({"__center__"} if k & set(graph.CENTER_ALIASES) else set()) for k in map(keys, range(24))]
+    least = list(range(24))
+    for _ in range(24):
+        least = [min([least[i], *(least[j] for j in range(24) if keys_of[i] & keys_of[j])]) for i in range(24)]
+    assert all(clusters[p] == dict(enumerate(least)) for p in range(40))
+    edges = graph.resolve_edges(relations, resolved.localCheckpoint()).collect()
+    dog = min(least[n] for n in range(24) if said[n][2] == "dogs")
+    assert all(r.target == dog and r.source != dog for r in edges)
+    assert calls.value < 200  # 960 mentions and as many relations
