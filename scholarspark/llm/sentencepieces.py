@@ -17,6 +17,8 @@ SPACE = "▁"
 MEMO_BYTES = 64 << 20  # about what a Python worker remembers of words and their ids
 LONG = 256  # characters; longer words aren't remembered
 PIECE = 1 << 20  # bytes of text encoded together, beside the first text's
+SHORT = 24  # characters; the pairs of shorter chunks are looked through, which takes less than an agenda
+NO_PIECE = float("-inf")
 
 
 class Vocabulary:
@@ -47,7 +49,35 @@ class Vocabulary:
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}{stops}]*|[^{SPACE}{stops}]+" + (f"|[{stops}]" if stops else "") if self.splits else "(?s).+")
 
     def merge(self, chunk: str) -> list[int]:
-        """The ids of a chunk. An agenda holds the adjacent pairs that are pieces, best score first, then leftmost."""
+        """The ids of a chunk: of the adjacent pairs that are pieces the one with the best score, the leftmost of equals, becomes one, until none is left."""
+        part, found = self.merged_short(chunk) if len(chunk) <= SHORT else self.merged(chunk), []
+        try:
+            return [self.ids[p] for p in part]
+        except KeyError:  # some characters are written as bytes
+            pass
+        for p in part:
+            if (i := self.ids.get(p)) is not None:
+                found.append(i)
+            else:
+                found += [self.bytes[x] for x in p.encode()]
+        return found
+
+    def merged_short(self, chunk: str) -> list[str]:
+        """The pieces of a short chunk, with the scores of all adjacent pairs beside them."""
+        part, score = list(chunk), self.score.get
+        scores = [score(a + b, NO_PIECE) for a, b in zip(part, part[1:])]
+        while scores and (best := max(scores)) > NO_PIECE:
+            i = scores.index(best)
+            part[i : i + 2] = [xy := part[i] + part[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(part[i - 1] + xy, NO_PIECE)
+            if i < len(scores):
+                scores[i] = score(xy + part[i + 1], NO_PIECE)
+        return part
+
+    def merged(self, chunk: str) -> list[str]:
+        """The pieces of a chunk. An agenda holds the adjacent pairs that are pieces, best score first, then leftmost."""
         part: list[str | None] = list(chunk)
         n, score = len(part), self.score.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -66,14 +96,7 @@ class Vocabulary:
                     heapq.heappush(agenda, (-s, a, c, size + len(part[c])))
             if (z := before[a]) >= 0 and (s := score(part[z] + xy)) is not None:
                 heapq.heappush(agenda, (-s, z, a, size + len(part[z])))
-        found: list[int] = []
-        for p in part:
-            if p is not None:
-                if (i := self.ids.get(p)) is not None:
-                    found.append(i)
-                else:
-                    found += [self.bytes[x] for x in p.encode()]
-        return found
+        return [p for p in part if p is not None]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian bytes, by the agenda."""
@@ -87,11 +110,12 @@ class _Words(dict):
     """word -> its ids as little-endian bytes. Words don't depend on each other where no piece reaches across a blank.
 
     Words met for the first time are encoded by the library too (check); where the two differ, the library's ids hold
-    and the word is noted.
+    and the word is noted. Half of MEMO_BYTES is for words met lately, and when it is full they become the old ones; an old
+    word that is met again is a late one again, so frequent words stay.
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.size, self.new, self.other = vocabulary, 0, [], set()
+        self.vocabulary, self.size, self.new, self.other, self.old = vocabulary, 0, [], set(), {}
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > LONG:
@@ -99,8 +123,10 @@ class _Words(dict):
             if differs:
                 self.other.add(word)
             return found
-        found = self[word] = self.vocabulary.encode(word)
-        self.new.append(word)
+        if (found := self.old.pop(word, None)) is None:
+            found = self.vocabulary.encode(word)
+            self.new.append(word)
+        self[word] = found
         self.size += 200 + 2 * len(word) + len(found)
         return found
 
@@ -128,9 +154,10 @@ class _Words(dict):
         return found, sum(w in self.other for w in words) if self.other else 0
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        if self.size > MEMO_BYTES:
+        if self.size > MEMO_BYTES // 2:
+            self.old = dict(self)
             self.clear()
-            self.other.clear()
+            self.other &= self.old.keys()
             self.size = 0
         found = [self.encode(t) for t in texts]
         return [self.encode(t) for t in texts] if self.check() else found

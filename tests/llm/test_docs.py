@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+from array import array
 
 import pytest
 import xxhash
@@ -168,6 +169,25 @@ def test_sentencepieces_go_through_a_batch_in_pieces(monkeypatch):
     assert max(held) < sentencepieces.PIECE and len(held) > 5
 
 
+def test_sentencepieces_keep_frequent_words(monkeypatch):
+    """A word that every text has is encoded once, however often the words met lately become the old ones; the rest of the memory turns over."""
+    monkeypatch.setattr(sentencepieces, "MEMO_BYTES", 40_000)
+    words = sentencepieces._Words(sentencepieces.Vocabulary(model_path()))
+    met, encode = [], words.vocabulary.encode
+    words.vocabulary.encode = lambda text: met.append(text) or encode(text)
+    texts = [" ".join(["common", *(f"w{i}x{j}" for j in range(20))]) for i in range(60)]
+    ids = [words.encode_all([t])[0][0] for t in texts]
+    assert ids == [array("I", words.vocabulary.library.encode(t)).tobytes() for t in texts]
+    assert met.count("common") == 1 and len(words) + len(words.old) < 400
+
+
+def test_short_chunks_merge_as_by_the_agenda():
+    vocabulary, rnd = sentencepieces.Vocabulary(model_path()), random.Random(3)
+    alphabets = ["etaoinshr", "ab", "éüß漢字a", "▁the", "0123456789.,"]
+    chunks = ["".join(rnd.choice(a) for _ in range(rnd.randint(0, 24))) for a in alphabets for _ in range(400)]
+    assert [vocabulary.merged_short(c) for c in chunks] == [vocabulary.merged(c) for c in chunks]
+
+
 def brute_fingerprint(t, n=4):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     if not words:
