@@ -250,6 +250,49 @@ def test_quotes_with_noise(spark, monkeypatch):
     assert {(r.quote_id, r.source_id): r.found for r in grounding.fuzzy_match_quotes(*tables).collect()} == want
 
 
+def test_few_quotes_meet_texts_where_they_are_read(spark, monkeypatch):
+    """Few quotes need no shuffle of what they share with texts; many do, and find the same."""
+    import random
+
+    from scholarspark.operators import quotes as quotes_of
+
+    rnd = random.Random(8)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(-1, "ab" * 3000), (-2, None), (None, "x" * 50)]
+    whole = [t for _, t in docs if t and len(t) > 150]
+    quotes = [(k, "".join("q" if rnd.random() < k % 8 / 100 else c for c in rnd.choice(whole)[20:140])) for k in range(60)] + [(100, "ab" * 700), (101, None), (102, "short")]
+    tables = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "source_id long, text string")
+    few = quotes_of.fuzzy_match_quotes(*tables)
+    assert few._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    got = {tuple(r) for r in few.collect()}
+    assert len(got) > 60 and (100, -1) in {(r[0], r[2]) for r in got}
+    monkeypatch.setattr(quotes_of, "MOST_KNOWN", 0)
+    assert {tuple(r) for r in quotes_of.fuzzy_match_quotes(*tables).collect()} == got
+    # A text's blocks are laid out a few quotes at a time; those with too many hits aren't.
+    known, codes = quotes_of._Known([5, 6, 7], ["ab" * 20, "the quick brown fox", "zzzzzzzzzzzzzzz"]), quotes_of._codes("ab" * 50 + " the quick brown fix")
+    assert sorted(zip(*(x.tolist() for x in known.blocks(codes)))) == [(0, 0, 0, 40), (1, 101, 0, 17)]
+    monkeypatch.setattr(quotes_of, "MOST_HITS", 100)
+    assert sorted(zip(*(x.tolist() for x in known.blocks(codes)))) == [(0, 0, 0, -1), (1, 101, 0, 17)]
+
+
+def test_runs_of_three_in_place():
+    """No pair that reaches the ratio is lost, and pairs that only share runs elsewhere are."""
+    import random
+    from difflib import SequenceMatcher
+
+    from scholarspark.operators import quotes as quotes_of
+
+    rnd = random.Random(9)
+    words = ["the", "and", "reing", "thnd", "hean", "onti", "ouer", "shwh", "tion"]
+    wants = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 45))) for _ in range(300)]
+    windows = [w + w[:8] if i % 4 == 0 else "".join(c for c in w if rnd.random() > i % 7 / 40) + "  a tail" if i % 4 < 3 else " ".join(rnd.sample(w.split(), len(w.split()))) for i, w in enumerate(wants)]
+    wants, windows = [*wants, "abcdefghijkl", "a" * 3000], [*windows, "", "a" * 3008]
+    for least in (0.5, 0.88, 0.95):
+        near = np.array([SequenceMatcher(None, w, q, autojunk=False).ratio() >= least for w, q in zip(windows, wants)])
+        may = quotes_of.may_be_near_in_place(windows, wants, least)
+        assert (may >= near).all()
+    assert may.sum() < quotes_of.may_be_near(windows, wants, 0.95).sum() and not len(quotes_of.may_be_near_in_place([], [], 0.9))
+
+
 def test_boilerplate_quotes(spark):
     """A quote that several sources have but for its end, which stands in another one only, is found in all of them."""
     import random
