@@ -250,6 +250,17 @@ def test_quotes_with_noise(spark, monkeypatch):
     assert {(r.quote_id, r.source_id): r.found for r in grounding.fuzzy_match_quotes(*tables).collect()} == want
 
 
+def test_nodes_of_equal_names_are_found_together(spark):
+    """Nodes with the same names meet their queries in one join with the nodes; equal nodes and queries stay, and a node is found once by label and alias."""
+    rows = [("1", "a", "Big Ring", ["ring", None]), ("1", "a", "Big Ring", ["ring", None]), ("2", "b", "ring", ["Big Ring"]), ("3", "c", None, None), ("4", "d", "Bolt", []), ("5", "e", "Ring", None)]
+    nodes = spark.createDataFrame([(*r, "dataset" if r[1] == "e" else "method") for r in rows], "paper_id string, node_id string, label string, aliases array<string>, type string")
+    queries = spark.createDataFrame([(1, "RING"), (1, "RING"), (2, "b"), (3, ""), (4, None), (5, "big r")], "query int, text string")
+    out = graph.search_nodes_all(nodes, queries, ["dataset"])
+    want = [(q, r[1]) for q, t in [(1, "ring"), (1, "ring"), (2, "b"), (5, "big r")] for r in rows if r[1] != "e" and any(t in x.lower() for x in [r[2], *(r[3] or [])] if x)]
+    assert sorted((r.query, r.node_id) for r in out.collect()) == sorted(want) and out.columns == ["query", *nodes.columns]
+    assert "__node" not in out._jdf.queryExecution().toString()
+
+
 def test_terms_are_counted_where_the_text_is_read(spark, monkeypatch):
     """Postings come of one pass over the texts, in pieces of bounded size, and aren't shuffled to be counted."""
     import collections
@@ -257,6 +268,8 @@ def test_terms_are_counted_where_the_text_is_read(spark, monkeypatch):
 
     import pyarrow as pa
 
+    from scholarspark.operators import retrieval
+
     rnd = random.Random(2)
     toks = [[f"t{rnd.randrange(9)}" for _ in range(rnd.randint(0, 12))] for _ in range(200)] + [[], ["é"] * 3]
     monkeypatch.setattr(retrieval, "TOKENS", 40)
