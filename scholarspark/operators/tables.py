@@ -58,7 +58,8 @@ def attach_tables(sections: DataFrame, tables: DataFrame) -> DataFrame:
 def keep_tables(cells: DataFrame, captions: DataFrame) -> DataFrame:
     """cells(paper_id, found_no, page, row_no, col_no, text) of detected tables that are ones: two rows with text, two columns and two cells with digits; with the number of the first captions(paper_id, page, number) of their page; the first of each number."""
     full = F.coalesce(F.trim("text"), F.lit("")) != ""
-    good = cells.groupBy("paper_id", "found_no", "page").agg(F.count_distinct(F.when(full, F.col("row_no"))).alias("rows"), F.max("col_no").alias("last"), F.count_if(F.col("text").rlike(r"\d")).alias("digits")).where("rows >= 2 and last >= 1 and digits >= 2")
+    row = F.when(full, F.col("row_no"))  # two different ones are there if the least isn't the largest
+    good = cells.groupBy("paper_id", "found_no", "page").agg((F.min(row) < F.max(row)).alias("rows"), F.max("col_no").alias("last"), F.count_if(F.col("text").rlike(r"\d")).alias("digits")).where("rows and last >= 1 and digits >= 2")
     named = good.join(captions.groupBy("paper_id", "page").agg(F.min("number").alias("number")), ["paper_id", "page"])
     first = named.groupBy("paper_id", "number").agg(F.min("found_no").alias("found_no"))
     return cells.join(first, ["paper_id", "found_no"])

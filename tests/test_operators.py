@@ -261,6 +261,17 @@ def test_nodes_of_equal_names_are_found_together(spark):
     assert "__node" not in out._jdf.queryExecution().toString()
 
 
+def test_kept_tables_need_two_rows_with_text(spark):
+    """Rows are counted without a row for each distinct one; blank and null texts and a row's second cell don't make another row."""
+    from scholarspark.operators import tables as B
+
+    made = {1: [(0, 0, "1"), (0, 1, "2"), (1, 0, " ")], 2: [(0, 0, "1"), (0, 1, "2"), (3, 0, "x")], 3: [(2, 0, "1"), (2, 1, "2"), (2, 2, "3")], 4: [(0, 0, "1"), (1, 1, "2"), (2, 0, None)]}
+    cells = spark.createDataFrame([("p", n, n, *c) for n, cs in made.items() for c in cs], "paper_id string, found_no int, page int, row_no int, col_no int, text string")
+    out = B.keep_tables(cells, spark.createDataFrame([("p", n, n) for n in made], "paper_id string, page int, number int"))
+    assert {r.found_no for r in out.collect()} == {2, 4} and out.count() == 6
+    assert "Expand" not in out._jdf.queryExecution().toString()
+
+
 def test_terms_are_counted_where_the_text_is_read(spark, monkeypatch):
     """Postings come of one pass over the texts, in pieces of bounded size, and aren't shuffled to be counted."""
     import collections
