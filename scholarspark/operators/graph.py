@@ -176,15 +176,17 @@ def search_nodes(nodes: DataFrame, query: str, hidden: list[str] = ()) -> DataFr
 
 def search_nodes_all(nodes: DataFrame, queries: DataFrame, hidden: list[str] = ()) -> DataFrame:
     """search_nodes for each of queries(query, text), by an index of runs of characters: query and the columns of nodes. Equal names are indexed once, and nodes with
-    the same names are one until their queries are known, so that what is found meets the nodes in one join. Empty queries find nothing."""
-    every = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
-    shown = nodes.where(~F.col("type").isin(list(hidden))).withColumn("__names", F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda n: F.lower(n)), lambda n: n.isNotNull()))))
-    alike = written(shown.select("__names").distinct().withColumn("__alike", F.monotonically_increasing_id()))
-    said = alike.select("__alike", F.explode("__names").alias("name"))
+    the same label and aliases are one until their queries are known, so that what is found meets the nodes in one join. It goes to the nodes, never they to it. Empty queries find nothing."""
+    shown = nodes.where(~F.col("type").isin(list(hidden)))
+    alike = written(shown.select(F.col("label").alias("__label"), F.col("aliases").alias("__aliases")).distinct().withColumn("__alike", F.monotonically_increasing_id()))
+    every = F.concat(F.array("__label"), F.coalesce("__aliases", F.array().cast("array<string>")))
+    said = alike.select("__alike", F.explode(F.array_distinct(F.transform(every, lambda n: F.lower(n)))).alias("name")).where("name is not null")
     names = written(said.select("name").distinct().withColumn("at", F.monotonically_increasing_id()))
-    found = containing(queries.select(F.col("text").alias("term")), names, "at", F.col("name")).join(names, "at").join(said, "name").select("term", "__alike").distinct()
-    told = settle(queries.select("query", F.col("text").alias("term")).join(found, "term").join(alike, "__alike").select("query", "__names"))
-    return shown.join(told, "__names").select("query", *nodes.columns)
+    found = containing(queries.select(F.col("text").alias("term")), names, "at", F.col("name")).join(shuffled(names), "at").join(shuffled(said), "name").select("term", "__alike").distinct()
+    told = settle(queries.select("query", F.col("text").alias("term")).join(found, "term").join(shuffled(alike), "__alike").select("query", "__label", "__aliases"))
+    size = told.agg(F.coalesce(F.sum(100 + 2 * F.octet_length(F.concat_ws(" ", "__label", "__aliases")).cast("long")), F.lit(0))).first()[0]
+    told = F.broadcast(told) if size <= MOST_NAMES else shuffled(told)
+    return shown.join(told, F.col("label").eqNullSafe(F.col("__label")) & F.col("aliases").eqNullSafe(F.col("__aliases"))).select("query", *nodes.columns)
 
 
 def neighborhood(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -28,6 +28,18 @@ def test_rows_are_not_broadcast_unchecked(spark, name):
     assert "BroadcastHashJoin" not in plan(catalog.QUERIES[name](spark, SMALL))
 
 
+@pytest.mark.parametrize("most", [graph.MOST_NAMES, -1])
+def test_nodes_are_not_broadcast(spark, tmp_path, monkeypatch, most):
+    """What was found goes to the nodes by broadcast where it is small, else by shuffle; the nodes, many of few compressed bytes, never go through the driver."""
+    monkeypatch.setattr(graph, "MOST_NAMES", most)
+    spark.range(2000).selectExpr("'1' AS paper_id", "concat('p', id) AS node_id", "CASE WHEN id % 5 > 0 THEN concat('Ring ', id % 3) END AS label", "CASE WHEN id % 7 > 0 THEN array(concat('big', id % 2), null) END AS aliases", "'method' AS type").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    out = graph.search_nodes_all(nodes, spark.createDataFrame([(1, "RING 2"), (2, "g1"), (3, "none")], "query int, text string"))
+    assert "BuildLeft" not in plan(out) and ("BuildRight" in plan(out)) == (most > 0)
+    want = [(1, f"p{i}") for i in range(2000) if i % 5 and i % 3 == 2] + [(2, f"p{i}") for i in range(2000) if i % 7 and i % 2]
+    assert sorted((r.query, r.node_id) for r in out.collect()) == sorted(want)
+
+
 def beside(tmp_path, name, rows):
     """A folder with the smallest tables, one of them replaced by rows."""
     rows.write.parquet(str(tmp_path / "own"))
