@@ -59,12 +59,16 @@ def search_library(pages: DataFrame, concepts: DataFrame, query: str, limit: int
 
 
 def search_library_all(pages: DataFrame, concepts: DataFrame, queries: DataFrame, limit: int = 12) -> DataFrame:
-    """search_library for each of queries(query, text), by an index of runs of characters: query, page, in_meta, n_matched, matched. Queries without terms find nothing."""
+    """search_library for each of queries(query, text), whose terms meet all texts together: query, page, in_meta, n_matched, matched. Queries without terms find nothing.
+
+    Of a page's labels the first go on from each task, so that none gathers all that a query finds."""
     asked = settle(queries.select("query", F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "").alias("terms")))
     meta = having_all(asked, pages.select("page", "meta"), "page", F.col("meta")).withColumn("in_meta", F.lit(True))
-    each = written(concepts.select("page", "label", "text").withColumn("concept", F.monotonically_increasing_id()))
-    hit = having_all(asked, each, "concept", F.col("text")).join(each.select("concept", "page", "label"), "concept")
-    matched = hit.groupBy("query", "page").agg(F.slice(F.array_sort(F.collect_set("label")), 1, limit).alias("matched")).join(pages.select("page"), "page", "left_semi")
+    each = concepts.select(F.struct("page", "label", F.monotonically_increasing_id().alias("concept")).alias("concept"), "text")
+    hit = having_all(asked, each, "concept", F.col("text")).select("query", "concept.page", "concept.label")
+    nth = F.dense_rank().over(Window.partitionBy("query", "page").orderBy(F.col("label").asc_nulls_last()))
+    first = hit.withColumn("__r", nth).where(F.col("__r") <= limit)
+    matched = first.groupBy("query", "page").agg(F.array_sort(F.collect_set("label")).alias("matched")).join(pages.select("page"), "page", "left_semi")
     both = meta.join(matched, ["query", "page"], "full")
     return both.select("query", "page", F.coalesce("in_meta", F.lit(False)).alias("in_meta"), F.coalesce(F.size(F.when(F.col("matched").isNotNull(), F.col("matched"))), F.lit(0)).alias("n_matched"), "matched")
 

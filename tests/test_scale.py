@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from scholarspark.functions import papers
-from scholarspark.operators import components, graph, grounding, retrieval, structure
+from scholarspark.operators import components, graph, grounding, library, retrieval, structure, substrings
 from scholarspark.plans import catalog
 from scholarspark.streaming import activity
 
@@ -191,3 +191,36 @@ def test_papers_of_few_mentions_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_PAIRS", 3)
     mixed = [("a", i, "k") for i in range(5, 9)] + [("b", 2, "k"), ("b", 1, "k"), ("c", 4, None), ("c", 5, "x"), ("c", 3, "x")]
     assert labels(spark.createDataFrame(mixed, schema)) == [("a", i, 5) for i in range(5, 9)] + [("b", 1, 1), ("b", 2, 1), ("c", 3, 3), ("c", 4, 4), ("c", 5, 3)]
+
+
+def test_few_terms_meet_texts_without_an_index(spark, monkeypatch):
+    """Few terms are read for in each text, once; many go by the index, with the same rows, and a page's first labels come of all that were found."""
+    rnd = random.Random(7)
+    words = ["ab", "Abc", "abcd", "É", "bcda", "a", "İx", "xyzzy", "dab"]
+    texts = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 6))) if i % 17 else None) for i in range(300)]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    terms = spark.createDataFrame([(t,) for t in [*words, "cd ", "d a", "zzq", "", None, "ABC", "abc"]], "term string")
+    queries = spark.createDataFrame([(i, rnd.choices([*words, "cd a"], k=rnd.randint(0, 3))) for i in range(60)] + [(None, ["a"]), (90, None), (91, ["a", ""]), (92, [None, "a"]), (1, ["ab"])], "query int, terms array<string>")
+    pages = spark.createDataFrame([(i, f"P{i} abc" if i else None) for i in range(4)], "page int, meta string")
+    concepts = spark.createDataFrame([(i % 5, f"l{i % 90:02}" if i % 11 else None, t) for i, t in texts], "page int, label string, text string")
+    asked = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([["ab"], ["A", "ab"], ["abc", "xyzzy"], ["p1"], [], ["None"]])], "query int, text string")
+
+    def found():
+        several = library.search_library_all(pages, concepts, asked, 5).collect()
+        return (
+            sorted((str(r.term), r.id) for r in substrings.containing(terms, rows, "id", F.col("text")).collect()),
+            sorted((r.query, r.id) for r in substrings.having_all(queries, rows, "id", F.col("text")).collect()),
+            sorted((r.query, r.page, r.in_meta, r.n_matched, str(r.matched)) for r in several),
+        )
+
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "MOST_ASKED", -1)
+        by_index = found()
+    monkeypatch.setattr(substrings, "gram_index", None)
+    monkeypatch.setattr(substrings, "TOGETHER", 3)
+    few = found()
+    assert few == by_index and all(few)
+    for q, p, in_meta, n, matched in few[2]:
+        ts = asked.collect()[q].text.lower().split()
+        want = sorted({c.label for c in concepts.collect() if c.page == p and c.label and c.text is not None and all(t in c.text.lower() for t in ts)})
+        assert matched in (str(want[:5]), "None") and n == len(want[:5])
