@@ -9,6 +9,12 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: About how many bytes of a table are broadcast by sent.
+MOST_SENT = 1 << 24
+#: Bits of the filter of may_be_in, which is broadcast in words of 64, 16 MB and what Spark adds to them.
+FILTER_BITS = 1 << 25
 
 _scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())  # folders of the scratch blocks that are open in this thread
 
@@ -57,6 +63,20 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """df, a kept table, for a join: broadcast up to about MOST_SENT bytes by its values, else by shuffle."""
+    size = df.agg(F.sum(100 + 2 * F.octet_length(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= MOST_SENT else shuffled(df)
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """rows without most of those whose columns aren't among keys, for a join on equality that follows: a filter of FILTER_BITS bits, put together by the executors."""
+    at = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.lit(FILTER_BITS))
+    words = keys.select(at.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__at % 64 AS int)))").alias("__bits"))
+    met = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word").where(F.getbit("__bits", F.col("__at") % 64) == 1)
+    return met.select(*rows.columns)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

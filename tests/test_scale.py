@@ -224,3 +224,40 @@ def test_few_terms_meet_texts_without_an_index(spark, monkeypatch):
         ts = asked.collect()[q].text.lower().split()
         want = sorted({c.label for c in concepts.collect() if c.page == p and c.label and c.text is not None and all(t in c.text.lower() for t in ts)})
         assert matched in (str(want[:5]), "None") and n == len(want[:5])
+
+
+def test_filter_of_keys_loses_none(spark, monkeypatch):
+    from scholarspark import shared
+
+    for bits in (64, 1 << 25):
+        monkeypatch.setattr(shared, "FILTER_BITS", bits)
+        rows = spark.range(2000).selectExpr("id AS a", "cast(id % 7 AS string) AS b")
+        keys = spark.range(50).selectExpr("id * 37 AS a", "cast(id * 37 % 7 AS string) AS b")
+        met = {r.a for r in shared.may_be_in(rows, keys, ["a", "b"]).collect()}
+        assert {i * 37 for i in range(50)} <= met and (bits == 64 or len(met) < 60)
+    small, large = (shared.sent(df)._jdf.queryExecution().logical().toString() for df in (keys, spark.range(1 << 18)))
+    assert "broadcast" in small and "merge" in large
+
+
+def test_graph_facts_sorts_no_edge_that_none_asks_for(spark, monkeypatch):
+    """Only the edges of named nodes are shuffled; those of a paper only where a question names no node. Equal edges count once, and a question keeps the first of all its nodes."""
+    rnd = random.Random(5)
+    n = [("1", f"n{i}", f"Node {i:03}", "method", "", [f"alias{i % 3}"] if i % 4 else None) for i in range(120)]
+    nodes = spark.createDataFrame(n, "paper_id string, node_id string, label string, type string, description string, aliases array<string>")
+    e = [("1", rnd.randrange(200), f"n{rnd.randrange(120)}", f"n{rnd.randrange(120)}", "uses", "x" if i % 2 else None) for i in range(600)]
+    edges = spark.createDataFrame(e + e[:50], "paper_id string, edge_no long, source string, target string, relation string, description string")
+    asked = [("1", 1, "Of node 005 and node 007?", None), ("1", 2, "alias1", None), ("1", 3, "who", "n9"), ("1", 4, "who", None)]
+    questions = spark.createDataFrame(asked, "paper_id string, query int, question string, node string")
+    label, first = {x[1]: x[2] for x in n}, lambda es: sorted(es, key=lambda x: (x[1], x[2], x[3], x[4], x[5] is not None, x[5] or ""))[:14]
+
+    def facts(q, es):
+        return {(q, k + 1, f"{label[x[2]]} --uses--> {label[x[3]]}" + (": x" if x[5] else "")) for k, x in enumerate(first(es))}
+
+    want = set()
+    for q, ids in {1: {"n5", "n7"}, 2: {x[1] for x in n if x[5] == ["alias1"]}, 3: {"n9"}}.items():
+        want |= facts(q, {x for x in e if x[2] in ids or x[3] in ids})
+    assert {tuple(r) for r in retrieval.graph_facts(questions, nodes, edges).collect()} == want | facts(4, e + e[:50])
+    sent = []
+    monkeypatch.setattr(retrieval, "may_be_in", lambda rows, keys, by, real=retrieval.may_be_in: sent.append(real(rows, keys, by).count()) or real(rows, keys, by))
+    assert {tuple(r) for r in retrieval.graph_facts(questions.where("query in (1, 3)"), nodes, edges).collect()} == {w for w in want if w[0] != 2}
+    assert sent[0] < 100
