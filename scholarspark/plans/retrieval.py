@@ -121,7 +121,8 @@ def _chunk_sections(spark, d):
 
 def _context(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("section"))
-    return R.context_hits(_scores(spark, d), _chunk_sections(spark, d), asked)
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("section"))
+    return R.context_hits(R.bm25_leading(table(spark, d, "benchmark"), docs, 6, asked), _chunk_sections(spark, d), asked)
 
 
 def _expand(spark, d):
@@ -134,7 +135,7 @@ def _build_context(spark, d):
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("section"), F.col("lang").alias("title"), "text")
     notes = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("notes"))
     facts = table(spark, d, "benchmark").where("item_id % 3 = 0").select(F.col("item_id").alias("query"), F.lit(1).alias("fact_no"), F.concat(F.col("item_id"), F.lit(" --uses--> "), F.reverse("text")).alias("fact"))
-    return R.build_context(notes, R.bm25_top(_scores(spark, d), 6), chunks, facts).select("query", F.md5("context").alias("context_md5"))
+    return R.build_context(notes, R.bm25_top(R.bm25_leading(table(spark, d, "benchmark"), _docs(spark, d), 6), 6), chunks, facts).select("query", F.md5("context").alias("context_md5"))
 
 
 QUERIES = {

@@ -261,3 +261,33 @@ def test_graph_facts_sorts_no_edge_that_none_asks_for(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "may_be_in", lambda rows, keys, by, real=retrieval.may_be_in: sent.append(real(rows, keys, by).count()) or real(rows, keys, by))
     assert {tuple(r) for r in retrieval.graph_facts(questions.where("query in (1, 3)"), nodes, edges).collect()} == {w for w in want if w[0] != 2}
     assert sent[0] < 100
+
+
+def test_context_hits_need_no_score_of_every_document(spark, monkeypatch):
+    """Of a task's scores only the best of a query and of its sections go on; the hits are those of all scores, equal ones by doc."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices(["cat", "dog", "emu", "fox", "gnu", "hen", "ibis"], k=rnd.randint(0, 9))) for _ in range(400)] + ["yak yak", "", None]
+    docs = spark.createDataFrame([(1000 - i, t, f"s{i % 9}" if i % 10 else None) for i, t in enumerate(texts)], "doc_id long, text string, section string").repartition(3)
+    queries = spark.createDataFrame([(1, "cat dog cat"), (2, "emu"), (3, "zebu"), (4, "yak hen"), (5, None), (6, "fox gnu ibis hen"), (7, "yak")], "item_id long, text string")
+    asked = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, "s3"), (4, "none"), (4, "s4"), (5, "s5"), (6, None), (7, "s8"), (8, "s1")], "query long, section string")
+    chunks = docs.select(F.col("doc_id").alias("doc"), "section")
+    every = retrieval.bm25_score(queries, retrieval.bm25_index(docs))
+    hits = lambda scores: sorted(tuple(r) for r in retrieval.context_hits(scores, chunks, asked, 4).collect())
+    want, top = hits(every), sorted(tuple(r) for r in retrieval.bm25_top(every, 4).collect())
+    monkeypatch.setattr(retrieval, "TOKENS", 200)
+    few = retrieval.bm25_leading(queries, docs, 4, asked)
+    scores, plain, where, at_home = {(r.query, r.doc): r.score for r in every.collect()}, [], docs.collect(), {tuple(a) for a in asked.collect()}
+    for q in range(1, 9):
+        first = [d for _, d in sorted((-x, d) for (at, d), x in scores.items() if at == q)][:4]
+        local = [r.doc_id for r in where if r.section and (q, r.section) in at_home]
+        if local and not set(first) & set(local):
+            first = [min(local, key=lambda d: (-scores.get((q, d), 0), d)), *first][:4]
+        plain += [(q, d, i + 1) for i, d in enumerate(first)]
+    assert hits(few) == want == sorted(plain)
+    assert {tuple(r) for r in few.collect()} <= {tuple(r) for r in every.collect()} and every.count() > 600 > 200 > few.count()
+    assert sorted(tuple(r) for r in retrieval.bm25_top(retrieval.bm25_leading(queries, docs, 4), 4).collect()) == top
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 0)
+    assert hits(retrieval.bm25_leading(queries, docs, 4, asked)) == want
+    assert retrieval.bm25_leading(queries.where("item_id = 5"), docs, 4).count() == 0
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 9)
+    assert retrieval.bm25_leading(queries.where("item_id = 5"), docs.limit(0), 4, asked).count() == 0 == retrieval.bm25_leading(queries.where("item_id = 2"), docs.limit(0), 4, asked).count()
