@@ -291,3 +291,18 @@ def test_context_hits_need_no_score_of_every_document(spark, monkeypatch):
     assert retrieval.bm25_leading(queries.where("item_id = 5"), docs, 4).count() == 0
     monkeypatch.setattr(retrieval, "MOST_TERMS", 9)
     assert retrieval.bm25_leading(queries.where("item_id = 5"), docs.limit(0), 4, asked).count() == 0 == retrieval.bm25_leading(queries.where("item_id = 2"), docs.limit(0), 4, asked).count()
+
+
+def test_numbers_that_differ_by_zeros_meet_under_one_key(spark):
+    """All forms of a number have the same digits, so it goes out once; forms of a phrase are made after rows are shuffled."""
+    from scholarspark.operators.lookup import look_up
+
+    v = spark.createDataFrame([("5",), ("0.50",), ("1,200%",), ("007.070",), ("100",), (".05",)], "v string")
+    keys = v.select("v", F.array_distinct(F.transform(grounding.number_forms(F.col("v")), grounding._digits)).alias("k"))
+    assert {r.v: r.k for r in keys.collect()} == {"5": ["5"], "0.50": ["5"], "1,200%": ["12"], "007.070": ["707"], "100": ["1"], ".05": ["5"]}
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "b", None), (2, "c", "y"), (None, "d", "x"), (3, "e", None)], "k int, id string, w string")
+    texts = spark.createDataFrame([(1, "an x and xx"), (2, "none"), (3, "x")], "k int, text string")
+    out = look_up(rows, F.when(F.col("w").isNotNull(), F.array("w", F.concat("w", "w"))), texts, "k", F.col("text"))
+    before, after = plan(out).split("REPARTITION_BY_COL")  # the plan is printed from its end
+    assert "__forms" in before and "__forms" not in after
+    assert {(r.id, tuple(r.found)) for r in out.collect()} == {("a", ("x", "xx")), ("c", (None, None))}
