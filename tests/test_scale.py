@@ -306,3 +306,15 @@ def test_numbers_that_differ_by_zeros_meet_under_one_key(spark):
     before, after = plan(out).split("REPARTITION_BY_COL")  # the plan is printed from its end
     assert "__forms" in before and "__forms" not in after
     assert {(r.id, tuple(r.found)) for r in out.collect()} == {("a", ("x", "xx")), ("c", (None, None))}
+
+
+def test_stored_tables_are_compressed_and_not_broadcast(spark, monkeypatch):
+    """Names that repeat take little room in the shared folder, and the small files they make don't pass for a small table; pairs of a graph are kept so."""
+    from scholarspark.shared import stored
+
+    df = stored(spark.range(100000).selectExpr("id", "concat('A long name of a part that many orders have ', id % 9) AS name"))
+    assert "Broadcast" not in plan(df.where("id > 5").select("name").join(df.select("name", "id"), "name"))
+    kept = []
+    monkeypatch.setattr(graph, "stored", lambda df: kept.append(df.columns) or stored(df))
+    graph.connected(spark.createDataFrame([(1, 1, "a"), (1, 2, "a")], "paper_id int, node int, key string")).collect()
+    assert kept == [["paper_id", "node", "key"]]
